@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from tidemark.llm.mixing import op8_mix_sources
 from tidemark.llm.sharding import op2_sharding
 
-QUERIES = {"op2_sharding": op2_sharding}
+QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op8_mix_sources": op8_mix_sources,
+}
 
 ORACLE_SQL: dict[str, str] = {}
