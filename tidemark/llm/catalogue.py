@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from tidemark.llm.mixing import op8_mix_sources
 from tidemark.llm.sharding import op2_sharding
+from tidemark.llm.token_files import op5_token_files
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op5_token_files": op5_token_files,
     "op8_mix_sources": op8_mix_sources,
 }
 
