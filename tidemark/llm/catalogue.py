@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.bpe import op6_bpe_codec
 from tidemark.llm.mixing import op8_mix_sources
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.token_files import op5_token_files
@@ -9,6 +10,7 @@ from tidemark.llm.token_files import op5_token_files
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_token_files": op5_token_files,
+    "op6_bpe_codec": op6_bpe_codec,
     "op8_mix_sources": op8_mix_sources,
 }
 
