@@ -6,11 +6,13 @@ from tidemark.llm.bpe import op6_bpe_codec
 from tidemark.llm.mixing import op8_mix_sources
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.token_files import op5_token_files
+from tidemark.llm.warc import op7_warc
 
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_token_files": op5_token_files,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_warc": op7_warc,
     "op8_mix_sources": op8_mix_sources,
 }
 
