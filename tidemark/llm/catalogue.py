@@ -6,6 +6,7 @@ from tidemark.llm.bpe import op6_bpe_codec
 from tidemark.llm.mixing import op8_mix_sources
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.token_files import op5_token_files
+from tidemark.llm.vector_search import OP9_SQL, op9_maxscore_topk
 from tidemark.llm.warc import op7_warc
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_bpe_codec": op6_bpe_codec,
     "op7_warc": op7_warc,
     "op8_mix_sources": op8_mix_sources,
+    "op9_maxscore_topk": op9_maxscore_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_maxscore_topk": OP9_SQL}

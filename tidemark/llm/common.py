@@ -85,3 +85,17 @@ def free_name(df: DataFrame, stem: str) -> str:
 def plain_text(column: str = "text"):
     """The column as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def hot_join(spark: SparkSession, rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str], broadcast_rows: int, salts: int = 32) -> DataFrame:
+    """``rows`` left-joined with ``table`` (unique in ``keys``), where a key may hold a third of ``rows``.
+
+    A table of at most ``broadcast_rows`` rows is broadcast. A larger one is repeated
+    ``salts`` times, and the rows of a key are dealt to its copies by a hash of ``spread``.
+    """
+    if table.count() <= broadcast_rows:
+        return rows.join(F.broadcast(table), keys, "left")
+    salt = free_name(rows, "salt")
+    salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    return dealt.join(salted, [*keys, salt], "left").drop(salt)
