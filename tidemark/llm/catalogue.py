@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op6_bpe_codec
+from tidemark.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
 from tidemark.llm.mixing import op8_mix_sources
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.token_files import op5_token_files
@@ -10,6 +11,7 @@ from tidemark.llm.vector_search import OP9_SQL, op9_maxscore_topk
 from tidemark.llm.warc import op7_warc
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_sharding": op2_sharding,
     "op5_token_files": op5_token_files,
     "op6_bpe_codec": op6_bpe_codec,
@@ -18,4 +20,4 @@ QUERIES = {
     "op9_maxscore_topk": op9_maxscore_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_maxscore_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op9_maxscore_topk": OP9_SQL}
