@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,42 +21,71 @@ from tidemark.llm.common import Rows, materialize, plain_text
 from tidemark.llm.vocabulary import default_vocabulary, encode_words, split_words, tokenizer
 
 #: A block is closed once its texts hold so many characters.
-BLOCK_CHARS = 16 << 20
-#: Words that are encoded at a time.
-ENCODE_WORDS = 20_000
+BLOCK_CHARS = 32 << 20
 
 _BLOCK = pa.schema(
-    [("block", pa.int64()), ("words", pa.list_(pa.string())), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.binary())]
+    [("block", pa.int64()), ("words", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))]
 )
-BLOCK = "block long, words array<string>, docs array<long>, sizes array<long>, places binary"
+BLOCK = "block long, words binary, docs array<long>, sizes array<long>, places array<binary>"
+
+
+def squeeze(content: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(content)
+
+
+def unsqueeze(content: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(content)
+
+
+class _Places(dict):
+    """Word to its place in the order of first meeting."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
 
 
 def _blocks(block_chars: int):
+    """Blocks of documents: word list by falling frequency, and each document's places in it.
+
+    Places are kept as byte planes (lowest bytes together, and so on), which
+    squeeze well as most places are small. Words hold no line feed.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        table: dict[str, int] = {}
+        table = _Places()
         docs, sizes, places, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            nonlocal number, docs, sizes, places, held
-            # few distinct bytes per place, so a fast general compressor does well
-            packed = zlib.compress(b"".join(places), 1)
-            row = {"block": number, "words": list(table), "docs": docs, "sizes": sizes, "places": packed}
+            nonlocal number, docs, sizes, places, held, table
+            met = np.concatenate(places) if places else np.zeros(0, np.uint32)
+            order = np.argsort(-np.bincount(met, minlength=len(table)), kind="stable")
+            rank = np.empty(len(table), "<u4")
+            rank[order] = np.arange(len(table), dtype="<u4")
+            planes = rank[met].view(np.uint8).reshape(-1, 4)
+            words = list(table)
+            row = {
+                "block": number,
+                "words": squeeze("\n".join([words[i] for i in order.tolist()]).encode()),
+                "docs": docs,
+                "sizes": sizes,
+                "places": [squeeze(planes[:, i].tobytes()) for i in range(4)],
+            }
             number += 1
-            table.clear()
+            table = _Places()
             docs, sizes, places, held = [], [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                words = split_words(text)
-                found = np.fromiter((table.setdefault(w, len(table)) for w in words), "<u4", len(words))
+                found = np.array(list(map(table.__getitem__, split_words(text))), "<u4")
                 docs.append(doc)
-                sizes.append(len(words))
-                places.append(found.tobytes())
+                sizes.append(len(found))
+                places.append(found)
                 held += len(text) + 16
                 if held >= block_chars:
                     yield close()
@@ -65,23 +95,52 @@ def _blocks(block_chars: int):
     return run
 
 
-_WORD = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("ids", pa.binary())])
+_LISTED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
+
+
+def _deal(parts: int):
+    """Each block's words, dealt to ``parts`` by their hash, with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = unsqueeze(packed.as_py()).split(b"\n")
+                if words == [b""]:
+                    continue
+                part = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(parts)
+                order = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[order], np.arange(parts + 1))
+                out = []
+                for p in range(parts):
+                    own = order[edges[p] : edges[p + 1]]
+                    if len(own):
+                        steps = np.diff(own, prepend=0).astype("<u4")
+                        out.append({"part": p, "block": block, "places": squeeze(steps.tobytes()), "words": squeeze(b"\n".join([words[i] for i in own.tolist()]))})
+                yield pa.RecordBatch.from_pylist(out, schema=_LISTED)
+
+    return run
+
+
+_IDS = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
 
 
 def _encode(vocabulary: str):
-    """Rows of one hash partition of the words: every word is encoded when first met there, so once."""
+    """Encodes each distinct word of a part once; the rows of a part follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bytes] = {}
+        known: dict[bytes, bytes] = {}
+        current = None
         for batch in batches:
-            words = batch.column(2).to_pylist()
-            # the rows are sorted, so only the first word can have been met before
-            known = {w: known[w] for w in words[:1] if w in known}
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for start in range(0, len(new), ENCODE_WORDS):
-                part = new[start : start + ENCODE_WORDS]
-                known.update(zip(part, encode_words(vocabulary, part), strict=True))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([known[w] for w in words], pa.binary())], schema=_WORD)
+            for part, block, places, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != current:
+                    known, current = {}, part
+                words = unsqueeze(words).split(b"\n")
+                new = [w for w in words if w not in known]
+                known.update(zip(new, encode_words(vocabulary, [w.decode() for w in new]), strict=True))
+                ids = [known[w] for w in words]
+                lengths = np.array([len(i) // 4 for i in ids], "<u4")
+                packed = [squeeze(lengths.tobytes()), squeeze(b"".join(ids))]
+                yield pa.record_batch([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (places, *packed))], schema=_IDS)
 
     return run
 
@@ -95,13 +154,19 @@ def _join(vocabulary: str):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pieces = id_pieces(vocabulary)
-        ids: list[bytes] = [b""] * right.num_rows
-        for place, word in zip(right["place"].to_pylist(), right["ids"].to_pylist(), strict=True):
-            ids[place] = word
+        found = right.to_pylist()
+        steps = [np.frombuffer(unsqueeze(r["places"]), "<u4") for r in found]
+        ids: list[bytes] = [b""] * sum(map(len, steps))
+        for row, step in zip(found, steps, strict=True):
+            content, at = unsqueeze(row["ids"]), 0
+            for place, length in zip(np.cumsum(step).tolist(), np.frombuffer(unsqueeze(row["lengths"]), "<u4").tolist(), strict=True):
+                ids[place] = content[at : at + 4 * length]
+                at += 4 * length
         texts = [" ".join(map(pieces.__getitem__, np.frombuffer(w, "<u4").tolist())) for w in ids]
         out, done = Rows(_ENCODED), []
         for row in left.to_pylist():
-            places = np.frombuffer(zlib.decompress(row["places"]), "<u4")
+            planes = [np.frombuffer(unsqueeze(p), np.uint8) for p in row["places"]]
+            places = np.stack(planes, axis=1).view("<u4").ravel()
             at = 0
             for doc, size in zip(row["docs"], row["sizes"], strict=True):
                 own = places[at : at + size].tolist()
@@ -151,9 +216,10 @@ def encode_documents(
     vocabulary = vocabulary or default_vocabulary()
     rows = docs.select(F.col(key).cast("long").alias("k"), plain_text(text).alias("t"))
     blocks = materialize(spark, rows.mapInArrow(_blocks(block_chars), BLOCK), "bpe-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    dealt = words.repartition("word").sortWithinPartitions("word")
-    encoded = dealt.mapInArrow(_encode(vocabulary), "block long, place int, ids binary")
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = blocks.select("block", "words").mapInArrow(_deal(parts), "part int, block long, places binary, words binary")
+    dealt = words.repartition("part").sortWithinPartitions("part")
+    encoded = dealt.mapInArrow(_encode(vocabulary), "block long, places binary, lengths binary, ids binary")
     held = blocks.select("block", "docs", "sizes", "places")
     return held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_join(vocabulary), ENCODED)
 
