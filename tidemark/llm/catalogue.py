@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.bpe import op6_bpe_codec
 from tidemark.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
 from tidemark.llm.mixing import op8_mix_sources
+from tidemark.llm.quality import op3_quality_classifier
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.token_files import op5_token_files
 from tidemark.llm.vector_search import OP9_SQL, op9_maxscore_topk
@@ -13,6 +14,7 @@ from tidemark.llm.warc import op7_warc
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_sharding": op2_sharding,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_token_files": op5_token_files,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_warc": op7_warc,
