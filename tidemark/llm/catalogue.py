@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op6_bpe_codec
 from tidemark.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
+from tidemark.llm.licenses import OP4_SQL, op4_license_scan
 from tidemark.llm.mixing import op8_mix_sources
 from tidemark.llm.quality import op3_quality_classifier
 from tidemark.llm.sharding import op2_sharding
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_sharding": op2_sharding,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_license_scan": op4_license_scan,
     "op5_token_files": op5_token_files,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_warc": op7_warc,
@@ -22,4 +24,4 @@ QUERIES = {
     "op9_maxscore_topk": op9_maxscore_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op9_maxscore_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op4_license_scan": OP4_SQL, "op9_maxscore_topk": OP9_SQL}
