@@ -66,7 +66,7 @@ def encode_words(path: str, words: list[str]) -> list[bytes]:
 class WordIds(dict):
     """Word to ids, encoded when first met; holds ``most`` words at a time."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
         self.path, self.most = path, most
 
