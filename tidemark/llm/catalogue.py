@@ -6,6 +6,7 @@ from tidemark.llm.bpe import op6_bpe_codec
 from tidemark.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
 from tidemark.llm.licenses import OP4_SQL, op4_license_scan
 from tidemark.llm.mixing import op8_mix_sources
+from tidemark.llm.ngram_join import OP10_SQL, op10_ngram_jaccard
 from tidemark.llm.quality import op3_quality_classifier
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.token_files import op5_token_files
@@ -22,6 +23,12 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_mix_sources": op8_mix_sources,
     "op9_maxscore_topk": op9_maxscore_topk,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op4_license_scan": OP4_SQL, "op9_maxscore_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": OP1_SQL,
+    "op4_license_scan": OP4_SQL,
+    "op9_maxscore_topk": OP9_SQL,
+    "op10_ngram_jaccard": OP10_SQL,
+}
