@@ -17,8 +17,10 @@ from pyspark.sql.window import Window
 
 #: Words as the contract takes them, after lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same in texts that are not lower-cased.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same characters named one by one, which Java matches several times faster,
+#: and those of texts that are not lower-cased.
+FAST_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+ANY_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Diagonals at most so far apart are merged.
 NEIGHBOURS = 2
 #: Share of a template's word pairs that a span must cover.
@@ -71,7 +73,7 @@ def license_spans(
     ``start`` and ``stop`` are word positions, ``stop`` exclusive. ``text_key`` is a
     hash of the id and the text; rows equal in both have equal spans, given once.
     """
-    words = docs.select("doc_id", text_key("doc_id", "text"), F.regexp_extract_all(fold(F.col("text")), F.lit(WORD), F.lit(0)).alias("words"))
+    words = docs.select("doc_id", text_key("doc_id", "text"), F.regexp_extract_all(fold(F.col("text")), F.lit(FAST_WORD), F.lit(0)).alias("words"))
     pairs = words.select("doc_id", "text_key", F.posexplode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.size("words")).alias("b"))).alias("at", "pair"))
     pairs = pairs.select("doc_id", "text_key", "at", F.col("pair.a").alias("a"), F.col("pair.b").alias("b")).withColumn("gram", F.xxhash64("a", "b"))
     grams = template_grams(spark, base, templates)
