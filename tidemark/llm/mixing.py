@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import free_name, materialize
 
-#: Words as the contract counts them.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Words as the contract counts them, ``[^\\x20\\x09-\\x0D]+``, with the characters that
+#: they do hold named, which Java matches faster.
+WORD = r"[\x00-\x08\x0E-\x1F\x21-\x{10FFFF}]+"
 #: Leaves of the reduction tree of each source, and how many meet in one node.
 LEAVES, FAN_IN = 1024, 32
 #: The targets of at most so many sources (some 10 MB) are broadcast.
