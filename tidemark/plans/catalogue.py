@@ -35,9 +35,9 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
-    """Doubles rounded, for comparison; keys as they are, and large means of products less finely."""
+    """Doubles rounded, for comparison; keys as they are, and means of products more finely, as they often end in a five."""
     kinds = dict(df.dtypes)
-    return df.select(*[F.round(F.col(c), 3 if "avg_trade" in c else digits).alias(c) if kinds[c] == "double" and c not in keys else F.col(c) for c in df.columns])
+    return df.select(*[F.round(F.col(c), 9 if "avg_trade" in c else digits).alias(c) if kinds[c] == "double" and c not in keys else F.col(c) for c in df.columns])
 
 
 def r6(*names: str) -> str:
@@ -167,7 +167,7 @@ def _bars(spark, d, *names: str) -> DataFrame:
 
 def _segment(columns: dict[str, str], w: int) -> str:
     """Aggregates of the bars of one window, for every spine row."""
-    listed = ", ".join(f"round({e}, {3 if 'avg_trade' in n else 6}) AS {n}" for n, e in columns.items())
+    listed = ", ".join(f"round({e}, {9 if 'avg_trade' in n else 6}) AS {n}" for n, e in columns.items())
     return f"WITH {a.SPINE_SQL}, seg AS ({_SEG.format(w=w * a.UNIT)}), agg AS (SELECT cs, {listed} FROM seg GROUP BY cs) SELECT s.cs, {', '.join(columns)} FROM spine s LEFT JOIN agg USING (cs)"
 
 
@@ -432,7 +432,7 @@ def settle_from_json(spark, d):
     return a.table(spark, d, "events").select("event_id", m["condition_id"].alias("condition_id"), m["up_won"].alias("up_won"))
 
 
-@query("fill_parse", "SELECT event_id, event_id % 3 <> 0 AND event_id % 4 <> 0 AS success, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 THEN round(5.0 / (event_id % 4 * 2.5), 6) END AS fill_price FROM events")
+@query("fill_parse", "SELECT event_id, event_id % 3 <> 0 AND event_id % 4 <> 0 AS success, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 THEN round(CAST(5.0 AS DOUBLE) / (event_id % 4 * 2.5), 6) END AS fill_price FROM events")
 def fill_parse(spark, d):
     raw = F.concat(F.lit('{"success":'), F.when(F.col("event_id") % 3 != 0, "true").otherwise("false"), F.lit(',"makingAmount":"5.0","takingAmount":"'), (F.col("event_id") % 4 * 2.5).cast("string"), F.lit('"}'))
     fill = parsing.parse_fill(raw)
@@ -490,7 +490,7 @@ def fee_friction(spark, d):
     return rounded(a.trades(spark, d).select("id", pricing.paper_friction(F.col("price")).alias("paper"), pricing.backtest_friction(F.col("price")).alias("backtest"), parts["drift_fee_delta"].alias("delta")))
 
 
-@query("category_fees", "SELECT c AS category, round(r * (1 - 0.4), 6) AS fee FROM (VALUES " + ", ".join(f"('{c}', {r})" for c, r in pricing.FEE_RATES.items()) + ") v(c, r)")
+@query("category_fees", "SELECT c AS category, round(CAST(r AS DOUBLE) * (1 - CAST(0.4 AS DOUBLE)), 6) AS fee FROM (VALUES " + ", ".join(f"('{c}', {r})" for c, r in pricing.FEE_RATES.items()) + ") v(c, r)")
 def category_fees(spark, d):
     names = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in pricing.FEE_RATES])).alias("category"))
     return rounded(names.select("category", pricing.fee_ratio(F.lit(0.4), pricing.category_rate(F.col("category"))).alias("fee")))
