@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rows, materialize, plain_text
+from tidemark.llm.common import Rows, materialize, plain_text, release, released
 from tidemark.llm.vocabulary import default_vocabulary, encode_words, split_words, tokenizer
 
 #: A block is closed once its texts hold so many characters.
@@ -153,6 +153,7 @@ def _join(vocabulary: str):
     """A block's documents with the ids of its words, and the pieces that the ids decode to."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         pieces = id_pieces(vocabulary)
         found = right.to_pylist()
         steps = [np.frombuffer(unsqueeze(r["places"]), "<u4") for r in found]
@@ -215,11 +216,11 @@ def encode_documents(
     """
     vocabulary = vocabulary or default_vocabulary()
     rows = docs.select(F.col(key).cast("long").alias("k"), plain_text(text).alias("t"))
-    blocks = materialize(spark, rows.mapInArrow(_blocks(block_chars), BLOCK), "bpe-blocks")
+    blocks = materialize(spark, rows.mapInArrow(released(_blocks(block_chars)), BLOCK), "bpe-blocks")
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = blocks.select("block", "words").mapInArrow(_deal(parts), "part int, block long, places binary, words binary")
+    words = blocks.select("block", "words").mapInArrow(released(_deal(parts)), "part int, block long, places binary, words binary")
     dealt = words.repartition("part").sortWithinPartitions("part")
-    encoded = dealt.mapInArrow(_encode(vocabulary), "block long, places binary, lengths binary, ids binary")
+    encoded = dealt.mapInArrow(released(_encode(vocabulary)), "block long, places binary, lengths binary, ids binary")
     held = blocks.select("block", "docs", "sizes", "places")
     return held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_join(vocabulary), ENCODED)
 

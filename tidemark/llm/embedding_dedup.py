@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hot_join, materialize
+from tidemark.llm.common import hot_join, materialize, released
 from tidemark.llm.components import connected_components, local_components
 from tidemark.llm.vector_search import matrix, usable
 
@@ -184,7 +184,7 @@ def near_duplicate_vectors(
 
     start = classes.select("id", "n", "label", F.size("v").alias("width"), "v")
     start = start.repartition(spark.sparkContext.defaultParallelism * 2, "id")
-    signed = start.mapInArrow(_sign(bits, tables, seed), SIGNED)
+    signed = start.mapInArrow(released(_sign(bits, tables, seed)), SIGNED)
     bucket = ["label", "width", "tbl", "bucket"]
     signed = materialize(spark, signed, "near-signed")
     sizes = signed.groupBy(*bucket).agg(F.count("*").alias("rows")).where("rows > 1")
@@ -195,7 +195,7 @@ def near_duplicate_vectors(
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("id", "n", *bucket, "keys", "unit", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
     dealt = dealt.repartition(*KEY).sortWithinPartitions(*KEY)
-    links = materialize(spark, dealt.mapInArrow(_pairs(threshold), "a long, b long, n long"), "near-links")
+    links = materialize(spark, dealt.mapInArrow(released(_pairs(threshold)), "a long, b long, n long"), "near-links")
 
     counts = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     joined = connected_components(spark, links.where("a <> b").select("a", "b")).withColumnRenamed("node", "id")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import free_name, materialize
+from tidemark.llm.common import free_name, materialize, released
 
 #: Words as the contract counts them, ``[^\\x20\\x09-\\x0D]+``, with the characters that
 #: they do hold named, which Java matches faster.
@@ -147,7 +147,7 @@ def pivotal_copies(spark: SparkSession, rows: DataFrame, source: str, seed: int,
         draw = (F.shiftrightunsigned(F.xxhash64(*identity, F.lit(seed), F.lit(depth + 1)), 11) + F.lit(0.5)) * F.lit(2.0**-53)
         level = level.withColumn("draw", draw).select(*order)
         dealt = level.repartition(source, "node").sortWithinPartitions(source, "node", F.desc("size"), "draw", "doc_id")
-        level = materialize(spark, dealt.mapInArrow(_round([source, "node"], root), dealt.schema), f"mix-{depth}")
+        level = materialize(spark, dealt.mapInArrow(released(_round([source, "node"], root)), dealt.schema), f"mix-{depth}")
         decided.append(level.where("done"))
         if root:
             break

@@ -25,17 +25,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hot_join, materialize
+from tidemark.llm.common import hot_join, materialize, released
 from tidemark.llm.components import connected_components, local_components
 
 #: N-grams of a batch of documents that are dealt to column blocks at a time.
-BATCH_GRAMS = 4 << 20
+BATCH_GRAMS = 1 << 20
 #: Frequencies are counted up to here; a batch with so many documents of an n-gram sends a mark in their place.
 CAP = 64
 #: N-grams are told apart by so many bits of their hash.
 BITS = 48
 #: Rows, and n-grams, of a row block.
-BLOCK_ROWS, BLOCK_GRAMS = 512, 1 << 20
+BLOCK_ROWS, BLOCK_GRAMS = 256, 1 << 20
 #: Columns of a dense chunk; rarer columns are accumulated pair by pair.
 CHUNK, DENSE = 4_096, 8
 #: Tables of at most so many narrow rows are broadcast.
@@ -47,7 +47,7 @@ class _Hashes(dict):
     """Word to hash; holds a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -444,16 +444,16 @@ def jaccard_components(
     """
     blocks = min(65_536, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
-    dealt = rows.mapInArrow(_deal(words, blocks, batch_grams), DEALT).repartition("block").sortWithinPartitions("block")
-    columns = materialize(spark, dealt.mapInArrow(_columns(blocks), DEALT), "jaccard-columns")
+    dealt = rows.mapInArrow(released(_deal(words, blocks, batch_grams)), DEALT).repartition("block").sortWithinPartitions("block")
+    columns = materialize(spark, dealt.mapInArrow(released(_columns(blocks)), DEALT), "jaccard-columns")
     by_batch = columns.select("batch", "kind", "a", "b", "c", F.when(F.col("kind") == ROWS, F.col("d")).alias("d"))
     by_batch = by_batch.repartition("batch").sortWithinPartitions("batch")
-    live = materialize(spark, by_batch.mapInArrow(_live(threshold), LIVE), "jaccard-live")
+    live = materialize(spark, by_batch.mapInArrow(released(_live(threshold)), LIVE), "jaccard-live")
     # one row for each set
     first = live.groupBy("key_a", "key_b").agg(F.min("row").alias("row")).select("row")
     kept = materialize(spark, live.join(first, "row", "left_semi"), "jaccard-rows")
 
-    prefixes = materialize(spark, kept.select("row", "size", "grams").mapInArrow(_prefixes(threshold), "gram long, a long, b long"), "jaccard-prefixes")
+    prefixes = materialize(spark, kept.select("row", "size", "grams").mapInArrow(released(_prefixes(threshold)), "gram long, a long, b long"), "jaccard-prefixes")
     met = prefixes.where("gram is not null").select("gram", "a")
     centre = met.groupBy("gram").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     links = met.join(centre, "gram").where("a <> b").select("a", "b").unionByName(prefixes.where("gram is null").select("a", "b"))
@@ -469,7 +469,7 @@ def jaccard_components(
     blocked = kept.select("row", "size", "grams").join(placed, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     blocked = blocked.select("component", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "row", "size", "grams")
     blocked = blocked.repartition(*PAIR).sortWithinPartitions(*PAIR)
-    links = blocked.mapInArrow(_product(threshold), "a long, b long")
+    links = blocked.mapInArrow(released(_product(threshold)), "a long, b long")
     joined = connected_components(spark, links)
 
     docs = columns.where(F.col("kind") == ROWS).select("a", "b", "c", "d").mapInArrow(_documents, "doc_id long, n_shingles long, key_a long, key_b long")
