@@ -74,14 +74,12 @@ def _blocks(text: bytes) -> list[bytes]:
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    pieces = [p for text in texts for p in _blocks(text) if len(p) >= 8]
-    size = min(DICTIONARY, sum(map(len, pieces)) // 4)
-    if len(pieces) < 16 or size < 1024:
-        return b""
+    pieces = [p for text in texts for p in _blocks(text)]
+    whole = b"".join(pieces)
     try:
-        return zstandard.train_dictionary(size, pieces, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(min(DICTIONARY, len(whole) // 4), pieces, k=64, d=8).as_bytes()
+    except (ValueError, zstandard.ZstdError):
+        return whole[-DICTIONARY:]  # too little to train on: the text itself serves as the dictionary
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-6) -> np.ndarray:

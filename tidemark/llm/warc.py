@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rows, filesystem, materialize, shared_dir
+from tidemark.llm.common import Rows, filesystem, materialize, released, shared_dir
 
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 64 << 20
@@ -34,7 +34,8 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 MEMBER = b"\x1f\x8b\x08"
-_version_line = re.compile(rb"(?:^|(?<=\n))WARC/\d\.\d\r?\n", re.M)
+#: Anywhere, as damage can take the line break before it; what follows is checked in full.
+_version_line = re.compile(rb"WARC/\d\.\d\r?\n")
 
 
 def digest32(content: bytes) -> str:
@@ -246,7 +247,7 @@ def write_warc(
     rows = payload_roles(spark, rows, revisit_bytes, broadcast_groups)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
-    return materialize(spark, rows.mapInArrow(_write(folder, archive_bytes), WRITTEN), "warc-manifest")
+    return materialize(spark, rows.mapInArrow(released(_write(folder, archive_bytes)), WRITTEN), "warc-manifest")
 
 
 RECORDS = (
@@ -298,7 +299,7 @@ def read_warc(spark: SparkSession, paths: DataFrame, folder: str, payloads: bool
     failed check in ``damage``; whole records have null there.
     """
     tasks = max(1, min(paths.count(), READ_TASKS))
-    return paths.select("path").repartition(tasks).mapInArrow(_read(folder, payloads), RECORDS)
+    return paths.select("path").repartition(tasks).mapInArrow(released(_read(folder, payloads)), RECORDS)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
