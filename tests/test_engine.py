@@ -435,7 +435,7 @@ def test_stream_with_expiring_state(spark):
     folder = work_dir(spark, "quotes")
     spark.createDataFrame([("a", 1, 0.1, 0.2), ("a", 3, 0.5, 0.6), ("a", 2, 0.3, 0.4), ("b", 4, 0.7, 0.8)], "asset_id string, seq long, best_bid double, best_ask double").write.parquet(folder)
     stream = spark.readStream.schema("asset_id string, seq long, best_bid double, best_ask double").parquet(folder)
-    found = {r["asset_id"]: r["best_bid"] for r in drain(live.latest_with_expiry(stream), "update", ["asset_id"]).collect()}
+    found = {r["asset_id"]: r["best_bid"] for r in drain(live.latest_with_expiry(stream), "update", ["asset_id"], endless=True, longest=60).collect()}
     assert found == {"a": 0.5, "b": 0.7}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -28,10 +29,12 @@ def read_files(spark: SparkSession, folder: str, name: str, files_per_batch: int
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), name: str = "stream") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), name: str = "stream", endless: bool = False, longest: float = 120.0) -> DataFrame:
     """Process all that is there, each batch written once under its number; returns the rows.
 
-    In update mode a key's latest batch counts.
+    In update mode a key's latest batch counts. ``endless`` is for plans on the clock,
+    which go on with batches without input; they are stopped at the first of those,
+    or after ``longest`` seconds.
     """
     spark = stream.sparkSession
     folder = work_dir(spark, name)
@@ -39,8 +42,21 @@ def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), nam
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(put)
+    if endless:
+        query, began, fed = writer.trigger(processingTime="0 seconds").start(), time.monotonic(), False
+        while query.isActive and time.monotonic() - began < longest:
+            progress = query.lastProgress
+            rows = progress["numInputRows"] if progress else None
+            fed = fed or bool(rows)
+            if fed and rows == 0:
+                break
+            time.sleep(0.2)
+        query.stop()
+        if query.exception():
+            raise query.exception()
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
     try:
         found = spark.read.option("recursiveFileLookup", "true").schema(StructType([*stream.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{folder}/out")
     except Exception as e:
