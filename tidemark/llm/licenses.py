@@ -57,7 +57,9 @@ def template_grams(spark: SparkSession, base: Sequence[tuple[str, str]], templat
         if len(words) < 2:
             raise ValueError("a phrase or template needs two words at least")
         rows += [(number, label, whole, len(words), place, a, b) for place, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    grams = spark.createDataFrame(rows, "template int, label string, base boolean, n_template int, place int, first string, second string")
+    kinds = {"template": "int", "label": "string", "base": "boolean", "n_template": "int", "place": "int", "first": "string", "second": "string"}
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, kinds.items(), strict=True)]) for row in rows]
+    grams = spark.range(1).select(F.inline(F.array(*structs)))
     return grams.withColumn("gram", F.xxhash64("first", "second"))
 
 
