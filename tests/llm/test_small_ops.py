@@ -107,6 +107,29 @@ def test_mixing(spark, seed):
     assert sorted(found, key=str) == sorted(again, key=str)
 
 
+def test_pivot_keeps_words_and_leaves_one_fraction():
+    rng = random.Random(11)
+    mean = [0.0] * 6
+    for trial in range(4_000):
+        sizes = sorted((rng.randint(1, 400) for _ in range(rng.randint(1, 30))), reverse=True) if trial % 2 else [50, 20, 9, 5, 2, 1]
+        parts = [rng.random() for _ in sizes] if trial % 2 else [0.3, 0.3, 0.7, 0.2, 0.5, 0.9]
+        out = mixing.pivot(sizes, parts, [rng.random() for _ in sizes])
+        assert all(-1e-9 <= p <= 1 + 1e-9 for p in out)
+        assert sum(1e-9 < p < 1 - 1e-9 for p in out) <= 1
+        assert sum(s * p for s, p in zip(sizes, out, strict=True)) == pytest.approx(sum(s * p for s, p in zip(sizes, parts, strict=True)), abs=1e-6)
+        if trial % 2 == 0:
+            mean = [m + p / 2_000 for m, p in zip(mean, out, strict=True)]
+    assert mean == pytest.approx([0.3, 0.3, 0.7, 0.2, 0.5, 0.9], abs=0.05)
+
+
+def test_mixing_by_levels_agrees_in_total(spark):
+    rows = [(i, "w " * (1 + i % 40), "en", "s", 0) for i in range(500)] + [(1000 + i, "w " * 30, "en", "t", 0) for i in range(100)]
+    rows = mixing.mix_sources(spark, spark.createDataFrame(rows, DOCS)).select("doc_id", "size", "source", F.lit(0.4).alias("part"))
+    found = mixing.pivotal_copies(spark, rows, "source", 1, leaf_rows=4, fan_in=3).collect()
+    words = sum(r["copies"] * r["size"] for r in found if r["source"] == "s")
+    assert len(found) == 600 and abs(words - 0.4 * sum(r["size"] for r in found if r["source"] == "s")) <= 40
+
+
 def test_mixing_keeps_expectation(spark):
     rows = [(i, "w " * (1 + i % 40), "en", "ab"[i % 2], 0) for i in range(60)]
     docs = spark.createDataFrame(rows, DOCS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from tidemark.llm.common import free_name, materialize, released
 #: Words as the contract counts them, ``[^\\x20\\x09-\\x0D]+``, with the characters that
 #: they do hold named, which Java matches faster.
 WORD = r"[\x00-\x08\x0E-\x1F\x21-\x{10FFFF}]+"
-#: Leaves of the reduction tree of each source, and how many meet in one node.
-LEAVES, FAN_IN = 1024, 32
+#: Rows that a leaf of a source's reduction tree holds at most on average, and how many nodes meet in one.
+LEAF_ROWS, FAN_IN = 1024, 32
 #: The targets of at most so many sources (some 10 MB) are broadcast.
 BROADCAST_SOURCES = 100_000
 #: Probabilities this near to 0 or 1 count as integral.
@@ -59,80 +60,81 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], ceiling: float, g
     return ranked.select(group, size, F.least("_cap", F.col("_level") * F.col("_weight")).alias("target"))
 
 
-def _round(group: list[str], last: bool):
-    """Sequential pivotal rounding of the runs of rows with equal ``group`` values.
+def pivot(sizes: list[int], parts: list[float], draws: list[float]) -> list[float]:
+    """Pivotal rounding of one node: the probabilities afterwards, of which one at most is fractional.
 
-    One row of a run carries a fractional probability at any time. It meets the
-    next fractional row: mass moves between the two, in words, by the one or the
-    other of the two amounts that make either probability integral, each with the
-    chance that keeps both expectations. The words of a run are thus kept until one
-    fractional row remains; it goes up the tree, or, at the root, is drawn.
+    Documents come by falling size. Each is paired with the pool of those after it,
+    and words move between the two, up or down, until the document is integral or one
+    of the pool is; each way has the chance that keeps all expectations. The pool
+    moves along one direction, ``p (1 - p)`` for each of its documents, so those near
+    0 or 1 move little. The words expected of the node stay the same throughout.
     """
+    size, p = np.array(sizes, float), np.array(parts, float)
+    for i in range(len(p)):
+        while EPSILON < p[i] < 1 - EPSILON:
+            pool = p[i + 1 :]
+            way = np.where((pool > EPSILON) & (pool < 1 - EPSILON), pool * (1 - pool), 0.0)
+            moving = way > 0
+            if not moving.any():
+                break  # nothing is left to pair with
+            words = float(size[i + 1 :] @ way)
+            up = min((1 - p[i]) * size[i], words / (1 - pool[moving].min()))
+            down = min(p[i] * size[i], words / pool[moving].max())
+            step = up if draws[i] * (up + down) < down else -down
+            whole = (1 - p[i]) * size[i] if step > 0 else p[i] * size[i]
+            pool -= step / words * way
+            p[i] = float(step > 0) if abs(step) >= whole else p[i] + step / size[i]
+            # a further move of this document needs a draw of its own
+            draws[i] = (draws[i] * 9973 + 0.618033988749895) % 1.0
+    return p.tolist()
+
+
+def _round(group: list[str], last: bool):
+    """``pivot`` over the runs of rows with equal ``group`` values; at the root, what is left is drawn."""
+
+    def settle(rows: list[dict]) -> list[dict]:
+        open_rows = [r for r in rows if not r["done"]]
+        parts = pivot([r["size"] for r in open_rows], [r["part"] for r in open_rows], [r["draw"] for r in open_rows])
+        for row, part in zip(open_rows, parts, strict=True):
+            if last and EPSILON < part < 1 - EPSILON:
+                part = float(row["draw"] < part)
+            row["done"] = part <= EPSILON or part >= 1 - EPSILON
+            row["copies"] += int(row["done"] and part > 0.5)
+            row["part"] = 0.0 if row["done"] else part
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        head = None
-
-        def finished(row: dict) -> dict:
-            if last and row["done"] is False:
-                row["copies"] += int(row["draw"] < row["part"])
-                row["part"], row["done"] = 0.0, True
-            return row
-
-        def settled(row: dict) -> bool:
-            if row["part"] <= EPSILON:
-                row["part"], row["done"] = 0.0, True
-            elif row["part"] >= 1 - EPSILON:
-                row["copies"] += 1
-                row["part"], row["done"] = 0.0, True
-            return row["done"]
-
-        schema = None
+        held, head, schema = [], None, None
         for batch in batches:
             schema = schema or pa.schema([pa.field(f.name, f.type) for f in batch.schema])
             out = []
             for row in batch.to_pylist():
                 at = tuple(row[g] for g in group)
-                if carry is not None and at != head:
-                    out.append(finished(carry))
-                    carry = None
+                if held and at != head:
+                    out += settle(held)
+                    held = []
                 head = at
-                if settled(row):
-                    out.append(row)
-                    continue
-                if carry is None:
-                    carry = row
-                    continue
-                a, b = carry["size"], row["size"]
-                p, q = carry["part"], row["part"]
-                up = min((1 - p) * a, q * b)  # words that can move to the carried row
-                down = min(p * a, (1 - q) * b)  # and to the new one
-                moved = up if row["draw"] * (up + down) < down else -down
-                carry["part"], row["part"] = p + moved / a, q - moved / b
-                # exactly one side ends up integral, but for rounding
-                for one in (carry, row):
-                    if settled(one):
-                        out.append(one)
-                left = [one for one in (carry, row) if not one["done"]]
-                carry = left[0] if left else None
-                out.extend(finished(one) for one in left[1:])
+                held.append(row)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
-        if carry is not None:
-            yield pa.RecordBatch.from_pylist([finished(carry)], schema=schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(settle(held), schema=schema)
 
     return run
 
 
-def pivotal_copies(spark: SparkSession, rows: DataFrame, source: str, seed: int, leaves: int = LEAVES, fan_in: int = FAN_IN) -> DataFrame:
+def pivotal_copies(spark: SparkSession, rows: DataFrame, source: str, seed: int, leaf_rows: int = LEAF_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """Whole copies for rows with ``size`` and expected copies ``part`` (0 or more).
 
     Adds ``copies``; ``size`` and all other columns stay. A source's rows are dealt
-    to ``leaves`` hash buckets, so that a source with a third of all rows is shared
-    out; each leaf leaves one fractional row at most, and ``fan_in`` leaves meet in
+    to hash buckets, so many that a source with all rows would have ``leaf_rows`` in
+    each; each leaf leaves one fractional row at most, and ``fan_in`` leaves meet in
     each node of the next level up to one root per source. Each level's rows are
     written before the next reads them.
     """
+    leaves, total = 1, rows.count()
+    while leaves * leaf_rows < total:
+        leaves *= fan_in
     identity = [F.col("doc_id"), F.col("size")]
     level = rows.withColumn("copies", F.floor("part").cast("long")).withColumn("part", F.col("part") - F.floor("part"))
     level = level.withColumn("done", (F.col("size") == 0) | (F.col("part") <= EPSILON))
@@ -173,9 +175,9 @@ def mix_sources(
     Returns ``doc_id, size, source, source_size, target, copies, taken`` and the
     columns named in ``keep`` as a struct ``kept``. ``size`` counts words, ``taken``
     is ``copies * size``. Every row of a source expects ``target / source_size``
-    copies; pivotal rounding turns that into whole copies, long documents meeting
-    first, so that the words taken differ from the target by less than the
-    longest document of the source.
+    copies; pivotal rounding turns that into whole copies, long documents first,
+    so that the words taken differ from the target by little more than a short
+    document, and by less than the longest of the source in any case.
 
     * Null or empty texts have size 0 and are taken 0 times; a source without
       words has target 0.
