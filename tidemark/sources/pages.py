@@ -66,14 +66,16 @@ class PageReader(DataSourceReader):
         names = self.columns.names
         kinds = [f.dataType.simpleString() for f in self.columns]
         pages = sorted((n for n in os.listdir(partition.path) if n.endswith(".json")), key=lambda n: (len(n), n))
-        last = None if self.after is None else float(self.after)
+        # rows up to here are known: those asked to be skipped, then those of earlier pages
+        floor = float("-inf") if self.after is None else float(self.after)
+        last = None
         for number, page in enumerate(pages):
             if self.most and number >= self.most:
                 return
             rows = with_retry(lambda: self._load(os.path.join(partition.path, page)), self.tries)  # noqa: B023
             if not rows:
                 return
-            forward = last
+            furthest = last
             for row in rows:
                 values = row if isinstance(row, list) else [row.get(n) for n in names]
                 found = _convert(values, kinds)
@@ -81,13 +83,16 @@ class PageReader(DataSourceReader):
                     continue  # a row that does not parse is no reason to lose the page
                 if self.cursor:
                     at = found[names.index(self.cursor)]
-                    if at is None or (last is not None and at <= last):
+                    if at is None:
+                        continue
+                    furthest = at if furthest is None else max(furthest, at)
+                    if at <= floor:
                         continue
-                    forward = at if forward is None else max(forward, at)
                 yield tuple(found)
-            if self.cursor and forward == last:
-                return
-            last = forward
+            if self.cursor and furthest == last:
+                return  # a page that does not move on repeats for ever
+            if furthest is not None:
+                last, floor = furthest, max(floor, furthest)
             if self.stop == "short" and self.size and len(rows) < self.size:
                 return
 
