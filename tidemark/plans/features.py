@@ -25,17 +25,21 @@ def gauge_features(spine: DataFrame, funding: DataFrame, interest: DataFrame, ra
 
     Each gauge has ``ts`` (seconds) and ``value``. ``unit`` stretches the shifts.
     """
-    out = spine.select("cid", "cs")
-
-    def probe(df: DataFrame, gauge: DataFrame, name: str, gap: int, shift: int = 0) -> DataFrame:
-        return asof(df, gauge, "cs", "ts", {"value": name}, max_gap=gap, shift=shift * unit)
-
-    out = probe(out, funding, "fund_8h_now", gaps[0])
-    out = probe(out, funding, "_fund_ago", gaps[0], 86_400)
-    for name, shift in (("_oi", 0), ("_oi_1h", 3_600), ("_oi_4h", 14_400)):
-        out = probe(out, interest, name, gaps[1], shift)
-    for name, gauge in ratios.items():
-        out = probe(out, gauge, name, gaps[2])
+    gauges = {"funding": funding, "interest": interest, **{f"ratio {n}": g for n, g in ratios.items()}}
+    right = None
+    for name, gauge in gauges.items():
+        part = gauge.select(F.lit(name).alias("gauge"), F.col("ts").cast("long").alias("ts"), F.col("value").cast("double").alias("value"))
+        right = part if right is None else right.unionByName(part)
+    asked = [("fund_8h_now", "funding", 0, gaps[0]), ("_fund_ago", "funding", 86_400, gaps[0])]
+    asked += [(n, "interest", shift, gaps[1]) for n, shift in (("_oi", 0), ("_oi_1h", 3_600), ("_oi_4h", 14_400))]
+    asked += [(n, f"ratio {n}", 0, gaps[2]) for n in ratios]
+    # all probes of all gauges share one timeline, and so one sort
+    probe = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(g).alias("gauge"), F.lit(s * unit).alias("shift"), F.lit(gap).alias("gap")) for n, g, s, gap in asked]))
+    probes = spine.select("cid", "cs", probe.alias("p")).select("cid", "cs", "p.*").withColumn("at", F.col("cs") - F.col("shift"))
+    found = asof(probes, right, "at", "ts", {"value": "value", "ts": "seen"}, by=["gauge"])
+    fresh = F.when(F.col("at") - F.col("seen") <= F.col("gap"), F.col("value"))
+    wide = found.groupBy("cid", "cs").agg(*[F.max(F.when(F.col("name") == n, fresh)).alias(n) for n, *_ in asked])
+    out = spine.select("cid", "cs").join(wide, ["cid", "cs"], "left")
 
     def change(now: str, ago: str) -> Column:
         return F.try_divide(F.col(now) - F.col(ago), F.nullif(F.col(ago), F.lit(0.0)))
