@@ -20,7 +20,7 @@ from tidemark.plans.features import Build
 from tidemark.sources import pages, tables
 from tidemark.sources.cache import coalesce
 from tidemark.streaming import live
-from tidemark.streaming.run import drain, work_dir
+from tidemark.streaming.run import drain, read_files, work_dir
 
 # --- factor expressions
 
@@ -439,6 +439,18 @@ def test_stream_with_expiring_state(spark):
     assert found == {"a": 0.5, "b": 0.7}
 
 
+def test_candles_of_a_drained_table(spark):
+    rows = [(f"2024-01-01 {h:02}:{m:02}:00", kind, 1.0) for h in (0, 1, 5) for m in (0, 30, 59) for kind in "ab"]
+    table = spark.createDataFrame(rows, "at string, kind string, value double").select(F.col("at").cast("timestamp_ntz").alias("at"), "kind", "value")
+    folder = work_dir(spark, "parts")
+    # part files, and the latest hour in the first one read
+    for hour in (5, 0, 1):
+        table.where(F.hour("at") == hour).repartition(2).write.mode("append").parquet(f"{folder}/t.parquet")
+    stream = read_files(spark, folder, "t", files_per_batch=1)
+    found = drain(live.candles(stream, "at", 3_600, late=None, by=["kind"]), "update", ["start", "kind"], "candles").collect()
+    assert sorted((r["start"].hour, r["kind"], r["n"], r["total"]) for r in found) == [(h, k, 3, 3.0) for h in (0, 1, 5) for k in "ab"]
+
+
 def test_history(spark):
     old = spark.createDataFrame([("f", i, float(i)) for i in range(10)], "feature_name string, cs long, value double")
     new = spark.createDataFrame([("f", 9, 90.0), ("f", 10, None)], "feature_name string, cs long, value double")

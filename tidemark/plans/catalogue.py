@@ -652,10 +652,11 @@ def stream_dedup(spark, d):
     return found.agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_keys"))
 
 
-@query("stream_tumbling")
+@query("stream_tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_tumbling(spark, d):
-    stream = read_files(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    return drain(live.candles(stream, "at", 3_600, by=["event_type"]), "append", name="candles")
+    stream = read_files(spark, d, "events")
+    found = drain(live.candles(stream, "ts", 3_600, late=None, by=["event_type"]), "update", ["start", "event_type"], "candles")
+    return found.withColumn("total", F.round("total", 6))
 
 
 @query("stream_settle", "SELECT CAST(count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0) AS BIGINT) AS n_settled, CAST(count(*) FILTER (NOT (o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0)) AS BIGINT) AS n_open FROM orders")

@@ -55,10 +55,17 @@ def latest_with_expiry(stream: DataFrame, ttl_ms: int = 600_000) -> DataFrame:
     return stream.groupBy("asset_id").transformWithStateInPandas(LatestQuote(ttl_ms), schema, "Update", "processingTime")
 
 
-def candles(stream: DataFrame, ts: str, seconds: int = 300, late: str = "10 minutes", by: Sequence[str] = ()) -> DataFrame:
-    """Counts and sums of ``value`` per tumbling candle, given out once the candle is closed."""
+def candles(stream: DataFrame, ts: str, seconds: int = 300, late: str | None = "10 minutes", by: Sequence[str] = ()) -> DataFrame:
+    """Counts and sums of ``value`` per tumbling candle.
+
+    In append mode a candle is given out once it is closed, ``late`` behind the latest
+    row; those still open when the stream ends are not, nor are rows that come later.
+    With ``late`` None nothing closes: in update mode every candle is given out as it
+    stands, from all of its rows in whatever order they come.
+    """
     w = F.window(ts, f"{seconds} seconds")
-    found = stream.withWatermark(ts, late).groupBy(w, *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    rows = stream if late is None else stream.withWatermark(ts, late)
+    found = rows.groupBy(w, *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return found.select(F.col("window.start").alias("start"), *by, "n", "total")
 
 

@@ -24,9 +24,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def read_files(spark: SparkSession, folder: str, name: str, files_per_batch: int = 16) -> DataFrame:
-    """A stored table as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """A stored table, one file or a folder of part files, as a stream of its files."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        path = path[:-1] + "[t]"  # a stream takes a plain path for a folder, and what a pattern finds as it is
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), name: str = "stream", endless: bool = False, longest: float = 120.0) -> DataFrame:
