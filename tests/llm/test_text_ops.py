@@ -161,6 +161,39 @@ def test_salvage(packed):
     assert spans[0][0] == 0 and spans[-1][1] == len(hurt) and all(x[1] == y[0] for x, y in itertools.pairwise(spans))
 
 
+def _numbers(content):
+    return [int(f["headers"]["warc-record-id"][10:-1]) for _, _, f, _ in warc.salvage(content) if f]
+
+
+def test_salvage_looks_for_members_and_version_lines():
+    zipped = warc.member(b"a body that its server packed")
+    plain = [warc.record(i, f"http://x/{i}", zipped) for i in range(5)]
+    damaged = b"XXXX" + b"".join(plain)[4:]
+    assert _numbers(damaged) == [1, 2, 3, 4]
+    assert [(a, b, why) for a, b, f, why in warc.salvage(damaged) if not f] == [(0, len(plain[0]), "no version line")]
+    mixed = warc.member(plain[0]) + plain[1] + b"noise" + plain[2] + b"noise" + warc.member(plain[3]) + plain[4]
+    assert _numbers(mixed) == [0, 1, 2, 3, 4]
+    assert [b - a for a, b, f, _ in warc.salvage(mixed) if not f] == [5, 5]
+
+
+def test_salvage_inside_members():
+    rng = random.Random(3)
+    plain = [warc.record(i, f"http://x/{i}", rng.randbytes(2_000)) for i in range(20)]
+    whole = warc.member(b"".join(plain))
+    assert list(warc.salvage(whole)) == [(0, len(whole), f, None) for _, _, f, _ in warc.salvage(b"".join(plain))] and _numbers(whole) == list(range(20))
+    inner = [*plain[:3], plain[3].replace(b"WARC/1.1", b"XXXX/1.1"), *plain[4:]]
+    assert _numbers(warc.member(b"".join(inner))) == [i for i in range(20) if i != 3]
+    # cut, or with an unreadable place: what comes before is read, and so is what follows the member
+    cut = whole[: len(whole) // 2]
+    assert _numbers(cut) == list(range(len(_numbers(cut)))) and 8 <= len(_numbers(cut)) <= 10
+    assert [why for _, _, f, why in warc.salvage(cut) if not f] == ["gzip member is cut short"]
+    assert _numbers(cut + warc.member(warc.record(99, "u", b"x")))[-1] == 99
+    # a broken member of one record is not trusted, as no digest covers its headers
+    single = bytearray(warc.member(plain[0]))
+    single[-6] ^= 0xFF
+    assert _numbers(bytes(single)) == []
+
+
 def test_licenses_against_brute_force(spark, hard, clashing):  # noqa: F811
     rng = random.Random(4)
     pool = ["cc", "BY", "by", "general", "Public", "license,", "all rights", "reserved", "CC-by", "x", "é", "K", "general_public license", "licensed under the apache license", "version 2 0"]

@@ -3,8 +3,9 @@
 Each record is a gzip member of its own. A payload that several pages share is
 stored once, with the page of the largest id; the others become revisit records.
 The reader checks framing, lengths and digests of every record. Where a check
-fails it searches for the next gzip member or version line from which a whole
-record can be read, goes on from there, and logs the bytes between as quarantined.
+fails it searches for the next gzip member or version line, whichever is nearer,
+from which a whole record can be read, goes on from there, and logs the bytes
+between as quarantined. A member may hold any number of records.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,7 +69,11 @@ def member(content: bytes) -> bytes:
 
 
 class Damaged(ValueError):
-    pass
+    """A failed check, with the records that could still be read before it."""
+
+    def __init__(self, why: str, records: Iterable[dict] = ()):
+        super().__init__(why)
+        self.records = list(records)
 
 
 def parse(content: bytes, at: int = 0) -> tuple[dict, int]:
@@ -109,66 +114,111 @@ def parse(content: bytes, at: int = 0) -> tuple[dict, int]:
     return found, stop + 4
 
 
-def _member(content: bytes, at: int) -> tuple[dict, int]:
-    reader = zlib.decompressobj(31)
-    try:
-        body = reader.decompress(content[at:] if at else content)
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    if not reader.eof:
-        raise Damaged("gzip member is cut short")
-    found, end = parse(body)
-    if end != len(body):
-        raise Damaged("more than a record in a member")
-    return found, len(content) - len(reader.unused_data)
-
+def _unpack(view: memoryview, at: int) -> tuple[bytes, int]:
+    """The content of the gzip member at ``at`` and where it ends; ``Damaged`` has the leading records of a broken one."""
+    reader, parts, place, size = zlib.decompressobj(31), [], at, 1 << 16
+    # fed in growing pieces, as its end is not known
+    while place < len(view):
+        piece = view[place : place + size]
+        try:
+            parts.append(reader.decompress(piece))
+        except zlib.error as e:
+            raise Damaged(f"gzip: {e}", _leading(_before_error(view, at))) from None
+        place += len(piece)
+        if reader.eof:
+            return b"".join(parts), place - len(reader.unused_data)
+        size = min(8 * size, 8 << 20)
+    raise Damaged("gzip member is cut short", _leading(b"".join(parts)))
+
+
+def _before_error(view: memoryview, at: int, step: int = 64) -> bytes:
+    """What a broken member gives before its error; a failing call gives nothing, so the steps are small."""
+    reader, parts = zlib.decompressobj(31), []
+    for place in range(at, len(view), step):
+        try:
+            parts.append(reader.decompress(view[place : place + step]))
+        except zlib.error:
+            break
+    return b"".join(parts)
 
-def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    """``(start, end, record, None)`` of whole records and ``(start, end, None, why)`` of gaps, in order."""
-    view = memoryview(content)
-    packed = content[:2] == MEMBER[:2] or (content.find(MEMBER) >= 0 and not _version_line.match(content))
 
-    def starts(after: int) -> int:
-        if packed:
-            found = content.find(MEMBER, after)
-            return len(content) if found < 0 else found
-        found = _version_line.search(content, after)
-        return found.start() if found else len(content)
-
-    def read(at: int) -> tuple[dict, int]:
-        if not packed:
-            return parse(content, at)
-        # a member is handed over in growing pieces, as its end is not known
-        size = 1 << 16
-        while True:
-            piece = view[at : at + size]
-            try:
-                found, end = _member(bytes(piece), 0)
-                return found, at + end
-            except Damaged as e:
-                if "cut short" not in str(e) or at + size >= len(content):
-                    raise
-                size *= 8
+def _leading(body: bytes) -> Iterator[dict]:
+    """The records that a broken member begins with.
 
+    Its checksum vouches for nothing, so each must have a block digest that agrees and
+    the next version line right behind it; what follows a failed check may be copied
+    from damaged bytes, and is not read.
+    """
     at = 0
-    while at < len(content):
+    while True:
+        try:
+            found, at = parse(body, at)
+        except Damaged:
+            return
+        if "warc-block-digest" not in found["headers"] or not _version_line.match(body, at):
+            return
+        yield found
+
+
+def _scan(size: int, read: Callable[[int], tuple], starts: Callable[[int], int]) -> Iterator[tuple[int, int, object, str | None]]:
+    """What ``read`` gives from place to place, and the gaps up to the next of ``starts`` where it does not fail."""
+    at, held = 0, None
+    while at < size:
         try:
-            found, end = read(at)
+            found, end = held or read(at)
+            held = None
             yield at, end, found, None
             at = end
             continue
         except Damaged as e:
-            why, gap = str(e), at
-        while True:
-            at = starts(at + 1)
-            if at >= len(content):
-                break
+            failed, gap = e, at
+        while (at := starts(at + 1)) < size:
             try:
-                read(at)
+                held = read(at)
                 break
-            except Damaged:
-                continue
-        yield gap, at, None, why
+            except Damaged as e:
+                if e.records:
+                    break
+        if failed.records:
+            yield gap, at, [(r, None) for r in failed.records], None
+        yield gap, at, None, str(failed)
+
+
+def _next_line(content: bytes, after: int) -> int:
+    found = _version_line.search(content, after)
+    return found.start() if found else len(content)
+
+
+def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
+    """``(start, end, record, None)`` of whole records and ``(start, end, None, why)`` of gaps, in order.
+
+    Gzip members and plain records may follow each other in any order. The records of
+    a member, and the gaps between them, all have the byte range of the member; those
+    that a broken member begins with have that of the gap it leaves.
+    """
+    view, ahead = memoryview(content), [-1, -1]
+
+    def starts(after: int) -> int:
+        if ahead[0] < after:
+            found = content.find(MEMBER, after)
+            ahead[0] = len(content) if found < 0 else found
+        if ahead[1] < after:
+            ahead[1] = _next_line(content, after)
+        return min(ahead)
+
+    def read(at: int) -> tuple[list[tuple[dict | None, str | None]], int]:
+        if not content.startswith(MEMBER, at):
+            found, end = parse(content, at)
+            return [(found, None)], end
+        body, end = _unpack(view, at)
+        inside = [(found, why) for _, _, found, why in _scan(len(body), lambda i: parse(body, i), lambda i: _next_line(body, i))]
+        if not any(found for found, _ in inside):
+            raise Damaged(inside[0][1] if inside else "no version line")
+        return inside, end
+
+    for start, end, found, why in _scan(len(content), read, starts):
+        for part, reason in found or [(None, why)]:
+            yield start, end, part, reason
 
 
 WRITTEN = "path string, n_records long, n_bytes long"
@@ -296,7 +346,8 @@ def read_warc(spark: SparkSession, paths: DataFrame, folder: str, payloads: bool
     """Every record of the archives named in ``paths.path``, and a row for each quarantined byte gap.
 
     Gaps have record_type ``quarantine``, their byte range ``[start, end)`` and the
-    failed check in ``damage``; whole records have null there.
+    failed check in ``damage``; whole records have null there. The records of one
+    gzip member have its byte range, as do gaps inside it; a member is unpacked in memory.
     """
     tasks = max(1, min(paths.count(), READ_TASKS))
     return paths.select("path").repartition(tasks).mapInArrow(released(_read(folder, payloads)), RECORDS)
