@@ -222,6 +222,41 @@ def test_license_spans_survive_small_edits(spark):
     assert [r["labels"] for r in licenses.scan_licenses(spark, docs).collect()] == ["mit"] * 3
 
 
+def test_near_miss_licenses(spark):
+    cc, gpl, mit = "Licensed under the Creative Commons Attribution {} License", "This work is licensed under the GNU {}General Public License{}", "Permission is hereby granted, free of charge, to any person {}"
+    cases = {
+        cc.format("4.0 International"): "cc-by-4.0",
+        cc.format("NonCommercial 4.0 International"): "",
+        cc.format("Non-Commercial 4.0 International"): "",
+        cc.format("ShareAlike 4.0 International"): "",
+        cc.format("NonCommercial NoDerivatives 4.0 International"): "",
+        cc.format("3.0 International"): "",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by",
+        gpl.format("", ", version 3"): "gpl,gpl-3.0",
+        gpl.format("", " version 3, 29 June 2007"): "gpl,gpl-3.0",
+        gpl.format("", " v3"): "gpl,gpl-3.0",
+        gpl.format("", ", version 2"): "gpl",
+        gpl.format("", ""): "gpl",
+        gpl.format("Affero ", ", version 3"): "gpl",
+        "GNU General Public License as published by the Free Software Foundation": "gpl",
+        "GNU Lesser General Public License as published by the Free Software Foundation": "gpl,lgpl",
+        "Licensed under the Apache License, Version 2.0, 2020 x": "apache-2.0",
+        "Licensed under the Apache License, Version 2": "apache-2.0",
+        "Licensed under the Apache License, Version 2.1": "",
+        "Licensed under the Apache License, Version 1.1": "",
+        "Licensed under the Eclipse Public License, Version 2.0": "",
+        "Released under the MIT licence.": "mit",
+        "Released under the MIT No Attribution License.": "",
+        mit.format("who is obtaining a copy of this software"): "mit",
+        mit.format("or organization obtaining a copy of the software"): "",
+    }
+    rows = [(i, f"x y {text}{end}", "en", "s", 0) for i, text in enumerate(cases) for end in ("", " z and so on")]
+    for r in licenses.scan_licenses(spark, spark.createDataFrame(rows, DOCS)).collect():
+        text, wanted = list(cases.items())[r["doc_id"]]
+        assert r["labels"] == wanted and (r["score"] > 0) == bool(wanted), (text, r)
+
+
 def _labelled(rng, n):
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(400)]
     docs, labels = [], []

@@ -4,11 +4,13 @@ Every rolling pair of words of every text is joined, by hash, to the places wher
 license templates hold that pair. A hit at text position ``p`` and template
 position ``t`` votes for diagonal ``p - t``. Diagonals that lie next to each other
 (a word more or less) are merged, and a span stands if it covers enough of its
-template; base phrases must be covered whole on one diagonal.
+template; base phrases must be covered whole on one diagonal. A template's span is
+then verified by its words: those that decide between licenses must agree.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +28,19 @@ NEIGHBOURS = 2
 #: Share of a template's word pairs that a span must cover.
 COVER = 0.7
 
+#: Words kept with each hit, from its pair on: a version can stand behind the span.
+AHEAD = 6
+#: Words that a span must hold if its template does, with what may stand for them.
+DECIDING = {w: w for w in ("apache", "mozilla", "attribution", "nc", "free", "unencumbered", "or")} | {
+    "mit": "mit (?:open source )?licen[cs]e",
+    "lesser": "(?:lesser|library)",
+}
+#: Words that make another license of a span, if its template lacks them.
+VARIANTS = (
+    "nc", "non ?commercial", "nd", "no ?deriv(?:ative)?s", "sa", "share ?alike", "lesser", "library general", "affero",
+    "organi[sz]ations?", "not", "never", "cannot",
+)
+
 # The phrases and labels of the contract.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
@@ -63,6 +78,24 @@ def template_grams(spark: SparkSession, base: Sequence[tuple[str, str]], templat
     return grams.withColumn("gram", F.xxhash64("first", "second"))
 
 
+def verified(words: Sequence[str], inside: Column, ahead: Column) -> Column:
+    """Whether a span's words ``inside``, and ``ahead`` with those behind it, hold what decides for the template.
+
+    The first number must be the template's version, alone or with its minor 0.
+    """
+    own = " ".join(words)
+    needs = [ahead.rlike(rf"(?:^| ){DECIDING[w]}(?: |$)") for w in dict.fromkeys(words) if w in DECIDING]
+    numbers = [w for w in words if re.fullmatch("[0-9]+", w)]
+    if numbers:
+        needs.append(ahead.rlike(rf"^(?:(?!(?:v|version)?[0-9]+(?: |$))[^ ]+ )*(?:v|version)?{numbers[0]}(?: {''.join(numbers[1:2]) or 0}(?: |$)|(?! [0-9](?: |$))(?: |$))"))
+    # the library's license is an earlier name of the lesser one
+    other = [v for v in VARIANTS if not re.search(rf"(?:^| ){v}(?: |$)", own) and not (v == "library general" and "lesser" in words)]
+    sound = ~inside.rlike(rf"(?:^| )(?:{'|'.join(other)})(?: |$)")
+    for need in needs:
+        sound = sound & need
+    return sound
+
+
 def license_spans(
     spark: SparkSession,
     docs: DataFrame,
@@ -76,22 +109,36 @@ def license_spans(
     hash of the id and the text; rows equal in both have equal spans, given once.
     """
     words = docs.select("doc_id", text_key("doc_id", "text"), F.regexp_extract_all(fold(F.col("text")), F.lit(FAST_WORD), F.lit(0)).alias("words"))
-    pairs = words.select("doc_id", "text_key", F.posexplode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.size("words")).alias("b"))).alias("at", "pair"))
-    pairs = pairs.select("doc_id", "text_key", "at", F.col("pair.a").alias("a"), F.col("pair.b").alias("b")).withColumn("gram", F.xxhash64("a", "b"))
+    ahead = F.transform("words", lambda _, i: F.slice("words", i + 1, F.lit(AHEAD)))
+    pairs = words.select("doc_id", "text_key", F.posexplode(ahead).alias("at", "ahead"))
+    pairs = pairs.select("doc_id", "text_key", "at", "ahead", F.get("ahead", F.lit(0)).alias("a"), F.get("ahead", F.lit(1)).alias("b")).withColumn("gram", F.xxhash64("a", "b"))
     grams = template_grams(spark, base, templates)
     hits = pairs.join(F.broadcast(grams), "gram").where("a = first and b = second")
     group = ["doc_id", "text_key", "template", "label", "base", "n_template"]
-    votes = hits.select(*group, (F.col("at") - F.col("place")).alias("diagonal"), "place", "at").distinct()
-    diagonals = votes.groupBy(*group, "diagonal").agg(F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"))
+    ahead = F.when(~F.col("base"), F.col("ahead")).alias("ahead")
+    votes = hits.select(*group, (F.col("at") - F.col("place")).alias("diagonal"), "place", "at", ahead).distinct()
+    # words behind their positions in ten digits, so that they sort by position
+    near = F.transform("ahead", lambda w, i: F.concat(F.lpad((F.col("at") + i).cast("string"), 10, "0"), w))
+    diagonals = votes.withColumn("near", near).groupBy(*group, "diagonal").agg(
+        F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"), F.flatten(F.collect_list("near")).alias("near")
+    )
     # a phrase has at most as many places as its template, however long the text
     in_order = Window.partitionBy(*group).orderBy("diagonal")
     apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(in_order) > NEIGHBOURS)
     merged = diagonals.withColumn("span", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(in_order))
     spans = merged.groupBy(*group, "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("low").alias("start"), (F.max("high") + 2).alias("stop")
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("low").alias("start"), (F.max("high") + 2).alias("stop"), F.collect_list("near").alias("near")
     )
     spans = spans.withColumn("coverage", F.col("n") / (F.col("n_template") - 1))
     spans = spans.where(F.when(F.col("base"), F.col("n") == F.col("n_template") - 1).otherwise(F.col("coverage") >= cover))
+    near = F.array_sort(F.array_distinct(F.flatten("near")))
+    spans = spans.withColumn("near", near).withColumn("inside", F.filter("near", lambda w: F.substring(w, 1, 10).cast("int") < F.col("stop")))
+    inside, ahead = (F.array_join(F.transform(c, lambda w: F.substr(w, F.lit(11))), " ") for c in ("inside", "near"))
+    spans = spans.withColumn("inside", inside).withColumn("ahead", ahead)
+    sound = F.lit(True)
+    for number, (words_of, _) in enumerate(templates, len(base)):
+        sound = F.when(F.col("template") == number, verified(words_of.split(), F.col("inside"), F.col("ahead"))).otherwise(sound)
+    spans = spans.where(F.col("base") | sound)
     return spans.select("doc_id", "text_key", "template", "label", "base", F.col("start").cast("long"), F.col("stop").cast("long"), "coverage")
 
 
