@@ -268,6 +268,15 @@ def _labelled(rng, n):
     return docs, labels
 
 
+def test_dictionary_blocks_are_an_argument():
+    texts = [bytes([65 + i]) * quality.BLOCK for i in range(40)]
+    whole = b"".join(texts)
+    assert b"".join(quality._blocks(whole, None)) == whole and len(quality._blocks(whole)) == quality.SAMPLE_BLOCKS
+    rng = random.Random(8)
+    long = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=200)).encode() * 20 + rng.randbytes(9_000) for _ in range(20)]
+    assert quality.dictionary(long, None) != quality.dictionary(long) == quality.dictionary(long, quality.SAMPLE_BLOCKS)
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = _labelled(random.Random(6), 900)
     d, y = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")

@@ -17,7 +17,7 @@ from tidemark.llm.common import free_name, materialize, plain_text
 #: Labelled rows of each class that the model is fitted on, at most; two thirds of
 #: them build the dictionaries, the rest calibrate the score.
 SAMPLE_ROWS = 4_500
-#: Blocks of a sampled text that enter its dictionary, at most, evenly spaced.
+#: Blocks of a sampled text that enter its dictionary, at most, evenly spaced, unless ``fit`` is told otherwise.
 SAMPLE_BLOCKS = 16
 #: Bytes that are compressed at a time; small, so that the dictionary tells more than the text's own repeats.
 BLOCK = 1_024
@@ -66,15 +66,15 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _blocks(text: bytes) -> list[bytes]:
+def _blocks(text: bytes, most: int | None = SAMPLE_BLOCKS) -> list[bytes]:
     pieces = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
-    if len(pieces) <= SAMPLE_BLOCKS:
+    if most is None or len(pieces) <= most:
         return pieces
-    return [pieces[i * len(pieces) // SAMPLE_BLOCKS] for i in range(SAMPLE_BLOCKS)]
+    return [pieces[i * len(pieces) // most] for i in range(most)]
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    pieces = [p for text in texts for p in _blocks(text)]
+def dictionary(texts: list[bytes], sample_blocks: int | None = SAMPLE_BLOCKS) -> bytes:
+    pieces = [p for text in texts for p in _blocks(text, sample_blocks)]
     whole = b"".join(pieces)
     try:
         return zstandard.train_dictionary(min(DICTIONARY, len(whole) // 4), pieces, k=64, d=8).as_bytes()
@@ -102,11 +102,22 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w / scale
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str = "quality", key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(
+    spark: SparkSession,
+    docs: DataFrame,
+    labels: DataFrame,
+    target: str = "quality",
+    key: str = "doc_id",
+    text: str = "text",
+    sample_rows: int = SAMPLE_ROWS,
+    sample_blocks: int | None = SAMPLE_BLOCKS,
+) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out.
 
     The sample holds the ``sample_rows`` rows of each class with the smallest key
-    hashes. Keys with conflicting labels, null labels and labels other than 0 and 1
+    hashes; of each of its texts at most ``sample_blocks`` blocks of ``BLOCK`` bytes,
+    evenly spaced, enter the dictionaries (None: all of them), while the calibration
+    reads whole texts. Keys with conflicting labels, null labels and labels other than 0 and 1
     are left out. With a class missing, or texts too short for dictionaries, the
     score is the share of good labels (0.5 without any).
     """
@@ -120,7 +131,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str = "
     found = materialize(spark, found.groupBy("k", "y").agg(F.min("t").alias("t")), "quality-sample")
     place = F.pmod(F.xxhash64("k", F.lit("use")), F.lit(3))
     texts = {y: [bytes(r["t"]) for r in found.where((F.col("y") == y) & (place != 0)).orderBy(F.xxhash64("k"), "k").select("t").toLocalIterator()] for y in (0, 1)}
-    model = Model(dictionary(texts[1]), dictionary(texts[0]))
+    model = Model(dictionary(texts[1], sample_blocks), dictionary(texts[0], sample_blocks))
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     base = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if not model.good or not model.bad:
