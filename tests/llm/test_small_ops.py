@@ -113,7 +113,7 @@ def test_pivot_keeps_words_and_leaves_one_fraction():
     for trial in range(4_000):
         sizes = sorted((rng.randint(1, 400) for _ in range(rng.randint(1, 30))), reverse=True) if trial % 2 else [50, 20, 9, 5, 2, 1]
         parts = [rng.random() for _ in sizes] if trial % 2 else [0.3, 0.3, 0.7, 0.2, 0.5, 0.9]
-        out = mixing.pivot(sizes, parts, [rng.random() for _ in sizes])
+        out = mixing.pivot(sizes, parts, [rng.random() for _ in range(len(sizes) + 1)])
         assert all(-1e-9 <= p <= 1 + 1e-9 for p in out)
         assert sum(1e-9 < p < 1 - 1e-9 for p in out) <= 1
         assert sum(s * p for s, p in zip(sizes, out, strict=True)) == pytest.approx(sum(s * p for s, p in zip(sizes, parts, strict=True)), abs=1e-6)
@@ -123,13 +123,40 @@ def test_pivot_keeps_words_and_leaves_one_fraction():
 
 
 def test_mixing_by_levels_agrees_in_total(spark):
-    rows = [(i, "w " * (1 + i % 40), "en", "s", 0) for i in range(500)] + [(1000 + i, "w " * 30, "en", "t", 0) for i in range(100)]
-    rows = mixing.mix_sources(spark, spark.createDataFrame(rows, DOCS)).select("doc_id", "size", "source", F.lit(0.4).alias("part"))
-    found = mixing.pivotal_copies(spark, rows, "source", 1, leaf_rows=4, fan_in=3).collect()
-    words = sum(r["copies"] * r["size"] for r in found if r["source"] == "s")
+    rows = [(i, 1 + i % 40, "s", 1, 0.4, i, 500) for i in range(500)] + [(1000 + i, 30, "t", 1, 0.4, i, 100) for i in range(100)]
+    rows = spark.createDataFrame(rows, "doc_id long, size long, source string, n long, part double, tag long, classes long")
+    found = mixing.pivotal_copies(spark, rows, 1, leaf_rows=4, fan_in=3).collect()
+    words = sum((r["part"] + r["more"]) * r["size"] for r in found if r["source"] == "s")
     assert len(found) == 600 and abs(words - 0.4 * sum(r["size"] for r in found if r["source"] == "s")) <= 40
 
 
+def test_equal_rows_are_rounded_each(spark):
+    same = [(None, "a b c", "en", "s", 0)] * 900 + [(7, "a b c", "en", "s", 0)] * 100
+    docs = spark.createDataFrame([*same, *[(100 + i, "x " * 40, "en", "t", 0) for i in range(50)]], DOCS)
+    found = mixing.mix_sources(spark, docs).collect()
+    assert len(found) == 1050
+    for key, n in ((None, 900), (7, 100)):
+        own = [r for r in found if r["doc_id"] == key]
+        expected = own[0]["target"] / own[0]["source_size"]
+        copies = Counter(r["copies"] for r in own)
+        assert len(own) == n and set(copies) <= {math.floor(expected), math.ceil(expected)}
+        assert abs(sum(r["copies"] for r in own) - n * expected) < 1
+    assert mixing.mix_documents(spark, docs).groupBy("doc_id").count().where("doc_id is null").first()["count"] == sum(r["copies"] for r in found if r["doc_id"] is None)
+
+
+def test_mixing_comes_near_the_targets_of_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = mixing.mix_sources(spark, docs).collect()
+    taken, target, shortest = Counter(), {}, defaultdict(list)
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        shortest[r["source"]].append(r["size"])
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= max(shortest[s])
+    assert sum(abs(taken[s] - t) for s, t in target.items()) <= 0.01 * sum(target.values())
+
+
 def test_mixing_keeps_expectation(spark):
     rows = [(i, "w " * (1 + i % 40), "en", "ab"[i % 2], 0) for i in range(60)]
     docs = spark.createDataFrame(rows, DOCS)

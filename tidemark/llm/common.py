@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,33 +17,52 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme; one without means Hadoop's default file system, as it does to Spark."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared one; a local one only where none is set."""
+    """A new folder below the cluster's shared one. A session of one machine without one gets its own; a cluster must name it."""
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all machines of the cluster share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set(CHECKPOINT_DIR, root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, root).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     The written table cuts the lineage, so later readers neither repeat the work
-    nor depend on a lost executor.
+    nor depend on a lost executor. ``discard`` deletes it once nothing reads it any more.
     """
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned; all that was made from them must be written by now."""
+    for table in tables:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_written.pop(table))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def filesystem(uri: str):
-    """``(filesystem, path)`` for a folder that every executor sees."""
+    """``(filesystem, path)`` for a ``qualified`` folder, in the driver or a worker."""
     from pyarrow import fs
 
-    if "://" not in uri:
-        uri = "file://" + uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
+    # Hadoop writes file:/folder
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
 
 
 def tables(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from tidemark.llm.common import free_name, materialize, released
 #: they do hold named, which Java matches faster.
 WORD = r"[\x00-\x08\x0E-\x1F\x21-\x{10FFFF}]+"
 #: Rows that a leaf of a source's reduction tree holds at most on average, and how many nodes meet in one.
-LEAF_ROWS, FAN_IN = 1024, 32
+LEAF_ROWS, FAN_IN = 4096, 32
 #: The targets of at most so many sources (some 10 MB) are broadcast.
 BROADCAST_SOURCES = 100_000
 #: Probabilities this near to 0 or 1 count as integral.
@@ -57,109 +58,137 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], ceiling: float, g
     # the first source that is not full at its own level sets the level of all after it
     holds = F.when(F.col("_cap") / F.col("_weight") >= F.col("_level"), F.col("_level"))
     ranked = ranked.withColumn("_level", F.min(F.struct(F.when(holds.isNull(), F.lit(1)).otherwise(F.lit(0)).alias("_no"), F.col("_gone").alias("_at"), F.col("_level").alias("_is"))).over(everything)["_is"])
-    return ranked.select(group, size, F.least("_cap", F.col("_level") * F.col("_weight")).alias("target"))
+    return ranked.select(*sizes.columns, F.least("_cap", F.col("_level") * F.col("_weight")).alias("target"))
 
 
 def pivot(sizes: list[int], parts: list[float], draws: list[float]) -> list[float]:
     """Pivotal rounding of one node: the probabilities afterwards, of which one at most is fractional.
 
-    Documents come by falling size. Each is paired with the pool of those after it,
-    and words move between the two, up or down, until the document is integral or one
-    of the pool is; each way has the chance that keeps all expectations. The pool
-    moves along one direction, ``p (1 - p)`` for each of its documents, so those near
-    0 or 1 move little. The words expected of the node stay the same throughout.
+    Documents come by falling size, and two are paired at a time: the one that is still
+    fractional and the next. Words move from one to the other until one of the two is
+    integral; each way has the chance that keeps both expectations. The words expected
+    of the node stay the same throughout. A long document that meets shorter ones is
+    moved by their words, up and down, until it is integral, so the one that is left
+    is short wherever short ones follow.
     """
-    size, p = np.array(sizes, float), np.array(parts, float)
-    for i in range(len(p)):
-        while EPSILON < p[i] < 1 - EPSILON:
-            pool = p[i + 1 :]
-            way = np.where((pool > EPSILON) & (pool < 1 - EPSILON), pool * (1 - pool), 0.0)
-            moving = way > 0
-            if not moving.any():
-                break  # nothing is left to pair with
-            words = float(size[i + 1 :] @ way)
-            up = min((1 - p[i]) * size[i], words / (1 - pool[moving].min()))
-            down = min(p[i] * size[i], words / pool[moving].max())
-            step = up if draws[i] * (up + down) < down else -down
-            whole = (1 - p[i]) * size[i] if step > 0 else p[i] * size[i]
-            pool -= step / words * way
-            p[i] = float(step > 0) if abs(step) >= whole else p[i] + step / size[i]
-            # a further move of this document needs a draw of its own
-            draws[i] = (draws[i] * 9973 + 0.618033988749895) % 1.0
-    return p.tolist()
-
-
-def _round(group: list[str], last: bool):
-    """``pivot`` over the runs of rows with equal ``group`` values; at the root, what is left is drawn."""
-
-    def settle(rows: list[dict]) -> list[dict]:
-        open_rows = [r for r in rows if not r["done"]]
-        parts = pivot([r["size"] for r in open_rows], [r["part"] for r in open_rows], [r["draw"] for r in open_rows])
-        for row, part in zip(open_rows, parts, strict=True):
-            if last and EPSILON < part < 1 - EPSILON:
-                part = float(row["draw"] < part)
-            row["done"] = part <= EPSILON or part >= 1 - EPSILON
-            row["copies"] += int(row["done"] and part > 0.5)
-            row["part"] = 0.0 if row["done"] else part
+    p = list(parts)
+    held = -1
+    for i, size in enumerate(sizes):
+        if not EPSILON < p[i] < 1 - EPSILON:
+            continue
+        if held < 0:
+            held = i
+            continue
+        own = sizes[held]
+        up, down = min((1 - p[held]) * own, p[i] * size), min(p[held] * own, (1 - p[i]) * size)
+        words = up if draws[i] * (up + down) < down else -down
+        full, empty = (p[held] + words / own, p[i] - words / size)
+        # the bound that was reached is met exactly
+        p[held] = round(full) if abs(full - round(full)) <= EPSILON else full
+        p[i] = round(empty) if abs(empty - round(empty)) <= EPSILON else empty
+        held = next((k for k in (held, i) if 0 < p[k] < 1), -1)
+    return p
+
+
+def _round(seed: int, depth: int, last: bool):
+    """``pivot`` over the runs of rows of a source's node; at the root, what is left is drawn.
+
+    The draws of a node are those of a generator seeded by the node, one for each step.
+    """
+
+    def settle(rows: pa.Table) -> pa.Table:
+        source, node = rows["source"][0].as_py(), rows["node"][0].as_py()
+        name = -1 if source is None else zlib.crc32(source.encode())
+        draws = np.random.default_rng([seed % 2**64, depth, node, name + 1]).random(rows.num_rows + 1).tolist()
+        part = np.array(pivot(rows["size"].to_pylist(), rows["part"].to_pylist(), draws))
+        if last:
+            open_one = (part > EPSILON) & (part < 1 - EPSILON)
+            part = np.where(open_one, draws[-1] < part, part)
+        done = (part <= EPSILON) | (part >= 1 - EPSILON)
+        more = rows["more"].to_numpy() + (part > 1 - EPSILON)
+        new = {"part": np.where(done, 0.0, part), "more": more, "done": done}
+        for column, values in new.items():
+            at = rows.schema.get_field_index(column)
+            rows = rows.set_column(at, rows.schema.field(at), pa.array(values, rows.schema.field(at).type))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, head, schema = [], None, None
+        held: pa.Table | None = None
         for batch in batches:
-            schema = schema or pa.schema([pa.field(f.name, f.type) for f in batch.schema])
-            out = []
-            for row in batch.to_pylist():
-                at = tuple(row[g] for g in group)
-                if held and at != head:
-                    out += settle(held)
-                    held = []
-                head = at
-                held.append(row)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-        if held:
-            yield pa.RecordBatch.from_pylist(settle(held), schema=schema)
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            if not table.num_rows:
+                continue
+            differs = np.zeros(table.num_rows - 1, bool)
+            for name in ("source", "node"):
+                codes = table[name].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                differs |= codes[1:] != codes[:-1]
+            edges = np.concatenate([[0], np.flatnonzero(differs) + 1])
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                yield from settle(table.slice(start, stop - start)).to_batches()
+            held = table.slice(edges[-1])
+        if held is not None:
+            yield from settle(held).to_batches()
 
     return run
 
 
-def pivotal_copies(spark: SparkSession, rows: DataFrame, source: str, seed: int, leaf_rows: int = LEAF_ROWS, fan_in: int = FAN_IN) -> DataFrame:
-    """Whole copies for rows with ``size`` and expected copies ``part`` (0 or more).
+def pivotal_copies(spark: SparkSession, rows: DataFrame, seed: int, leaf_rows: int = LEAF_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """Whole copies for classes of equal rows, by pivotal rounding over a tree of nodes.
+
+    ``rows`` has doc_id, tag, source, size, the number ``n`` of equal rows, the copies
+    ``part`` (0 or more) expected of each and the number ``classes`` of its source. Adds
+    ``more``, the copies of the class beyond ``floor(part)`` for each row. ``n`` rows with a
+    fraction ``f`` have ``floor(n f)`` of them for certain, and what is left is the class's
+    probability.
 
-    Adds ``copies``; ``size`` and all other columns stay. A source's rows are dealt
-    to hash buckets, so many that a source with all rows would have ``leaf_rows`` in
-    each; each leaf leaves one fractional row at most, and ``fan_in`` leaves meet in
-    each node of the next level up to one root per source. Each level's rows are
-    written before the next reads them.
+    A source's classes are dealt to leaves by hash, ``leaf_rows`` to each on average; a leaf
+    leaves one fractional class at most, and ``fan_in`` leaves meet in each node of the next
+    level up to one root per source. Each level's rows are written before the next reads
+    them. No text is carried along.
     """
-    leaves, total = 1, rows.count()
-    while leaves * leaf_rows < total:
-        leaves *= fan_in
-    identity = [F.col("doc_id"), F.col("size")]
-    level = rows.withColumn("copies", F.floor("part").cast("long")).withColumn("part", F.col("part") - F.floor("part"))
-    level = level.withColumn("done", (F.col("size") == 0) | (F.col("part") <= EPSILON))
-    level = level.withColumn("part", F.when(F.col("done"), F.lit(0.0)).otherwise(F.col("part")))
-    level = level.withColumn("node", F.pmod(F.xxhash64(*identity, F.lit(seed)), F.lit(leaves)))
-    level = level.withColumn("draw", F.lit(0.0))
-    order = level.columns
-    decided = []
-    nodes, depth = leaves, 0
+    leaves = F.ceil(F.col("classes") / leaf_rows)
+    nodes = rows.agg(F.max(leaves)).first()[0] or 1
+    mass = F.when(F.col("size") > 0, (F.col("part") - F.floor("part")) * F.col("n")).otherwise(F.lit(0.0))
+    names = rows.columns
+    level = rows.withColumn("_whole", F.floor("part").cast("long")).withColumn("more", F.floor(mass + EPSILON).cast("long")).withColumn("part", F.greatest(mass - F.col("more"), F.lit(0.0)))
+    level = level.withColumn("done", F.col("part") <= EPSILON)
+    level = level.withColumn("node", F.pmod(F.xxhash64("doc_id", "tag", F.lit(seed)), leaves))
+    settled, decided = level.where("done"), []
+    level = level.where("not done")
+    depth = 0
     while True:
-        root = nodes == 1
-        draw = (F.shiftrightunsigned(F.xxhash64(*identity, F.lit(seed), F.lit(depth + 1)), 11) + F.lit(0.5)) * F.lit(2.0**-53)
-        level = level.withColumn("draw", draw).select(*order)
-        dealt = level.repartition(source, "node").sortWithinPartitions(source, "node", F.desc("size"), "draw", "doc_id")
-        level = materialize(spark, dealt.mapInArrow(released(_round([source, "node"], root)), dealt.schema), f"mix-{depth}")
+        dealt = level.repartition("source", "node").sortWithinPartitions("source", "node", F.desc("size"), "tag", "doc_id")
+        level = materialize(spark, dealt.mapInArrow(released(_round(seed, depth, nodes == 1)), dealt.schema), f"mix-{depth}")
         decided.append(level.where("done"))
-        if root:
+        if nodes == 1:
             break
         nodes = -(-nodes // fan_in)
         depth += 1
-        level = level.where("not done").withColumn("node", F.floor(F.col("node") / fan_in).cast(dict(level.dtypes)["node"]))
-    out = decided[0]
-    for more in decided[1:]:
-        out = out.unionByName(more)
-    return out.drop("node", "draw", "part", "done")
+        level = level.where("not done").withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
+    for more in decided:
+        settled = settled.unionByName(more)
+    return settled.drop("node", "done", "part").withColumnRenamed("_whole", "part").select(*names, "more")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; maps, which have none, by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema])
+
+
+def mixed_classes(spark: SparkSession, docs: DataFrame, tag: Column, weights: Sequence[float], max_copies: int, seed: int) -> DataFrame:
+    """The classes of equal rows of ``docs`` with their copies; see ``mix_sources``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"))
+    rows = materialize(spark, rows.groupBy("doc_id", "tag", "source", "size").agg(F.count("*").alias("n")), "mix-rows")
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.count("*").alias("classes"))
+    targets = materialize(spark, source_targets(sizes, weights, float(max_copies)), "mix-targets")
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)  # else a shuffled join, whose large partitions AQE splits
+    rows = rows.alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source")).select("r.*", "t.source_size", "t.target", "t.classes")
+    expected = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
+    rows = rows.withColumn("part", F.when(F.col("size") > 0, F.least(expected, F.lit(float(max_copies)))).otherwise(F.lit(0.0)))
+    return pivotal_copies(spark, rows, seed)
 
 
 def mix_sources(
@@ -168,45 +197,51 @@ def mix_sources(
     weights: Sequence[float] = (5.0, 2.0, 1.0),
     max_copies: int = 3,
     seed: int = 20,
-    keep: Sequence[str] = (),
 ) -> DataFrame:
     """How many copies of each row of ``docs`` a mix by source weights takes.
 
-    Returns ``doc_id, size, source, source_size, target, copies, taken`` and the
-    columns named in ``keep`` as a struct ``kept``. ``size`` counts words, ``taken``
-    is ``copies * size``. Every row of a source expects ``target / source_size``
-    copies; pivotal rounding turns that into whole copies, long documents first,
-    so that the words taken differ from the target by little more than a short
-    document, and by less than the longest of the source in any case.
+    Returns ``doc_id, size, source, source_size, target, copies, taken``. ``size`` counts
+    words, ``taken`` is ``copies * size``. Every row of a source expects
+    ``target / source_size`` copies; pivotal rounding turns that into whole copies. All
+    pairings keep a source's expected words, so what it takes differs from its target by
+    less than the size of the one document that is left fractional at its root.
 
     * Null or empty texts have size 0 and are taken 0 times; a source without
       words has target 0.
     * Null sources form one group, which sorts last.
-    * Repeated rows are rounded each on their own; the draw depends on doc_id, size
-      and ``seed`` only, so reruns agree.
+    * Rows equal in doc_id, source and text are one class, whose copies are dealt among
+      them; other rows are rounded each on their own. Draws depend on the rows and
+      ``seed`` only, so reruns agree.
     * An empty table gives an empty result. Clashing extra columns are ignored.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        count_words(F.col("text")).alias("size"),
-        F.col("source").cast("string").alias("source"),
-        *([F.struct(*keep).alias("kept")] if keep else []),
-    )
-    sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    targets = materialize(spark, source_targets(sizes, weights, float(max_copies)), "mix-targets")
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)  # else a shuffled join, whose large partitions AQE splits
-    rows = rows.alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source")).select("r.*", "t.source_size", "t.target")
-    expected = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    rows = rows.withColumn("part", F.when(F.col("size") > 0, F.least(expected, F.lit(float(max_copies)))).otherwise(F.lit(0.0)))
-    return pivotal_copies(spark, rows, "source", seed).withColumn("taken", F.col("copies") * F.col("size"))
+    classes = mixed_classes(spark, docs, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), weights, max_copies, seed)
+    rows = classes.withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = rows.withColumn("copies", F.col("part") + (F.col("_place") < F.col("more")).cast("long"))
+    return rows.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it is taken."""
-    mixed = mix_sources(spark, docs, keep=docs.columns, **options)
-    copy = free_name(docs, "copy")
-    return mixed.where("copies > 0").select("kept.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(copy)).drop(copy)
+def mix_documents(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_copies: int = 3, seed: int = 20) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it is taken, with the columns of ``docs``.
+
+    The mix is decided over ids, hashes and sizes, as in ``mix_sources``, whose cases it
+    shares: rows without words go, an empty table stays empty, rows equal in all columns
+    are one class. The texts then meet their copies in one join.
+    """
+    tag, key, times = (free_name(docs, n) for n in ("_tag", "_key", "_times"))
+    classes = mixed_classes(spark, docs, row_hash(docs), weights, max_copies, seed)
+    total = F.col("part") * F.col("n") + F.col("more")
+    taken = materialize(spark, classes.select(F.col("tag").alias(tag), F.col("doc_id").alias(key), total.alias(times), "n").where(F.col(times) > 0), "mix-taken")
+    marked = docs.withColumn(tag, row_hash(docs))
+
+    def copies(rows: DataFrame, several: bool) -> DataFrame:
+        wanted = (taken.where("n > 1") if several else taken.where("n = 1")).drop("n").withColumnRenamed(tag, f"{tag}t")
+        met = rows.join(wanted, (F.col(tag) == F.col(f"{tag}t")) & F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+        if several:  # one of the equal rows stands for all of them
+            met = met.dropDuplicates([tag, key])
+        return met.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(times)).drop(times)
+
+    out = copies(marked, False)
+    return out if taken.where("n > 1").isEmpty() else out.unionByName(copies(marked, True))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

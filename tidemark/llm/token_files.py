@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import Rows, filesystem, materialize, plain_text, released, shared_dir
+from tidemark.llm.common import Rows, filesystem, materialize, plain_text, qualified, released, shared_dir
 from tidemark.llm.vocabulary import default_vocabulary, split_words, word_ids
 
 MAGIC = b"TMTOKEN1"
@@ -167,6 +167,7 @@ def write_token_files(
     equal keys follow by text; an empty table gives no files. Only ``key`` and
     ``text`` are read, so clashing extra columns do no harm.
     """
+    folder = qualified(spark, folder)
     files, root = filesystem(folder)
     files.create_dir(root, recursive=True)
     rows = docs.select(F.col(key).cast("long").alias("k"), plain_text(text).alias("t"))
@@ -214,7 +215,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str) -> D
     """``doc_id, start, n_tokens, ids`` of every document of the files, ids as unsigned 32-bit bytes."""
     starts = file_starts(manifest).select("path", "start")
     tasks = max(1, min(manifest.count(), READ_TASKS))
-    return starts.repartition(tasks).mapInArrow(released(_read(folder)), "doc_id long, start long, n_tokens long, ids binary")
+    return starts.repartition(tasks).mapInArrow(released(_read(qualified(spark, folder))), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
