@@ -14,10 +14,10 @@ from tidemark.llm.common import materialize
 SHARD_ROWS, GROUP_QUERIES = 65_536, 16_384
 #: Shards are not made smaller than this to occupy more tasks.
 LEAST_ROWS = 2_048
-#: Documents and queries that are scored at a time, and terms of one step.
-BLOCK_DOCS, BLOCK_QUERIES, STEP = 4_096, 512, 8
-#: Pairs are probed one by one once no more than this share is competitive.
-SPARSE = 0.05
+#: The first bar of a query comes from so many documents at the heads of the lists of so many of its terms.
+HEAD, STRONGEST = 32, 8
+#: Terms that are probed between two looks at which documents still compete.
+STEP = 4
 
 
 def usable(vector: Column) -> Column:
@@ -38,64 +38,98 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def maxscore(queries: np.ndarray, own: np.ndarray, docs: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query place, doc id, score)`` of each query's ``k`` best documents.
+class Postings:
+    """The posting lists of a shard, one per term: the documents that hold the term, with their weights.
 
-    ``docs`` are in ascending order of ``ids``, so of equal scores the earlier wins.
-    A term's contribution to a query lies between the products of the query's weight
-    with the least and the greatest weight in its posting list. Terms are taken by
-    falling width of that interval. Those before the point from which the others,
-    even at their bounds, cannot lift a document over the query's k-th best score are
-    essential and are traversed for all documents; then the others are probed, most
-    important first, for the documents that can still compete.
+    ``docs`` and ``weights`` are in document order, ``ranked`` lists the documents by
+    rising weight. A list that holds most documents keeps the weights of all, zeros
+    among them, and has ``docs`` None.
     """
-    n_docs, width = docs.shape
-    high, low = docs.max(axis=0, initial=-np.inf), docs.min(axis=0, initial=np.inf)
-    best_score = np.full((len(queries), k), -np.inf)
-    best_id = np.full((len(queries), k), -1, np.int64)
-    for first in range(0, len(queries), BLOCK_QUERIES):
-        q = queries[first : first + BLOCK_QUERIES]
-        mine = own[first : first + BLOCK_QUERIES]
-        upper, lower = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
-        order = np.argsort(-(upper - lower).sum(axis=0), kind="stable")
-        q, upper, lower = q[:, order], upper[:, order], lower[:, order]
-        # what all terms from a place on can add at most, and those before it at least
-        rest = np.concatenate([np.cumsum(upper[:, ::-1], axis=1)[:, ::-1], np.zeros((len(q), 1))], axis=1)
-        least = np.concatenate([np.zeros((len(q), 1)), np.cumsum(lower, axis=1)], axis=1)
-        score, found = best_score[first : first + BLOCK_QUERIES], best_id[first : first + BLOCK_QUERIES]
-        for start in range(0, n_docs, BLOCK_DOCS):
-            d, block = docs[start : start + BLOCK_DOCS][:, order], ids[start : start + BLOCK_DOCS]
-            bar = score[:, -1:]
-            # the essential terms: with fewer, a document with none of their weight could still win
-            beats = rest + least > bar
-            essential = int(beats.sum(axis=1).max(initial=0))
-            at = min(width, -(-max(essential, 1) // STEP) * STEP)
-            part = q[:, :at] @ d[:, :at].T
-            alive = part + rest[:, at, None] > bar
-            while at < width and np.count_nonzero(alive) > SPARSE * alive.size:
-                to = min(width, at + STEP)
-                part += q[:, at:to] @ d[:, at:to].T
-                at = to
-                alive = part + rest[:, at, None] > bar
-            qi, di = np.nonzero(alive)
-            total = part[qi, di]
-            while at < width and len(qi):
-                to = min(width, at + STEP)
-                total = total + np.einsum("ij,ij->i", q[qi, at:to], d[di, at:to])
-                at = to
-                keep = total + rest[qi, at] > bar[qi, 0]
-                qi, di, total = qi[keep], di[keep], total[keep]
-            other = block[di] != mine[qi]
-            qi, di, total = qi[other], di[other], total[other]
-            for i in np.unique(qi):
-                new = qi == i if len(qi) < 64 else slice(*np.searchsorted(qi, [i, i + 1]))
-                scores = np.concatenate([score[i], total[new]])
-                names = np.concatenate([found[i], block[di[new]]])
-                # earlier entries have smaller ids, so a stable sort keeps the order of ties
-                top = np.argsort(-scores, kind="stable")[:k]
-                score[i], found[i] = scores[top], names[top]
-    place, rank = np.nonzero(best_score > -np.inf)
-    return place, best_id[place, rank], best_score[place, rank].astype(np.int64)
+
+    def __init__(self, matrix: np.ndarray):
+        self.size, self.width = matrix.shape
+        self.docs: list[np.ndarray | None] = []
+        self.weights: list[np.ndarray] = []
+        self.ranked: list[np.ndarray] = []
+        self.low, self.high = np.zeros(self.width), np.zeros(self.width)
+        for term in range(self.width):
+            held = np.flatnonzero(matrix[:, term])
+            if 2 * len(held) > self.size:
+                held = np.arange(self.size)
+            weights = np.ascontiguousarray(matrix[held, term])
+            self.docs.append(None if len(held) == self.size else held)
+            self.weights.append(weights)
+            self.ranked.append(held[np.argsort(weights, kind="stable")])
+            if len(held):
+                # a document that is not in the list adds nothing
+                absent = [] if len(held) == self.size else [0.0]
+                self.low[term], self.high[term] = min([weights.min(), *absent]), max([weights.max(), *absent])
+
+    def traverse(self, term: int, weight: float, score: np.ndarray) -> None:
+        """Add the term's contributions to all documents of its list."""
+        docs = self.docs[term]
+        if docs is None:
+            score += weight * self.weights[term]
+        else:
+            score[docs] += weight * self.weights[term]
+
+    def probe(self, term: int, some: np.ndarray) -> np.ndarray:
+        """The weights of ``some`` documents, 0 for those not in the list."""
+        docs, weights = self.docs[term], self.weights[term]
+        if docs is None:
+            return weights[some]
+        if not len(docs):
+            return np.zeros(len(some))
+        at = np.minimum(np.searchsorted(docs, some), len(docs) - 1)
+        return np.where(docs[at] == some, weights[at], 0.0)
+
+
+def maxscore(query: np.ndarray, own: int, postings: Postings, docs: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(doc ids, scores)`` of the ``k`` best documents of one query, by falling score, then id.
+
+    A term adds between its least and its greatest contribution, the products of the
+    query's weight with the ends of its list. The bar, which the k-th best reaches for
+    certain, is first set by scoring in full the documents at the heads of the lists of
+    the query's strongest terms. Terms are ordered by the width of their interval; those
+    of the smallest widths are non-essential as long as a document with the least of all
+    other terms cannot reach the bar through them. The lists of the essential terms are
+    traversed; then the others are probed, widest first, for the documents that can still
+    reach the bar.
+    """
+    ends = query * postings.high, query * postings.low
+    upper, lower = np.maximum(*ends), np.minimum(*ends)
+    order = np.argsort(lower - upper, kind="stable")
+    order = order[upper[order] > lower[order]]
+    flat = float(lower.sum())  # what every document scores at least
+    spread = (upper - lower)[order]
+    # what the terms from a place on can add to ``flat`` at most
+    rest = np.concatenate([np.cumsum(spread[::-1])[::-1], [0.0]])
+
+    heads = [postings.ranked[t][-HEAD:] if query[t] > 0 else postings.ranked[t][:HEAD] for t in order[:STRONGEST]]
+    seen = np.unique(np.concatenate(heads)) if heads else np.zeros(0, np.int64)
+    seen = seen[ids[seen] != own]
+    scores = docs[seen] @ query
+    bar = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
+
+    essential = int(np.searchsorted(-(flat + rest), -bar, side="right"))  # the first place from which the rest stays below the bar
+    score = np.full(postings.size, flat - lower[order[:essential]].sum())
+    for term in order[:essential]:
+        postings.traverse(term, query[term], score)
+    alive = np.arange(postings.size)
+    for place in range(essential, len(order) + STEP, STEP):
+        still = score + rest[min(place, len(order))] >= bar
+        # while most documents compete, whole lists are cheaper to read than their places
+        if 2 * np.count_nonzero(still) < len(still) or place >= len(order):
+            alive, score = alive[still], score[still]
+        for term in order[place : place + STEP]:
+            score -= lower[term]
+            if len(alive) == postings.size:
+                postings.traverse(term, query[term], score)
+            else:
+                score += query[term] * postings.probe(term, alive)
+    alive, score = alive[ids[alive] != own], score[ids[alive] != own]
+    best = np.lexsort((ids[alive], -score))[:k]
+    return ids[alive[best]], score[best]
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("query_no", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -106,10 +140,13 @@ def _search(k: int):
         if not docs.num_rows or not queries.num_rows:
             return _FOUND.empty_table()
         width = max(1, max(np.diff(c.offsets.to_numpy()).max(initial=0) for t in (docs, queries) for c in t["w"].chunks))
-        docs = docs.sort_by("vec_id")
-        asked = queries["vec_id"].to_numpy()
-        place, found, score = maxscore(matrix(queries["w"], width), asked, matrix(docs["w"], width), docs["vec_id"].to_numpy(), k)
-        return pa.table([asked[place], queries["no"].to_numpy()[place], found, score], schema=_FOUND)
+        ids, weights = docs["vec_id"].to_numpy(), matrix(docs["w"], width)
+        postings = Postings(weights)
+        asked, numbers = queries["vec_id"].to_numpy(), queries["no"].to_numpy()
+        found = [maxscore(q, own, postings, weights, ids, k) for q, own in zip(matrix(queries["w"], width), asked, strict=True)]
+        times = [len(f[0]) for f in found]
+        columns = [np.repeat(asked, times), np.repeat(numbers, times), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).astype(np.int64)]
+        return pa.table(columns, schema=_FOUND)
 
     return run
 
@@ -135,8 +172,9 @@ def top_k_inner_products(
     * An empty table, or one vector alone, gives an empty result.
     * Scores are exact while their terms' sums stay below 2**53 in size.
 
-    Queries in groups meet vectors in shards; a task scores one group against one
-    shard, and each shard's k best per query are merged at the end.
+    Queries in groups meet vectors in shards; a task builds the posting lists of one
+    shard and runs MaxScore over them for each query of one group, with a split of terms
+    of its own. Each shard's k best per query are merged at the end.
     """
     quantised = F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("long"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
