@@ -67,6 +67,25 @@ def test_bpe_hard_rows(spark, library, hard, clashing):  # noqa: F811
     assert bpe.encode_documents(spark, hard.limit(0)).count() == 0
 
 
+def test_ids_from_anywhere_are_decoded(spark, library, hard, clashing):  # noqa: F811
+    texts = ["Hello, world's 42", "", None, "a b " * 40_000, "<|endoftext|> x", "Hello, world's 42"]
+    rows = [(i, None if t is None else np.array(_ids(library, t), "<u4").tobytes(), "x") for i, t in enumerate(texts)]
+    for name in ("other", "decoded"):
+        found = bpe.decode_documents(spark, spark.createDataFrame(rows, f"k long, ids binary, {name} string"))
+        assert found.columns == ["k", "ids", name, "decoded" if name == "other" else "decoded_"]
+        for r in found.collect():
+            assert r[-1] == library.decode(_ids(library, texts[r["k"]]), skip_special_tokens=False)
+    assert bpe.decode_documents(spark, spark.createDataFrame([], "k long, ids binary")).count() == 0
+
+
+def test_bpe_parts_start_anew(spark, library):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in bpe.encode_documents(spark, docs, block_chars=3_000, known_words=50).collect():
+        ids = _ids(library, texts[r["doc_id"]])
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False)
+
+
 def test_variable_length_coding_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 1001):

@@ -2,8 +2,9 @@
 
 Texts are split into words once. Blocks of documents keep, per document, the
 positions of its words in the block's own word list; the word lists are brought
-together by word, each distinct word is encoded once, and its ids (and the pieces
-they decode to) go back to every block that lists it, by position.
+together by word and each distinct word is encoded once. The ids of the distinct
+words are joined with a table of (id, piece), which decodes them. Ids and decoded
+words go back to every block that lists the word, by position.
 """
 
 from __future__ import annotations
@@ -17,16 +18,22 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rows, materialize, plain_text, release, released
+from tidemark.llm.common import Rows, free_name, materialize, plain_text, release, released
 from tidemark.llm.vocabulary import default_vocabulary, encode_words, split_words, tokenizer
 
 #: A block is closed once its texts hold so many characters.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 24 << 20
+#: Words are dealt to parts of about so many listed words, and to at most so many parts.
+PART_WORDS, MOST_PARTS = 200_000, 8_192
+#: Distinct words of a part that are known at a time; beyond, it starts anew.
+KNOWN_WORDS = 1_000_000
+#: A larger vocabulary is not broadcast.
+MOST_PIECES = 2_000_000
 
 _BLOCK = pa.schema(
-    [("block", pa.int64()), ("words", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))]
+    [("block", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))]
 )
-BLOCK = "block long, words binary, docs array<long>, sizes array<long>, places array<binary>"
+BLOCK = "block long, n_words long, words binary, docs array<long>, sizes array<long>, places array<binary>"
 
 
 def squeeze(content: bytes) -> bytes:
@@ -69,6 +76,7 @@ def _blocks(block_chars: int):
             words = list(table)
             row = {
                 "block": number,
+                "n_words": len(words),
                 "words": squeeze("\n".join([words[i] for i in order.tolist()]).encode()),
                 "docs": docs,
                 "sizes": sizes,
@@ -121,77 +129,171 @@ def _deal(parts: int):
     return run
 
 
-_IDS = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
+TOKENS = "grp long, no int, id long, block long, places binary, numbers binary"
+_TOKENS = pa.schema([("grp", pa.int64()), ("no", pa.int32()), ("id", pa.int64()), ("block", pa.int64()), ("places", pa.binary()), ("numbers", pa.binary())])
 
 
-def _encode(vocabulary: str):
-    """Encodes each distinct word of a part once; the rows of a part follow each other."""
+def _encode(vocabulary: str, known_words: int):
+    """Encodes each distinct word of a part once; the rows of a part follow each other.
+
+    Each block's row, with the numbers of its words, comes behind a row for every id of
+    the words that are new in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
-        current = None
+        known: dict[bytes, int] = {}
+        current, group = None, -1
         for batch in batches:
             for part, block, places, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != current:
-                    known, current = {}, part
+                if part != current or len(known) > known_words:
+                    known, current, group = {}, part, group + 1
                 words = unsqueeze(words).split(b"\n")
                 new = [w for w in words if w not in known]
-                known.update(zip(new, encode_words(vocabulary, [w.decode() for w in new]), strict=True))
-                ids = [known[w] for w in words]
-                lengths = np.array([len(i) // 4 for i in ids], "<u4")
-                packed = [squeeze(lengths.tobytes()), squeeze(b"".join(ids))]
-                yield pa.record_batch([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (places, *packed))], schema=_IDS)
+                first = len(known)
+                known.update(zip(new, range(first, first + len(new)), strict=True))
+                ids = encode_words(vocabulary, [w.decode() for w in new])
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+                no = np.repeat(np.arange(first, first + len(new), dtype=np.int32), [len(i) // 4 for i in ids])
+                for start in range(0, len(flat), 1 << 16):
+                    own = slice(start, start + (1 << 16))
+                    some = [np.full(len(no[own]), group), no[own], flat[own]]
+                    yield pa.record_batch([*map(pa.array, some), *(pa.nulls(len(no[own]), f.type) for f in list(_TOKENS)[3:])], schema=_TOKENS)
+                numbers = squeeze(np.fromiter(map(known.__getitem__, words), "<u4", len(words)).tobytes())
+                values = [group, None, None, block, places, numbers]
+                yield pa.record_batch([pa.array([v], f.type) for v, f in zip(values, _TOKENS, strict=True)], schema=_TOKENS)
 
     return run
 
 
-ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
-
+WORDS = "block long, places binary, lengths binary, ids binary, sizes binary, texts binary"
+_WORDS = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("places", "lengths", "ids", "sizes", "texts"))])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's row again, with the ids of its words and their pieces, put together in the order of the rows."""
+    group, ids, texts = None, [], []
+    held: list[tuple] = []
+
+    def settle() -> None:
+        """Takes in the words whose rows have come."""
+        if not held:
+            return
+        no, flat = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        pieces = [p for h in held for p in h[2]]
+        held.clear()
+        if no[0] < len(ids) or (no[1:] < no[:-1]).any():
+            raise RuntimeError("the join with the pieces has changed the order of the rows")
+        edges = np.concatenate([[0], np.flatnonzero(no[1:] != no[:-1]) + 1, [len(no)]]).tolist()
+        content = flat.astype("<u4").tobytes()
+        for number, start, stop in zip(no[edges[:-1]].tolist(), edges[:-1], edges[1:], strict=True):
+            fill = number - len(ids)  # words without ids
+            ids.extend([b""] * fill)
+            texts.extend([b""] * fill)
+            ids.append(content[4 * start : 4 * stop])
+            texts.append(" ".join(pieces[start:stop]).encode())
+
+    for batch in batches:
+        groups, blocks = batch.column(0).to_numpy(), batch.column(3)
+        marks = np.flatnonzero(np.asarray(blocks.is_valid())).tolist()
+        at = 0
+        for stop in [*marks, batch.num_rows]:
+            if stop > at:
+                if groups[at] != group:
+                    settle()
+                    group, ids, texts = groups[at], [], []
+                some = batch.slice(at, stop - at)
+                held.append((some.column(1).to_numpy(), some.column(2).to_numpy(), some.column(6).to_pylist()))
+            if stop < batch.num_rows:
+                settle()
+                if groups[stop] != group:
+                    group, ids, texts = groups[stop], [], []
+                row = batch.slice(stop, 1)
+                numbers = np.frombuffer(unsqueeze(row.column(5)[0].as_py()), "<u4").tolist()
+                fill = max(numbers, default=-1) + 1 - len(ids)
+                ids.extend([b""] * fill)
+                texts.extend([b""] * fill)
+                packed = []
+                for table in (ids, texts):
+                    own = [table[n] for n in numbers]
+                    packed += [np.array([len(x) for x in own], "<u4").tobytes(), b"".join(own)]
+                yield pa.record_batch([row.column(3), row.column(4), *(pa.array([squeeze(p)], pa.binary()) for p in packed)], schema=_WORDS)
+            at = stop + 1
 
-def _join(vocabulary: str):
-    """A block's documents with the ids of its words, and the pieces that the ids decode to."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        release()
-        pieces = id_pieces(vocabulary)
-        found = right.to_pylist()
-        steps = [np.frombuffer(unsqueeze(r["places"]), "<u4") for r in found]
-        ids: list[bytes] = [b""] * sum(map(len, steps))
-        for row, step in zip(found, steps, strict=True):
-            content, at = unsqueeze(row["ids"]), 0
-            for place, length in zip(np.cumsum(step).tolist(), np.frombuffer(unsqueeze(row["lengths"]), "<u4").tolist(), strict=True):
-                ids[place] = content[at : at + 4 * length]
-                at += 4 * length
-        texts = [" ".join(map(pieces.__getitem__, np.frombuffer(w, "<u4").tolist())) for w in ids]
-        out, done = Rows(_ENCODED), []
-        for row in left.to_pylist():
-            planes = [np.frombuffer(unsqueeze(p), np.uint8) for p in row["places"]]
-            places = np.stack(planes, axis=1).view("<u4").ravel()
-            at = 0
-            for doc, size in zip(row["docs"], row["sizes"], strict=True):
-                own = places[at : at + size].tolist()
-                at += size
-                content = b"".join(map(ids.__getitem__, own))
-                # a word without ids has no pieces, and no space of its own either
-                decoded = " ".join(filter(None, map(texts.__getitem__, own)))
-                if out.add(len(content) + len(decoded), doc, len(content) // 4, content, decoded):
-                    done.append(out.batch())
-        done.append(out.batch())
-        return pa.Table.from_batches(done, schema=_ENCODED)
 
-    return run
-
-
-_pieces: dict[str, list[str]] = {}
+ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
 
-def id_pieces(vocabulary: str) -> list[str]:
-    """Pieces by id, as many as the vocabulary has: the decoding side of the join."""
-    if vocabulary not in _pieces:
-        loaded = tokenizer(vocabulary)
-        _pieces[vocabulary] = [loaded.id_to_token(i) or "" for i in range(loaded.get_vocab_size(with_added_tokens=True))]
-    return _pieces[vocabulary]
+def _cut(sizes: bytes, content: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(unsqueeze(sizes), "<u4"), dtype=np.int64).tolist()
+    content = unsqueeze(content)
+    return [content[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _join(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A block's documents with the ids of its words, and the texts that the ids decode to."""
+    release()
+    steps = [np.cumsum(np.frombuffer(unsqueeze(p), "<u4")).tolist() for p in right["places"].to_pylist()]
+    ids: list[bytes] = [b""] * sum(map(len, steps))
+    texts: list[bytes] = [b""] * len(ids)
+    for i, step in enumerate(steps):
+        row = right.slice(i, 1).to_pylist()[0]
+        for place, own, text in zip(step, _cut(row["lengths"], row["ids"]), _cut(row["sizes"], row["texts"]), strict=True):
+            ids[place], texts[place] = own, text
+    out, done = Rows(_ENCODED), []
+    for row in left.to_pylist():
+        planes = [np.frombuffer(unsqueeze(p), np.uint8) for p in row["places"]]
+        places = np.stack(planes, axis=1).view("<u4").ravel()
+        at = 0
+        for doc, size in zip(row["docs"], row["sizes"], strict=True):
+            own = places[at : at + size].tolist()
+            at += size
+            content = b"".join(map(ids.__getitem__, own))
+            # a word without ids has no pieces, and no space of its own either
+            decoded = b" ".join(filter(None, map(texts.__getitem__, own)))
+            if out.add(len(content) + len(decoded), doc, len(content) // 4, content, decoded):
+                done.append(out.batch())
+    done.append(out.batch())
+    return pa.Table.from_batches(done, schema=_ENCODED)
+
+
+def id_pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """``id, piece``: the decoding table of a vocabulary."""
+    loaded = tokenizer(vocabulary)
+    size = loaded.get_vocab_size(with_added_tokens=True)
+    if size > MOST_PIECES:
+        raise ValueError(f"a vocabulary of {size} pieces is too large to broadcast")
+    table = pa.table({"id": pa.array(range(size), pa.int64()), "piece": pa.array([loaded.id_to_token(i) or "" for i in range(size)], pa.string())})
+    return spark.createDataFrame(table)
+
+
+_POSITIONS = pa.schema([("row", pa.int64()), ("pos", pa.int64()), ("id", pa.int64())])
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = np.frombuffer(content.as_py() or b"", "<u4").astype(np.int64)
+            for start in range(0, len(ids), 1 << 16):
+                own = ids[start : start + (1 << 16)]
+                yield pa.record_batch([np.full(len(own), row), np.arange(start, start + len(own)), own], schema=_POSITIONS)
+
+
+def decode_documents(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, ids: str = "ids") -> DataFrame:
+    """``docs`` with ``decoded``, the text of its ``ids`` (little-endian unsigned 32-bit integers), wherever they come from.
+
+    Every id is joined with its piece and put back by position, pieces joined by spaces.
+    Ids that the vocabulary does not know give nothing; null or empty ids give an empty
+    text; repeated rows are decoded each. If ``docs`` has a column ``decoded``, the new
+    one ends in an underscore. ``encode_documents`` decodes the distinct words alone.
+    """
+    row, name = free_name(docs, "_row"), free_name(docs, "decoded")
+    numbered = materialize(spark, docs.withColumn(row, F.monotonically_increasing_id()), "bpe-rows")
+    tokens = numbered.select(row, ids).mapInArrow(released(_positions), "row long, pos long, id long")
+    met = tokens.join(F.broadcast(id_pieces(spark, vocabulary or default_vocabulary())), "id").groupBy(F.col("row").alias(row))
+    texts = met.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias(name))
+    found = numbered.join(texts, row, "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], name)
 
 
 def encode_documents(
@@ -201,6 +303,7 @@ def encode_documents(
     key: str = "doc_id",
     text: str = "text",
     block_chars: int = BLOCK_CHARS,
+    known_words: int = KNOWN_WORDS,
 ) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` of every row of ``docs``.
 
@@ -217,12 +320,16 @@ def encode_documents(
     vocabulary = vocabulary or default_vocabulary()
     rows = docs.select(F.col(key).cast("long").alias("k"), plain_text(text).alias("t"))
     blocks = materialize(spark, rows.mapInArrow(released(_blocks(block_chars)), BLOCK), "bpe-blocks")
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = blocks.agg(F.sum("n_words")).first()[0] or 0
+    parts = min(MOST_PARTS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-listed // PART_WORDS)))
     words = blocks.select("block", "words").mapInArrow(released(_deal(parts)), "part int, block long, places binary, words binary")
     dealt = words.repartition("part").sortWithinPartitions("part")
-    encoded = dealt.mapInArrow(released(_encode(vocabulary)), "block long, places binary, lengths binary, ids binary")
+    # a row per id of each distinct word; a broadcast join keeps the rows of a task in order
+    tokens = dealt.mapInArrow(released(_encode(vocabulary, known_words)), TOKENS)
+    decoded = tokens.join(F.broadcast(id_pieces(spark, vocabulary)), "id", "left").select(*tokens.columns, "piece")
+    back = decoded.mapInArrow(released(_decoded), WORDS)
     held = blocks.select("block", "docs", "sizes", "places")
-    return held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_join(vocabulary), ENCODED)
+    return held.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_join, ENCODED)
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
