@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -264,6 +265,33 @@ def test_near_vectors_hard_rows(spark):
     assert embedding_dedup.near_duplicate_vectors(spark, docs.limit(0)).count() == 0
 
 
+def test_links_are_those_of_the_row_where_ids_repeat(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, x, 0), (1, y, 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.01, 1.0, 0.0], 0), (3, [0.01, 1.0, 0.0], 0), (9, [0.0, 0.0, 1.0], 0)]
+    found = sorted(map(tuple, embedding_dedup.near_duplicate_vectors(spark, spark.createDataFrame(rows, VECTORS)).collect()))
+    # by x: 2; by y: both rows of 3
+    assert found == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (9, 0, 9, True)]
+
+
+def test_links_at_the_threshold_are_found(spark):
+    rng = np.random.default_rng(12)
+    rows, vectors = [], rng.standard_normal((3_000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    for i, v in enumerate(vectors[:1_500]):
+        side = rng.standard_normal(32)
+        side -= side @ v * v
+        cosine = rng.uniform(0.98, 0.985)
+        rows.append((3_000 + i, (cosine * v + math.sqrt(1 - cosine**2) * side / np.linalg.norm(side)).tolist(), 0))
+    rows += [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    rows.sort()
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    wanted = ((unit @ unit.T >= 0.98).sum(axis=1) - 1).tolist()
+    assert sum(wanted) >= 2_990 and embedding_dedup.table_plan(len(rows), 0.98)[0] >= 9
+    found = embedding_dedup.near_duplicate_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert [r["n_links"] for r in sorted(found)] == wanted
+
+
 def test_table_plan_reaches_the_miss_rate():
     for rows in (10, 10_000, 10**9):
         bits, tables = embedding_dedup.table_plan(rows, 0.98)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,7 +20,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     holds a whole neighbourhood. Self-links and repeated links do no harm.
     """
     nodes = materialize(spark, edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "cc-edges")
-    state, before = nodes.where("v <> u"), None
+    state, before, last = nodes.where("v <> u"), None, None
     for _ in range(most_rounds):
         # large star: every larger neighbour of a node moves to the smallest of its neighbourhood
         both = state.select(F.col("u").alias("n"), F.col("v").alias("o")).unionByName(state.select(F.col("v").alias("n"), F.col("u").alias("o")))
@@ -30,6 +30,9 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
         state = materialize(spark, small.where("v <> u").distinct(), "cc-round")
+        if last is not None:
+            discard(spark, last)
+        last = state
         # equal sets of links have equal sums
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == before:
