@@ -8,10 +8,13 @@ two documents. It is never formed whole:
 2. Size-derived bounds on rows. A link needs an overlap of at least 0.75 of either
    size, so a row with fewer shared n-grams is discarded. Of the others, ordered by
    rising frequency, two rows that link share one of their first ``size - need + 1``
-   n-grams; the components of rows that share such a prefix n-gram hold all links.
-3. Row blocks. The rows of a component meet in blocks, two by two, where overlap
-   counts are accumulated over chunks of columns, and pairs whose overlap and
-   remaining n-grams stay below the bound of their sizes are discarded.
+   n-grams, so rows only meet where they share such a prefix n-gram.
+3. Row blocks. Rows meet in blocks, where overlap counts are accumulated over chunks of
+   columns, and pairs whose overlap and remaining n-grams stay below the bound of their
+   sizes are discarded. Where the rows that share prefix n-grams, directly or through
+   others, are few, they are one block. Where they are many, each meets the first row
+   of its n-grams, which joins most true groups; then the rows of those n-grams that
+   still belong to several groups meet.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hot_join, materialize, released
+from tidemark.llm.common import discard, free_name, hot_join, materialize, released
 from tidemark.llm.components import connected_components, local_components
 
 #: N-grams of a batch of documents that are dealt to column blocks at a time.
@@ -34,8 +37,12 @@ BATCH_GRAMS = 1 << 20
 CAP = 64
 #: N-grams are told apart by so many bits of their hash.
 BITS = 48
-#: Rows, and n-grams, of a row block.
-BLOCK_ROWS, BLOCK_GRAMS = 256, 1 << 20
+#: Rows, and n-grams, of a row block; rows that meet one other row in a task.
+BLOCK_ROWS, BLOCK_GRAMS, STAR_ROWS = 256, 1 << 20, 64
+#: A column block holds about so many n-grams, as far as no more than so many blocks do.
+COLUMN_GRAMS, MOST_COLUMNS = 4 << 20, 65_536
+#: Bytes of text that a word takes at least, on average, for the number of n-grams to expect.
+WORD_BYTES = 4
 #: Columns of a dense chunk; rarer columns are accumulated pair by pair.
 CHUNK, DENSE = 4_096, 8
 #: Tables of at most so many narrow rows are broadcast.
@@ -299,6 +306,23 @@ def _prefixes(threshold: int):
     return run
 
 
+_POSTING = pa.schema([("gram", pa.int64()), ("row", pa.int64())])
+
+
+def _postings(threshold: int):
+    """A row per prefix n-gram of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, contents = (c.to_pylist() for c in batch.columns)
+            codes = [np.frombuffer(c, "<i8") for c in contents]
+            prefixes = [c[: len(c) - need(size, threshold) + 1] for c, size in zip(codes, sizes, strict=True)]
+            if prefixes:
+                yield pa.record_batch([np.concatenate(prefixes), np.repeat(rows, [len(p) for p in prefixes])], schema=_POSTING)
+
+    return run
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The consecutive rows with equal integer ``keys``, run by run."""
     held: pa.Table | None = None
@@ -379,16 +403,19 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], bound: np.ndarray)
     return total
 
 
-PAIR = ["component", "part_a", "part_b"]
+PAIR = ["unit", "part_a", "part_b"]
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _product(threshold: int):
-    """Links within a run of two row blocks of a component: each row and the smallest it is linked to."""
+    """Links within a run of two row blocks of a unit: each row and the smallest it is linked to.
+
+    Rows of equal ``label`` are known to be linked and are not compared.
+    """
 
     def work(table: pa.Table) -> pa.RecordBatch | None:
         part_a, part_b = table["part_a"][0].as_py(), table["part_b"][0].as_py()
-        ids, sizes, part = table["row"].to_numpy(), table["size"].to_numpy(), table["part"].to_numpy()
+        ids, sizes, part, label = (table[c].to_numpy() for c in ("row", "size", "part", "label"))
         grams = [np.frombuffer(g, "<u8") for g in table["grams"].to_pylist()]
         left, right = np.flatnonzero(part == part_a), np.flatnonzero(part == part_b)
         if not len(left) or not len(right):
@@ -397,10 +424,10 @@ def _product(threshold: int):
         bound = -(-threshold * (size_l + size_r) // (100 + threshold))
         # no overlap reaches the bound of sizes that are too far apart
         bound = np.where(threshold * np.maximum(size_l, size_r) <= 100 * np.minimum(size_l, size_r), bound, np.iinfo(np.int64).max)
+        bound = np.where(label[left][:, None] == label[right][None, :], np.iinfo(np.int64).max, bound)
         found = overlaps([grams[i] for i in left], [grams[i] for i in right], bound)
         i, j = np.nonzero(found >= bound)
         i, j = left[i], right[j]
-        i, j = i[i != j], j[i != j]
         order = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
@@ -416,6 +443,64 @@ def _product(threshold: int):
     return run
 
 
+def zero_part(name: str) -> Column:
+    return F.lit(0).alias(name)
+
+
+def _meet(kept: DataFrame, placed: DataFrame, threshold: int) -> DataFrame:
+    """Links ``a, b`` of the rows that ``placed`` (unit, part_a, part_b, part, row, label) brings together."""
+    blocked = placed.join(kept.select("row", "size", "grams"), "row").select(*PAIR, "part", "row", "label", "size", "grams")
+    return blocked.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(released(_product(threshold)), "a long, b long")
+
+
+def _in_blocks(spark: SparkSession, rows: DataFrame, block_rows: int, block_grams: int, broadcast_rows: int) -> DataFrame:
+    """``rows`` (unit, row, label, n) placed for ``_meet``: whole units, larger ones in row blocks that meet two by two."""
+    weights = rows.groupBy("unit").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    parts = F.ceil(F.greatest(F.col("rows") / block_rows, F.col("n") / block_grams)).cast("int")
+    large = materialize(spark, weights.withColumn("parts", parts).where("parts > 1").select("unit", "parts"), "jaccard-parts")
+    count = F.coalesce("parts", F.lit(1))
+    placed = hot_join(spark, rows.drop("n"), large, ["unit"], ["row"], broadcast_rows).withColumn("part", F.pmod(F.xxhash64("row"), count).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    return placed.select("unit", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "row", "label")
+
+
+def _large_links(spark: SparkSession, kept: DataFrame, rows: DataFrame, stars: DataFrame, threshold: int, block_rows: int, block_grams: int, broadcast_rows: int) -> DataFrame:
+    """Links that join the rows ``rows`` (row, n) of large components as all links between them do.
+
+    ``stars`` has each row with the first rows of its prefix n-grams. Those pairs are
+    verified first. Of each n-gram whose rows then still belong to several groups, the
+    rows meet, and n-grams with the same groups are one unit; an n-gram of two rows is
+    settled by its star. So rows are compared only with rows that share an n-gram, or
+    their groups do, and a chain of accidental neighbours costs as much as it has links.
+    """
+    sized = kept.select("row", "size", (F.length("grams") / 8).alias("held"))
+    first = stars.join(rows.select(F.col("row").alias("a")), "a", "left_semi")
+    first = first.join(sized.select(F.col("row").alias("a"), F.col("size").alias("size_a"), F.col("held").alias("held_a")), "a")
+    first = first.join(sized.select(F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("held").alias("held_b")), "b")
+    reach = F.least("held_a", "held_b") * (100 + threshold) >= threshold * (F.col("size_a") + F.col("size_b"))
+    first = materialize(spark, first.where((threshold * F.greatest("size_a", "size_b") <= 100 * F.least("size_a", "size_b")) & reach).select("a", F.col("b").alias("unit")), "jaccard-stars")
+    counts = first.groupBy("unit").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
+    counts = materialize(spark, counts, "jaccard-centres")
+    centres = counts.select("unit", zero_part("part_a"), F.explode(F.sequence(F.lit(1), "parts")).alias("part_b"), zero_part("part"), F.col("unit").alias("row"))
+    part = (F.pmod(F.xxhash64("a"), F.col("parts")) + 1).cast("int")
+    others = hot_join(spark, first, counts, ["unit"], ["a"], broadcast_rows).select("unit", zero_part("part_a"), part.alias("part_b"), part.alias("part"), F.col("a").alias("row"))
+    links = materialize(spark, _meet(kept, centres.unionByName(others).withColumn("label", F.col("row")), threshold), "jaccard-star-links")
+
+    groups = connected_components(spark, links).withColumnRenamed("node", "row").withColumnRenamed("component", "label")
+    labels = materialize(spark, rows.join(groups, "row", "left").withColumn("label", F.coalesce("label", "row")), "jaccard-labels")
+    postings = kept.join(labels.select("row"), "row", "left_semi").select("row", "size", "grams").mapInArrow(released(_postings(threshold)), "gram long, row long")
+    postings = materialize(spark, postings.join(labels.select("row", "label"), "row"), "jaccard-postings")
+    named = F.xxhash64("label").cast("decimal(38,0)")
+    several = postings.groupBy("gram").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("rows > 2 and low <> high").select("gram")
+    mixed = materialize(spark, postings.join(several, "gram", "left_semi"), "jaccard-mixed")
+    unit = F.xxhash64(F.sum(named), F.count("*"), F.min("label"))
+    units = mixed.select("gram", "label").distinct().groupBy("gram").agg(unit.alias("unit"))
+    met = mixed.join(units, "gram").select("unit", "row", "label").distinct().join(rows, "row")
+    rest = materialize(spark, _meet(kept, _in_blocks(spark, met, block_rows, block_grams, broadcast_rows), threshold), "jaccard-rest")
+    discard(spark, first, postings, mixed)
+    return links.unionByName(rest)
+
+
 def jaccard_components(
     spark: SparkSession,
     docs: DataFrame,
@@ -439,68 +524,80 @@ def jaccard_components(
     * An empty table gives an empty result; only doc_id and text are read.
 
     No list of pairs is made. Equal sets are one row; a frequent n-gram reaches its
-    column block once per batch of documents; a large component is cut into row
-    blocks whose two-by-two products send at most a link per row.
+    column block once per batch of documents; rows meet in blocks whose products send at
+    most a link per row.
     """
-    blocks = min(65_536, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
+    expected = (rows.agg(F.sum(F.length("t"))).first()[0] or 0) // WORD_BYTES
+    blocks = min(MOST_COLUMNS, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // COLUMN_GRAMS)))
     dealt = rows.mapInArrow(released(_deal(words, blocks, batch_grams)), DEALT).repartition("block").sortWithinPartitions("block")
     columns = materialize(spark, dealt.mapInArrow(released(_columns(blocks)), DEALT), "jaccard-columns")
     by_batch = columns.select("batch", "kind", "a", "b", "c", F.when(F.col("kind") == ROWS, F.col("d")).alias("d"))
     by_batch = by_batch.repartition("batch").sortWithinPartitions("batch")
     live = materialize(spark, by_batch.mapInArrow(released(_live(threshold)), LIVE), "jaccard-live")
+    found = columns.where(F.col("kind") == ROWS).select("a", "b", "c", "d").mapInArrow(_documents, "doc_id long, n_shingles long, key_a long, key_b long")
+    found = materialize(spark, found, "jaccard-docs")
     # one row for each set
     first = live.groupBy("key_a", "key_b").agg(F.min("row").alias("row")).select("row")
     kept = materialize(spark, live.join(first, "row", "left_semi"), "jaccard-rows")
+    discard(spark, columns, live)
 
     prefixes = materialize(spark, kept.select("row", "size", "grams").mapInArrow(released(_prefixes(threshold)), "gram long, a long, b long"), "jaccard-prefixes")
     met = prefixes.where("gram is not null").select("gram", "a")
     centre = met.groupBy("gram").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    links = met.join(centre, "gram").where("a <> b").select("a", "b").unionByName(prefixes.where("gram is null").select("a", "b"))
-    candidates = materialize(spark, connected_components(spark, links.distinct()), "jaccard-candidates")
-
-    placed = kept.select(F.col("row"), (F.length("grams") / 8).alias("n")).join(candidates.withColumnRenamed("node", "row"), "row")
-    weights = placed.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    parts = F.ceil(F.greatest(F.col("rows") / block_rows, F.col("n") / block_grams)).cast("int")
-    large = materialize(spark, weights.withColumn("parts", parts).where("parts > 1").select("component", "parts"), "jaccard-large")
-    placed = hot_join(spark, placed.drop("n"), large, ["component"], ["row"], broadcast_rows)
-    count = F.coalesce("parts", F.lit(1))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("row"), count).cast("int")).withColumn("n", count).drop("parts")
-    blocked = kept.select("row", "size", "grams").join(placed, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    blocked = blocked.select("component", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "row", "size", "grams")
-    blocked = blocked.repartition(*PAIR).sortWithinPartitions(*PAIR)
-    links = blocked.mapInArrow(released(_product(threshold)), "a long, b long")
+    stars = met.join(centre, "gram").where("a <> b").select("a", "b").unionByName(prefixes.where("gram is null").select("a", "b")).distinct()
+    stars = materialize(spark, stars, "jaccard-neighbours")
+    discard(spark, prefixes)
+    candidates = connected_components(spark, stars).withColumnRenamed("component", "unit")
+    held = (F.length("grams") / 8).alias("n")
+    placed = materialize(spark, kept.select("row", held).join(candidates.withColumnRenamed("node", "row"), "row"), "jaccard-candidates")
+    weights = placed.groupBy("unit").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    large = materialize(spark, weights.where((F.col("rows") > block_rows) | ((F.col("n") > block_grams) & (F.col("rows") > 2))).select("unit", F.lit(True).alias("large")), "jaccard-large")
+    placed = hot_join(spark, placed, large, ["unit"], ["row"], broadcast_rows)
+    one = placed.where("large is null").select("unit", zero_part("part_a"), zero_part("part_b"), zero_part("part"), "row", F.col("row").alias("label"))
+    links = materialize(spark, _meet(kept, one, threshold), "jaccard-links")
+    if not large.isEmpty():
+        links = links.unionByName(_large_links(spark, kept, placed.where("large").select("row", "n"), stars, threshold, block_rows, block_grams, broadcast_rows))
     joined = connected_components(spark, links)
 
-    docs = columns.where(F.col("kind") == ROWS).select("a", "b", "c", "d").mapInArrow(_documents, "doc_id long, n_shingles long, key_a long, key_b long")
-    sets = docs.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    sets = found.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     keys = kept.select(F.col("row").alias("node"), "key_a", "key_b")
     linked = joined.join(keys, "node").select("component", "key_a", "key_b")
     sets = sets.join(linked, ["key_a", "key_b"], "left")
     least = sets.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
     known = sets.join(least, "component", "left").where("component is not null or n > 1")
     known = materialize(spark, known.select("key_a", "key_b", F.coalesce("component_id", "least").alias("component_id")), "jaccard-sets")
-    out = hot_join(spark, docs, known, ["key_a", "key_b"], ["doc_id"], broadcast_rows)
+    discard(spark, kept, stars)
+    out = hot_join(spark, found, known, ["key_a", "key_b"], ["doc_id"], broadcast_rows)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, broadcast_ids: int = 1_000_000, **options) -> DataFrame:
-    """One row of each component of ``docs``, that of the smallest doc_id, with the columns of ``docs``.
+    """One row of each component of ``docs``, with the columns of ``docs``.
 
-    Of rows that share a doc_id one stays. Rows without a doc_id cannot be named as
-    anybody's copy and stay.
+    That of the smallest doc_id stays; ids that are null come last, and of rows with one
+    id that of the smallest hash. What counts is the row: where a doc_id has several
+    texts, each stays or goes by its own. Of rows equal in id and text one stays. Rows
+    without words are nobody's copies and all stay. Rows are told apart by a 64-bit hash
+    of id and text; an empty table stays empty.
     """
-    found = materialize(spark, jaccard_components(spark, docs, **options).where("doc_id is not null").select("doc_id", "component_id"), "jaccard-found")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    if gone.count() <= broadcast_ids:  # some 30 MB
-        gone = F.broadcast(gone)
-    stay = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return stay
-    repeated = repeated.select(F.col("doc_id").alias("_more"))
-    same = docs["doc_id"].cast("long") == F.col("_more")
-    return stay.join(repeated, same, "left_anti").unionByName(stay.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    tag = free_name(docs, "_tag")
+    marked = docs.withColumn(tag, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    named = marked.select(F.col(tag).alias("doc_id"), "text")
+    found = jaccard_components(spark, named, **options).where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
+    found = materialize(spark, found.withColumnRenamed("doc_id", "tag"), "jaccard-found")
+    several = found.where("tag <> component_id").select("component_id").distinct()
+    members = found.join(several, "component_id", "left_semi")
+    ids = marked.select(F.col(tag).alias("tag"), F.col("doc_id").cast("long").alias("id")).join(members.select("tag"), "tag", "left_semi")
+    ranked = members.join(ids.groupBy("tag").agg(F.min("id").alias("id")), "tag")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag"))["tag"].alias("tag")
+    gone = materialize(spark, members.join(ranked.groupBy("component_id").agg(best), "tag", "left_anti").select(F.col("tag").alias(tag)), "jaccard-gone")
+    repeated = materialize(spark, found.where("n > 1").join(gone, F.col("tag") == F.col(tag), "left_anti").select(F.col("tag").alias(tag)), "jaccard-repeated")
+    small = lambda table: F.broadcast(table) if table.count() <= broadcast_ids else table  # noqa: E731 -- some 30 MB
+    stay = marked.join(small(gone), tag, "left_anti")
+    if not repeated.isEmpty():
+        stay = stay.join(small(repeated), tag, "left_anti").unionByName(stay.join(small(repeated), tag, "left_semi").dropDuplicates([tag]))
+    return stay.select(*docs.columns)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
