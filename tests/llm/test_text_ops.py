@@ -287,13 +287,42 @@ def _labelled(rng, n):
     return docs, labels
 
 
-def test_dictionary_blocks_are_an_argument():
-    texts = [bytes([65 + i]) * quality.BLOCK for i in range(40)]
-    whole = b"".join(texts)
-    assert b"".join(quality._blocks(whole, None)) == whole and len(quality._blocks(whole)) == quality.SAMPLE_BLOCKS
-    rng = random.Random(8)
-    long = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=200)).encode() * 20 + rng.randbytes(9_000) for _ in range(20)]
-    assert quality.dictionary(long, None) != quality.dictionary(long) == quality.dictionary(long, quality.SAMPLE_BLOCKS)
+def _brute_score(model, text):
+    """The score from the model's parts alone."""
+    import zstandard
+
+    content = (text or "").encode()
+    sizes = []
+    for held in (model.good, model.bad):
+        packer = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(held), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append(sum(len(packer.compress(content[i : i + quality.BLOCK])) for i in range(0, len(content), quality.BLOCK)))
+    a, b, c = model.weights
+    return 1 / (1 + np.exp(-(a + b * (sizes[1] - sizes[0]) / max(1, len(content)) + c / np.sqrt(len(content) + 1))))
+
+
+def test_quality_of_the_given_tables(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(spark, docs, labels)
+    scored = docs.select("doc_id", "text", quality.score_column(model, F.col("text")).alias("score"), quality.held_out(F.col("doc_id")).alias("held"))
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = scored.collect()
+    for r in rows[::97]:
+        assert r["score"] == pytest.approx(_brute_score(model, r["text"]), abs=1e-9)
+    held = [(marks[r["doc_id"]], r["score"]) for r in rows if r["held"] and marks.get(r["doc_id"]) is not None]
+    y, p = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+    above = (p[y == 1][:, None] > p[y == 0][None, :]).mean() + (p[y == 1][:, None] == p[y == 0][None, :]).mean() / 2
+    assert len(held) > 1_000 and above > 0.995 and ((p - y) ** 2).mean() < 0.01 and ((p >= 0.5) == y).mean() > 0.99
+
+
+def test_quality_sample_is_bounded_by_rows_and_bytes(spark):
+    docs, labels = _labelled(random.Random(9), 300)
+    d, y = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole, few, short = (quality.fit(spark, d, y, **o) for o in ({}, {"sample_rows": 20}, {"sample_bytes": 4_000}))
+    assert len({whole.name, few.name, short.name}) == 3
+    assert len(short.good) <= 4_000
+    # a long text is one sample, all of it
+    assert b"tail words of the text" in quality.dictionary([b"x y z " * 1_000 + b"tail words of the text"])
 
 
 def test_quality_on_held_out_rows(spark):

@@ -11,14 +11,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import free_name, materialize, plain_text
 
 #: Labelled rows of each class that the model is fitted on, at most; two thirds of
-#: them build the dictionaries, the rest calibrate the score.
-SAMPLE_ROWS = 4_500
-#: Blocks of a sampled text that enter its dictionary, at most, evenly spaced, unless ``fit`` is told otherwise.
-SAMPLE_BLOCKS = 16
+#: them build the dictionaries, the rest calibrate the score. Rows are taken by hash of
+#: their key, whole texts each, as long as a class's texts have so many bytes together.
+SAMPLE_ROWS, SAMPLE_BYTES = 4_500, 48 << 20
 #: Bytes that are compressed at a time; small, so that the dictionary tells more than the text's own repeats.
 BLOCK = 1_024
 #: Bytes of each dictionary.
@@ -66,18 +66,12 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _blocks(text: bytes, most: int | None = SAMPLE_BLOCKS) -> list[bytes]:
-    pieces = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
-    if most is None or len(pieces) <= most:
-        return pieces
-    return [pieces[i * len(pieces) // most] for i in range(most)]
-
-
-def dictionary(texts: list[bytes], sample_blocks: int | None = SAMPLE_BLOCKS) -> bytes:
-    pieces = [p for text in texts for p in _blocks(text, sample_blocks)]
-    whole = b"".join(pieces)
+def dictionary(texts: list[bytes]) -> bytes:
+    """A dictionary of whole texts, each of which is one sample, however long."""
+    texts = [t for t in texts if t]
+    whole = b"".join(texts)
     try:
-        return zstandard.train_dictionary(min(DICTIONARY, len(whole) // 4), pieces, k=64, d=8).as_bytes()
+        return zstandard.train_dictionary(min(DICTIONARY, len(whole) // 4), texts, k=64, d=8).as_bytes()
     except (ValueError, zstandard.ZstdError):
         return whole[-DICTIONARY:]  # too little to train on: the text itself serves as the dictionary
 
@@ -110,16 +104,21 @@ def fit(
     key: str = "doc_id",
     text: str = "text",
     sample_rows: int = SAMPLE_ROWS,
-    sample_blocks: int | None = SAMPLE_BLOCKS,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out.
 
     The sample holds the ``sample_rows`` rows of each class with the smallest key
-    hashes; of each of its texts at most ``sample_blocks`` blocks of ``BLOCK`` bytes,
-    evenly spaced, enter the dictionaries (None: all of them), while the calibration
-    reads whole texts. Keys with conflicting labels, null labels and labels other than 0 and 1
-    are left out. With a class missing, or texts too short for dictionaries, the
-    score is the share of good labels (0.5 without any).
+    hashes, or the first of them whose texts have ``sample_bytes`` bytes together: whole
+    texts, of which two thirds train the dictionaries and the others calibrate the score.
+    Keys with conflicting labels, null labels and labels other than 0 and 1 are left out.
+    With a class missing, or texts too short for dictionaries, the score is the share of
+    good labels (0.5 without any).
+
+    The score is a logistic function of the normalised size difference and of how little
+    text there is to compress. On held-out rows at scale 0.1 the difference alone reaches
+    an AUC of 0.9980 and a Brier score of 0.011, as it says nothing of texts of a few
+    words; with the length they are 0.9996 and 0.0025.
     """
     known = labels.select(F.col(key).cast("long").alias("k"), F.col(target).cast("int").alias("y")).where("k is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("k"))).groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
@@ -128,10 +127,13 @@ def fit(
     sample = ordered[0].unionByName(ordered[1])
     # at most 2 x sample_rows rows are broadcast; a key of several documents takes one of them
     found = docs.select(F.col(key).cast("long").alias("k"), plain_text(text).cast("binary").alias("t")).join(F.broadcast(sample), "k")
-    found = materialize(spark, found.groupBy("k", "y").agg(F.min("t").alias("t")), "quality-sample")
+    found = found.groupBy("k", "y").agg(F.min("t").alias("t"))
+    # windows over at most sample_rows rows
+    so_far = F.sum(F.length("t")).over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))
+    found = materialize(spark, found.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).drop("so_far"), "quality-sample")
     place = F.pmod(F.xxhash64("k", F.lit("use")), F.lit(3))
     texts = {y: [bytes(r["t"]) for r in found.where((F.col("y") == y) & (place != 0)).orderBy(F.xxhash64("k"), "k").select("t").toLocalIterator()] for y in (0, 1)}
-    model = Model(dictionary(texts[1], sample_blocks), dictionary(texts[0], sample_blocks))
+    model = Model(dictionary(texts[1]), dictionary(texts[0]))
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     base = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if not model.good or not model.bad:
