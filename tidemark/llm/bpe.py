@@ -18,11 +18,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rows, free_name, materialize, plain_text, release, released
+from tidemark.llm.common import Rows, filesystem, free_name, materialize, plain_text, released, shared_dir
 from tidemark.llm.vocabulary import default_vocabulary, encode_words, split_words, tokenizer
 
 #: A block is closed once its texts hold so many characters.
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 32 << 20
 #: Words are dealt to parts of about so many listed words, and to at most so many parts.
 PART_WORDS, MOST_PARTS = 200_000, 8_192
 #: Distinct words of a part that are known at a time; beyond, it starts anew.
@@ -30,10 +30,8 @@ KNOWN_WORDS = 1_000_000
 #: A larger vocabulary is not broadcast.
 MOST_PIECES = 2_000_000
 
-_BLOCK = pa.schema(
-    [("block", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))]
-)
-BLOCK = "block long, n_words long, words binary, docs array<long>, sizes array<long>, places array<binary>"
+BLOCK = "block long, n_words long, words binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary())])
 
 
 def squeeze(content: bytes) -> bytes:
@@ -52,17 +50,23 @@ class _Places(dict):
         return place
 
 
-def _blocks(block_chars: int):
+def block_path(root: str, block: int) -> str:
+    return f"{root}/block-{block}"
+
+
+def _blocks(folder: str, block_chars: int):
     """Blocks of documents: word list by falling frequency, and each document's places in it.
 
-    Places are kept as byte planes (lowest bytes together, and so on), which
+    The word list is the block's row; documents and places stay in a file of the block in
+    ``folder``. Places are kept as byte planes (lowest bytes together, and so on), which
     squeeze well as most places are small. Words hold no line feed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        number, attempt = TaskContext.get().partitionId() << 32, TaskContext.get().taskAttemptId()
+        files, root = filesystem(folder)
         table = _Places()
         docs, sizes, places, held = [], [], [], 0
 
@@ -74,18 +78,18 @@ def _blocks(block_chars: int):
             rank[order] = np.arange(len(table), dtype="<u4")
             planes = rank[met].view(np.uint8).reshape(-1, 4)
             words = list(table)
-            row = {
-                "block": number,
-                "n_words": len(words),
-                "words": squeeze("\n".join([words[i] for i in order.tolist()]).encode()),
-                "docs": docs,
-                "sizes": sizes,
-                "places": [squeeze(planes[:, i].tobytes()) for i in range(4)],
-            }
+            content = [np.array([len(docs)], "<u8").tobytes(), np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is None for d in docs], np.uint8).tobytes(), np.array(sizes, "<u8").tobytes()]
+            packed = [squeeze(b"".join(content)), *(squeeze(planes[:, i].tobytes()) for i in range(4))]
+            path = block_path(root, number)
+            with files.open_output_stream(f"{path}.{attempt}.tmp") as f:
+                for part in packed:
+                    f.write(len(part).to_bytes(8, "little") + part)
+            files.move(f"{path}.{attempt}.tmp", path)  # a repeated task puts an equal block in its place
+            row = [number, len(words), squeeze("\n".join([words[i] for i in order.tolist()]).encode())]
             number += 1
             table = _Places()
             docs, sizes, places, held = [], [], [], 0
-            return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
+            return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -103,6 +107,21 @@ def _blocks(block_chars: int):
     return run
 
 
+def read_block(content: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
+    """A block's documents, the number of words of each, and the places of all words."""
+    parts, at = [], 0
+    for _ in range(5):
+        size = int.from_bytes(content[at : at + 8], "little")
+        parts.append(unsqueeze(content[at + 8 : at + 8 + size]))
+        at += 8 + size
+    count = int(np.frombuffer(parts[0], "<u8", 1)[0])
+    docs = np.frombuffer(parts[0], "<i8", count, 8).tolist()
+    nulls = np.frombuffer(parts[0], np.uint8, count, 8 + 8 * count)
+    sizes = np.frombuffer(parts[0], "<u8", count, 8 + 9 * count).tolist()
+    places = np.stack([np.frombuffer(p, np.uint8) for p in parts[1:]], axis=1).view("<u4").ravel()
+    return [None if gone else d for d, gone in zip(docs, nulls, strict=True)], sizes, places
+
+
 _LISTED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
 
 
@@ -216,6 +235,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for table in (ids, texts):
                     own = [table[n] for n in numbers]
                     packed += [np.array([len(x) for x in own], "<u4").tobytes(), b"".join(own)]
+                packed[1] = np.frombuffer(packed[1], np.uint8).reshape(-1, 4).T.tobytes()  # byte planes
                 yield pa.record_batch([row.column(3), row.column(4), *(pa.array([squeeze(p)], pa.binary()) for p in packed)], schema=_WORDS)
             at = stop + 1
 
@@ -225,36 +245,56 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids",
 
 
 def _cut(sizes: bytes, content: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(unsqueeze(sizes), "<u4"), dtype=np.int64).tolist()
-    content = unsqueeze(content)
+    ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
     return [content[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _join(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block's documents with the ids of its words, and the texts that the ids decode to."""
-    release()
-    steps = [np.cumsum(np.frombuffer(unsqueeze(p), "<u4")).tolist() for p in right["places"].to_pylist()]
-    ids: list[bytes] = [b""] * sum(map(len, steps))
-    texts: list[bytes] = [b""] * len(ids)
-    for i, step in enumerate(steps):
-        row = right.slice(i, 1).to_pylist()[0]
-        for place, own, text in zip(step, _cut(row["lengths"], row["ids"]), _cut(row["sizes"], row["texts"]), strict=True):
-            ids[place], texts[place] = own, text
-    out, done = Rows(_ENCODED), []
-    for row in left.to_pylist():
-        planes = [np.frombuffer(unsqueeze(p), np.uint8) for p in row["places"]]
-        places = np.stack(planes, axis=1).view("<u4").ravel()
-        at = 0
-        for doc, size in zip(row["docs"], row["sizes"], strict=True):
+def _unplaned(planes: bytes) -> bytes:
+    return np.frombuffer(unsqueeze(planes), np.uint8).reshape(4, -1).T.tobytes()
+
+
+def _documents(folder: str):
+    """The documents of each block with the ids of their words, and the texts that the ids decode to.
+
+    The rows of a block, of all parts, follow each other.
+    """
+
+    def work(block: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        files, root = filesystem(folder)
+        with files.open_input_stream(block_path(root, block)) as f:
+            docs, sizes, places = read_block(f.read())
+        steps = [np.cumsum(np.frombuffer(unsqueeze(r["places"]), "<u4")).tolist() for r in rows]
+        ids: list[bytes] = [b""] * sum(map(len, steps))
+        texts: list[bytes] = [b""] * len(ids)
+        for row, step in zip(rows, steps, strict=True):
+            for place, own, text in zip(step, _cut(unsqueeze(row["lengths"]), _unplaned(row["ids"])), _cut(unsqueeze(row["sizes"]), unsqueeze(row["texts"])), strict=True):
+                ids[place], texts[place] = own, text
+        out, at = Rows(_ENCODED), 0
+        for doc, size in zip(docs, sizes, strict=True):
             own = places[at : at + size].tolist()
             at += size
             content = b"".join(map(ids.__getitem__, own))
             # a word without ids has no pieces, and no space of its own either
             decoded = b" ".join(filter(None, map(texts.__getitem__, own)))
             if out.add(len(content) + len(decoded), doc, len(content) // 4, content, decoded):
-                done.append(out.batch())
-    done.append(out.batch())
-    return pa.Table.from_batches(done, schema=_ENCODED)
+                yield out.batch()
+        yield out.batch()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        current = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] != current and current is not None:
+                    yield from work(current, held)
+                    held = []
+                current = row["block"]
+                if row["places"] is not None:
+                    held.append(row)
+        if current is not None:
+            yield from work(current, held)
+
+    return run
 
 
 def id_pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -315,11 +355,15 @@ def encode_documents(
     own; an empty table gives an empty result. Only ``key`` and ``text`` are read.
 
     A word goes back once to each block that lists it, so the commonest word has as
-    many rows as there are blocks, not as many as it has places.
+    many rows as there are blocks, not as many as it has places. Places stay in a file of
+    their block in the shared folder, where the task that puts the block together reads it.
     """
     vocabulary = vocabulary or default_vocabulary()
     rows = docs.select(F.col(key).cast("long").alias("k"), plain_text(text).alias("t"))
-    blocks = materialize(spark, rows.mapInArrow(released(_blocks(block_chars)), BLOCK), "bpe-blocks")
+    folder = shared_dir(spark, "bpe-places")
+    files, root = filesystem(folder)
+    files.create_dir(root, recursive=True)
+    blocks = materialize(spark, rows.mapInArrow(released(_blocks(folder, block_chars)), BLOCK), "bpe-blocks")
     listed = blocks.agg(F.sum("n_words")).first()[0] or 0
     parts = min(MOST_PARTS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-listed // PART_WORDS)))
     words = blocks.select("block", "words").mapInArrow(released(_deal(parts)), "part int, block long, places binary, words binary")
@@ -328,8 +372,10 @@ def encode_documents(
     tokens = dealt.mapInArrow(released(_encode(vocabulary, known_words)), TOKENS)
     decoded = tokens.join(F.broadcast(id_pieces(spark, vocabulary)), "id", "left").select(*tokens.columns, "piece")
     back = decoded.mapInArrow(released(_decoded), WORDS)
-    held = blocks.select("block", "docs", "sizes", "places")
-    return held.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_join, ENCODED)
+    # a block whose texts have no words comes by itself
+    none = [F.lit(None).cast("binary").alias(c) for c in ("places", "lengths", "ids", "sizes", "texts")]
+    back = back.unionByName(blocks.where("n_words = 0").select("block", *none))
+    return back.repartition("block").sortWithinPartitions("block").mapInArrow(released(_documents(folder)), ENCODED)
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
