@@ -20,7 +20,8 @@ from tidemark.plans.features import Build
 from tidemark.sources import pages, tables
 from tidemark.sources.cache import coalesce
 from tidemark.streaming import live
-from tidemark.streaming.run import drain, read_files, work_dir
+from tidemark.sources.folders import work_dir
+from tidemark.streaming.run import drain, read_files
 
 # --- factor expressions
 
@@ -232,7 +233,8 @@ def test_scores_at_their_edges(spark):
 def test_overlap_and_correlation(spark):
     fires = spark.createDataFrame([("a", i) for i in range(4)] + [("b", i) for i in range(2, 8)] + [("c", 99)], "factor string, cs long")
     found = {(r["a"], r["b"]): r for r in scoring.overlaps(fires).collect()}
-    assert found["a", "b"]["jaccard"] == 0.25 and found["a", "b"]["containment_ab"] == 0.5 and found["a", "c"]["jaccard"] == 0
+    assert found["a", "b"]["jaccard"] == 0.25 and found["a", "b"]["containment_ab"] == 0.5 and set(found) == {("a", "b")}
+    assert scoring.overlaps(fires, least=0.3).count() == 0 and scoring.overlaps(fires, least=0.25).count() == 1
     x = spark.createDataFrame([(i, float(i), float(i * i % 7), 1.0) for i in range(30)], "i long, a double, b double, k double")
     assert scoring.stream_corr(x, "a", "k").first()["corr"] == 0
     a, b = np.arange(30.0), np.array([i * i % 7 for i in range(30)], float)
@@ -244,7 +246,50 @@ def test_overlap_and_correlation(spark):
 def test_leaders(spark):
     cards = spark.createDataFrame([("a", "UP", 3.0), ("b", "UP", 2.0), ("c", "DOWN", 1.0), ("d", "UP", 0.5)], "factor string, direction string, net_base_wilson double")
     pairs = spark.createDataFrame([("a", "b", 0.8), ("a", "c", 0.9), ("b", "d", 0.9)], "a string, b string, jaccard double")
-    assert scoring.leaders(cards, pairs) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")]
+    assert sorted(map(tuple, scoring.leaders(cards, pairs).collect())) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaders_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    names = [f"f{i:02}" for i in range(40)]
+    cards = [(n, rng.choice(["UP", "DOWN"]), rng.choice([None, float("nan"), 1.0, 2.0, rng.random()][2 * (rng.random() < 0.7) :])) for n in names]
+    cards = [(n, d, None if b is None or b != b else b) for n, d, b in cards]
+    pairs = [(x, y, rng.random()) for i, x in enumerate(names) for y in names[i + 1 :] if rng.random() < 0.15]
+    close = {frozenset(p[:2]) for p in pairs if p[2] > 0.5}
+    chosen, wanted = [], {}
+    for n, d, _ in sorted(cards, key=lambda c: (c[2] is None, -(c[2] or 0), c[0])):
+        wanted[n] = next((c for c, e in chosen if e == d and frozenset((c, n)) in close), n)
+        if wanted[n] == n:
+            chosen.append((n, d))
+    frames = spark.createDataFrame(cards, "factor string, direction string, net_base_wilson double"), spark.createDataFrame(pairs, "a string, b string, jaccard double")
+    assert dict(map(tuple, scoring.leaders(*frames, most=0.5).collect())) == wanted
+
+
+def test_plans_have_no_single_task_windows_over_rows_and_no_nested_loops(spark):
+    folder = "/root/testdata/sf0.001"
+    from tidemark.plans import catalogue
+
+    for name in ("stream_corr_drop_k", "dsl_transforms", "roll_zs_native", "roll_rank_native", "jaccard", "containment", "drop5_nev", "dashboard_agg", "realtime_row", "trigger_append", "roll_zs7d"):
+        plan = catalogue.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
+        # a window without a key may run over the counts of time buckets, a row each, not over rows
+        bare = [line for line in plan.splitlines() if "Window [" in line and line.rstrip().count("], [") == 1 and "windowspecdefinition(_b#" not in line]
+        assert not bare, (name, bare)
+
+
+def test_transforms_in_buckets(spark):
+    rng = np.random.default_rng(5)
+    x = [None if rng.random() < 0.1 else float(v) for v in rng.normal(size=700)]
+    df = spark.createDataFrame([(i * 300, v) for i, v in enumerate(x)], "cs long, x double")
+    texts = ["x__zs2h > 0.5 & x > x__lag3", "x__rank2h__lag2 <= 0.4", "x__abs > 1"]
+    found = {(r["cs"], r["factor"]): r["hit"] for r in factors.hits(df, texts, ["cs"], "cs", rows=60, span=9_000).collect()}
+    whole = df.select("cs", *[factors.compile_factor(factors.parse(t, df.columns), ["cs"]).alias(str(i)) for i, t in enumerate(texts)]).collect()
+    assert len(found) == 3 * 700
+    for r in whole:
+        assert [found[r["cs"], factors.canonicalize(t)] for t in texts] == [r[str(i)] for i in range(3)]
+    with pytest.raises(factors.FactorError):
+        factors.hits(df, texts, ["cs"])
 
 
 # --- ledger
@@ -285,9 +330,69 @@ def test_triggers_fire_once(spark):
     assert [r["cs"] for r in live.triggers(spine, roster, F.lit(365)).collect()] == [300]
 
 
+def test_triggers_are_reserved_then_filled_in(spark):
+    old = _ledger(spark, [dict(id=7, expr="a", candle_start_s=300, status="open")])
+    hits = spark.createDataFrame([("a", 300, True, 0.4, "UP"), ("b", 600, True, 0.5, "UP"), ("b", 300, True, 0.6, "DOWN"), ("c", 300, False, 0.1, "UP")], "expr string, candle_start_s long, hit boolean, book_ask_up double, direction string")
+    new = ledger.reserve_triggers(old, hits, 700)
+    assert new.schema.names == old.schema.names
+    assert sorted((r["id"], r["expr"], r["candle_start_s"], r["status"], r["book_ask_up"], r["opened_at_s"], r["order_id"]) for r in new.collect()) == [(8, "b", 300, "open", 0.6, 700, None), (9, "b", 600, "open", 0.5, 700, None)]
+    whole = ledger.append_triggers(old, hits, 700)
+    assert ledger.reserve_triggers(whole, hits, 800).count() == 0
+    filled = upsert.update_by_id(whole, spark.createDataFrame([(8, "o1", 0.61)], "id long, order_id string, entry_price_live double"))
+    assert {r["id"]: r["order_id"] for r in filled.collect()} == {7: None, 8: "o1", 9: None}
+    assert [r["id"] for r in ledger.reserve_triggers(old.limit(0), hits, 700).orderBy("id").collect()] == [1, 2, 3]
+
+
+def test_dashboard_is_a_view(spark):
+    rows = [dict(id=i, expr="e", status="settled", settled_at_s=i, up_won=i % 2, pnl_ratio_paper_net=float(i), entry_price_paper=0.5) for i in range(60)]
+    roster = spark.createDataFrame([("e", "lab", "UP", "paper"), ("x", "dead", "UP", "killed")], "expr string, label string, direction string, status string")
+    ledger.create_dashboard(_ledger(spark, rows), roster, "board_of_test")
+    r = spark.sql("SELECT * FROM board_of_test").collect()
+    assert len(r) == 1 and r[0]["n_fired"] == 60 and r[0]["nev50"] == sum(range(10, 60)) / 50 and r[0]["wr"] == 0.5 and r[0]["n_live"] == 0
+
+
+def test_realtime_row(spark):
+    bars = [(t, 1.0 + (t // 60) % 7, 9.0, 0.5, 2.0 + (t // 60) % 5, 1.0, 2.0, 0.5, 3) for t in range(0, 30_000, 60)]
+    bars = spark.createDataFrame(bars, "ts long, open double, high double, low double, close double, volume double, quote_volume double, taker_buy_volume double, n_trades long")
+    history = spark.createDataFrame([("bn_chg_pct_pre_60", i * 300, float(i % 11)) for i in range(97)], "feature_name string, cs long, value double")
+    row, new = live.realtime_row("bn_chg_pct_pre_60__zs24h > -99 & bn_chg_pct_pre_60__rank24h <= 1 & bn_cvd_pre_60 <= 0", 29_100, history, bars)
+    r = row.first()
+    wanted = bar_features(spark.createDataFrame([(29_100,)], "cs long"), bars).first()
+    past = [float(i % 11) for i in range(97)]
+    assert r["bn_chg_pct_pre_60"] == wanted["bn_chg_pct_pre_60"] and r["hit"] is True
+    assert r["bn_chg_pct_pre_60__zs24h"] == pytest.approx((r["bn_chg_pct_pre_60"] - np.mean(past)) / np.std(past, ddof=1))
+    assert {n["feature_name"]: n["value"] for n in new.collect()} == {n: wanted[n] for n in ("bn_chg_pct_pre_60", "bn_cvd_pre_60")}
+    short, _ = live.realtime_row("bn_chg_pct_pre_60__zs7d > 0", 29_100, history, bars)
+    assert short.first()["hit"] is False and short.first()["bn_chg_pct_pre_60__zs7d"] is None
+    for text in ("fund_8h_now > 0", "bn_chg_pct_pre_60__lag1 > 0"):
+        with pytest.raises((NotImplementedError, factors.FactorError)):
+            live.realtime_row(text, 29_100, history, bars)
+
+
+def test_feed_helpers(spark):
+    bars = spark.createDataFrame([(0,), (60,), (120,)], "ts long")
+    assert [r["ts"] for r in live.closed_bars(bars, 150).collect()] == [0, 60]
+    spine = spark.createDataFrame([(0, "u0", "d0"), (300, "u1", "d1"), (600, "u2", None), (900, "u3", "d3")], "cs long, up_token string, down_token string")
+    assert sorted(r["asset_id"] for r in live.wanted_tokens(spine, 450).collect()) == ["d1", "u1", "u2"]
+    items = spark.createDataFrame([(i, i % 3) for i in range(9)], "id long, x long")
+    found = {r["id"]: r for r in live.sweep(items, lambda row: str(6 // row["x"])).collect()}
+    assert len(found) == 9 and found[1]["result"] == "6" and not found[3]["done"] and found[3]["error_msg"].startswith("ZeroDivisionError")
+
+
 # --- tables
 
 
+def test_a_cut_off_replacement_is_put_in_place(spark):
+    path = work_dir(spark, "swap")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    move = lambda a, b: fs.rename(spark._jvm.org.apache.hadoop.fs.Path(a), spark._jvm.org.apache.hadoop.fs.Path(b))
+    upsert.swap_write(spark, spark.range(3), path)
+    spark.range(5).write.parquet(f"{path}.new")
+    move(path, f"{path}.old")
+    assert upsert.exists(spark, path) and spark.read.parquet(path).count() == 5
+    assert not upsert.exists(spark, f"{path}-none")
+
+
 def test_incremental_tables(spark):
     path = work_dir(spark, "table")
     new = lambda rows: spark.createDataFrame(rows, "cs long, v string")
@@ -420,8 +525,12 @@ def test_feature_build(spark):
     bars = [(t * 1000, 1.0 + t % 7, 9.0, 0.5, 2.0 + t % 5, 1.0, 2.0, 3, 0.5, 1.0, 0) for t in range(0, 12_000, 60)]
     spark.createDataFrame(bars, tables.schema("bars")).write.parquet(f"{raw}/bars.parquet")
     spark.createDataFrame([(0, 0.01, 1.0, 0)], tables.schema("funding")).write.parquet(f"{raw}/funding.parquet")
+    trades = [("c2", 630, "BUY", 0.4, 1.0, "u", "w", "t1"), ("c2", 629, "BUY", 0.3, 1.0, "u", "w", "t2"), ("c2", 930, "BUY", 0.9, 1.0, "d", "w", "t3"), ("c2", 630, "SELL", 0.8, 1.0, "u", "w", "t4")]
+    spark.createDataFrame(trades * 2, tables.schema("trades")).write.parquet(f"{raw}/trades.parquet")
     build = Build(spark, raw, out)
     assert build.run() == list(Build.ORDER)
+    panel = spark.read.parquet(f"{raw}/ep_panel.parquet")
+    assert panel.count() == 40 and panel.where("cid = 'c2'").first()["p_intra_30_up"] == 0.4 and panel.where("p_intra_270_dn is not null").count() == 0
     found = spark.read.parquet(f"{out}/features.parquet")
     assert found.count() == 39 and {"bn_run_len", "p_intra_30_up", "fund_8h_now", "ls_top_acct_ratio", "era"} <= set(found.columns)
     assert found.where("cs = 600").first()["fund_8h_now"] == 0.01

@@ -151,11 +151,32 @@ def compile_factor(factor: Factor, order: Iterable[str] = (), partition: Iterabl
     return hit
 
 
-def hits(df: DataFrame, factors: Iterable[str], keys: Iterable[str], order: Iterable[str] = ()) -> DataFrame:
-    """``keys, factor, hit``: every factor over every row in long form, in one pass of ``df``."""
+def reach(factors: Iterable[Factor]) -> int:
+    """How many rows back the transforms of any atom look; 0 without windows."""
+    atoms = [a for f in factors for p in f.predicates for a in (p.left, p.right) if isinstance(a, Atom)]
+    back = {"lag": int, "zs": lambda arg: _window(arg)[0], "rank": lambda arg: _window(arg)[0]}
+    return max((sum(back[name](arg) for name, arg in a.steps if name in back) for a in atoms), default=0)
+
+
+def hits(df: DataFrame, factors: Iterable[str], keys: Iterable[str], order: str | None = None, rows: int = 20_000, span: int = 86_400 * 30) -> DataFrame:
+    """``keys, factor, hit``: every factor over every row in long form, in one pass of ``df``.
+
+    Transforms that look back need ``order``, a unique column of times in seconds; their
+    windows run in buckets of ``rows`` rows, each with as many rows of the one before as
+    they reach.
+    """
     parsed = [parse(f, df.columns) for f in factors]
-    pairs = [F.struct(F.lit(f.text).alias("factor"), compile_factor(f, order).alias("hit")) for f in parsed]
-    return df.select(*keys, F.explode(F.array(*pairs)).alias("f")).select(*keys, "f.factor", "f.hit")
+    back = reach(parsed)
+    if back:
+        from tidemark.operators.timeline import in_buckets
+
+        if order is None:
+            raise FactorError("transforms that look back need an order")
+        df = in_buckets(df, order, back, rows, span)
+    pairs = [F.struct(F.lit(f.text).alias("factor"), compile_factor(f, ["_idx"], ["_bucket"]).alias("hit")) for f in parsed]
+    found = df.select(*keys, *(["_own"] if back else []), F.array(*pairs).alias("f"))
+    found = found.where("_own") if back else found
+    return found.select(*keys, F.explode("f").alias("f")).select(*keys, "f.factor", "f.hit")
 
 
 def needs_source(factor: Factor, prefixes: Iterable[str]) -> bool:

@@ -10,6 +10,17 @@ from tidemark.operators.timeline import Trailing
 
 # Trailing windows in seconds.
 WINDOWS = (60, 300, 900, 1800, 3600)
+# The features' names.
+FEATURES = (
+    *(f"bn_chg_pct_pre_{w}" for w in WINDOWS),
+    *(f"bn_rv_{w}" for w in (300, 900, 1800)),
+    *(f"bn_{n}_pre_{w}" for n in ("taker_buy_ratio", "cvd", "avg_trade_size") for w in (60, 300, 900)),
+    "bn_vol_zscore_pre_60",
+    *(f"bn_{n}_pre_{w}" for n in ("hl_range", "clv", "cvd_chgdn", "cvd_chgup") for w in (300, 900)),
+    "bn_secs_since_low_900",
+    "bn_secs_since_high_900",
+    "bn_run_len",
+)
 BAR = ["ts", "open", "high", "low", "close", "volume", "quote_volume", "taker_buy_volume", "n_trades"]
 
 
@@ -27,7 +38,8 @@ def bar_features(spine: DataFrame, bars: DataFrame, unit: int = 1, spine_ts: str
     # each bar's return on the bar before; a frame leaves out the return into its first bar
     previous = F.lag("bar.close").over(Window.partitionBy("_bucket", F.col("bar").isNull()).orderBy("_t"))
     t = t.with_bars(_r=F.ln(F.try_divide(_positive(F.col("bar.close")), _positive(previous))))
-    t = t.with_bars(_sign=F.signum(F.col("bar.close") - F.col("bar.open")))
+    so_far = Window.partitionBy("_bucket").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    t = t.with_bars(_sign=F.signum(F.col("bar.close") - F.col("bar.open")), _no=F.when(F.col("bar").isNotNull(), F.count("bar").over(so_far)))
     bar = lambda name: F.col(f"bar.{name}")
     made: dict[str, Column] = {}
     for name in WINDOWS:
@@ -65,15 +77,12 @@ def bar_features(spine: DataFrame, bars: DataFrame, unit: int = 1, spine_ts: str
             made["bn_secs_since_low_900"] = (F.col("_t") - lowest).cast("double")
             made["bn_secs_since_high_900"] = (F.col("_t") - highest).cast("double")
         if name == 3600:
-            sign = t.last(F.col("_sign"), w)
             # bars after the last one of any other sign; the frame's bars all of one sign count whole
-            breaks = [t.over(F.max(F.when(F.col("_sign") != s, t.ts)), w) for s in (1, -1)]
-            made["bn_run_len"] = (sign, breaks)
-    sign, breaks = made.pop("bn_run_len")
-    made |= {"_sign_last": sign, "_break_up": breaks[0], "_break_dn": breaks[1]}
-    w = 3600 * unit
-    found = t.select(made | {"_ts_list": F.collect_list(t.ts).over(t.frame(w))})
-    broken = F.when(F.col("_sign_last") > 0, F.col("_break_up")).otherwise(F.col("_break_dn"))
-    length = F.size(F.filter("_ts_list", lambda x: broken.isNull() | (x > broken)))
-    found = found.withColumn("bn_run_len", F.when(F.col("_sign_last").isNotNull(), F.col("_sign_last") * length))
-    return found.drop("_sign_last", "_break_up", "_break_dn", "_ts_list")
+            made["_sign"] = t.last(F.col("_sign"), w)
+            made["_bars"], made["_last"] = t.over(F.count(bar("ts")), w), t.over(F.max("_no"), w)
+            for s, side in ((1, "_up"), (-1, "_dn")):
+                made[side] = t.over(F.max(F.when(F.col("_sign") != s, F.col("_no"))), w)
+    found = t.select(made)
+    broken = F.when(F.col("_sign") > 0, F.col("_up")).when(F.col("_sign") < 0, F.col("_dn"))
+    length = F.when(F.col("_sign") == 0, F.lit(0)).otherwise(F.coalesce(F.col("_last") - broken, F.col("_bars")))
+    return found.withColumn("bn_run_len", F.col("_sign") * length).drop("_sign", "_bars", "_last", "_up", "_dn")

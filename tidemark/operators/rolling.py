@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
-from tidemark.operators.timeline import dense_index
+from tidemark.operators.timeline import in_buckets
 
 
 @dataclass(frozen=True)
@@ -92,31 +92,35 @@ def rolling_features(df: DataFrame, ts: str, columns: Sequence[str], specs: Sequ
     gets the last rows of the one before as far as the longest window reaches, so all
     buckets can be computed apart. ``ts`` is unique.
     """
-    halo = max(s.window for s in specs) + 1
-    rows = max(rows, halo)
-    indexed = dense_index(df, ts, span, "_idx")
-    own = F.floor(F.col("_idx") / rows)
-    late = F.col("_idx") % rows >= rows - halo
-    dealt = indexed.withColumn("_bucket", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    dealt = in_buckets(df, ts, max(s.window for s in specs), rows, span)
     schema = StructType([*df.schema.fields, *[StructField(f"{c}__{s.suffix}", DoubleType()) for c in columns for s in specs]])
     names = df.columns
+    kept = dealt.select(*[F.col(f"`{n}`") for n in names], "_bucket", "_idx", "_own")
 
-    def work(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_idx")
-        out = {n: part[n] for n in names}
+    def work(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_idx")
+        own = part["_own"].combine_chunks()
+        new = [part[n].filter(own) for n in names]
         for c in columns:
-            x = part[c].astype("float64")
+            x = part[c].cast(pa.float64()).to_pandas()
             for s in specs:
                 if s.op == "zs":
                     past = x.rolling(s.window, min_periods=s.least, closed="left")
                     spread = past.std()
-                    new = (x - past.mean()) / spread.where(spread > 0)
+                    found = (x - past.mean()) / spread.where(spread > 0)
                 elif s.op == "rank":
-                    new = x.rolling(s.window, min_periods=s.least).rank(pct=True)
+                    found = x.rolling(s.window, min_periods=s.least).rank(pct=True)
                 else:
-                    new = x.shift(s.window)
-                out[f"{c}__{s.suffix}"] = new
-        found = pd.DataFrame(out)[(part["_idx"] // rows == key[0]).to_numpy()]
-        return found.astype(object).where(found.notna(), None)
+                    found = x.shift(s.window)
+                # missing values become nulls
+                new.append(pa.array(found, pa.float64(), from_pandas=True).filter(own))
+        return pa.table(new, names=schema.names)
 
-    return dealt.groupBy("_bucket").applyInPandas(work, schema)
+    return kept.groupBy("_bucket").applyInArrow(work, schema)
+
+
+def rolling_moments(value: Column, ordered: WindowSpec, window: int = 100) -> dict[str, Column]:
+    """``mean``, ``sd`` (sample) and ``t`` = mean / sd * sqrt(n) over the last ``window`` rows, the row's own included."""
+    frame = ordered.rowsBetween(-(window - 1), 0)
+    mean, sd, n = F.avg(value).over(frame), F.stddev_samp(value).over(frame), F.count(value).over(frame)
+    return {"mean": mean, "sd": sd, "t": F.when(n > 1, F.try_divide(mean * F.sqrt(n), F.nullif(sd, F.lit(0.0))))}

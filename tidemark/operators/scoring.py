@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.pricing import DRIFT, backtest_friction
+from tidemark.sources.folders import stored
 
 # The gates of selection and of graduation.
 GATES = {
@@ -86,14 +87,20 @@ def scorecard(ledger: DataFrame, by: Sequence[str], win: str = "win", price: str
 
 
 def drop_cheapest_nev(ledger: DataFrame, by: Sequence[str], ties: Sequence[str], win: str = "win", price: str = "price", k: int = CHEAP) -> DataFrame:
-    """``nev`` without the ``k`` cheapest winners; null with ``k`` winners or fewer."""
-    won = F.col(win) > 0.5
-    cheapest = Window.partitionBy(*by, F.coalesce(won, F.lit(False))).orderBy(price, *ties)
+    """``nev`` without the ``k`` cheapest winners; null with ``k`` winners or fewer.
+
+    The sums over all rows come from one aggregate; the cheapest winners, of which each
+    task keeps ``k`` per factor, are then taken out of them.
+    """
+    w, p = F.col(win).cast("double"), F.col(price)
     known = ledger.where(F.col(win).isNotNull() & F.col(price).isNotNull())
-    ranked = known.withColumn("_rank", F.when(won, F.row_number().over(cheapest)))
-    kept = F.col("_rank").isNull() | (F.col("_rank") > k)
-    w, p = F.when(kept, F.col(win).cast("double")), F.when(kept, F.col(price))
-    return ranked.groupBy(*by).agg(F.when(F.count("_rank") > k, nev(w, p)).alias(f"drop{k}_nev"))
+    sums = known.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if(w > 0.5).alias("_won"), F.sum(pay(w, p)).alias("_pay"), F.sum(p).alias("_price"))
+    cheapest = Window.partitionBy(*by).orderBy(price, *ties)
+    out = known.where(w > 0.5).withColumn("_rank", F.row_number().over(cheapest)).where(F.col("_rank") <= k)
+    out = out.groupBy(*by).agg(F.sum(pay(w, p)).alias("_pay_out"), F.sum(p).alias("_price_out"))
+    left = F.col("_n") - k
+    score = (F.col("_pay") - F.col("_pay_out")) / left - backtest_friction((F.col("_price") - F.col("_price_out")) / left)
+    return sums.join(out, list(by), "left").select(*by, F.when(F.col("_won") > k, score).alias(f"drop{k}_nev"))
 
 
 def walk_forward(ledger: DataFrame, by: Sequence[str], week: str = "week", win: str = "win", price: str = "price", least: int = GATES["week_hits"]) -> DataFrame:
@@ -107,26 +114,29 @@ def walk_forward(ledger: DataFrame, by: Sequence[str], week: str = "week", win:
     )
 
 
-def overlaps(fires: DataFrame, factor: str = "factor", key: str = "cs") -> DataFrame:
-    """``a, b, n_a, n_b, n_both, jaccard, containment_ab, containment_ba`` of every two factors, a < b.
+def overlaps(fires: DataFrame, factor: str = "factor", key: str = "cs", least: float = 0.0) -> DataFrame:
+    """``a, b, n_a, n_b, n_both, jaccard, containment_ab, containment_ba`` of factors that overlap, a < b.
 
-    ``fires`` has a row per factor and key that fires. Two factors without any common
-    key are there too. The common keys are counted by key, not by comparing factors.
+    ``fires`` has a row per factor and key that fires. Only pairs with a common key and a
+    jaccard of ``least`` or more are there; all others overlap by 0 or less than asked.
+    The common keys are counted by key, not by comparing factors. Two sets of sizes x < y
+    have a jaccard of at most x / y, so pairs of too different sizes are left out before
+    their keys are counted.
     """
     fires = fires.select(F.col(factor).alias("f"), F.col(key).alias("k")).where("f is not null and k is not null").distinct()
     sizes = fires.groupBy("f").agg(F.count("*").alias("n"))
-    a, b = fires.select(F.col("f").alias("a"), "k"), fires.select(F.col("f").alias("b"), "k")
-    both = a.join(b, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_both"))
-    # as many rows as pairs of factors
-    pairs = sizes.select(F.col("f").alias("a"), F.col("n").alias("n_a")).join(sizes.select(F.col("f").alias("b"), F.col("n").alias("n_b")), F.col("a") < F.col("b"))
-    found = pairs.join(both, ["a", "b"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)).cast("long"))
+    sized = fires.join(sizes, "f")
+    a, b = (sized.select(F.col("f").alias(x), F.col("n").alias(f"n_{x}"), "k") for x in "ab")
+    fit = F.least("n_a", "n_b") >= F.lit(float(least)) * F.greatest("n_a", "n_b")
+    found = a.join(b, "k").where((F.col("a") < F.col("b")) & fit).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("n_both"))
     ratio = lambda x: F.coalesce(F.try_divide(F.col("n_both").cast("double"), x.cast("double")), F.lit(0.0))
-    return found.select(
+    found = found.select(
         "*",
         ratio(F.col("n_a") + F.col("n_b") - F.col("n_both")).alias("jaccard"),
         ratio(F.col("n_a")).alias("containment_ab"),
         ratio(F.col("n_b")).alias("containment_ba"),
     )
+    return found.where(F.col("jaccard") >= least)
 
 
 def stream_corr(streams: DataFrame, a: str, b: str, by: Sequence[str] = (), drop: int = 0, ties: Sequence[str] = ()) -> DataFrame:
@@ -136,12 +146,21 @@ def stream_corr(streams: DataFrame, a: str, b: str, by: Sequence[str] = (), drop
     """
     rows = streams.select(*by, *ties, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).where("_a is not null and _b is not null")
     if drop:
-        group = [F.col(c) for c in by] or [F.lit(1)]
-        means = rows.groupBy(*group).agg(F.avg("_a").alias("_ma"), F.avg("_b").alias("_mb"))
-        rows = rows.join(means.select(*by, "_ma", "_mb"), list(by)) if by else rows.join(F.broadcast(means.select("_ma", "_mb")))
-        share = F.abs((F.col("_a") - F.col("_ma")) * (F.col("_b") - F.col("_mb")))
-        order = Window.partitionBy(*group).orderBy(F.desc(share), *ties)
-        rows = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") > drop)
+        group = list(by)
+        means = rows.groupBy(*group).agg(F.struct(F.avg("_a").alias("a"), F.avg("_b").alias("b")).alias("_mean"))
+        rows = rows.join(means, group) if by else rows.withColumn("_mean", means.scalar())
+        share = F.abs((F.col("_a") - F.col("_mean.a")) * (F.col("_b") - F.col("_mean.b"))).alias("_share")
+        rows = rows.select(*group, *ties, "_a", "_b", share)
+        order = [F.desc("_share"), *ties]
+        if by:
+            most = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_rank") <= drop)
+        else:
+            most = rows.orderBy(*order).limit(drop)
+        # the last of the dropped rows, in order, parts them from the rest
+        here = F.struct((-F.col("_share")).alias("s"), *ties)
+        last = most.groupBy(*group).agg(F.max(here).alias("_last"))
+        rows = rows.join(last, group) if by else rows.withColumn("_last", last.scalar())
+        rows = rows.where(here > F.col("_last"))
     spread = F.nullif(F.stddev_pop("_a") * F.stddev_pop("_b"), F.lit(0.0))
     return rows.groupBy(*by).agg(F.coalesce(F.try_divide(F.covar_pop("_a", "_b"), spread), F.lit(0.0)).alias("corr"))
 
@@ -168,30 +187,42 @@ def graduation(board: DataFrame, weeks: str = "n_weeks") -> DataFrame:
     return board.withColumn("verdict", F.when(F.coalesce(passed, F.lit(False)), "graduate").when(F.coalesce(capped, F.lit(False)), "kill").otherwise("wait"))
 
 
-def leaders(cards: DataFrame, pairs: DataFrame, most: float = GATES["jaccard_max"], factor: str = "factor") -> list[tuple[str, str]]:
-    """``(factor, leader)`` by greedy choice: the best net base first, and each factor of the
-    same direction that overlaps a chosen one by more than ``most`` folds into it.
+def leaders(cards: DataFrame, pairs: DataFrame, most: float = GATES["jaccard_max"], factor: str = "factor") -> DataFrame:
+    """``factor, leader`` by greedy choice: the best net base first, and each factor of the
+    same direction that overlaps a chosen one by more than ``most`` folds into the best of them.
 
-    The choice is sequential, over a row per factor and per overlapping pair.
+    The choice is sequential, but only along overlaps, so it goes in rounds over all
+    factors at once: a factor leads once all better factors that it overlaps have
+    folded, and folds once one of them leads. A round decides at least the best factor
+    of each group that is left; its state is written before the next one reads it.
     """
-    order = cards.select(factor, "direction", "net_base_wilson").orderBy(F.desc_nulls_last("net_base_wilson"), factor).collect()
-    close: dict[str, set[str]] = {}
-    for r in pairs.where(F.col("jaccard") > most).select("a", "b").collect():
-        close.setdefault(r["a"], set()).add(r["b"])
-        close.setdefault(r["b"], set()).add(r["a"])
-    chosen: list[tuple[str, str]] = []
-    found = []
-    for r in order:
-        name = r[factor]
-        leader = next((c for c, d in chosen if d == r["direction"] and c in close.get(name, ())), name)
-        if leader == name:
-            chosen.append((name, r["direction"]))
-        found.append((name, leader))
-    return found
+    spark = cards.sparkSession
+    rank = F.struct(F.coalesce(-F.col("net_base_wilson"), F.lit(float("inf"))).alias("at"), F.col(factor).cast("string").alias("name"))
+    card = cards.select(F.col(factor).alias("f"), "direction", rank.alias("rank"))
+    close = pairs.where(F.col("jaccard") > most).select("a", "b")
+    close = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    close = close.join(card.select(F.col("f").alias("a"), F.col("direction").alias("d"), F.col("rank").alias("r")), "a")
+    close = close.join(card.select(F.col("f").alias("b"), F.col("direction").alias("better_d"), F.col("rank").alias("better_r")), "b")
+    # for each factor the better ones that it could fold into
+    close = close.where("d = better_d and better_r < r").select(F.col("a").alias("f"), F.col("b").alias("better"), "better_r")
+    close, state = stored(spark, close, "close"), stored(spark, card.select("f", F.lit(None).cast(card.schema["f"].dataType).alias("leader")), "leaders")
+    while not state.where("leader is null").isEmpty():
+        known = state.select(F.col("f").alias("better"), F.col("leader").alias("of"))
+        seen = close.join(state.where("leader is null").select("f"), "f", "left_semi").join(known, "better")
+        seen = seen.groupBy("f").agg(
+            F.min(F.when(F.col("of") == F.col("better"), F.struct("better_r", "better"))).alias("chosen"),
+            F.min(F.when(F.col("of").isNull(), F.col("better_r"))).alias("unknown"),
+        )
+        settled = F.col("unknown").isNull() | (F.col("chosen.better_r") < F.col("unknown"))
+        turn = F.when(settled & F.col("chosen").isNotNull(), F.col("chosen.better")).when(F.col("unknown").isNull(), F.col("f"))
+        state = stored(spark, state.join(seen, "f", "left").select("f", F.coalesce("leader", turn).alias("leader")), "leaders")
+    return state.select(F.col("f").alias(factor), "leader")
 
 
 def thresholds(features: DataFrame, columns: Sequence[str], cuts: Sequence[float]) -> DataFrame:
     """``column, cut, threshold``: quantiles of each column, for enumerating one-predicate factors."""
     long = features.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    found = long.where("v is not null").groupBy("column").agg(F.percentile_approx("v", list(cuts), 10_000).alias("q"))
+    # exact: equal values are counted together before they are shuffled
+    counts = long.where("v is not null").groupBy("column", "v").agg(F.count("*").alias("n"))
+    found = counts.groupBy("column").agg(F.percentile("v", list(cuts), F.col("n")).alias("q"))
     return found.select("column", F.posexplode("q").alias("i", "threshold")).select("column", F.element_at(F.array(*[F.lit(float(c)) for c in cuts]), F.col("i") + 1).alias("cut"), "threshold")

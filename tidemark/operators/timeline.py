@@ -150,3 +150,19 @@ def dense_index(df: DataFrame, ts: str, span: int, name: str = "idx", tie: Seque
     counts = counts.select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy("_b").orderBy(ts, *tie)
     return bucketed.withColumn(name, F.row_number().over(inside) - 1).join(counts, "_b").withColumn(name, F.col(name) + F.col("_first")).drop("_b", "_first")
+
+
+def in_buckets(df: DataFrame, ts: str, reach: int, rows: int = 20_000, span: int = 86_400 * 30) -> DataFrame:
+    """``df`` in buckets of ``rows`` rows by ``ts``, for windows that reach back ``reach`` rows.
+
+    Adds ``_idx``, the row's number, ``_bucket``, and ``_own``: each bucket also holds the
+    last rows of the one before, which have ``_own`` false there and are to be dropped once
+    the windows over ``_idx`` within ``_bucket`` are computed. ``ts`` is unique.
+    """
+    reach = reach + 1
+    rows = max(rows, reach)
+    indexed = dense_index(df, ts, span, "_idx")
+    own = F.floor(F.col("_idx") / rows)
+    late = F.col("_idx") % rows >= rows - reach
+    dealt = indexed.withColumn("_bucket", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    return dealt.withColumn("_own", own == F.col("_bucket"))

@@ -49,12 +49,25 @@ def update_by_id(ledger: DataFrame, changes: DataFrame, key: str = "id") -> Data
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table is stored; one whose replacement was cut off between its two renames is put back first."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        for left in (f"{path}.new", f"{path}.old"):
+            aside = spark._jvm.org.apache.hadoop.fs.Path(left)
+            # the new table is whole once its writer has marked it
+            if fs.exists(aside) and (left.endswith(".old") or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{left}/_SUCCESS"))):
+                return fs.rename(aside, where)
+        return False
+    return True
 
 
 def swap_write(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Overwrite a parquet folder that ``df`` may be reading: write beside it, then rename."""
+    """Overwrite a parquet folder that ``df`` may be reading: write beside it, then rename.
+
+    A job that ends between the renames leaves the new table beside; ``exists`` puts it
+    in place, for readers that ask it first, as all of this package do.
+    """
     new = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
     old, aside = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old")
     fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -126,3 +139,13 @@ class Migrations:
         self.steps[done[-1]][1]()
         swap_write(self.spark, self.spark.read.parquet(self.log).where(F.col("version") != done[-1]), self.log)
         return done[-1]
+
+
+def time_report(df: DataFrame, ts: str, millis: bool = False) -> DataFrame:
+    """``n, first_s, last_s, first_utc, last_utc``: how many rows a table has and the times they span."""
+    t = F.floor(F.col(ts) / 1000).cast("long") if millis else F.col(ts).cast("long")
+    found = df.agg(F.count("*").alias("n"), F.min(t).alias("first_s"), F.max(t).alias("last_s"))
+    # independent of the session's time zone
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    text = lambda c: F.date_format(F.timestamp_add("SECOND", F.col(c), start), "yyyy-MM-dd HH:mm")
+    return found.withColumns({"first_utc": text("first_s"), "last_utc": text("last_s")})

@@ -12,10 +12,12 @@ from tidemark.functions import factors, parsing, pricing
 from tidemark.operators import ledger as book
 from tidemark.operators import scoring, upsert
 from tidemark.operators.bars import bar_features
-from tidemark.operators.rolling import Rolling, percentile_rank, rank_of, rolling_features, transformable, zscore, zscore_of
-from tidemark.operators.timeline import asof, dense_index, sample_entries
+from tidemark.operators.rolling import Rolling, percentile_rank, rank_of, rolling_features, rolling_moments, transformable, zscore, zscore_of
+from tidemark.operators.timeline import ENTRY_OFFSETS, asof, dense_index, in_buckets, sample_entries
 from tidemark.plans import adapters as a
-from tidemark.plans.features import gauge_features, merge
+from tidemark.plans.features import entry_panel, gauge_features, merge
+from tidemark.sources.folders import work_dir
+from tidemark.sources.tables import complete_columns, constraint_violations, schema
 from tidemark.streaming import live
 from tidemark.streaming.run import drain, read_files
 
@@ -235,6 +237,10 @@ def run_length(spark, d):
 # --- rolling
 
 
+def _in_bucket():
+    return Window.partitionBy("_bucket").orderBy("_idx")
+
+
 def _hours(spark, d) -> DataFrame:
     return a.bars(spark, d).select("ts", F.col("close").alias("x"))
 
@@ -249,14 +255,20 @@ def roll_zs24(spark, d):
     return rounded(rolling_features(_hours(spark, d), "ts", ["x"], [Rolling("zs24h", "zs", 288, 50)]).select("ts", "x__zs24h"), digits=5)
 
 
-@query("roll_zs7d", _zs_sql(2016, 200, "x__zs7d"))
+# over all events, a series longer than its window
+_ZS7D = "(ORDER BY event_id ROWS BETWEEN 2016 PRECEDING AND 1 PRECEDING)"
+
+
+@query("roll_zs7d", f"SELECT event_id AS ts, CASE WHEN count(value) OVER {_ZS7D} >= 200 THEN round((value - avg(value) OVER {_ZS7D}) / nullif(stddev_samp(value) OVER {_ZS7D}, 0), 5) END AS x__zs7d FROM events")
 def roll_zs7d(spark, d):
-    return rounded(rolling_features(_hours(spark, d), "ts", ["x"], [Rolling("zs7d", "zs", 2016, 200)]).select("ts", "x__zs7d"), digits=5)
+    x = a.table(spark, d, "events").select(F.col("event_id").alias("ts"), F.col("value").alias("x"))
+    return rounded(rolling_features(x, "ts", ["x"], [Rolling("zs7d", "zs", 2016, 200)], span=4_096).select("ts", "x__zs7d"), digits=5)
 
 
 @query("roll_zs_native", _zs_sql(288, 50, "z"))
 def roll_zs_native(spark, d):
-    return rounded(_hours(spark, d).select("ts", zscore(F.col("x"), Window.orderBy("ts"), 288, 50).alias("z")), digits=5)
+    x = in_buckets(_hours(spark, d), "ts", 288)
+    return rounded(x.withColumn("z", zscore(F.col("x"), _in_bucket(), 288, 50)).where("_own").select("ts", "z"), digits=5)
 
 
 _RANK = f"""WITH {a.BARS_SQL}, n AS (SELECT ts, close, row_number() OVER (ORDER BY ts) AS i FROM bars)
@@ -271,7 +283,17 @@ def roll_rank24(spark, d):
 
 @query("roll_rank_native", _RANK.format(name="pct", past=287))
 def roll_rank_native(spark, d):
-    return rounded(_hours(spark, d).select("ts", percentile_rank(F.col("x"), Window.orderBy("ts"), 288, 50).alias("pct")))
+    x = in_buckets(_hours(spark, d), "ts", 288)
+    return rounded(x.withColumn("pct", percentile_rank(F.col("x"), _in_bucket(), 288, 50)).where("_own").select("ts", "pct"))
+
+
+_OVER100 = "(ORDER BY ts ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"
+
+
+@query("roll_moments", f"WITH {a.BARS_SQL} SELECT ts, round(avg(close) OVER {_OVER100}, 6) AS mean, round(stddev_samp(close) OVER {_OVER100}, 6) AS sd, CASE WHEN count(close) OVER {_OVER100} > 1 THEN round(avg(close) OVER {_OVER100} * sqrt(count(close) OVER {_OVER100}) / nullif(stddev_samp(close) OVER {_OVER100}, 0), 5) END AS t FROM bars")
+def roll_moments(spark, d):
+    x = in_buckets(_hours(spark, d), "ts", 100).withColumns(rolling_moments(F.col("x"), _in_bucket(), 100)).where("_own")
+    return rounded(x.select("ts", "mean", "sd", F.round("t", 5).alias("t")))
 
 
 @query("realtime_scores", f"""WITH {a.BARS_SQL}, cut AS (SELECT max(ts) AS now FROM bars), p AS (SELECT close FROM bars, cut WHERE ts < now ORDER BY ts DESC LIMIT 288), c AS (SELECT close AS x FROM bars, cut WHERE ts = now)
@@ -308,10 +330,11 @@ def transformable_profile(spark, d):
 
 
 _ENTRY = ["p_intra_{x}_{s}", "p_intra_{x}_{s}_staleness_s"]
-_OFFSETS, _BACK = (3_600, 9_000), 900
+# all ten offsets; an hour stands for a minute
+_OFFSETS, _BACK = tuple(x * a.UNIT for x in ENTRY_OFFSETS), 5 * a.UNIT
 
 
-def _ep_sql() -> str:
+def _ep_sql(known: str = "{}") -> str:
     sides = {"up": "click", "dn": "view"}
     parts, outs = [], []
     for x in _OFFSETS:
@@ -319,7 +342,7 @@ def _ep_sql() -> str:
             parts.append(
                 f"e_{x}_{s} AS (SELECT s.cs, last(value ORDER BY t, -event_id) AS p, CAST(s.cs + {x} - max(t) AS DOUBLE) AS st FROM spine s JOIN ev ON event_type = '{kind}' AND t - t % 18000 = s.cs AND t BETWEEN s.cs + {x - _BACK} AND s.cs + {x} GROUP BY s.cs)"
             )
-            outs.append(f"e_{x}_{s}.p AS p_intra_{x}_{s}, e_{x}_{s}.st AS p_intra_{x}_{s}_staleness_s")
+            outs.append(f"{known.format(f'e_{x}_{s}.p')} AS p_intra_{x}_{s}, {known.format(f'e_{x}_{s}.st')} AS p_intra_{x}_{s}_staleness_s")
     joins = " ".join(f"LEFT JOIN e_{x}_{s} ON e_{x}_{s}.cs = s.cs" for x in _OFFSETS for s in sides)
     return f"WITH {a.SPINE_SQL}, {', '.join(parts)} SELECT s.cid, s.cs, {', '.join(outs)} FROM spine s {joins}"
 
@@ -330,6 +353,15 @@ def ep_sample(spark, d):
     return sample_entries(probes, a.prints(spark, d), _OFFSETS, _BACK)
 
 
+@query("ep_etl", _ep_sql("CASE WHEN s.up_won IS NOT NULL THEN {} END"))
+def ep_etl(spark, d):
+    """Trades of decided candles into a panel that has all candles without prices."""
+    spine = a.spine(spark, d).select("cid", "cs", F.lit("click").alias("up_token"), F.lit("view").alias("down_token"), "up_won")
+    prints = a.prints(spark, d)
+    old = entry_panel(spine.drop("up_won"), prints.limit(0), offsets=_OFFSETS, order=["ord"])
+    return entry_panel(spine.where("up_won is not null").drop("up_won"), prints, old, _OFFSETS, _BACK, 300 * a.UNIT, 330 * a.UNIT, order=["ord"]).drop("fetched_at")
+
+
 @query("ohlc_bars", f"WITH {a.BARS_SQL} SELECT ts, open, high, low, close, {r6('volume', 'quote_volume', 'taker_buy_volume')}, n_trades FROM bars")
 def ohlc_bars(spark, d):
     return rounded(a.bars(spark, d))
@@ -345,13 +377,15 @@ def dedup_keep_last(spark, d):
     return upsert.keep_last(a.events(spark, d), ["user_id"], ["t", "event_id"]).select("user_id", "event_id", "t")
 
 
-_OLD = "old AS (SELECT event_id % 500 AS k, max(event_id) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1), new AS (SELECT event_id % 700 AS k, event_id AS v FROM events WHERE event_id % 3 = 1)"
+# the whole table: the days before the middle one are stored, those from it on are new
+_KEYED = "keyed AS (SELECT event_id, CAST(user_id AS VARCHAR) || ':' || event_type || ':' || CAST(t // 3600 % 24 AS VARCHAR) AS k, t >= 1704067200 + 15 * 86400 AS fresh FROM ev)"
+_OLD = f"{a.EVENTS_SQL}, {_KEYED}, old AS (SELECT k, max(event_id) AS v FROM keyed WHERE NOT fresh GROUP BY 1), new AS (SELECT k, event_id AS v FROM keyed WHERE fresh)"
 
 
 def _old_new(spark, d) -> tuple[DataFrame, DataFrame]:
-    x = a.table(spark, d, "events").select("event_id")
-    old = x.where("event_id % 3 = 0").groupBy((F.col("event_id") % 500).alias("k")).agg(F.max("event_id").alias("v"))
-    return old, x.where("event_id % 3 = 1").select((F.col("event_id") % 700).alias("k"), F.col("event_id").alias("v"))
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", (F.floor(F.col("t") / 3_600) % 24).cast("string"))
+    x = a.events(spark, d).select(key.alias("k"), F.col("event_id").alias("v"), (F.col("t") >= 1_704_067_200 + 15 * 86_400).alias("fresh"))
+    return x.where("not fresh").groupBy("k").agg(F.max("v").alias("v")), x.where("fresh").select("k", "v")
 
 
 @query("upsert_ignore", f"WITH {_OLD} SELECT k, v FROM old UNION ALL SELECT k, min(v) FROM new WHERE k NOT IN (SELECT k FROM old) GROUP BY k")
@@ -411,6 +445,14 @@ def cursor_max(spark, d):
     return a.events(spark, d).agg(F.coalesce(F.max("t") + 60, F.lit(0)).cast("long").alias("next_s"))
 
 
+_UTC = "strftime(TIMESTAMP '1970-01-01' + to_seconds({}), '%Y-%m-%d %H:%M')"
+
+
+@query("time_report", f"WITH {a.EVENTS_SQL}, r AS (SELECT count(*) AS n, min(t) AS first_s, max(t) AS last_s FROM ev) SELECT *, {_UTC.format('first_s')} AS first_utc, {_UTC.format('last_s')} AS last_utc FROM r")
+def time_report(spark, d):
+    return upsert.time_report(a.events(spark, d), "t")
+
+
 # --- parsing
 
 
@@ -477,8 +519,7 @@ def dsl_roster_long(spark, d):
 
 @query("dsl_transforms", f"WITH {a.BARS_SQL}, n AS (SELECT ts, close, lag(close, 3) OVER (ORDER BY ts) AS l3, count(close) OVER w AS n, avg(close) OVER w AS m, stddev_samp(close) OVER w AS sd FROM bars WINDOW w AS (ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)) SELECT ts, coalesce(CASE WHEN n >= 4 THEN (close - m) / nullif(sd, 0) END > 0.5, FALSE) AND coalesce(close > l3, FALSE) AS hit FROM n")
 def dsl_transforms(spark, d):
-    x = _hours(spark, d)
-    return x.select("ts", factors.compile_factor(factors.parse("x__zs2h > 0.5 & x > x__lag3", x.columns), ["ts"]).alias("hit"))
+    return factors.hits(_hours(spark, d), ["x__zs2h > 0.5 & x > x__lag3"], ["ts"], "ts").select("ts", "hit")
 
 
 # --- prices
@@ -554,7 +595,7 @@ def valid_fraction(spark, d):
     return rounded(found)
 
 
-_FIRES = f"WITH {a.TRADES_SQL}, fires AS (SELECT DISTINCT factor AS f, l_suppkey * 1000 + week AS k FROM trades), z AS (SELECT f, count(*) AS n FROM fires GROUP BY 1), b AS (SELECT x.f AS a, y.f AS b, count(*) AS n FROM fires x JOIN fires y ON x.k = y.k AND x.f < y.f GROUP BY 1, 2), p AS (SELECT za.f AS a, zb.f AS b, za.n AS n_a, zb.n AS n_b, coalesce(b.n, 0) AS n_both FROM z za JOIN z zb ON za.f < zb.f LEFT JOIN b ON b.a = za.f AND b.b = zb.f)"
+_FIRES = f"WITH {a.TRADES_SQL}, fires AS (SELECT DISTINCT factor AS f, l_suppkey * 1000 + week AS k FROM trades), z AS (SELECT f, count(*) AS n FROM fires GROUP BY 1), b AS (SELECT x.f AS a, y.f AS b, count(*) AS n FROM fires x JOIN fires y ON x.k = y.k AND x.f < y.f GROUP BY 1, 2), p AS (SELECT b.a, b.b, za.n AS n_a, zb.n AS n_b, b.n AS n_both FROM b JOIN z za ON b.a = za.f JOIN z zb ON b.b = zb.f)"
 
 
 def _fires(spark, d) -> DataFrame:
@@ -602,35 +643,100 @@ def gates_lenses(spark, d):
     return scoring.lenses(cards.join(F.broadcast(total)), F.col("total")).select("factor", "ok_nev", "ok_hits", "ok_base", "ok_weeks", "ok_price")
 
 
-@query("leader_dedup")
+# the choice one factor after the other, over factors by supplier and flag
+_LEADERS = f"""WITH RECURSIVE {a.TRADES_SQL}, named AS (SELECT *, factor || ':' || CAST(l_suppkey % 40 AS VARCHAR) AS name FROM trades),
+g AS (SELECT name, any_value(direction) AS direction, CAST(count(*) AS DOUBLE) AS n, avg(win) AS wr, avg(price) AS ep FROM named GROUP BY 1),
+cards AS (SELECT name, direction, row_number() OVER (ORDER BY {_WILSON} / ep - 1 - 0.07 * (1 - ep - 0.015) DESC, name) AS i FROM g),
+fires AS (SELECT DISTINCT name AS f, week AS k FROM named), z AS (SELECT f, count(*) AS n FROM fires GROUP BY 1),
+both_ AS (SELECT x.f AS a, y.f AS b, count(*) AS n FROM fires x JOIN fires y ON x.k = y.k AND x.f <> y.f GROUP BY 1, 2),
+near AS (SELECT a, b FROM both_ JOIN z za ON za.f = a JOIN z zb ON zb.f = b WHERE both_.n / CAST(za.n + zb.n - both_.n AS DOUBLE) > {{most}}),
+better AS (SELECT c.i, any_value(c.name) AS name, list(o.name ORDER BY o.i) FILTER (o.name IS NOT NULL) AS over FROM cards c LEFT JOIN near ON near.a = c.name LEFT JOIN cards o ON o.name = near.b AND o.direction = c.direction AND o.i < c.i GROUP BY c.i),
+greedy AS (SELECT 0 AS i, []::VARCHAR[] AS chosen UNION ALL
+  SELECT b.i, CASE WHEN len(list_filter(coalesce(b.over, []), lambda x: list_contains(g.chosen, x))) > 0 THEN g.chosen ELSE list_append(g.chosen, b.name) END FROM greedy g JOIN better b ON b.i = g.i + 1),
+final AS (SELECT chosen FROM greedy ORDER BY i DESC LIMIT 1)
+SELECT name AS factor, coalesce(list_filter(coalesce(over, []), lambda x: list_contains(chosen, x))[1], name) AS leader FROM better, final"""
+_MOST = 0.4
+
+
+@query("leader_dedup", _LEADERS.format(most=_MOST))
 def leader_dedup(spark, d):
-    t = a.trades(spark, d)
-    cards = scoring.scorecard(t, ["factor", "direction"])
-    return spark.createDataFrame(scoring.leaders(cards, scoring.overlaps(_fires(spark, d)), most=0.05), "factor string, leader string")
+    t = a.trades(spark, d).withColumn("factor", F.concat_ws(":", "factor", (F.col("l_suppkey") % 40).cast("string")))
+    pairs = scoring.overlaps(t.select("factor", F.col("week").alias("cs")), least=_MOST)
+    return scoring.leaders(scoring.scorecard(t, ["factor", "direction"]), pairs, most=_MOST)
+
+
+# the last trades of a factor as a sorted list
+_BOARD = """armed AS (SELECT label, expr, direction, status = 'live' AS live FROM roster WHERE status IN ('paper', 'live')
+), per AS (
+  SELECT label, expr, direction, live, count(*) AS n_fired, count(pnl_ratio_paper_net) AS n_pap,
+    count(*) FILTER (pnl_ratio_paper_net IS NOT NULL AND up_won = CASE direction WHEN 'UP' THEN 1 ELSE 0 END) AS hits,
+    avg(pnl_ratio_paper_net) AS m, stddev_samp(pnl_ratio_paper_net) AS sd, avg(entry_price_paper) AS e, stddev_pop(entry_price_paper) AS e_sd, avg(entry_price_live) AS le,
+    list(pnl_ratio_paper_net ORDER BY settled_at_s DESC, id DESC)[1:50] AS newest, count(pnl_ratio_live_net) AS n_live, avg(pnl_ratio_live_net) AS lm,
+    sum(pnl_usd_live_net) AS usd, avg(pnl_ratio_paper_net - pnl_ratio_live_net) AS gap, max(settled_at_s) AS last_settle_s
+  FROM ledger JOIN armed USING (expr) WHERE ledger.status = 'settled' GROUP BY ALL
+), board AS (
+  SELECT label, expr, direction, live, n_fired, n_pap, CASE WHEN n_pap > 0 THEN round(hits / CAST(n_pap AS DOUBLE), 3) END AS wr, round(m, 4) AS pap_nev,
+    CASE WHEN n_pap > 1 AND sd > 0 THEN round(m / sd * sqrt(n_pap), 2) END AS pap_t, round(e, 4) AS pap_ep, round(coalesce(e_sd, 0), 4) AS ep_std, round(le, 4) AS live_ep,
+    round(list_avg(newest), 4) AS nev50, n_live, round(lm, 4) AS live_nev, round(usd, 2) AS live_usd, round(gap, 4) AS drift, last_settle_s FROM per
+)"""
+
+
+@query("dashboard_agg", f"WITH {a.LEDGER_SQL}, {_BOARD} SELECT * FROM board")
+def dashboard_agg(spark, d):
+    return book.create_dashboard(a.ledger(spark, d), a.roster(spark, d))
 
 
-_BOARD = book.DASHBOARD.format(ledger="ledger", roster="roster")
+@query("graduation", f"WITH {a.LEDGER_SQL}, {_BOARD}, w AS (SELECT factor AS expr, count(DISTINCT week) AS weeks FROM trades GROUP BY 1) SELECT label, weeks AS n_weeks, CASE WHEN coalesce(pap_nev >= 0.05 AND pap_t > 1.65, FALSE) THEN 'graduate' WHEN n_pap >= 800 OR weeks >= 10 THEN 'kill' ELSE 'wait' END AS verdict FROM board JOIN w USING (expr)")
+def graduation(spark, d):
+    weeks = a.trades(spark, d).groupBy(F.col("factor").alias("expr")).agg(F.count_distinct("week").alias("n_weeks"))
+    board = book.dashboard(a.ledger(spark, d), a.roster(spark, d)).join(weeks, "expr")
+    return scoring.graduation(board).select("label", "n_weeks", "verdict")
 
 
-@query("dashboard_agg", f"WITH {a.LEDGER_SQL}, board AS ({_BOARD}) SELECT * FROM board")
-def dashboard_agg(spark, d):
-    return book.dashboard(a.ledger(spark, d), a.roster(spark, d))
+@query(
+    "trigger_append",
+    """WITH hits AS (SELECT DISTINCT o_orderpriority AS expr, CAST(epoch(o_orderdate) AS BIGINT) AS candle_start_s FROM orders WHERE o_orderstatus <> 'F'),
+old AS (SELECT o_orderkey AS id, o_orderpriority AS expr, CAST(epoch(o_orderdate) AS BIGINT) AS candle_start_s, 'settled' AS status, CAST(NULL AS BIGINT) AS opened_at_s FROM orders WHERE o_orderstatus = 'F'),
+fresh AS (SELECT h.* FROM hits h ANTI JOIN old o ON h.expr = o.expr AND h.candle_start_s = o.candle_start_s)
+SELECT * FROM old UNION ALL SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY candle_start_s, expr), expr, candle_start_s, 'open', 1800000000 FROM fresh""",
+)
+def trigger_append(spark, d):
+    o = a.table(spark, d, "orders")
+    start = parsing.epoch_seconds(F.col("o_orderdate"))
+    old = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("expr"), start.alias("candle_start_s"), F.lit("settled").alias("status"), F.lit(None).cast("long").alias("opened_at_s"))
+    hits = o.where("o_orderstatus <> 'F'").select(F.col("o_orderpriority").alias("expr"), start.alias("candle_start_s"), F.lit(True).alias("hit"))
+    return book.append_triggers(old, hits, 1_800_000_000)
 
 
-@query("graduation", f"WITH {a.LEDGER_SQL}, board AS ({_BOARD}) SELECT label, CASE WHEN coalesce(pap_nev >= 0.05 AND pap_t > 1.65, FALSE) THEN 'graduate' WHEN n_pap >= 800 THEN 'kill' ELSE 'wait' END AS verdict FROM board")
-def graduation(spark, d):
-    return scoring.graduation(dashboard_agg(spark, d).withColumn("n_weeks", F.lit(0))).select("label", "verdict")
+_REALTIME = "bn_chg_pct_pre_300__zs24h > -1 & bn_cvd_pre_300 < 1e9"
+
 
+@query(
+    "realtime_row",
+    f"""WITH {a.SPINE_SQL}, seg AS ({_SEG.format(w=300 * a.UNIT)}), f AS (SELECT s.cs, {_CHG} AS chg, {_CVD} AS cvd FROM spine s LEFT JOIN seg USING (cs) GROUP BY s.cs),
+latest AS (SELECT * FROM f ORDER BY cs DESC LIMIT 1), past AS (SELECT f.chg FROM f, latest WHERE f.cs < latest.cs AND f.chg IS NOT NULL ORDER BY f.cs DESC LIMIT 288),
+z AS (SELECT cs, chg, cvd, CASE WHEN (SELECT count(*) FROM past) >= 50 THEN (chg - (SELECT avg(chg) FROM past)) / (SELECT stddev_samp(chg) FROM past) END AS z FROM latest)
+SELECT cs, round(chg, 6) AS bn_chg_pct_pre_300, round(cvd, 6) AS bn_cvd_pre_300, round(z, 5) AS bn_chg_pct_pre_300__zs24h, coalesce(z > -1, FALSE) AND coalesce(cvd < 1e9, FALSE) AS hit FROM z""",
+)
+def realtime_row(spark, d):
+    bars, spine = a.bars(spark, d), a.spine(spark, d).select("cs")
+    now = spine.agg(F.max("cs")).first()[0]
+    names = ("bn_chg_pct_pre_300", "bn_cvd_pre_300")
+    past = bar_features(spine, bars, a.UNIT).select("cs", F.explode(F.array(*[F.struct(F.lit(n).alias("feature_name"), F.col(n).alias("value")) for n in names])).alias("x"))
+    row, _ = live.realtime_row(_REALTIME, now, past.select("x.feature_name", "cs", "x.value"), bars, a.UNIT)
+    return rounded(row.withColumn("bn_chg_pct_pre_300__zs24h", F.round("bn_chg_pct_pre_300__zs24h", 5)))
 
-@query("threshold_grid")
+
+_CUTS = [i / 10 for i in range(1, 10)]
+
+
+@query("threshold_grid", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({q} AS DOUBLE) AS cut, round(quantile_cont({c}, {q}), 6) AS threshold FROM lineitem" for c in ("l_quantity", "l_extendedprice") for q in _CUTS))
 def threshold_grid(spark, d):
-    return scoring.thresholds(a.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], [i / 10 for i in range(1, 10)])
+    return rounded(scoring.thresholds(a.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], _CUTS), "cut")
 
 
 @query("constraint_check", "SELECT 'price' AS \"check\", CAST(count(*) FILTER (NOT l_extendedprice > 5000) AS BIGINT) AS \"rows\" FROM lineitem UNION ALL SELECT 'flag', CAST(count(*) FILTER (NOT l_returnflag IN ('A', 'N')) AS BIGINT) FROM lineitem")
 def constraint_check(spark, d):
-    from tidemark.sources.tables import constraint_violations
-
     return constraint_violations(a.table(spark, d, "lineitem"), {"price": "l_extendedprice > 5000", "flag": "l_returnflag IN ('A', 'N')"})
 
 
@@ -639,42 +745,50 @@ def constraint_check(spark, d):
 
 @query("stream_latest_state", "SELECT event_type, last(event_id ORDER BY event_id) AS event_id, last(value ORDER BY event_id) AS value FROM events GROUP BY 1")
 def stream_latest_state(spark, d):
-    stream = read_files(spark, d, "events")
+    stream = _pieces(spark, d, "events", "event_id")
     return drain(live.latest_by_arrival(stream, "event_type", ["event_id", "value"], "event_id"), "update", ["event_type"], "latest")
 
 
-@query("stream_dedup", "SELECT count(*) AS n, count(DISTINCT k) AS n_keys FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) || ':' || event_type AS k FROM events)")
+def _pieces(spark, d, name: str, order: str, batches: int = 6) -> DataFrame:
+    """A table as a stream of several files, in ``order``, one file to a batch."""
+    folder = work_dir(spark, "pieces")
+    rows = a.table(spark, d, name)
+    ends = rows.agg(F.min(order), F.max(order)).first()
+    wide = max(1, -(-(ends[1] - ends[0] + 1) // batches))
+    # the files of a batch are written after those of the batch before
+    for i in range(batches):
+        low = ends[0] + i * wide
+        rows.where((F.col(order) >= low) & (F.col(order) < low + wide)).coalesce(1).write.mode("append").parquet(f"{folder}/{name}.parquet")
+    return read_files(spark, folder, name, files_per_batch=1)
+
+
+@query("stream_dedup", "SELECT CAST(user_id AS VARCHAR) || ':' || event_type AS k, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day FROM events) GROUP BY 1")
 def stream_dedup(spark, d):
-    stream = read_files(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    fresh = live.once(stream, ["user_id", "event_type"], "at", "60 days").select("user_id", "event_type")
+    """Each (user, type) once a day; the state of a day expires while the stream goes on."""
+    stream = _pieces(spark, d, "events", "event_id").withColumn("at", F.col("ts").cast("timestamp")).withColumn("day", F.date_trunc("day", "ts"))
+    fresh = live.once(stream, ["user_id", "event_type", "day"], "at", "1 day").select("user_id", "event_type")
     found = drain(fresh, "append", name="once")
-    key = F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_type"))
-    return found.agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_keys"))
+    return found.groupBy(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_type")).alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("stream_tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_tumbling(spark, d):
-    stream = read_files(spark, d, "events")
+    stream = _pieces(spark, d, "events", "event_id")
     found = drain(live.candles(stream, "ts", 3_600, late=None, by=["event_type"]), "update", ["start", "event_type"], "candles")
     return found.withColumn("total", F.round("total", 6))
 
 
 @query("stream_settle", "SELECT CAST(count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0) AS BIGINT) AS n_settled, CAST(count(*) FILTER (NOT (o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0)) AS BIGINT) AS n_open FROM orders")
 def stream_settle(spark, d):
-    from tidemark.sources.tables import schema
-    from tidemark.streaming.run import work_dir
-
     folder = work_dir(spark, "settle")
     rows = a.table(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("condition_id"), F.lit("UP").alias("direction"), F.lit("open").alias("status"),
         F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(10**9).cast("long").alias("candle_start_s"), F.lit(0.5).alias("entry_price_paper"),
     )
-    from tidemark.sources.tables import complete_columns
-
     kinds = schema("ledger")
     rows = complete_columns(rows, kinds.names, "string").select(*[F.col(f.name).cast(f.dataType) for f in kinds])
     upsert.swap_write(spark, rows, f"{folder}/ledger")
-    stream = read_files(spark, d, "orders").select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("condition_id"), F.when(F.col("o_orderkey") % 3 != 0, F.lit(1)).alias("up_won"))
+    stream = _pieces(spark, d, "orders", "o_orderkey", 3).select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("condition_id"), F.when(F.col("o_orderkey") % 3 != 0, F.lit(1)).alias("up_won"))
     live.settle_batches(stream, f"{folder}/ledger", 10_000, f"{folder}/checkpoint").start().awaitTermination()
     done = spark.read.parquet(f"{folder}/ledger")
     return done.agg(F.count_if(F.col("status") == "settled").alias("n_settled"), F.count_if(F.col("status") == "open").alias("n_open"))

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import millis_to_seconds
-from tidemark.operators.bars import bar_features
+from tidemark.operators.bars import WINDOWS, bar_features
 from tidemark.operators.rolling import rolling_features, select_transformable
-from tidemark.operators.timeline import ENTRY_OFFSETS, asof
-from tidemark.operators.upsert import exists, known_keys, swap_write, write_incremental
+from tidemark.operators.timeline import ENTRY_LOOKBACK, ENTRY_OFFSETS, asof, sample_entries
+from tidemark.operators.upsert import exists, insert_replace, known_keys, swap_write, write_incremental
 from tidemark.sources.tables import complete_columns, read_optional, read_table, schema
 
 # Twice each gauge's own cadence; an older value is a gap.
@@ -58,11 +58,33 @@ def merge(spine: DataFrame, parts: Sequence[DataFrame]) -> DataFrame:
     return out.orderBy("cs")
 
 
+#: Trades are read from so long before a candle's start until so long after, the end excluded.
+PANEL_BEFORE, PANEL_AFTER = 300, 330
+
+
+def entry_panel(
+    spine: DataFrame, trades: DataFrame, old: DataFrame | None = None, offsets: Sequence[int] = ENTRY_OFFSETS, lookback: int = ENTRY_LOOKBACK,
+    before: int = PANEL_BEFORE, after: int = PANEL_AFTER, fetched_at: int = 0, order: Sequence[str] = ("tx_hash", "price"),
+) -> DataFrame:
+    """The entry-price panel ``old`` with the markets of ``spine`` put in or replaced, one row per cid.
+
+    ``spine`` has cid, cs and the two tokens; ``trades`` the stored columns. Only trades of
+    the market's own window ``[cs - before, cs + after)`` count. Of trades at one time the
+    first in ``order`` counts, as numbers; strings go by their hash. A market without any
+    trade has a row of nulls, so it is not asked for again.
+    """
+    here = trades.join(spine.select("cid", "cs"), "cid").where((F.col("ts") >= F.col("cs") - before) & (F.col("ts") < F.col("cs") + after))
+    ranks = [F.xxhash64(c).alias(c) if dict(trades.dtypes)[c] == "string" else F.col(c) for c in order if c != "price"]
+    here = here.select("cid", "asset", "ts", "price", "side", *ranks)
+    new = sample_entries(spine, here, offsets, lookback, order=order).withColumn("fetched_at", F.lit(fetched_at).cast("long"))
+    return new if old is None else insert_replace(old, new, ["cid"], ["cs"])
+
+
 class Build:
     """Builders over a folder of stored tables, run in their fixed order."""
 
-    ORDER = ("bars", "entries", "gauges", "transforms", "merge")
-    INCREMENTAL = ("bars", "entries")
+    ORDER = ("bars", "panel", "entries", "gauges", "transforms", "merge")
+    INCREMENTAL = ("bars", "panel", "entries")
 
     def __init__(self, spark: SparkSession, raw: str, out: str):
         self.spark, self.raw, self.out = spark, raw, out
@@ -80,8 +102,24 @@ class Build:
         spine = self.spine().select("cid", "cs")
         if incremental:
             spine = spine.join(known_keys(self.spark, self.part("bars")), "cs", "left_anti")
+            first = spine.agg(F.min("cs")).first()[0]
+            # the new candles see no bars before their longest window; stored times are in milliseconds
+            bars = bars.where(F.col("open_ts_ms") >= (first - max(WINDOWS)) * 1000 if first is not None else F.lit(False))
         write_incremental(self.spark, bar_features(spine, bars), self.part("bars"), incremental=incremental)
 
+    def build_panel(self, incremental: bool) -> None:
+        """Entry prices of landed trades; without any, the stored panel stays as it is."""
+        if not exists(self.spark, f"{self.raw}/trades.parquet"):
+            return
+        path = f"{self.raw}/ep_panel.parquet"
+        spine, old = self.spine().select("cid", "cs", "up_token", "down_token"), None
+        if exists(self.spark, path):
+            old = self.spark.read.parquet(path)
+            if incremental:
+                spine = spine.join(old.select("cid"), "cid", "left_anti")
+        trades = read_table(self.spark, f"{self.raw}/trades.parquet").dropDuplicates()
+        swap_write(self.spark, entry_panel(spine, trades, old), path)
+
     def build_entries(self, incremental: bool) -> None:
         panel = read_optional(self.spark, f"{self.raw}/ep_panel.parquet", "cid string")
         panel = complete_columns(panel, ["cid", *ENTRY_COLUMNS])

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from tidemark.functions import factors
 from tidemark.functions.parsing import book_updates
 from tidemark.operators import ledger as book
+from tidemark.operators.bars import FEATURES, WINDOWS, bar_features
+from tidemark.operators.rolling import STANDARD, rank_of, zscore_of
 from tidemark.operators.upsert import insert_replace, swap_write
 
 
@@ -75,10 +79,14 @@ def once(stream: DataFrame, keys: Sequence[str], ts: str, late: str) -> DataFram
 
 
 def triggers(spine: DataFrame, roster: DataFrame, now: Column, candle: int = 300) -> DataFrame:
-    """Factor and candle pairs that are due at ``now``: past their offset, their candle not over."""
-    pairs = spine.join(F.broadcast(roster.select("expr", "direction", "entry_offset_s")))
+    """Factor and candle pairs that are due at ``now``: past their offset, their candle not over.
+
+    The candles that run at ``now``, one or two of them, are one value to the factors.
+    """
+    running = spine.where((F.col("cs") <= now) & (now <= F.col("cs") + candle)).agg(F.collect_list(F.struct(*spine.columns)))
+    armed = roster.select("expr", "direction", "entry_offset_s", F.explode(running.scalar()).alias("_candle")).select("expr", "direction", "entry_offset_s", "_candle.*")
     due = F.col("cs") + F.col("entry_offset_s")
-    return pairs.where((due <= now) & (now <= F.col("cs") + candle)).withColumn("due_s", due)
+    return armed.where(due <= now).withColumn("due_s", due)
 
 
 def snapshot(trigger: DataFrame, quote_log: DataFrame) -> DataFrame:
@@ -119,3 +127,84 @@ def history_arrays(history: DataFrame, cs: int, rows: int) -> DataFrame:
     latest = Window.partitionBy("feature_name").orderBy(F.desc("cs"))
     past = history.where((F.col("cs") < cs) & F.col("value").isNotNull()).withColumn("_rn", F.row_number().over(latest)).where(F.col("_rn") <= rows)
     return past.groupBy("feature_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("cs", "value"))), lambda x: x["value"]).alias("past"))
+
+
+def realtime_row(text: str, cs: int, history: DataFrame, bars: DataFrame, unit: int = 1) -> tuple[DataFrame, DataFrame]:
+    """One factor at one candle: ``(row, new history)``.
+
+    The row has cs, the bar features that the factor reads, its transforms and ``hit``.
+    Features come from the bars before ``cs``; z-scores and ranks from the last values in
+    ``history`` (feature_name, cs, value) before it, each over its own window. Raises for
+    columns that bars and history cannot give. The new history holds the features' values
+    at ``cs``, for ``extend_history``.
+    """
+    factor = factors.parse(text, FEATURES)
+    needed = sorted(factors.realtime_plan(factor))
+    spark = bars.sparkSession
+    spine = spark.range(1).select(F.lit(cs).cast("long").alias("cs"))
+    recent = bars.where((F.col("ts") >= cs - max(WINDOWS) * unit) & (F.col("ts") < cs))
+    row = bar_features(spine, recent, unit).select("cs", *needed)
+    new = row.select("cs", F.explode(F.array(*[F.struct(F.lit(n).alias("feature_name"), F.col(n).cast("double").alias("value")) for n in needed])).alias("x")).select("x.feature_name", "cs", "x.value")
+    longest = max(s.window for s in STANDARD)
+    past = history_arrays(history.where(F.col("feature_name").isin(needed)), cs, longest)
+    wide = past.agg(F.struct(*[F.max(F.when(F.col("feature_name") == n, F.col("past"))).alias(n) for n in needed]))
+    row = row.withColumn("_past", wide.scalar())
+    specs = {(s.op, s.suffix.removeprefix(s.op)): s for s in STANDARD if s.op != "lag"}
+    none = F.array().cast("array<double>")
+
+    def value(atom: factors.Atom) -> Column:
+        found = F.col(atom.column)
+        for step in atom.steps:
+            spec = specs[step]
+            held = F.coalesce(F.col("_past")[atom.column], none)
+            rows = spec.window - (1 if spec.op == "rank" else 0)  # a rank's window holds the row itself
+            held = F.slice(held, F.greatest(F.size(held) - rows + 1, F.lit(1)), F.lit(rows))
+            found = (zscore_of if spec.op == "zs" else rank_of)(found, held, spec.least)
+        return found
+
+    made, predicates = {}, []
+    for p in factor.predicates:
+        sides = []
+        for atom in (p.left, p.right):
+            if isinstance(atom, factors.Atom):
+                name = "__".join([atom.column, *(f"{op}{arg}" for op, arg in atom.steps)])
+                made[name] = value(atom)
+                atom = factors.Atom(name)
+            sides.append(atom)
+        predicates.append(factors.Predicate(sides[0], p.comparator, sides[1]))
+    row = row.withColumns({n: c for n, c in made.items() if n not in needed}).withColumn("hit", factors.compile_factor(factors.Factor(factor.text, tuple(predicates))))
+    return row.drop("_past"), new
+
+
+def closed_bars(bars: DataFrame, now: int, seconds: int = 60) -> DataFrame:
+    """Bars whose minute is over at ``now``: a live feed's last bar is still forming."""
+    return bars.where(F.col("ts") + seconds <= now)
+
+
+def wanted_tokens(spine: DataFrame, now: int, candle: int = 300) -> DataFrame:
+    """``asset_id`` of the running candle's tokens and the next one's: what a feed subscribes to after each roll."""
+    start = now - now % candle
+    soon = spine.where(F.col("cs").isin(start, start + candle))
+    return soon.select(F.explode(F.array("up_token", "down_token")).alias("asset_id")).where("asset_id is not null").distinct()
+
+
+def sweep(items: DataFrame, act: Callable[[dict], str | None], key: str = "id") -> DataFrame:
+    """``key, done, result, error_msg``: ``act`` on each row by itself, where the rows are.
+
+    One that raises is logged in its row and does not stop the others.
+    """
+    kind = dict(items.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                try:
+                    out.append((row[key], True, act(row), None))
+                except Exception as e:  # whatever one item does
+                    out.append((row[key], False, None, f"{type(e).__name__}: {e}"))
+            names = [key, "done", "result", "error_msg"]
+            kinds = [batch.schema.field(key).type, pa.bool_(), pa.string(), pa.string()]
+            yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    return items.mapInArrow(run, f"{key} {kind}, done boolean, result string, error_msg string")
