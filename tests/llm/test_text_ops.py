@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import io
 import itertools
 import random
 import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -15,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, licenses, ngram_join, quality, token_files, vocabulary, warc
+from tidemark.llm import bpe, catalogue, licenses, ngram_join, quality, token_files, vocabulary, warc
 from tidemark.llm.common import shared_dir
 
 from .test_small_ops import DOCS, HARD, _reach, clashing, hard  # noqa: F401
@@ -213,6 +215,84 @@ def test_salvage_inside_members():
     assert _numbers(bytes(single)) == []
 
 
+def _merged(found):
+    """Neighbouring gaps with one reason as one."""
+    out = []
+    for start, end, record, why in found:
+        if out and not record and not out[-1][2] and out[-1][1] == start and out[-1][3] == why:
+            start = out.pop()[0]
+        out.append((start, end, record, why))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_salvage_by_pieces_is_salvage(seed):
+    rng = random.Random(seed)
+    inner = warc.record(7, "inner", b"whole")
+    plain = [warc.record(i, f"http://x/{i}", rng.randbytes(rng.randrange(3_000)) + (inner if i % 5 == 0 else b"")) for i in range(40)]
+    parts = [warc.member(r) if rng.random() < 0.5 else r for r in plain] + [warc.member(b"".join(plain[:5])), rng.randbytes(5_000)]
+    whole = bytearray(b"".join(parts))
+    for _ in range(rng.randrange(6)):
+        whole[rng.randrange(len(whole))] ^= 0xFF
+    whole = bytes(whole)
+    wanted = _merged(warc.salvage(whole))
+    for window in (64, 1_000, 10_000_000):
+        at = 0
+
+        def read(n):
+            nonlocal at
+            piece = whole[at : at + min(n, rng.randrange(1, 700))]
+            at += len(piece)
+            return piece
+
+        assert list(warc.salvage_stream(read, window)) == wanted
+    # a record that is too long to hold is lost, those after it are not
+    long = plain[0] + warc.record(99, "u", b"y" * 50_000) + plain[1]
+    at = 0
+    found = [int(f["headers"]["warc-record-id"][10:-1]) for _, _, f, _ in warc.salvage_stream(io.BytesIO(long).read, 1_000, 8_000) if f]
+    assert found[0] == 0 and found[-1] == 1 and 99 not in found
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_damaged_archives_through_spark(spark, packed):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>page {i} " + "text " * (i * 7)) for i in range(60)], "page_id long, url string, html string")
+    folder = shared_dir(spark, "test-warc")
+    written = warc.write_warc(spark, pages, folder, archive_bytes=4_000)
+    lost, paths = set(), sorted(r["path"] for r in written.collect())
+    assert len(paths) > 3
+    for n, path in enumerate(paths):
+        content = open(path, "rb").read()
+        spans = [(a, b, int(f["headers"]["warc-record-id"][10:-1])) for a, b, f, _ in warc.salvage(content)]
+        if not packed:
+            parts = [warc.record(i, f"http://x/{i}", f"<p>page {i} ".encode() + b"text " * (i * 7)) for _, _, i in spans]
+            content, ends = b"".join(parts), list(itertools.accumulate(map(len, parts)))
+            spans = [(b - len(p), b, i) for b, p, (_, _, i) in zip(ends, parts, spans, strict=True)]
+        if n % 2 == 0:
+            a, b, i = spans[len(spans) // 2]
+            lost.add(i)
+            content = content[:a] + b"noise" + content[a + 5 : b - 6] + b"\x00" * 6 + content[b:]
+        with open(path, "wb") as f:
+            f.write(content)
+    records = warc.read_warc(spark, written, folder)
+    found = {r["page_id"]: r["payload"] for r in records.collect() if r["damage"] is None}
+    assert set(found) == set(range(60)) - lost and lost
+    assert all(body == f"<p>page {i} ".encode() + b"text " * (i * 7) for i, body in found.items())
+    gaps = warc.log_quarantine(records, shared_dir(spark, "test-quarantine")).collect()
+    assert {g["path"] for g in gaps} == {p for n, p in enumerate(paths) if n % 2 == 0} and all(g["n_bytes"] == g["end"] - g["start"] > 0 and g["damage"] for g in gaps)
+
+
+@pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op4_license_scan", "op7_warc", "op9_maxscore_topk", "op10_ngram_jaccard"])
+def test_queries_and_their_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    wanted = con.execute(catalogue.ORACLE_SQL[name])
+    columns = [c[0] for c in wanted.description]
+    found = catalogue.QUERIES[name](spark, FOLDER)
+    assert sorted(found.columns) == sorted(columns)
+    assert Counter(map(tuple, found.select(*columns).collect())) == Counter(wanted.fetchall())
+
+
 def test_licenses_against_brute_force(spark, hard, clashing):  # noqa: F811
     rng = random.Random(4)
     pool = ["cc", "BY", "by", "general", "Public", "license,", "all rights", "reserved", "CC-by", "x", "é", "K", "general_public license", "licensed under the apache license", "version 2 0"]

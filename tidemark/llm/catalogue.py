@@ -11,7 +11,7 @@ from tidemark.llm.quality import op3_quality_classifier
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.token_files import op5_token_files
 from tidemark.llm.vector_search import OP9_SQL, op9_maxscore_topk
-from tidemark.llm.warc import op7_warc
+from tidemark.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
@@ -29,6 +29,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": OP1_SQL,
     "op4_license_scan": OP4_SQL,
+    "op7_warc": OP7_SQL,
     "op9_maxscore_topk": OP9_SQL,
     "op10_ngram_jaccard": OP10_SQL,
 }

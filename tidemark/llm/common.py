@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 import weakref
 from collections.abc import Callable, Iterator
 
@@ -14,24 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """``path`` with its scheme; one without means Hadoop's default file system, as it does to Spark."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared one. A session of one machine without one gets its own; a cluster must name it."""
-    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all machines of the cluster share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set(CHECKPOINT_DIR, root)
-    return f"{qualified(spark, root).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tidemark.sources.folders import filesystem, qualified  # noqa: F401
+from tidemark.sources.folders import work_dir as shared_dir
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -57,14 +38,6 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def filesystem(uri: str):
-    """``(filesystem, path)`` for a ``qualified`` folder, in the driver or a worker."""
-    from pyarrow import fs
-
-    # Hadoop writes file:/folder
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
-
-
 def tables(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into ones of about ``limit`` bytes, one row at least."""
     for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rows, filesystem, materialize, released, shared_dir
+from tidemark.llm.common import Rows, filesystem, materialize, qualified, released, shared_dir
 
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 64 << 20
@@ -35,6 +35,10 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 MEMBER = b"\x1f\x8b\x08"
+#: No version line is longer.
+LINE = 12
+#: Bytes of an archive that are held at first, and at most: a record, or a member, that is longer is quarantined.
+WINDOW, LONGEST = 8 << 20, 1 << 30
 #: Anywhere, as damage can take the line break before it; what follows is checked in full.
 _version_line = re.compile(rb"WARC/\d\.\d\r?\n")
 
@@ -69,21 +73,21 @@ def member(content: bytes) -> bytes:
 
 
 class Damaged(ValueError):
-    """A failed check, with the records that could still be read before it."""
+    """A failed check, with the records that could still be read before it; ``cut`` if more bytes could mend it."""
 
-    def __init__(self, why: str, records: Iterable[dict] = ()):
+    def __init__(self, why: str, records: Iterable[dict] = (), cut: bool = False):
         super().__init__(why)
-        self.records = list(records)
+        self.records, self.cut = list(records), cut
 
 
 def parse(content: bytes, at: int = 0) -> tuple[dict, int]:
     """The record at ``at`` and where it ends; raises ``Damaged`` if any check fails."""
     line = _version_line.match(content, at)
     if not line:
-        raise Damaged("no version line")
+        raise Damaged("no version line", cut=len(content) - at < LINE)
     end = content.find(b"\r\n\r\n", line.end())
     if end < 0:
-        raise Damaged("headers do not end")
+        raise Damaged("headers do not end", cut=True)
     headers = {}
     for row in content[line.end() : end].split(b"\r\n"):
         name, colon, value = row.partition(b":")
@@ -95,7 +99,7 @@ def parse(content: bytes, at: int = 0) -> tuple[dict, int]:
         raise Damaged("no content length")
     stop = start + int(length)
     if content[stop : stop + 4] != b"\r\n\r\n":
-        raise Damaged("block does not end where its length says")
+        raise Damaged("block does not end where its length says", cut=stop + 4 > len(content))
     block = content[start:stop]
     if (said := headers.get("warc-block-digest")) and said != "sha1:" + digest32(block):
         raise Damaged("block digest differs")
@@ -128,7 +132,7 @@ def _unpack(view: memoryview, at: int) -> tuple[bytes, int]:
         if reader.eof:
             return b"".join(parts), place - len(reader.unused_data)
         size = min(8 * size, 8 << 20)
-    raise Damaged("gzip member is cut short", _leading(b"".join(parts)))
+    raise Damaged("gzip member is cut short", _leading(b"".join(parts)), cut=True)
 
 
 def _before_error(view: memoryview, at: int, step: int = 64) -> bytes:
@@ -160,8 +164,15 @@ def _leading(body: bytes) -> Iterator[dict]:
         yield found
 
 
-def _scan(size: int, read: Callable[[int], tuple], starts: Callable[[int], int]) -> Iterator[tuple[int, int, object, str | None]]:
-    """What ``read`` gives from place to place, and the gaps up to the next of ``starts`` where it does not fail."""
+#: The reason of what stands for "more bytes are needed from here on".
+MORE = "more"
+
+
+def _scan(size: int, read: Callable[[int], tuple], starts: Callable[[int], int], final: bool = True) -> Iterator[tuple[int, int, object, str | None]]:
+    """What ``read`` gives from place to place, and the gaps up to the next of ``starts`` where it does not fail.
+
+    Unless this is the ``final`` part of the content, it ends with ``MORE`` where more bytes could change what follows.
+    """
     at, held = 0, None
     while at < size:
         try:
@@ -172,13 +183,20 @@ def _scan(size: int, read: Callable[[int], tuple], starts: Callable[[int], int])
             continue
         except Damaged as e:
             failed, gap = e, at
-        while (at := starts(at + 1)) < size:
+        cut = failed.cut
+        while not (cut and not final) and (at := starts(at + 1)) < size:
             try:
                 held = read(at)
                 break
             except Damaged as e:
+                cut = cut or e.cut
                 if e.records:
                     break
+        if cut and not final:
+            yield gap, size, None, MORE
+            return
+        if at >= size and not final:  # a start can be cut by the end
+            at = max(gap + 1, size - LINE)
         if failed.records:
             yield gap, at, [(r, None) for r in failed.records], None
         yield gap, at, None, str(failed)
@@ -189,7 +207,7 @@ def _next_line(content: bytes, after: int) -> int:
     return found.start() if found else len(content)
 
 
-def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
+def salvage(content: bytes, final: bool = True) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """``(start, end, record, None)`` of whole records and ``(start, end, None, why)`` of gaps, in order.
 
     Gzip members and plain records may follow each other in any order. The records of
@@ -216,11 +234,43 @@ def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, str | None]
             raise Damaged(inside[0][1] if inside else "no version line")
         return inside, end
 
-    for start, end, found, why in _scan(len(content), read, starts):
+    for start, end, found, why in _scan(len(content), read, starts, final):
         for part, reason in found or [(None, why)]:
             yield start, end, part, reason
 
 
+def salvage_stream(read: Callable[[int], bytes], window: int = WINDOW, longest: int = LONGEST) -> Iterator[tuple[int, int, dict | None, str | None]]:
+    """``salvage`` of a file that ``read`` gives piece by piece; what is held grows to ``longest`` bytes at most.
+
+    Neighbouring gaps with one reason are one gap.
+    """
+    held, base, size, ended = b"", 0, window, False
+    gap: tuple[int, int, None, str] | None = None
+    while not (ended and not held):
+        while len(held) < size and not ended:
+            piece = read(size - len(held))
+            held, ended = held + piece, not piece
+        final, rest = ended or len(held) >= longest, 0
+        for start, end, found, why in salvage(held, final):
+            if why == MORE:
+                rest = start
+                break
+            here = (base + start, base + end, found, why)
+            if gap and (found or gap[1] != here[0] or gap[3] != why):
+                yield gap
+                gap = None
+            if found:
+                yield here
+            else:
+                gap = (gap[0] if gap else here[0], here[1], None, why)
+            rest = end
+        # a record that is not whole yet needs a longer window
+        size = min(longest, window + len(held) - rest if rest else 2 * max(len(held), window))
+        held, base = held[rest:], base + rest
+    if gap:
+        yield gap
+
+
 WRITTEN = "path string, n_records long, n_bytes long"
 _WRITTEN = pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
 
@@ -287,6 +337,7 @@ def write_warc(
     and so are all rows of a group without any page_id. Null urls leave the target
     out; an empty table gives no archives. Other columns are not read.
     """
+    folder = qualified(spark, folder)
     files, root = filesystem(folder)
     files.create_dir(root, recursive=True)
     rows = pages.select(
@@ -317,44 +368,68 @@ def _page(urn: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def _read(folder: str, payloads: bool):
+def _read(folder: str, payloads: bool, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = filesystem(folder)
         out = Rows(_RECORDS)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with files.open_input_stream(path, compression=None) as f:
-                    content = f.read()
-                for start, end, found, why in salvage(content):
-                    if found is None:
-                        full = out.add(0, path, start, end, "quarantine", None, None, None, None, None, None, why)
-                    else:
-                        h = found["headers"]
-                        payload = found.get("payload") if payloads and found["type"] == "response" else None
-                        full = out.add(
-                            len(payload or b""), path, start, end, found["type"], _page(h.get("warc-record-id")), h.get("warc-target-uri"),
-                            payload, found.get("size"), found.get("digest"), _page(h.get("warc-refers-to")), None,
-                        )
-                    if full:
-                        yield out.batch()
+                    for start, end, found, why in salvage_stream(f.read, longest=longest):
+                        if found is None:
+                            full = out.add(0, path, start, end, "quarantine", None, None, None, None, None, None, why)
+                        else:
+                            h = found["headers"]
+                            payload = found.get("payload") if payloads and found["type"] == "response" else None
+                            full = out.add(
+                                len(payload or b""), path, start, end, found["type"], _page(h.get("warc-record-id")), h.get("warc-target-uri"),
+                                payload, found.get("size"), found.get("digest"), _page(h.get("warc-refers-to")), None,
+                            )
+                        if full:
+                            yield out.batch()
         yield out.batch()
 
     return run
 
 
-def read_warc(spark: SparkSession, paths: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, paths: DataFrame, folder: str, payloads: bool = True, longest: int = LONGEST) -> DataFrame:
     """Every record of the archives named in ``paths.path``, and a row for each quarantined byte gap.
 
     Gaps have record_type ``quarantine``, their byte range ``[start, end)`` and the
     failed check in ``damage``; whole records have null there. The records of one
-    gzip member have its byte range, as do gaps inside it; a member is unpacked in memory.
+    gzip member have its byte range, as do gaps inside it. An archive is read piece by
+    piece; a record or member of more than ``longest`` bytes is quarantined.
     """
     tasks = max(1, min(paths.count(), READ_TASKS))
-    return paths.select("path").repartition(tasks).mapInArrow(released(_read(folder, payloads)), RECORDS)
+    return paths.select("path").repartition(tasks).mapInArrow(released(_read(qualified(spark, folder), payloads, longest)), RECORDS)
+
+
+def log_quarantine(records: DataFrame, folder: str) -> DataFrame:
+    """The gaps among ``records`` (as ``read_warc`` gives them), written to ``folder`` and read again."""
+    gaps = records.where(F.col("damage").isNotNull()).select("path", "start", "end", (F.col("end") - F.col("start")).alias("n_bytes"), "damage")
+    gaps.write.mode("append").parquet(folder)
+    return records.sparkSession.read.schema(gaps.schema).parquet(folder)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "warc")
     written = write_warc(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, revisit_bytes=0)
-    read = read_warc(spark, written, folder, payloads=False)
-    return read.where("damage is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = materialize(spark, read_warc(spark, written, folder, payloads=False), "warc-records")
+    log_quarantine(records, f"{folder}-quarantine")
+    return records.where("damage is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# SHA-1 as base32: five hex digits are four letters
+_LETTERS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hash, {5 * i + 1}, 5) AS BIGINT) >> {shift}) & 31 AS INTEGER), 1)" for i in range(8) for shift in (15, 10, 5, 0)
+)
+OP7_SQL = f"""
+WITH body AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hash FROM pages
+), last AS (
+  SELECT html, max(page_id) AS first FROM body GROUP BY html
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM body JOIN last USING (html)
+"""
