@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, catalogue, licenses, ngram_join, quality, token_files, vocabulary, warc
+from tidemark.llm import bpe, catalogue, license_texts, licenses, ngram_join, quality, token_files, vocabulary, warc
 from tidemark.llm.common import shared_dir
 
 from .test_small_ops import DOCS, HARD, _reach, clashing, hard  # noqa: F401
@@ -356,6 +356,45 @@ def test_near_miss_licenses(spark):
         assert r["labels"] == wanted and (r["score"] > 0) == bool(wanted), (text, r)
 
 
+def test_whole_licenses(spark):
+    rng = random.Random(13)
+    by_label = {label: text.split() for label, text, _, _ in license_texts.BODIES}
+    same = {"bsl-1.0": "bsl-1.0,mit", "gpl-3.0": "gpl,gpl-3.0", "gpl-2.0": "gpl,gpl-2.0", "lgpl-3.0": "gpl,lgpl,lgpl-3.0", "lgpl-2.1": "gpl,lgpl,lgpl-2.1", "agpl-3.0": "agpl-3.0,gpl", "bsd-2-clause": "bsd,bsd-2-clause", "bsd-3-clause": "bsd,bsd-3-clause"}
+    rows, wanted = [], []
+    for label, words in by_label.items():
+        edited = list(words)
+        for _ in range(len(words) // 40):  # names of holders and the like, put in or for other words
+            at = rng.randrange(len(words) // 3, len(edited))
+            if edited[at] in ("lesser", "affero", "version", "sublicense", "endorse", "or", "promote", "fee", "misrepresented"):
+                continue
+            edited[at : at + rng.choice([0, 1])] = ["jane", "doe"]
+        for text in (words, [w.upper() + "," for w in words], ["x"] * 50 + edited + ["y"] * 50):
+            rows.append((len(rows), " ".join(text), "en", "s", 0))
+            wanted.append(label)
+    # the words of a license in another order are no license
+    shuffled = sorted(by_label["mit"], key=lambda w: rng.random())
+    pieces = [by_label["isc"][i : i + 9] for i in range(0, 90, 9)]
+    rows += [(len(rows), " ".join(shuffled), "en", "s", 0), (len(rows) + 1, " ".join(sum(reversed(pieces), [])), "en", "s", 0)]
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    for i, label in enumerate(wanted):
+        got = set(found[i]["labels"].split(","))
+        assert label in got and got <= set(same.get(label, label).split(",")) | {"mit", "bsd", "lgpl", "unlicense"}, (label, found[i])
+        assert not {"gpl-2.0", "gpl-3.0", "lgpl-3.0", "lgpl-2.1", "agpl-3.0", "bsd-2-clause", "bsd-3-clause"} & got - {label}, (label, found[i])
+    assert "mit" not in found[len(wanted)]["labels"] and "isc" not in found[len(wanted) + 1]["labels"]
+
+
+def test_license_hard_rows(spark, hard, clashing):  # noqa: F811
+    for docs in (hard, clashing):
+        found = sorted(((r["doc_id"] or 0, r["n_words"], r["n_base"], r["first_word"], r["base_labels"], r["labels"], r["score"]) for r in licenses.scan_licenses(spark, docs).collect()), key=str)
+        words = {0: 1, 1: 0, 2: 0, 3: 3, 5: 50_000, 6: 3}
+        assert found == sorted(((k, words[k], 0, None, "", "", 0.0) for k in (0, 1, 2, 3, 3, 5, 6)), key=str)
+    line = "CC-BY all RIGHTS reserved " * 3
+    rows = [(1, line, "en", "s", 0), (1, line, "en", "s", 0), (None, line, "en", "s", 0), (2, "x " * 300_000 + line, "en", "s", 0)]
+    for r in licenses.scan_licenses(spark, spark.createDataFrame(rows, DOCS)).collect():
+        first = 300_000 if r["doc_id"] == 2 else 0
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"]) == (first + 15, 6, first, first + 12, "cc-by,reserved")
+
+
 def _labelled(rng, n):
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(400)]
     docs, labels = [], []
@@ -462,6 +501,7 @@ def test_jaccard_against_brute_force(spark, monkeypatch, options):
     label = _reach(sets, links)
     if options:
         monkeypatch.setattr(ngram_join, "CAP", 4)
+        monkeypatch.setattr(ngram_join, "FEW_ROWS", 3)
     found = ngram_join.jaccard_components(spark, spark.createDataFrame(rows, DOCS), **options).collect()
     assert len(found) == len(rows) and len(links) > 300
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (len(s), label[i]) for i, s in sets.items()}

@@ -1,32 +1,38 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-Every rolling pair of words of every text is joined, by hash, to the places where
-license templates hold that pair. A hit at text position ``p`` and template
-position ``t`` votes for diagonal ``p - t``. Diagonals that lie next to each other
-(a word more or less) are merged, and a span stands if it covers enough of its
-template; base phrases must be covered whole on one diagonal. A template's span is
-then verified by its words: those that decide between licenses must agree.
+Every rolling k-gram of words of every text is joined, by hash, to the places where
+license templates hold it: pairs of words for base phrases and short notices, five
+words for whole license texts. A hit at text position ``p`` and template position ``t``
+votes for diagonal ``p - t``. Diagonals that lie next to each other (a few words more or
+less) are merged, and a span stands if it covers enough of its template, in the
+template's order; base phrases must be covered whole on one diagonal. A span is then
+verified by its words: those that decide between licenses must agree.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.license_texts import BODIES
+
 #: Words as the contract takes them, after lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same characters named one by one, which Java matches several times faster,
 #: and those of texts that are not lower-cased.
 FAST_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 ANY_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-#: Diagonals at most so far apart are merged.
-NEIGHBOURS = 2
-#: Share of a template's word pairs that a span must cover.
-COVER = 0.7
+#: Words of the k-grams of phrases and notices, and of whole texts.
+SHORT, LONG = 2, 5
+#: Diagonals at most so far apart are merged, by k.
+NEIGHBOURS = {SHORT: 2, LONG: 8}
+#: Share of a template's k-grams that a span must cover, by k: a changed word costs k of them.
+COVER = {SHORT: 0.7, LONG: 0.5}
 
 #: Words kept with each hit, from its pair on: a version can stand behind the span.
 AHEAD = 6
@@ -65,17 +71,47 @@ def fold(text: Column) -> Column:
     return F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\ue000")))
 
 
-def template_grams(spark: SparkSession, base: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]]) -> DataFrame:
-    """A row per word pair of each phrase and template: a table of the size of the arguments."""
-    rows = []
-    for number, (words, label, whole) in enumerate([(p.split(), label, True) for p, label in base] + [(t.split(), label, False) for t, label in templates]):
-        if len(words) < 2:
-            raise ValueError("a phrase or template needs two words at least")
-        rows += [(number, label, whole, len(words), place, a, b) for place, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    kinds = {"template": "int", "label": "string", "base": "boolean", "n_template": "int", "place": "int", "first": "string", "second": "string"}
-    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, kinds.items(), strict=True)]) for row in rows]
-    grams = spark.range(1).select(F.inline(F.array(*structs)))
-    return grams.withColumn("gram", F.xxhash64("first", "second"))
+class Template(NamedTuple):
+    """A phrase (``base``) or text to look for; ``needs`` and ``forbids`` are patterns, None for those of ``verified``."""
+
+    words: list[str]
+    label: str
+    base: bool = False
+    k: int = SHORT
+    needs: tuple[str, ...] | None = None
+    forbids: tuple[str, ...] = ()
+
+    @property
+    def places(self) -> int:
+        return len(self.words) - self.k + 1
+
+
+def all_templates(base: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]], bodies: Sequence[tuple[str, str, tuple, tuple]]) -> list[Template]:
+    found = [Template(p.split(), label, True) for p, label in base] + [Template(t.split(), label) for t, label in templates]
+    found += [Template(text.split(), label, False, LONG, needs, forbids) for label, text, needs, forbids in bodies]
+    if any(re.search(r"[^0-9a-z ]", " ".join(t.words)) for t in found):
+        raise ValueError("templates hold lower-case letters, digits and spaces alone")
+    if any(t.places < 1 for t in found):
+        raise ValueError(f"a phrase or notice needs {SHORT} words at least, a text {LONG}")
+    return found
+
+
+def template_grams(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
+    """A row per k-gram of each template: a table of the size of the arguments."""
+    rows = [f"({number}, {place}, '{' '.join(t.words[place : place + t.k])}')" for number, t in enumerate(templates) for place in range(t.places)]
+    words = F.split("words", " ")
+    grams = [gram(*[F.get(words, F.lit(i)) for i in range(k)]) for k in (SHORT, LONG)]
+    table = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(template, place, words)")
+    return table.select("template", "place", F.when(F.size(words) == SHORT, grams[0]).otherwise(grams[1]).alias("gram"))
+
+
+def gram(*words: Column) -> Column:
+    """A k-gram's hash; two different ones agree with a chance of 5e-20."""
+    return F.xxhash64(F.lit(len(words)), *words)
+
+
+def by_template(column: Column, values: Sequence) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), column + 1)
 
 
 def verified(words: Sequence[str], inside: Column, ahead: Column) -> Column:
@@ -101,45 +137,59 @@ def license_spans(
     docs: DataFrame,
     base: Sequence[tuple[str, str]] = BASE,
     templates: Sequence[tuple[str, str]] = TEMPLATES,
-    cover: float = COVER,
+    bodies: Sequence[tuple[str, str, tuple, tuple]] = BODIES,
 ) -> DataFrame:
     """``doc_id, text_key, template, label, base, start, stop, coverage``: a row per span found.
 
     ``start`` and ``stop`` are word positions, ``stop`` exclusive. ``text_key`` is a
     hash of the id and the text; rows equal in both have equal spans, given once.
     """
-    words = docs.select("doc_id", text_key("doc_id", "text"), F.regexp_extract_all(fold(F.col("text")), F.lit(FAST_WORD), F.lit(0)).alias("words"))
-    ahead = F.transform("words", lambda _, i: F.slice("words", i + 1, F.lit(AHEAD)))
-    pairs = words.select("doc_id", "text_key", F.posexplode(ahead).alias("at", "ahead"))
-    pairs = pairs.select("doc_id", "text_key", "at", "ahead", F.get("ahead", F.lit(0)).alias("a"), F.get("ahead", F.lit(1)).alias("b")).withColumn("gram", F.xxhash64("a", "b"))
-    grams = template_grams(spark, base, templates)
-    hits = pairs.join(F.broadcast(grams), "gram").where("a = first and b = second")
-    group = ["doc_id", "text_key", "template", "label", "base", "n_template"]
-    ahead = F.when(~F.col("base"), F.col("ahead")).alias("ahead")
-    votes = hits.select(*group, (F.col("at") - F.col("place")).alias("diagonal"), "place", "at", ahead).distinct()
+    wanted = all_templates(base, templates, bodies)
+    words = docs.select("doc_id", text_key("doc_id", "text"), F.regexp_extract_all(fold(F.col("text")), F.lit(FAST_WORD), F.lit(0)).alias("w0"))
+    later = [F.slice("w0", i + 1, F.greatest(F.size("w0"), F.lit(1))).alias(f"w{i}") for i in range(1, AHEAD)]
+    runs = words.select("doc_id", "text_key", F.col("w0"), *later)
+    rows = runs.select("doc_id", "text_key", F.posexplode(F.arrays_zip(*[f"w{i}" for i in range(AHEAD)])).alias("at", "w"))
+    at = [F.col(f"w.w{i}") for i in range(AHEAD)]
+    grams = [gram(*at[:k]) for k in (SHORT, LONG)]
+    keyed = rows.select("doc_id", "text_key", "at", "w", F.explode(F.array(*grams)).alias("gram"))
+    hits = keyed.join(F.broadcast(template_grams(spark, wanted)), "gram")
+    group = ["doc_id", "text_key", "template"]
+    whole = by_template(F.col("template"), [t.base for t in wanted])
     # words behind their positions in ten digits, so that they sort by position
-    near = F.transform("ahead", lambda w, i: F.concat(F.lpad((F.col("at") + i).cast("string"), 10, "0"), w))
-    diagonals = votes.withColumn("near", near).groupBy(*group, "diagonal").agg(
-        F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"), F.flatten(F.collect_list("near")).alias("near")
-    )
+    near = F.array_compact(F.array(*[F.concat(F.lpad((F.col("at") + i).cast("string"), 10, "0"), word) for i, word in enumerate(at)]))
+    votes = hits.select(*group, (F.col("at") - F.col("place")).alias("diagonal"), "place", "at", F.when(~whole, near).alias("near")).distinct()
+    diagonals = votes.groupBy(*group, "diagonal").agg(F.collect_set(F.struct("at", "place")).alias("places"), F.flatten(F.collect_list("near")).alias("near"))
     # a phrase has at most as many places as its template, however long the text
     in_order = Window.partitionBy(*group).orderBy("diagonal")
-    apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(in_order) > NEIGHBOURS)
+    reach = by_template(F.col("template"), [NEIGHBOURS[t.k] for t in wanted])
+    apart = by_template(F.col("template"), [t.base for t in wanted]) | (F.col("diagonal") - F.lag("diagonal").over(in_order) > reach)
     merged = diagonals.withColumn("span", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(in_order))
-    spans = merged.groupBy(*group, "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("low").alias("start"), (F.max("high") + 2).alias("stop"), F.collect_list("near").alias("near")
-    )
-    spans = spans.withColumn("coverage", F.col("n") / (F.col("n_template") - 1))
-    spans = spans.where(F.when(F.col("base"), F.col("n") == F.col("n_template") - 1).otherwise(F.col("coverage") >= cover))
+    spans = merged.groupBy(*group, "span").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"), F.collect_list("near").alias("near"))
+    # places that follow each other in the text as they do in the template
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n"))
+    step = lambda a, x: F.when(x["place"] > a["last"], F.struct(x["place"].alias("last"), (a["n"] + 1).alias("n"))).otherwise(a)
+    spans = spans.withColumn("n", F.aggregate("places", start, step)["n"])
+    size, k = by_template(F.col("template"), [t.places for t in wanted]), by_template(F.col("template"), [t.k for t in wanted])
+    first, last = F.element_at("places", 1)["at"], F.element_at("places", -1)["at"]
+    spans = spans.select(*group, "n", "near", first.alias("start"), (last + k).alias("stop"), (F.col("n") / size).alias("coverage"), by_template(F.col("template"), [t.base for t in wanted]).alias("base"))
+    spans = spans.where(F.when(F.col("base"), F.col("n") == size).otherwise(F.col("coverage") >= by_template(F.col("template"), [float(COVER[t.k]) for t in wanted])))
     near = F.array_sort(F.array_distinct(F.flatten("near")))
     spans = spans.withColumn("near", near).withColumn("inside", F.filter("near", lambda w: F.substring(w, 1, 10).cast("int") < F.col("stop")))
     inside, ahead = (F.array_join(F.transform(c, lambda w: F.substr(w, F.lit(11))), " ") for c in ("inside", "near"))
     spans = spans.withColumn("inside", inside).withColumn("ahead", ahead)
     sound = F.lit(True)
-    for number, (words_of, _) in enumerate(templates, len(base)):
-        sound = F.when(F.col("template") == number, verified(words_of.split(), F.col("inside"), F.col("ahead"))).otherwise(sound)
+    for number, t in enumerate(wanted):
+        if t.base:
+            continue
+        own = verified(t.words, F.col("inside"), F.col("ahead")) if t.needs is None else F.lit(True)
+        for pattern in t.needs or ():
+            own = own & F.col("ahead").rlike(rf"(?:^| ){pattern}(?: |$)")
+        for pattern in t.forbids:
+            own = own & ~F.col("inside").rlike(rf"(?:^| ){pattern}(?: |$)")
+        sound = F.when(F.col("template") == number, own).otherwise(sound)
     spans = spans.where(F.col("base") | sound)
-    return spans.select("doc_id", "text_key", "template", "label", "base", F.col("start").cast("long"), F.col("stop").cast("long"), "coverage")
+    label = by_template(F.col("template"), [t.label for t in wanted]).alias("label")
+    return spans.select("doc_id", "text_key", "template", label, "base", F.col("start").cast("long"), F.col("stop").cast("long"), "coverage")
 
 
 def text_key(key: str, text: str) -> Column:
@@ -151,7 +201,7 @@ def scan_licenses(
     docs: DataFrame,
     base: Sequence[tuple[str, str]] = BASE,
     templates: Sequence[tuple[str, str]] = TEMPLATES,
-    cover: float = COVER,
+    bodies: Sequence[tuple[str, str, tuple, tuple]] = BODIES,
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
@@ -164,7 +214,7 @@ def scan_licenses(
     * An empty table gives an empty result; only doc_id and text are read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = license_spans(spark, docs, base, templates, cover)
+    spans = license_spans(spark, docs, base, templates, bodies)
     own = F.when(F.col("base"), F.col("start"))
     found = spans.groupBy(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).agg(
         F.count(own).alias("n_base"),
@@ -192,37 +242,37 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _values() -> str:
+def _values(k: int) -> str:
     rows = []
-    for number, (words, label, whole) in enumerate([(p, label, True) for p, label in BASE] + [(t, label, False) for t, label in TEMPLATES]):
-        parts = words.split()
-        rows += [f"({number}, '{label}', {whole}, {len(parts)}, {i}, '{a}', '{b}')" for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
+    for number, t in enumerate(all_templates(BASE, TEMPLATES, BODIES)):
+        if t.k == k:
+            rows += [f"({number}, '{t.label}', {t.base}, {t.places}, {i}, '{' '.join(t.words[i : i + k])}')" for i in range(t.places)]
     return ", ".join(rows)
 
 
+def _votes(k: int) -> str:
+    return f"""SELECT doc_id, template, label, base, places, {NEIGHBOURS[k]} AS reach, {COVER[k]} AS cover, i - 1 - place AS diagonal, place, i - 1 AS pos
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {k - 2})) AS i FROM docs WHERE len(words) >= {k})
+  JOIN (VALUES {_values(k)}) t(template, label, base, places, place, gram) ON gram = array_to_string(words[i : i + {k - 1}], ' ')"""
+
+
 OP4_SQL = f"""
-WITH grams(template, label, base, n_template, place, a, b) AS (VALUES {_values()}),
-docs AS (
+WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words
   FROM documents
-), pairs AS (
-  SELECT doc_id, i - 1 AS pos, words[i] AS a, words[i + 1] AS b FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM docs)
 ), votes AS (
-  SELECT doc_id, template, label, base, n_template, pos - place AS diagonal, place, pos FROM pairs JOIN grams USING (a, b)
+  {_votes(SHORT)} UNION ALL {_votes(LONG)}
 ), diagonals AS (
-  SELECT doc_id, template, label, base, n_template, diagonal, list(DISTINCT place) AS places, min(pos) AS low, max(pos) AS high
-  FROM votes GROUP BY ALL
+  SELECT doc_id, template, label, base, places, reach, cover, diagonal, list(DISTINCT place) AS seen, min(pos) AS low FROM votes GROUP BY ALL
 ), lagged AS (
-  SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {NEIGHBOURS}, TRUE) THEN 1 ELSE 0 END AS apart
+  SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > reach, TRUE) THEN 1 ELSE 0 END AS apart
   FROM diagonals
 ), merged AS (
   SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM lagged
 ), spans AS (
-  SELECT doc_id, template, label, base, n_template, span, len(list_distinct(flatten(list(places)))) AS n, min(low) AS start
-  FROM merged GROUP BY ALL
+  SELECT doc_id, template, label, base, places, cover, span, len(list_distinct(flatten(list(seen)))) AS n, min(low) AS start FROM merged GROUP BY ALL
 ), good AS (
-  SELECT *, n / (n_template - 1) AS coverage FROM spans
-  WHERE CASE WHEN base THEN n = n_template - 1 ELSE n / (n_template - 1) >= {COVER} END
+  SELECT *, n / places AS coverage FROM spans WHERE CASE WHEN base THEN n = places ELSE n / places >= cover END
 ), found AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
