@@ -476,6 +476,34 @@ def test_landed_pages(spark, tmp_path):
     assert pages.read_feed(spark, "trades", str(tmp_path / "trades"), page_size="2").count() == 8
 
 
+def test_feeds_resume_skip_and_log(spark, tmp_path):
+    def land(folder, number, content):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / f"{number}.json").write_text(content if isinstance(content, str) else json.dumps(content))
+
+    rate = lambda t: {"funding_ts_ms": t, "funding_rate": "0.1", "mark_price": "1", "fetched_at": 0}
+    land("funding/w0", 0, [rate(1), rate(2)])
+    land("funding/w1", 0, {"status": 400, "msg": "no such window"})
+    land("funding/w1", 1, [rate(77)])
+    land("funding/w2", 0, [rate(5), rate(6)])
+    land("funding/w2", 1, "cut off")
+    land("funding/w3", 0, {"data": [rate(9)]})
+    log, options = str(tmp_path / "failures"), {"page_size": "2", "tries": "1"}
+    found = pages.read_feed(spark, "funding", str(tmp_path / "funding"), failures=log, **options)
+    assert sorted(r["funding_ts_ms"] for r in found.collect()) == [1, 2, 5, 6, 9]
+    assert [(r["folder"], r["page"]) for r in pages.failures(spark, log).collect()] == [("w2", "1.json")]
+    with pytest.raises(Exception, match="Expecting value"):
+        pages.read_feed(spark, "funding", str(tmp_path / "funding"), **options).collect()
+    stored = str(tmp_path / "stored")
+    found.where("funding_ts_ms <= 5").write.parquet(stored)
+    assert sorted(r["funding_ts_ms"] for r in pages.read_feed(spark, "funding", str(tmp_path / "funding"), stored, failures=log, **options).collect()) == [6, 9]
+    assert pages.failures(spark, str(tmp_path / "none")).count() == 0
+    day = 86_400
+    assert pages.windows("funding", 0, 60 * day) == [(0, 25 * day), (25 * day, 50 * day), (50 * day, 60 * day)]
+    events = spark.createDataFrame([("up-300",), ("up-301",), ("down-600",), ("up-x",)], "slug string")
+    assert [r["slug"] for r in pages.candle_markets(events, "up-").collect()] == ["up-300"]
+
+
 def test_retry_waits():
     waits, calls = [], []
 

@@ -3,25 +3,32 @@
 Feeds are fetched by other tools into folders of JSON files, one file per page and
 one folder per window, market or day. ``spark.read.format("pages")`` reads them with
 one task per folder, in page order, under the feed's own rules: it stops at an empty
-or a short page, retries reads that fail, and logs folders that it gives up on.
+or a short page, retries reads that fail, skips a window that the feed refused, and logs
+folders that it gives up on.
 
 Options: ``path``; ``columns`` (DDL); ``stop`` = ``empty`` or ``short``; ``page_size``;
 ``pages`` (most pages of a folder, 0 for all); ``cursor`` (a column: pages must move it
 forward, else the folder ends there); ``after`` (skip rows up to this cursor value);
-``tries``.
+``tries``; ``failures`` (a folder: a page that stays unreadable ends its market or window
+there, with a line in this log; without it, it ends the job). Paths are those of the
+cluster's file system, with their scheme.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tidemark.functions.parsing import CANDLE_SECONDS, slug_start
+from tidemark.operators.upsert import exists
+from tidemark.sources.folders import filesystem, qualified
+
 #: Longest wait between two tries, in seconds.
 LONGEST_WAIT = 4.0
 
@@ -42,6 +49,10 @@ def with_retry(action, tries: int, errors=(OSError, ValueError), sleep=time.slee
             sleep(wait)
 
 
+class Refused(Exception):
+    """A page that says that the feed has nothing for its window."""
+
+
 class Folder(InputPartition):
     def __init__(self, path: str, name: str):
         self.path, self.name = path, name
@@ -57,22 +68,44 @@ class PageReader(DataSourceReader):
         self.cursor = options.get("cursor")
         self.after = options.get("after")
         self.tries = int(options.get("tries", 3))
+        self.failures = options.get("failures")
 
     def partitions(self) -> list[Folder]:
-        folders = sorted(e.name for e in os.scandir(self.path) if e.is_dir())
-        return [Folder(os.path.join(self.path, f), f) for f in folders] or [Folder(self.path, "")]
+        folders = sorted(name for name, is_folder in self._entries(self.path) if is_folder)
+        return [Folder(f"{self.path.rstrip('/')}/{f}", f) for f in folders] or [Folder(self.path, "")]
+
+    @staticmethod
+    def _entries(path: str) -> list[tuple[str, bool]]:
+        from pyarrow import fs
+
+        files, root = filesystem(path)
+        return [(i.base_name, i.type == fs.FileType.Directory) for i in files.get_file_info(fs.FileSelector(root))]
+
+    def _give_up(self, partition: Folder, page: str, error: Exception) -> None:
+        files, root = filesystem(self.failures)
+        files.create_dir(root, recursive=True)
+        with files.open_output_stream(f"{root}/{partition.name or 'all'}.json") as f:
+            f.write(json.dumps({"folder": partition.name, "page": page, "error_msg": f"{type(error).__name__}: {error}"}).encode())
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         names = self.columns.names
         kinds = [f.dataType.simpleString() for f in self.columns]
-        pages = sorted((n for n in os.listdir(partition.path) if n.endswith(".json")), key=lambda n: (len(n), n))
+        pages = sorted((n for n, is_folder in self._entries(partition.path) if n.endswith(".json") and not is_folder), key=lambda n: (len(n), n))
         # rows up to here are known: those asked to be skipped, then those of earlier pages
         floor = float("-inf") if self.after is None else float(self.after)
         last = None
         for number, page in enumerate(pages):
             if self.most and number >= self.most:
                 return
-            rows = with_retry(lambda: self._load(os.path.join(partition.path, page)), self.tries)  # noqa: B023
+            try:
+                rows = with_retry(lambda: self._load(f"{partition.path}/{page}"), self.tries)  # noqa: B023
+            except Refused:
+                return
+            except (OSError, ValueError) as e:
+                if not self.failures:
+                    raise
+                self._give_up(partition, page, e)
+                return
             if not rows:
                 return
             furthest = last
@@ -98,9 +131,14 @@ class PageReader(DataSourceReader):
 
     @staticmethod
     def _load(path: str) -> list:
-        with open(path, encoding="utf-8") as f:
-            found = json.load(f)
-        return found if isinstance(found, list) else found.get("data", [])
+        files, where = filesystem(path)
+        with files.open_input_stream(where) as f:
+            found = json.loads(f.read())
+        if isinstance(found, list):
+            return found
+        if found.get("status") == 400:
+            raise Refused(path)
+        return found.get("data", [])
 
 
 def _convert(values: list, kinds: list[str]) -> list | None:
@@ -148,9 +186,37 @@ FEEDS = {
 }
 
 
-def read_feed(spark: SparkSession, feed: str, path: str, **options: str):
-    """The landed pages of a feed as its stored columns."""
+#: Days of a window of the windowed feeds; the five-minute feed keeps no more than its span.
+WINDOW_DAYS = {"funding": 25, "open_interest": 25, "top_account_ratio": 25, "top_position_ratio": 25, "global_account_ratio": 25, "open_interest_5m": 29, "events": 1}
+
+
+def windows(feed: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The windows ``[from, to)`` in seconds that the pages of a feed are fetched by, and its folders named after."""
+    step = WINDOW_DAYS[feed] * 86_400
+    return [(at, min(end, at + step)) for at in range(start, end, step)]
+
+
+def read_feed(spark: SparkSession, feed: str, path: str, stored: str | None = None, **options: str) -> DataFrame:
+    """The landed pages of a feed as its stored columns; with ``stored``, a table, only what lies beyond its last cursor."""
     from tidemark.sources.tables import SCHEMAS
 
+    rules = {**FEEDS[feed], **options}
+    if stored is not None and "after" not in rules and exists(spark, stored):
+        last = spark.read.parquet(stored).agg(F.max(rules["cursor"])).first()[0]
+        if last is not None:
+            rules["after"] = str(last)
+    if "failures" in rules:
+        rules["failures"] = qualified(spark, rules["failures"])
     spark.dataSource.register(Pages)
-    return spark.read.format("pages").options(path=path, columns=SCHEMAS[feed], **{**FEEDS[feed], **options}).load()
+    return spark.read.format("pages").options(path=qualified(spark, path), columns=SCHEMAS[feed], **rules).load()
+
+
+def failures(spark: SparkSession, folder: str) -> DataFrame:
+    """``folder, page, error_msg``: the markets and windows that a read gave up on."""
+    kind = "folder string, page string, error_msg string"
+    return spark.read.schema(kind).json(folder) if exists(spark, folder) else spark.createDataFrame([], kind)
+
+
+def candle_markets(events: DataFrame, prefix: str, seconds: int = CANDLE_SECONDS) -> DataFrame:
+    """Of discovered events the candles: those whose slug has the prefix and ends in a candle's start."""
+    return events.where(F.col("slug").startswith(prefix) & (slug_start(F.col("slug")) % seconds == 0))
