@@ -18,22 +18,35 @@ from tidemark.llm.quality import keep_good
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go."""
+    """Documents that the compression classifier rejects go.
+
+    Null and empty texts go or stay by the score of a text of length 0, repeated rows
+    together. Like all stages, it leaves an empty table empty and keeps extra columns.
+    """
     return keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of the smallest doc_id.
+
+    Documents without words are nobody's copies and stay; null ids come last in a group.
+    """
     return keep_one(spark, docs)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it.
+
+    Documents without words are not taken; a null source is a source of its own.
+    """
     return mix_documents(spark, docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each copy, and hashes of the ids and of the text that they decode to."""
+    """Token ids of each copy, and hashes of the ids and of the text that they decode to.
+
+    Null and empty texts have no ids; repeated rows have a row each.
+    """
     encoded = encode_documents(spark, docs)
     return encoded.select(
         "doc_id",

@@ -64,6 +64,10 @@ def test_sharding_hard_rows(hard, clashing):
         sizes = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in found}
         assert sizes[1] == (1, 0) and sizes[2] == (1, 0)
         assert sizes[5] == (150_001, zlib.crc32(("é " * 50_000).encode()))
+        slots = defaultdict(list)
+        for r in found:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard_documents(hard.limit(0)).collect() == []
 
 

@@ -182,7 +182,12 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, **o
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with the columns of ``docs``."""
+    """The rows of ``docs`` that the classifier does not reject, with the columns of ``docs``.
+
+    Null and empty texts are scored as texts of length 0 and stay or go by that score;
+    repeated rows stay or go together; without usable labels nothing is rejected, as the
+    score is 0.5; an empty table stays empty. Extra columns are kept, whatever their names.
+    """
     scored = score_documents(spark, docs, labels, **options)
     return scored.where(F.col(scored.columns[-1]) == 1).select(*docs.columns)
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.common import materialize
+
 #: Buckets of a shard whose rows are numbered apart from each other.
 BUCKETS = 1024
 
@@ -49,8 +51,10 @@ def shard_documents(
       equal in all three values are interchangeable among their slots.
     * An empty table gives an empty result.
 
-    Slots come from two levels: rows are numbered inside hash buckets of a shard,
-    and bucket counts give each bucket's offset, so no task holds a whole shard.
+    Rows equal in id, size and checksum are counted together, before they are shuffled,
+    and take neighbouring slots. Slots come from two levels: classes of rows are numbered
+    inside hash buckets of a shard, and bucket counts give each bucket's offset, so no
+    task holds a whole shard or a whole group of equal rows.
     """
     weights = list(weights or [1.0] * shards)
     grown = [*weights, grown_weight or sum(weights) / len(weights)]
@@ -67,15 +71,16 @@ def shard_documents(
         rendezvous(F.coalesce(F.col("doc_id"), F.lit(0)), grown).alias("grown_shard"),
         F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit("slot")), F.lit(buckets)).alias("bucket"),
     )
-    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    classes = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    classes = materialize(docs.sparkSession, classes, "shard-classes")  # read twice
+    counts = classes.groupBy("shard", "bucket").agg(F.sum("n").alias("rows"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # at most shards x buckets rows
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("place", F.row_number().over(inside).cast("long") - 1)
-    return numbered.join(F.broadcast(offsets), ["shard", "bucket"]).select(
-        "doc_id", "size", "text_crc32", "law", "shard", (F.col("first") + F.col("place")).alias("slot"), "grown_shard"
-    )
+    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = classes.withColumn("place", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    numbered = numbered.join(F.broadcast(offsets), ["shard", "bucket"]).withColumn("one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return numbered.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("first") + F.col("place") + F.col("one")).alias("slot"), "grown_shard")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
