@@ -39,6 +39,8 @@ CAP = 64
 BITS = 48
 #: Rows, and n-grams, of a row block; rows that meet one other row in a task.
 BLOCK_ROWS, BLOCK_GRAMS, STAR_ROWS = 256, 1 << 20, 64
+#: An n-gram of at most so many rows gives its pairs.
+FEW_ROWS = 16
 #: A column block holds about so many n-grams, as far as no more than so many blocks do.
 COLUMN_GRAMS, MOST_COLUMNS = 4 << 20, 65_536
 #: Bytes of text that a word takes at least, on average, for the number of n-grams to expect.
@@ -453,52 +455,79 @@ def _meet(kept: DataFrame, placed: DataFrame, threshold: int) -> DataFrame:
     return blocked.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(released(_product(threshold)), "a long, b long")
 
 
-def _in_blocks(spark: SparkSession, rows: DataFrame, block_rows: int, block_grams: int, broadcast_rows: int) -> DataFrame:
-    """``rows`` (unit, row, label, n) placed for ``_meet``: whole units, larger ones in row blocks that meet two by two."""
-    weights = rows.groupBy("unit").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    parts = F.ceil(F.greatest(F.col("rows") / block_rows, F.col("n") / block_grams)).cast("int")
-    large = materialize(spark, weights.withColumn("parts", parts).where("parts > 1").select("unit", "parts"), "jaccard-parts")
-    count = F.coalesce("parts", F.lit(1))
-    placed = hot_join(spark, rows.drop("n"), large, ["unit"], ["row"], broadcast_rows).withColumn("part", F.pmod(F.xxhash64("row"), count).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    return placed.select("unit", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "row", "label")
+def _stars(spark: SparkSession, kept: DataFrame, pairs: DataFrame, threshold: int, broadcast_rows: int) -> DataFrame:
+    """Links among the ``pairs`` (a, b): each ``b`` meets its ``a`` in parts of ``STAR_ROWS`` rows."""
+    counts = materialize(spark, pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts")), "jaccard-centres")
+    centres = counts.select(F.col("b").alias("unit"), zero_part("part_a"), F.explode(F.sequence(F.lit(1), "parts")).alias("part_b"), zero_part("part"), F.col("b").alias("row"))
+    part = (F.pmod(F.xxhash64("a"), F.col("parts")) + 1).cast("int")
+    others = hot_join(spark, pairs, counts, ["b"], ["a"], broadcast_rows).select(F.col("b").alias("unit"), zero_part("part_a"), part.alias("part_b"), part.alias("part"), F.col("a").alias("row"))
+    return materialize(spark, _meet(kept, centres.unionByName(others).withColumn("label", F.col("row")), threshold), "jaccard-star-links")
 
 
-def _large_links(spark: SparkSession, kept: DataFrame, rows: DataFrame, stars: DataFrame, threshold: int, block_rows: int, block_grams: int, broadcast_rows: int) -> DataFrame:
-    """Links that join the rows ``rows`` (row, n) of large components as all links between them do.
+def _large_links(spark: SparkSession, kept: DataFrame, rows: DataFrame, stars: DataFrame, threshold: int, block_rows: int, broadcast_rows: int) -> DataFrame:
+    """Links that join the rows ``rows`` (row, unit) of large components as all links between them do.
 
-    ``stars`` has each row with the first rows of its prefix n-grams. Those pairs are
-    verified first. Of each n-gram whose rows then still belong to several groups, the
-    rows meet, and n-grams with the same groups are one unit; an n-gram of two rows is
-    settled by its star. So rows are compared only with rows that share an n-gram, or
-    their groups do, and a chain of accidental neighbours costs as much as it has links.
+    ``stars`` has each row with the first rows of its prefix n-grams. In two rounds each
+    row meets one of them that is not of its group yet, which joins most true groups.
+    Then rows of different groups that share a prefix n-gram meet: where few rows share
+    it, pair by pair, and else in row blocks. A large group has blocks of its own, which
+    do not meet each other; the rest of a component is dealt to blocks by group, and two
+    blocks meet only if they share an n-gram. So a chain of accidental neighbours costs
+    as much as it has links, and a large group as much as it has rows.
     """
+    # tables of a row per row of these components
+    small = F.broadcast if rows.count() <= broadcast_rows else lambda table: table
+    kept = materialize(spark, kept.join(small(rows.select("row")), "row", "left_semi"), "jaccard-large-rows")
     sized = kept.select("row", "size", (F.length("grams") / 8).alias("held"))
-    first = stars.join(rows.select(F.col("row").alias("a")), "a", "left_semi")
-    first = first.join(sized.select(F.col("row").alias("a"), F.col("size").alias("size_a"), F.col("held").alias("held_a")), "a")
-    first = first.join(sized.select(F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("held").alias("held_b")), "b")
-    reach = F.least("held_a", "held_b") * (100 + threshold) >= threshold * (F.col("size_a") + F.col("size_b"))
-    first = materialize(spark, first.where((threshold * F.greatest("size_a", "size_b") <= 100 * F.least("size_a", "size_b")) & reach).select("a", F.col("b").alias("unit")), "jaccard-stars")
-    counts = first.groupBy("unit").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
-    counts = materialize(spark, counts, "jaccard-centres")
-    centres = counts.select("unit", zero_part("part_a"), F.explode(F.sequence(F.lit(1), "parts")).alias("part_b"), zero_part("part"), F.col("unit").alias("row"))
-    part = (F.pmod(F.xxhash64("a"), F.col("parts")) + 1).cast("int")
-    others = hot_join(spark, first, counts, ["unit"], ["a"], broadcast_rows).select("unit", zero_part("part_a"), part.alias("part_b"), part.alias("part"), F.col("a").alias("row"))
-    links = materialize(spark, _meet(kept, centres.unionByName(others).withColumn("label", F.col("row")), threshold), "jaccard-star-links")
-
-    groups = connected_components(spark, links).withColumnRenamed("node", "row").withColumnRenamed("component", "label")
-    labels = materialize(spark, rows.join(groups, "row", "left").withColumn("label", F.coalesce("label", "row")), "jaccard-labels")
-    postings = kept.join(labels.select("row"), "row", "left_semi").select("row", "size", "grams").mapInArrow(released(_postings(threshold)), "gram long, row long")
-    postings = materialize(spark, postings.join(labels.select("row", "label"), "row"), "jaccard-postings")
-    named = F.xxhash64("label").cast("decimal(38,0)")
-    several = postings.groupBy("gram").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("rows > 2 and low <> high").select("gram")
-    mixed = materialize(spark, postings.join(several, "gram", "left_semi"), "jaccard-mixed")
-    unit = F.xxhash64(F.sum(named), F.count("*"), F.min("label"))
-    units = mixed.select("gram", "label").distinct().groupBy("gram").agg(unit.alias("unit"))
-    met = mixed.join(units, "gram").select("unit", "row", "label").distinct().join(rows, "row")
-    rest = materialize(spark, _meet(kept, _in_blocks(spark, met, block_rows, block_grams, broadcast_rows), threshold), "jaccard-rest")
-    discard(spark, first, postings, mixed)
-    return links.unionByName(rest)
+    side = lambda n: small(sized.select(F.col("row").alias(n), F.col("size").alias(f"size_{n}"), F.col("held").alias(f"held_{n}")))
+    fit = (threshold * F.greatest("size_a", "size_b") <= 100 * F.least("size_a", "size_b")) & (
+        F.least("held_a", "held_b") * (100 + threshold) >= threshold * (F.col("size_a") + F.col("size_b"))
+    )
+    first = materialize(spark, stars.join(side("a"), "a").join(side("b"), "b").where(fit).select("a", "b"), "jaccard-stars")
+    links, tried = None, None
+    labels = rows.select("row", F.col("row").alias("label"))
+    of = lambda name: small(labels.select(F.col("row").alias(name), F.col("label").alias(f"label_{name}")))
+    for _ in range(2):
+        open_pairs = first if tried is None else first.join(tried, ["a", "b"], "left_anti")
+        open_pairs = open_pairs.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b")
+        tried = materialize(spark, open_pairs.groupBy("a").agg(F.min("b").alias("b")), "jaccard-tried")
+        new = _stars(spark, kept, tried, threshold, broadcast_rows)
+        links = new if links is None else links.unionByName(new)
+        # rows of one label are linked; rows that are linked may still have several, and are compared again then
+        moved = new.groupBy("a").agg(F.min("b").alias("b")).join(of("b"), "b").select(F.col("a").alias("row"), F.col("label_b").alias("new"))
+        labels = materialize(spark, labels.join(small(moved), "row", "left").select("row", F.coalesce("new", "label").alias("label")), "jaccard-labels")
+        labels = materialize(spark, labels.withColumnRenamed("label", "b").join(of("b"), "b").select("row", F.col("label_b").alias("label")), "jaccard-labels")
+
+    postings = kept.select("row", "size", "grams").mapInArrow(released(_postings(threshold)), "gram long, row long")
+    postings = materialize(spark, postings.join(small(labels), "row"), "jaccard-postings")
+    several = postings.groupBy("gram").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram", "rows")
+    mixed = materialize(spark, postings.join(several, "gram"), "jaccard-mixed")
+    few, many = mixed.where(F.col("rows") <= FEW_ROWS), mixed.where(F.col("rows") > FEW_ROWS)
+    a, b = (few.select("gram", F.col("row").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
+    pairs = a.join(b, "gram").where("a > b and la <> lb").select("a", "b").distinct()
+    pairs = materialize(spark, pairs.join(side("a"), "a").join(side("b"), "b").where(fit).select("a", "b"), "jaccard-few-pairs")
+    links = links.unionByName(_stars(spark, kept, pairs, threshold, broadcast_rows))
+
+    # blocks: those of a large group by itself, and those of the other rows of a component
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= block_rows)
+    sizes = materialize(spark, sizes.select("label", F.ceil(F.col("n") / block_rows).alias("parts")), "jaccard-groups")
+    placed = hot_join(spark, labels.join(small(rows.select("row", "unit")), "row"), sizes, ["label"], ["row"], broadcast_rows)
+    rest = materialize(spark, placed.where("parts is null").groupBy("unit").agg(F.ceil(F.count("*") / block_rows).alias("rest")), "jaccard-others")
+    placed = hot_join(spark, placed, rest, ["unit"], ["row"], broadcast_rows)
+    own = F.xxhash64(F.lit(1), "label", F.pmod(F.xxhash64("row"), F.col("parts")))
+    other = F.xxhash64(F.lit(2), "unit", F.pmod(F.xxhash64("label"), F.col("rest")))
+    pure = F.when(F.col("parts").isNotNull(), F.col("label"))
+    placed = materialize(spark, placed.select("row", "label", F.when(F.col("parts").isNotNull(), own).otherwise(other).alias("block"), pure.alias("pure")), "jaccard-blocks")
+    held = materialize(spark, many.select("gram", "row").join(small(placed.select("row", "block", "pure")), "row").select("gram", "block", "pure").distinct(), "jaccard-held")
+    x, y = (held.select("gram", F.col("block").alias(f"part_{n}"), F.col("pure").alias(f"pure_{n}")) for n in "ab")
+    same = F.coalesce(F.col("pure_a") == F.col("pure_b"), F.lit(False))
+    met = x.join(y, "gram").where((F.col("part_a") <= F.col("part_b")) & ~same).select("part_a", "part_b").distinct()
+    met = materialize(spark, met, "jaccard-block-pairs")
+    sides = met.select("part_a", "part_b", F.explode(F.array_distinct(F.array("part_a", "part_b"))).alias("block"))
+    blocked = sides.join(small(placed.select("row", "label", "block")), "block").select(F.lit(0).cast("long").alias("unit"), "part_a", "part_b", F.col("block").alias("part"), "row", "label")
+    last = materialize(spark, _meet(kept, blocked, threshold), "jaccard-rest")
+    discard(spark, kept, first, postings, mixed, held)
+    return links.unionByName(last)
 
 
 def jaccard_components(
@@ -557,7 +586,7 @@ def jaccard_components(
     one = placed.where("large is null").select("unit", zero_part("part_a"), zero_part("part_b"), zero_part("part"), "row", F.col("row").alias("label"))
     links = materialize(spark, _meet(kept, one, threshold), "jaccard-links")
     if not large.isEmpty():
-        links = links.unionByName(_large_links(spark, kept, placed.where("large").select("row", "n"), stars, threshold, block_rows, block_grams, broadcast_rows))
+        links = links.unionByName(_large_links(spark, kept, placed.where("large").select("row", "unit"), stars, threshold, block_rows, broadcast_rows))
     joined = connected_components(spark, links)
 
     sets = found.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
