@@ -16,7 +16,7 @@ from tidemark.functions.parsing import book_updates
 from tidemark.operators import ledger as book
 from tidemark.operators.bars import FEATURES, WINDOWS, bar_features
 from tidemark.operators.rolling import STANDARD, rank_of, zscore_of
-from tidemark.operators.upsert import insert_replace, swap_write
+from tidemark.operators.upsert import exists, insert_replace, swap_write
 
 
 def quotes(frames: DataFrame, frame: str = "frame", seq: str = "seq") -> DataFrame:
@@ -105,6 +105,8 @@ def settle_batches(outcomes: DataFrame, ledger_path: str, now: int, checkpoint:
     spark = outcomes.sparkSession
 
     def put(batch: DataFrame, _: int) -> None:
+        if not exists(spark, ledger_path):  # which puts back what a failed batch has left
+            raise FileNotFoundError(ledger_path)
         old = spark.read.parquet(ledger_path)
         swap_write(spark, book.settle(old, batch, now), ledger_path)
 
