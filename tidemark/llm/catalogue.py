@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op6_bpe_codec
 from tidemark.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
+from tidemark.llm.filter_audit import OP12_SQL, op12_filter_audit
 from tidemark.llm.licenses import OP4_SQL, op4_license_scan
 from tidemark.llm.mixing import op8_mix_sources
 from tidemark.llm.ngram_join import OP10_SQL, op10_ngram_jaccard
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_maxscore_topk": op9_maxscore_topk,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op9_maxscore_topk": OP9_SQL,
     "op10_ngram_jaccard": OP10_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
