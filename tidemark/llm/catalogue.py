@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op6_bpe_codec
+from tidemark.llm.divergence import OP13_SQL, op13_source_divergence
 from tidemark.llm.embedding_dedup import OP1_SQL, op1_embedding_near_dedup
 from tidemark.llm.filter_audit import OP12_SQL, op12_filter_audit
 from tidemark.llm.licenses import OP4_SQL, op4_license_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_maxscore_topk": op9_maxscore_topk,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op12_filter_audit": op12_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -35,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_maxscore_topk": OP9_SQL,
     "op10_ngram_jaccard": OP10_SQL,
     "op12_filter_audit": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
