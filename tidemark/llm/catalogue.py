@@ -9,6 +9,7 @@ from tidemark.llm.filter_audit import OP12_SQL, op12_filter_audit
 from tidemark.llm.licenses import OP4_SQL, op4_license_scan
 from tidemark.llm.mixing import op8_mix_sources
 from tidemark.llm.ngram_join import OP10_SQL, op10_ngram_jaccard
+from tidemark.llm.perplexity import op11_quality_rules
 from tidemark.llm.quality import op3_quality_classifier
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.token_files import op5_token_files
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_maxscore_topk": op9_maxscore_topk,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_quality_rules": op11_quality_rules,
     "op12_filter_audit": op12_filter_audit,
     "op13_source_divergence": op13_source_divergence,
 }
