@@ -118,7 +118,7 @@ def test_pivot_keeps_words_and_leaves_one_fraction():
     for trial in range(4_000):
         sizes = sorted((rng.randint(1, 400) for _ in range(rng.randint(1, 30))), reverse=True) if trial % 2 else [50, 20, 9, 5, 2, 1]
         parts = [rng.random() for _ in sizes] if trial % 2 else [0.3, 0.3, 0.7, 0.2, 0.5, 0.9]
-        out = mixing.pivot(sizes, parts, [rng.random() for _ in range(len(sizes) + 1)])
+        out = mixing.pivot(sizes, parts, [rng.random() for _ in range(2 * len(sizes) + 1)])
         assert all(-1e-9 <= p <= 1 + 1e-9 for p in out)
         assert sum(1e-9 < p < 1 - 1e-9 for p in out) <= 1
         assert sum(s * p for s, p in zip(sizes, out, strict=True)) == pytest.approx(sum(s * p for s, p in zip(sizes, parts, strict=True)), abs=1e-6)
@@ -149,17 +149,32 @@ def test_equal_rows_are_rounded_each(spark):
     assert mixing.mix_documents(spark, docs).groupBy("doc_id").count().where("doc_id is null").first()["count"] == sum(r["copies"] for r in found if r["doc_id"] is None)
 
 
-def test_mixing_comes_near_the_targets_of_the_given_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    found = mixing.mix_sources(spark, docs).collect()
-    taken, target, shortest = Counter(), {}, defaultdict(list)
+def test_long_documents_are_settled_and_keep_their_expectation():
+    """A few long documents among many short ones: all words but those of one short document come out whole."""
+    rng = np.random.default_rng(5)
+    sizes = np.array([20_000, 9_000, 9_000, 4_000] + sorted(rng.integers(20, 600, 300).tolist(), reverse=True))
+    parts = np.concatenate([[0.3, 0.6, 0.05, 0.5], rng.uniform(0.25, 0.45, 300)])
+    mean, runs = np.zeros(len(sizes)), 4_000
+    for seed in range(runs):
+        draws = np.random.default_rng(seed).random(2 * len(sizes) + 1)
+        out = mixing.pivot(sizes, parts, draws)
+        left = (out > 1e-9) & (out < 1 - 1e-9)
+        assert left.sum() <= 1 and not left[:250].any()
+        assert (out * sizes).sum() == pytest.approx((parts * sizes).sum(), rel=1e-12)
+        mean += np.where(left, draws[-1] < out, out) / runs
+    assert np.abs(mean - parts).max() < 4.5 * math.sqrt(0.25 / runs)
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_mixing_comes_near_the_targets_of_the_given_tables(spark, scale):
+    found = mixing.mix_sources(spark, spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")).select("source", "size", "taken", "target").collect()
+    taken, target, sizes = Counter(), {}, defaultdict(list)
     for r in found:
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
-        shortest[r["source"]].append(r["size"])
+        sizes[r["source"]].append(r["size"])
     for s, t in target.items():
-        assert abs(taken[s] - t) <= max(shortest[s])
-    assert sum(abs(taken[s] - t) for s, t in target.items()) <= 0.01 * sum(target.values())
+        assert abs(taken[s] - t) <= max(0.001 * t, sorted(sizes[s])[len(sizes[s]) // 2])
 
 
 def test_mixing_keeps_expectation(spark):

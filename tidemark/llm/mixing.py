@@ -61,31 +61,61 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], ceiling: float, g
     return ranked.select(*sizes.columns, F.least("_cap", F.col("_level") * F.col("_weight")).alias("target"))
 
 
-def pivot(sizes: list[int], parts: list[float], draws: list[float]) -> list[float]:
+def pivot(sizes: Sequence[int], parts: Sequence[float], draws: Sequence[float]) -> np.ndarray:
     """Pivotal rounding of one node: the probabilities afterwards, of which one at most is fractional.
 
-    Documents come by falling size, and two are paired at a time: the one that is still
-    fractional and the next. Words move from one to the other until one of the two is
-    integral; each way has the chance that keeps both expectations. The words expected
-    of the node stay the same throughout. A long document that meets shorter ones is
-    moved by their words, up and down, until it is integral, so the one that is left
-    is short wherever short ones follow.
+    Documents come by falling size. The longest that is still fractional is settled first: one
+    draw says whether it becomes 1 or 0, and its words come from, or go to, the shorter ones
+    after it, pair by pair, until it is integral. With probability ``p`` of its own it takes
+    ``(1 - p) r`` words from a partner when it rises and gives ``p r`` words when it falls, so
+    the partner's expectation stays; ``r`` is as large as the partner can bear both ways, and
+    all ``r`` of its partners make up its size. Each step thus keeps all expectations and the
+    node's expected words. What cannot be settled so, for want of partners, is among the
+    shortest; these are paired two at a time (``pair_up``), and one may be left fractional.
+    A document longer than what all shorter ones of its node can bear is left to that, too.
     """
-    p = list(parts)
-    held = -1
-    for i, size in enumerate(sizes):
+    s, p = np.asarray(sizes, np.float64), np.array(parts, np.float64)
+    count, i = len(p), 0
+    while i < count:
         if not EPSILON < p[i] < 1 - EPSILON:
+            i += 1
             continue
+        own, stop, width = p[i], i + 1, 16
+        while True:  # as many partners as it needs
+            stop = min(count, i + 1 + width)
+            q, size = p[i + 1 : stop], s[i + 1 : stop]
+            bear = np.minimum(q * size / (1 - own), (1 - q) * size / own)
+            total = np.cumsum(bear)
+            if stop == count or total[-1] >= s[i]:
+                break
+            width *= 4
+        if not len(total) or total[-1] < s[i]:
+            break
+        last = int(np.searchsorted(total, s[i]))
+        share = bear[: last + 1]
+        share[last] -= total[last] - s[i]
+        rises = draws[i] < own
+        q = q[: last + 1] + (-(1 - own) if rises else own) * share / size[: last + 1]
+        whole = np.rint(q)
+        p[i + 1 : i + 2 + last] = np.where(np.abs(q - whole) <= EPSILON, whole, q)
+        p[i] = 1.0 if rises else 0.0
+        i += 1
+    return pair_up(s, p, draws[count:])
+
+
+def pair_up(s: np.ndarray, p: np.ndarray, draws: Sequence[float]) -> np.ndarray:
+    """Two at a time, the one still fractional and the next: words move from one to the other until one is integral."""
+    held = -1
+    for i in np.flatnonzero((p > EPSILON) & (p < 1 - EPSILON)).tolist():
         if held < 0:
             held = i
             continue
-        own = sizes[held]
+        own, size = s[held], s[i]
         up, down = min((1 - p[held]) * own, p[i] * size), min(p[held] * own, (1 - p[i]) * size)
         words = up if draws[i] * (up + down) < down else -down
-        full, empty = (p[held] + words / own, p[i] - words / size)
-        # the bound that was reached is met exactly
-        p[held] = round(full) if abs(full - round(full)) <= EPSILON else full
-        p[i] = round(empty) if abs(empty - round(empty)) <= EPSILON else empty
+        for k, q in ((held, p[held] + words / own), (i, p[i] - words / size)):
+            # the bound that was reached is met exactly
+            p[k] = round(q) if abs(q - round(q)) <= EPSILON else q
         held = next((k for k in (held, i) if 0 < p[k] < 1), -1)
     return p
 
@@ -99,8 +129,8 @@ def _round(seed: int, depth: int, last: bool):
     def settle(rows: pa.Table) -> pa.Table:
         source, node = rows["source"][0].as_py(), rows["node"][0].as_py()
         name = -1 if source is None else zlib.crc32(source.encode())
-        draws = np.random.default_rng([seed % 2**64, depth, node, name + 1]).random(rows.num_rows + 1).tolist()
-        part = np.array(pivot(rows["size"].to_pylist(), rows["part"].to_pylist(), draws))
+        draws = np.random.default_rng([seed % 2**64, depth, node, name + 1]).random(2 * rows.num_rows + 1)
+        part = pivot(rows["size"].to_numpy(), rows["part"].to_numpy(), draws)
         if last:
             open_one = (part > EPSILON) & (part < 1 - EPSILON)
             part = np.where(open_one, draws[-1] < part, part)
@@ -204,7 +234,8 @@ def mix_sources(
     words, ``taken`` is ``copies * size``. Every row of a source expects
     ``target / source_size`` copies; pivotal rounding turns that into whole copies. All
     pairings keep a source's expected words, so what it takes differs from its target by
-    less than the size of the one document that is left fractional at its root.
+    less than the size of the one document that is left fractional at its root, which is
+    among its shortest unless a document outweighs what all shorter ones can bear (``pivot``).
 
     * Null or empty texts have size 0 and are taken 0 times; a source without
       words has target 0.
