@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +86,17 @@ def select_transformable(df: DataFrame, columns: Sequence[str], **limits: int) -
     return [c for c in columns if c in ok]
 
 
+def rolling_score(x: pd.Series, spec: Rolling) -> pd.Series:
+    """One score of each value of a series in order."""
+    if spec.op == "lag":
+        return x.shift(spec.window)
+    if spec.op == "rank":
+        return x.rolling(spec.window, min_periods=spec.least).rank(pct=True)
+    past = x.rolling(spec.window, min_periods=spec.least, closed="left")
+    spread = past.std()
+    return (x - past.mean()) / spread.where(spread > 0)
+
+
 def rolling_features(df: DataFrame, ts: str, columns: Sequence[str], specs: Sequence[Rolling] = STANDARD, rows: int = 20_000, span: int = 86_400 * 30) -> DataFrame:
     """``df`` with ``<column>__<suffix>`` for all columns and specs, in one pass of Arrow batches.
 
@@ -104,16 +116,8 @@ def rolling_features(df: DataFrame, ts: str, columns: Sequence[str], specs: Sequ
         for c in columns:
             x = part[c].cast(pa.float64()).to_pandas()
             for s in specs:
-                if s.op == "zs":
-                    past = x.rolling(s.window, min_periods=s.least, closed="left")
-                    spread = past.std()
-                    found = (x - past.mean()) / spread.where(spread > 0)
-                elif s.op == "rank":
-                    found = x.rolling(s.window, min_periods=s.least).rank(pct=True)
-                else:
-                    found = x.shift(s.window)
                 # missing values become nulls
-                new.append(pa.array(found, pa.float64(), from_pandas=True).filter(own))
+                new.append(pa.array(rolling_score(x, s), pa.float64(), from_pandas=True).filter(own))
         return pa.table(new, names=schema.names)
 
     return kept.groupBy("_bucket").applyInArrow(work, schema)

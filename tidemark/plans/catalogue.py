@@ -12,14 +12,14 @@ from tidemark.functions import factors, parsing, pricing
 from tidemark.operators import ledger as book
 from tidemark.operators import scoring, upsert
 from tidemark.operators.bars import bar_features
-from tidemark.operators.rolling import Rolling, percentile_rank, rank_of, rolling_features, rolling_moments, transformable, zscore, zscore_of
+from tidemark.operators.rolling import STANDARD, Rolling, percentile_rank, rank_of, rolling_features, rolling_moments, transformable, zscore, zscore_of
 from tidemark.operators.timeline import ENTRY_OFFSETS, asof, dense_index, in_buckets, sample_entries
 from tidemark.plans import adapters as a
 from tidemark.plans.features import entry_panel, gauge_features, merge
 from tidemark.sources.folders import work_dir
 from tidemark.sources.tables import complete_columns, constraint_violations, schema
-from tidemark.streaming import live
-from tidemark.streaming.run import drain, read_files
+from tidemark.streaming import live, stateful
+from tidemark.streaming.run import date_in_order, drain, read_files, state_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -745,27 +745,22 @@ def constraint_check(spark, d):
 
 @query("stream_latest_state", "SELECT event_type, last(event_id ORDER BY event_id) AS event_id, last(value ORDER BY event_id) AS value FROM events GROUP BY 1")
 def stream_latest_state(spark, d):
-    stream = _pieces(spark, d, "events", "event_id")
+    stream = _pieces(a.table(spark, d, "events"), "event_id")
     return drain(live.latest_by_arrival(stream, "event_type", ["event_id", "value"], "event_id"), "update", ["event_type"], "latest")
 
 
-def _pieces(spark, d, name: str, order: str, batches: int = 6) -> DataFrame:
-    """A table as a stream of several files, in ``order``, one file to a batch."""
-    folder = work_dir(spark, "pieces")
-    rows = a.table(spark, d, name)
-    ends = rows.agg(F.min(order), F.max(order)).first()
-    wide = max(1, -(-(ends[1] - ends[0] + 1) // batches))
-    # the files of a batch are written after those of the batch before
-    for i in range(batches):
-        low = ends[0] + i * wide
-        rows.where((F.col(order) >= low) & (F.col(order) < low + wide)).coalesce(1).write.mode("append").parquet(f"{folder}/{name}.parquet")
-    return read_files(spark, folder, name, files_per_batch=1)
+def _pieces(rows: DataFrame, order: str, batches: int = 3, spread: int = 4) -> DataFrame:
+    """Rows as a stream in ``order``, ``spread`` files to a batch, written in one pass."""
+    spark, folder = rows.sparkSession, work_dir(rows.sparkSession, "pieces")
+    rows.repartitionByRange(batches * spread, order).sortWithinPartitions(order).write.parquet(f"{folder}/rows.parquet")
+    date_in_order(spark, f"{folder}/rows.parquet")
+    return read_files(spark, folder, "rows", files_per_batch=spread)
 
 
 @query("stream_dedup", "SELECT CAST(user_id AS VARCHAR) || ':' || event_type AS k, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day FROM events) GROUP BY 1")
 def stream_dedup(spark, d):
     """Each (user, type) once a day; the state of a day expires while the stream goes on."""
-    stream = _pieces(spark, d, "events", "event_id").withColumn("at", F.col("ts").cast("timestamp")).withColumn("day", F.date_trunc("day", "ts"))
+    stream = _pieces(a.table(spark, d, "events"), "event_id").withColumn("at", F.col("ts").cast("timestamp")).withColumn("day", F.date_trunc("day", "ts"))
     fresh = live.once(stream, ["user_id", "event_type", "day"], "at", "1 day").select("user_id", "event_type")
     found = drain(fresh, "append", name="once")
     return found.groupBy(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_type")).alias("k")).agg(F.count("*").alias("n"))
@@ -773,7 +768,7 @@ def stream_dedup(spark, d):
 
 @query("stream_tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_tumbling(spark, d):
-    stream = _pieces(spark, d, "events", "event_id")
+    stream = _pieces(a.table(spark, d, "events"), "event_id")
     found = drain(live.candles(stream, "ts", 3_600, late=None, by=["event_type"]), "update", ["start", "event_type"], "candles")
     return found.withColumn("total", F.round("total", 6))
 
@@ -788,12 +783,78 @@ def stream_settle(spark, d):
     kinds = schema("ledger")
     rows = complete_columns(rows, kinds.names, "string").select(*[F.col(f.name).cast(f.dataType) for f in kinds])
     upsert.swap_write(spark, rows, f"{folder}/ledger")
-    stream = _pieces(spark, d, "orders", "o_orderkey", 3).select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("condition_id"), F.when(F.col("o_orderkey") % 3 != 0, F.lit(1)).alias("up_won"))
+    stream = _pieces(a.table(spark, d, "orders"), "o_orderkey").select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("condition_id"), F.when(F.col("o_orderkey") % 3 != 0, F.lit(1)).alias("up_won"))
     live.settle_batches(stream, f"{folder}/ledger", 10_000, f"{folder}/checkpoint").start().awaitTermination()
     done = spark.read.parquet(f"{folder}/ledger")
     return done.agg(F.count_if(F.col("status") == "settled").alias("n_settled"), F.count_if(F.col("status") == "open").alias("n_open"))
 
 
+# a factor per user; every fourth event announces a candle that has been over for one candle already
+_ANNOUNCED = f"WITH {a.EVENTS_SQL}, said AS (SELECT 'f' || CAST(user_id AS VARCHAR) AS expr, t AS now_s, 60 * (user_id % 200) AS off, t - t % 18000 - CASE WHEN event_id % 4 = 0 THEN 36000 ELSE 0 END AS cs FROM ev)"
+
+
+def _announced(spark, d) -> DataFrame:
+    e = a.events(spark, d)
+    start = F.col("t") - F.col("t") % a.CANDLE - F.when(F.col("event_id") % 4 == 0, 2 * a.CANDLE).otherwise(0)
+    return e.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("expr"), start.alias("cs"), F.lit("UP").alias("direction"), (60 * (F.col("user_id") % 200)).alias("entry_offset_s"), F.col("t").alias("now_s"))
+
+
+def _fired_before(spark, d) -> DataFrame:
+    """What the ledger of an earlier run holds: the candles of the first three days."""
+    return _announced(spark, d).where(F.col("now_s") < 1_704_067_200 + 3 * 86_400).select("expr", "cs").distinct()
+
+
+@query(
+    "stream_triggers",
+    f"""{_ANNOUNCED}, fired AS (SELECT DISTINCT expr, cs FROM said WHERE now_s < 1704067200 + 3 * 86400)
+SELECT DISTINCT expr, cs, 'UP' AS direction, cs + off AS due_s FROM said ANTI JOIN fired USING (expr, cs) WHERE now_s <= cs + 18000 AND cs + off <= (SELECT max(now_s) FROM said)""",
+)
+def stream_triggers(spark, d):
+    """Announced pairs fire once each at their time, by timers; pairs of the ledger and late ones never."""
+    with state_store(spark):
+        return drain(stateful.timed_triggers(_pieces(_announced(spark, d), "now_s"), _fired_before(spark, d), a.CANDLE, "0 seconds"), name="triggers")
+
+
+_SIDES = {"up": "click", "dn": "view"}
+
+
+@query(
+    "stream_asof",
+    f"WITH {a.SPINE_SQL}, " + ", ".join(f"{a.GAUGE_SQL.format(name=s, kind=k)}" for s, k in _SIDES.items())
+    + ", due AS (SELECT cs, cs + 9000 AS at FROM spine), " + ", ".join(f"{s}q AS (SELECT d.cs, q.ts AS ts_{s}, q.value AS bid_{s} FROM due d ASOF LEFT JOIN {s} q ON d.at >= q.ts)" for s in _SIDES)
+    + " SELECT cs, ts_up, bid_up, ts_dn, bid_dn FROM upq JOIN dnq USING (cs)",
+)
+def stream_asof(spark, d):
+    """Both sides' quotes as they stood when each candle's trigger was due, from one stream of quotes and one of triggers."""
+    events = a.events(spark, d)
+    quotes = events.where(F.col("event_type").isin(*_SIDES.values())).select(F.col("event_type").alias("key"), F.col("t").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("bid"))
+    due = a.spine(spark, d).select((F.col("cs") + 9_000).alias("ts"), F.col("cs").cast("string").alias("probe"), F.explode(F.array(*map(F.lit, _SIDES.values()))).alias("key"))
+    # a last row without a side, far enough on for all probes to be answered
+    end = events.agg((F.max("t") + 2 * 86_400).alias("ts")).select(F.lit("end").alias("key"), "ts", F.lit(0).cast("long").alias("seq"), F.lit(None).cast("double").alias("bid"))
+    with state_store(spark):
+        found = drain(stateful.asof_stream(_pieces(due, "ts"), _pieces(quotes.unionByName(end), "ts"), ["bid"], "1 day"), name="asof")
+    sides = [F.max(F.when(F.col("key") == k, F.col(c))).alias(f"{n}_{s}") for s, k in _SIDES.items() for c, n in (("quote_ts", "ts"), ("bid", "bid"))]
+    return found.groupBy(F.col("probe").cast("long").alias("cs")).agg(*sides)
+
+
+_OVER288 = "(ORDER BY ts ROWS BETWEEN 288 PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    "stream_rolling",
+    f"""WITH {a.BARS_SQL}, n AS (SELECT ts, close, row_number() OVER (ORDER BY ts) AS i FROM bars),
+ranks AS (SELECT p.ts, CASE WHEN count(*) >= 50 THEN round((count(*) FILTER (q.close < p.close) + (count(*) FILTER (q.close = p.close) + 1) / 2.0) / count(*), 6) END AS rank24h FROM n p JOIN n q ON q.i BETWEEN p.i - 287 AND p.i GROUP BY p.ts)
+SELECT 'close' AS feature_name, ts AS cs, close AS value, CASE WHEN count(close) OVER {_OVER288} >= 50 THEN round((close - avg(close) OVER {_OVER288}) / nullif(stddev_samp(close) OVER {_OVER288}, 0), 5) END AS zs24h, rank24h FROM bars JOIN ranks USING (ts)""",
+)
+def stream_rolling(spark, d):
+    """Scores of a stream of bars against the history that it has built up so far."""
+    bars = a.bars(spark, d).select(F.lit("close").alias("feature_name"), F.col("ts").alias("cs"), F.col("close").alias("value"))
+    specs = [s for s in STANDARD if s.suffix in ("zs24h", "rank24h")]
+    with state_store(spark):
+        found = drain(stateful.rolling_stream(_pieces(bars, "cs", spread=1), specs), name="rolling")
+    return rounded(found.withColumn("zs24h", F.round("zs24h", 5)), "value")
+
+
 @query("book_quotes", "SELECT event_type AS asset_id, last(event_id ORDER BY event_id) AS ts_ms, last(value ORDER BY event_id) AS best_bid FROM events WHERE event_id % 4 <> 3 GROUP BY 1")
 def book_quotes(spark, d):
     e = a.table(spark, d, "events").withColumn("id", F.col("event_id").cast("string")).withColumn("v", F.col("value").cast("string"))

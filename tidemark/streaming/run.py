@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,28 @@ def read_files(spark: SparkSession, folder: str, name: str, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def date_in_order(spark: SparkSession, folder: str) -> None:
+    """Date a written table's files a second apart by their part numbers: a stream takes older files first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    last = int(time.time()) - 1
+    for i, part in enumerate(parts):
+        fs.setTimes(part, (last - len(parts) + i) * 1000, -1)
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, as state with timers and lists must."""
+    key, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, wanted)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), name: str = "stream", endless: bool = False, longest: float = 120.0) -> DataFrame:
     """Process all that is there, each batch written once under its number; returns the rows.
 
