@@ -2,7 +2,6 @@
 
 import base64
 import hashlib
-import io
 import itertools
 import random
 import re
@@ -236,21 +235,60 @@ def test_salvage_by_pieces_is_salvage(seed):
         whole[rng.randrange(len(whole))] ^= 0xFF
     whole = bytes(whole)
     wanted = _merged(warc.salvage(whole))
+
+    def read_at(at, n):
+        return whole[at : at + min(n, rng.randrange(1, 700))]
+
     for window in (64, 1_000, 10_000_000):
-        at = 0
+        assert list(warc.salvage_stream(read_at, window)) == wanted
+    # records longer than what may be held are the same, and gaps cover the same bytes
+    for window, longest in ((64, 500), (1_000, 1_000)):
+        found = list(warc.salvage_stream(read_at, window, longest))
+        assert [(a, b, f) for a, b, f, _ in found if f] == [(a, b, f) for a, b, f, _ in wanted if f]
+        assert _bytes(found) == _bytes(wanted)
+
+
+def _bytes(found):
+    return {i for a, b, f, _ in found if not f for i in range(a, b)}
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_long_records_are_read_by_pieces(packed, monkeypatch):
+    """One record far longer than what may be held, sound or damaged, between short ones; also many in one long member."""
+    monkeypatch.setattr(warc, "PIECE", 1_000)
+    rng = random.Random(4)
+    body = rng.randbytes(300_000)
+    plain = [warc.record(0, "u", b"a"), warc.record(99, "long", body), warc.record(1, "v", b"b")]
+    parts = [warc.member(r) if packed else r for r in plain]
+    longest = 0
+
+    def found(content, payloads=True):
+        nonlocal longest
+        longest = 0
 
-        def read(n):
-            nonlocal at
-            piece = whole[at : at + min(n, rng.randrange(1, 700))]
-            at += len(piece)
-            return piece
+        def read_at(at, n):
+            nonlocal longest
+            longest = max(longest, n)
+            return content[at : at + n]
 
-        assert list(warc.salvage_stream(read, window)) == wanted
-    # a record that is too long to hold is lost, those after it are not
-    long = plain[0] + warc.record(99, "u", b"y" * 50_000) + plain[1]
-    at = 0
-    found = [int(f["headers"]["warc-record-id"][10:-1]) for _, _, f, _ in warc.salvage_stream(io.BytesIO(long).read, 1_000, 8_000) if f]
-    assert found[0] == 0 and found[-1] == 1 and 99 not in found
+        return list(warc.salvage_stream(read_at, 2_000, 8_000, payloads))
+
+    whole = b"".join(parts)
+    records = found(whole)
+    assert [(f["headers"]["warc-record-id"], f["size"]) for _, _, f, _ in records] == [("<urn:page:0>", 1), ("<urn:page:99>", 300_000), ("<urn:page:1>", 1)]
+    assert records[1][2]["payload"] == body and records[1][2]["digest"] == warc.digest32(body) and longest <= 8_000
+    assert [(a, b) for a, b, _, _ in records] == list(itertools.pairwise(itertools.accumulate(map(len, parts), initial=0)))
+    assert found(whole, False)[1][2]["payload"] is None
+    hurt = bytearray(whole)
+    hurt[len(parts[0]) + len(parts[1]) - 200] ^= 0xFF
+    ids = [int(f["headers"]["warc-record-id"][10:-1]) for _, _, f, _ in found(bytes(hurt)) if f]
+    assert ids == [0, 1]
+    gaps = [(a, b) for a, b, f, _ in found(bytes(hurt)) if not f]
+    assert gaps[0][0] == len(parts[0]) and gaps[-1][1] == len(parts[0]) + len(parts[1])
+    cut = whole[: len(parts[0]) + 100_000]
+    assert [int(f["headers"]["warc-record-id"][10:-1]) for _, _, f, _ in found(cut) if f] == [0] and found(cut)[-1][1] == len(cut)
+    many = warc.member(b"".join(warc.record(i, "u", rng.randbytes(500)) for i in range(100)))
+    assert [int(f["headers"]["warc-record-id"][10:-1]) for _, _, f, _ in found(many + plain[0])] == [*range(100), 0]
 
 
 @pytest.mark.parametrize("packed", [True, False])
@@ -444,6 +482,40 @@ def test_quality_sample_is_bounded_by_rows_and_bytes(spark):
     assert b"tail words of the text" in quality.dictionary([b"x y z " * 1_000 + b"tail words of the text"])
 
 
+def test_one_long_text_does_not_empty_a_class(spark):
+    docs, labels = _labelled(random.Random(9), 600)
+    first = {}
+    for y in (0, 1):
+        keys = spark.createDataFrame([(i,) for i, q, _ in labels if q == y], "k long").where(~quality.held_out(F.col("k")))
+        first[y] = keys.orderBy(F.xxhash64("k"), "k").first()["k"]
+    longer = [(i, t * 200 if i in first.values() else t, *r) for i, t, *r in docs]
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scores = []
+    for rows in (docs, longer, [(i, t * 300, *r) for i, t, *r in docs[:120]]):
+        d = spark.createDataFrame(rows, DOCS)
+        found = quality.score_documents(spark, d, y, sample_bytes=60_000).where(quality.held_out(F.col("doc_id"))).collect()
+        scores.append({r["doc_id"]: r["score"] for r in found})
+        truth = {i: q for i, q, _ in labels}
+        right = sum((s >= 0.5) == truth[i] for i, s in scores[-1].items())
+        assert len(set(scores[-1].values())) > 0.8 * len(scores[-1]) / (1 if rows is not docs[:120] else 2)
+        assert right >= 0.9 * len(scores[-1])
+
+
+def test_kept_rows_of_hard_tables(spark, hard, clashing):  # noqa: F811
+    docs, labels = _labelled(random.Random(7), 300)
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    train = spark.createDataFrame(docs, DOCS)
+    for table in (hard, clashing, hard.withColumn("score", F.lit("x")).withColumn("Predicted", F.lit(1)), hard.limit(0)):
+        both = table.unionByName(train.select(*[F.col(c) if c in train.columns else F.lit(None).cast(t).alias(c) for c, t in table.dtypes]))
+        kept = quality.keep_good(spark, both, y)
+        assert kept.columns == both.columns
+        good = {r["doc_id"] for r in quality.score_documents(spark, both.select("doc_id", "text"), y).where("predicted = 1").collect()}
+        assert {r["doc_id"] for r in kept.collect()} == good
+    nothing = quality.keep_good(spark, hard, y.limit(0))
+    assert nothing.count() == len(HARD)  # without labels nothing is rejected
+    assert quality.keep_good(spark, hard.limit(0), y).count() == 0
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = _labelled(random.Random(6), 900)
     d, y = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")

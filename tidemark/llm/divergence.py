@@ -183,7 +183,7 @@ def _pairs(counts: pa.Table, sources: pa.Table) -> pa.Table:
     places = counts["term"].combine_chunks().dictionary_encode().indices.to_numpy()
     tree = Tree(block_matrix(rows, places, counts["n"].to_numpy(), len(names), width))
     a, b = np.triu_indices(len(names), 1)
-    if side.any():  # two tiles meet: only pairs between them
+    if sources["tile_a"][0] != sources["tile_b"][0]:  # two tiles meet: only pairs between them
         between = side[a] != side[b]
         a, b = a[between], b[between]
     out = []

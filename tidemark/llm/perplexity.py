@@ -396,11 +396,12 @@ def score_documents(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTE
 def bands(spark: SparkSession, scored: DataFrame) -> DataFrame:
     """``lang, center, within, between``: where the bits per word of a language's documents lie.
 
-    ``center`` is their median. Their spread about it, by the median of the deviations, is
-    taken of the shorter and of the longer half of the documents, which gives its two parts:
-    ``between`` documents, and ``within / n_words``, the chance of the words themselves.
-    ``scored`` has lang, n_words, x. Medians are of values rounded to a thousandth bit, so
-    that equal ones are counted together before they are shuffled.
+    ``center`` is their median. Their spread about it has two parts: ``between`` documents,
+    and ``within / n_words``, the chance of the words themselves. Times ``n_words`` the square
+    of a deviation is about ``within + between * n_words``, and its median over the shorter
+    and over the longer half of the documents gives both. ``scored`` has lang, n_words, x.
+    All medians are of rounded values, so that equal ones are counted together before they
+    are shuffled.
     """
     rows = scored.select("lang", "n_words", F.round("x", 3).alias("x"), F.round(F.log2("n_words"), 2).alias("size"))
 
@@ -411,14 +412,14 @@ def bands(spark: SparkSession, scored: DataFrame) -> DataFrame:
     middle = median(rows, ["lang"], "x", "center").join(median(rows, ["lang"], "size", "half"), "lang")
     middle = materialize(spark, middle, "lm-centers")
     rows = hot_join(spark, rows, middle, ["lang"], ["x", "n_words"], BROADCAST_LANGS)
-    rows = rows.select("lang", (F.col("size") <= F.col("half")).alias("short"), F.round(F.abs(F.col("x") - F.col("center")), 3).alias("off"), (F.lit(1.0) / F.col("n_words")).alias("per"))
-    spread = median(rows, ["lang", "short"], "off", "off").join(rows.groupBy("lang", "short").agg(F.avg("per").alias("per")), ["lang", "short"])
-    square = F.pow(F.lit(1.4826) * F.col("off"), F.lit(2.0))  # of a normal distribution
+    off = F.round(F.abs(F.col("x") - F.col("center")) * F.sqrt("n_words"), 2)
+    rows = rows.select("lang", (F.col("size") <= F.col("half")).alias("short"), off.alias("off"), "size")
+    spread = median(rows, ["lang", "short"], "off", "off").join(median(rows, ["lang", "short"], "size", "size"), ["lang", "short"])
+    square, words = F.pow(F.lit(1.4826) * F.col("off"), F.lit(2.0)), F.pow(F.lit(2.0), F.col("size"))  # as of a normal distribution
     of = lambda short, c: F.max(F.when(F.col("short") == short, c))
-    halves = spread.groupBy("lang").agg(of(True, square).alias("s"), of(True, F.col("per")).alias("ps"), of(False, square).alias("l"), of(False, F.col("per")).alias("pl"))
-    within = F.greatest(F.coalesce(F.try_divide(F.col("s") - F.col("l"), F.col("ps") - F.col("pl")), F.lit(0.0)), F.lit(0.0))
-    far, per = F.coalesce("l", "s"), F.coalesce("pl", "ps")
-    return middle.join(halves, "lang").select("lang", "center", within.alias("within"), F.greatest(far - within * per, F.lit(0.0)).alias("between"))
+    halves = spread.groupBy("lang").agg(of(True, square).alias("s"), of(True, words).alias("ns"), of(False, square).alias("l"), of(False, words).alias("nl"))
+    between = F.greatest(F.coalesce(F.try_divide(F.col("l") - F.col("s"), F.col("nl") - F.col("ns")), F.lit(0.0)), F.lit(0.0))
+    return middle.join(halves, "lang").select("lang", "center", F.greatest(F.col("s") - between * F.col("ns"), F.lit(0.0)).alias("within"), between.alias("between"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, order: int = ORDER, band: float = BAND, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -444,7 +445,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, order: int = ORDER, band
     scored = scored.withColumns({"base_failed": failed, "x": F.try_divide("bits", "n_words")})
     where = materialize(spark, bands(spark, scored.where("not base_failed")), "lm-bands")
     found = hot_join(spark, scored, where, ["lang"], ["doc_id", "h1"], BROADCAST_LANGS)
-    spread = F.greatest(F.sqrt(F.col("between") + F.col("within") / F.col("n_words")), F.lit(LEAST_SPREAD))
+    spread = F.greatest(F.sqrt(F.col("between") + F.coalesce(F.try_divide("within", "n_words"), F.lit(0.0))), F.lit(LEAST_SPREAD))
     # the center is rounded, so an edge is as wide as that
     off = F.lit(band) * spread + F.lit(0.001)
     found = found.withColumns({"low": F.col("center") - off, "high": F.col("center") + off})

@@ -19,6 +19,8 @@ from tidemark.llm.common import free_name, materialize, plain_text
 #: them build the dictionaries, the rest calibrate the score. Rows are taken by hash of
 #: their key, whole texts each, as long as a class's texts have so many bytes together.
 SAMPLE_ROWS, SAMPLE_BYTES = 4_500, 48 << 20
+#: Texts of a class that are in the sample however long they are.
+LEAST_SAMPLE = 12
 #: Bytes that are compressed at a time; small, so that the dictionary tells more than the text's own repeats.
 BLOCK = 1_024
 #: Bytes of each dictionary.
@@ -111,6 +113,8 @@ def fit(
     The sample holds the ``sample_rows`` rows of each class with the smallest key
     hashes, or the first of them whose texts have ``sample_bytes`` bytes together: whole
     texts, of which two thirds train the dictionaries and the others calibrate the score.
+    Texts of more than a sixteenth of that room come after all others, and the first
+    ``LEAST_SAMPLE`` of a class are taken whatever their length, so no long text empties a class.
     Keys with conflicting labels, null labels and labels other than 0 and 1 are left out.
     With a class missing, or texts too short for dictionaries, the score is the share of
     good labels (0.5 without any).
@@ -128,9 +132,10 @@ def fit(
     # at most 2 x sample_rows rows are broadcast; a key of several documents takes one of them
     found = docs.select(F.col(key).cast("long").alias("k"), plain_text(text).cast("binary").alias("t")).join(F.broadcast(sample), "k")
     found = found.groupBy("k", "y").agg(F.min("t").alias("t"))
-    # windows over at most sample_rows rows
-    so_far = F.sum(F.length("t")).over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))
-    found = materialize(spark, found.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).drop("so_far"), "quality-sample")
+    # windows over at most sample_rows rows; a text that takes much of the room alone comes last
+    order = Window.partitionBy("y").orderBy(F.length("t") > sample_bytes // 16, F.xxhash64("k"), "k")
+    found = found.withColumns({"so_far": F.sum(F.length("t")).over(order), "place": F.row_number().over(order)})
+    found = materialize(spark, found.where((F.col("so_far") <= sample_bytes) | (F.col("place") <= LEAST_SAMPLE)).drop("so_far", "place"), "quality-sample")
     place = F.pmod(F.xxhash64("k", F.lit("use")), F.lit(3))
     texts = {y: [bytes(r["t"]) for r in found.where((F.col("y") == y) & (place != 0)).orderBy(F.xxhash64("k"), "k").select("t").toLocalIterator()] for y in (0, 1)}
     model = Model(dictionary(texts[1]), dictionary(texts[0]))

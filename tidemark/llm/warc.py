@@ -37,14 +37,20 @@ DATE = "2024-01-01T00:00:00Z"
 MEMBER = b"\x1f\x8b\x08"
 #: No version line is longer.
 LINE = 12
-#: Bytes of an archive that are held at first, and at most: a record, or a member, that is longer is quarantined.
-WINDOW, LONGEST = 8 << 20, 1 << 30
+#: Bytes of an archive that are held at first, and at most: a record, or a member, that is longer is checked piece by piece.
+WINDOW, LONGEST = 8 << 20, 64 << 20
+#: Bytes of such a piece.
+PIECE = 4 << 20
 #: Anywhere, as damage can take the line break before it; what follows is checked in full.
 _version_line = re.compile(rb"WARC/\d\.\d\r?\n")
 
 
 def digest32(content: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(content).digest()).decode()
+    return _base32(hashlib.sha1(content))
+
+
+def _base32(sha1) -> str:
+    return base64.b32encode(sha1.digest()).decode()
 
 
 def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
@@ -80,8 +86,8 @@ class Damaged(ValueError):
         self.records, self.cut = list(records), cut
 
 
-def parse(content: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record at ``at`` and where it ends; raises ``Damaged`` if any check fails."""
+def parse_headers(content: bytes, at: int = 0) -> tuple[dict[str, str], int]:
+    """The headers of the record at ``at`` and where its block begins."""
     line = _version_line.match(content, at)
     if not line:
         raise Damaged("no version line", cut=len(content) - at < LINE)
@@ -94,28 +100,144 @@ def parse(content: bytes, at: int = 0) -> tuple[dict, int]:
         if not colon:
             raise Damaged("header without a name")
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    start, length = end + 4, headers.get("content-length", "")
+    length = headers.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         raise Damaged("no content length")
-    stop = start + int(length)
+    return headers, end + 4
+
+
+class Block:
+    """A record's block, whole or piece by piece: its digests, and its payload if it is an HTTP message."""
+
+    def __init__(self, headers: dict[str, str], keep: bool = True):
+        self.headers, self.keep = headers, keep
+        self.is_http = headers.get("content-type", "").startswith("application/http")
+        self.whole, self.body = hashlib.sha1(), hashlib.sha1()
+        self.head, self.in_body, self.length, self.parts = b"", not self.is_http, 0, []
+
+    def add(self, piece: bytes) -> None:
+        self.whole.update(piece)
+        if not self.is_http:
+            return
+        if not self.in_body:
+            self.head += piece
+            self.head, mark, piece = self.head.partition(b"\r\n\r\n")
+            self.in_body = bool(mark)
+        if self.in_body:
+            self.body.update(piece)
+            self.length += len(piece)
+            if self.keep:
+                self.parts.append(piece)
+
+    def record(self) -> dict:
+        """What the record says, once all is added; raises ``Damaged`` if a digest or length differs."""
+        headers = self.headers
+        if (said := headers.get("warc-block-digest")) and said != "sha1:" + _base32(self.whole):
+            raise Damaged("block digest differs")
+        found = {"headers": headers, "type": headers.get("warc-type", "")}
+        if self.is_http:
+            size = re.search(rb"(?im)^content-length:\s*(\d+)", self.head)
+            found |= {"payload": b"".join(self.parts) if self.keep else None, "size": int(size[1]) if size else self.length}
+            said, own = headers.get("warc-payload-digest", "").removeprefix("sha1:"), _base32(self.body)
+            if found["type"] == "response":
+                if said and said != own:
+                    raise Damaged("payload digest differs")
+                if size and self.length != int(size[1]):
+                    raise Damaged("payload length differs")
+            found["digest"] = said or own
+        return found
+
+
+def parse(content: bytes, at: int = 0) -> tuple[dict, int]:
+    """The record at ``at`` and where it ends; raises ``Damaged`` if any check fails."""
+    headers, start = parse_headers(content, at)
+    stop = start + int(headers["content-length"])
     if content[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("block does not end where its length says", cut=stop + 4 > len(content))
-    block = content[start:stop]
-    if (said := headers.get("warc-block-digest")) and said != "sha1:" + digest32(block):
-        raise Damaged("block digest differs")
-    found = {"headers": headers, "type": headers.get("warc-type", ""), "block": block}
-    if headers.get("content-type", "").startswith("application/http"):
-        http, _, payload = block.partition(b"\r\n\r\n")
-        size = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-        found |= {"payload": payload, "size": int(size[1]) if size else len(payload)}
-        said = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-        if found["type"] == "response":
-            if said and said != digest32(payload):
-                raise Damaged("payload digest differs")
-            if size and len(payload) != int(size[1]):
-                raise Damaged("payload length differs")
-        found["digest"] = said or digest32(payload)
-    return found, stop + 4
+    block = Block(headers)
+    block.add(content[start:stop])
+    return block.record(), stop + 4
+
+
+class _Source:
+    """The bytes from a place of a file on, unpacked if a gzip member begins there, piece by piece."""
+
+    def __init__(self, read_at: Callable[[int, int], bytes], at: int):
+        self.read_at, self.at, self.held = read_at, at, b""
+        mark = b""
+        while len(mark) < len(MEMBER) and (piece := read_at(at + len(mark), len(MEMBER) - len(mark))):
+            mark += piece
+        self.reader = zlib.decompressobj(31) if mark == MEMBER else None
+
+    def _more(self) -> bytes:
+        if self.reader is None:
+            piece = self.read_at(self.at, PIECE)
+            self.at += len(piece)
+            return piece
+        while not self.reader.eof:
+            packed = self.reader.unconsumed_tail
+            if not packed:
+                packed = self.read_at(self.at, PIECE)
+                self.at += len(packed)
+                if not packed:
+                    raise Damaged("gzip member is cut short", cut=True)
+            try:
+                piece = self.reader.decompress(packed, PIECE)
+            except zlib.error as e:
+                raise Damaged(f"gzip: {e}") from None
+            if piece:
+                return piece
+        return b""
+
+    def fill(self, n: int) -> bool:
+        while len(self.held) < n and (piece := self._more()):
+            self.held += piece
+        return len(self.held) >= n
+
+    def take(self, n: int) -> bytes:
+        """Up to ``n`` bytes, none at the end."""
+        self.fill(1)
+        piece, self.held = self.held[:n], self.held[n:]
+        return piece
+
+    @property
+    def end(self) -> int:
+        return self.at - (len(self.held) if self.reader is None else len(self.reader.unused_data))
+
+
+def long_records(read_at: Callable[[int, int], bytes], at: int, keep: bool = True) -> tuple[list[dict], int]:
+    """The record, or the records of the gzip member, at ``at``, whatever its length, and where it ends.
+
+    Blocks go through running digests and are not held, but for payloads that ``keep`` asks
+    for. Raises ``Damaged`` if a check fails, with the records that a broken member begins with.
+    """
+    source, records, trusted = _Source(read_at, at), [], 0
+    try:
+        while True:
+            if not source.fill(LINE) and records and not source.held:
+                return records, source.end
+            if records and _version_line.match(source.held):
+                trusted = len(records)
+            searched = 0
+            while source.held.find(b"\r\n\r\n", max(0, searched - 3)) < 0 and _version_line.match(source.held[:LINE]) and (searched := len(source.held)) < LONGEST:
+                if not source.fill(len(source.held) + 1):
+                    break
+            headers, start = parse_headers(source.held)
+            source.held = source.held[start:]
+            block, left = Block(headers, keep), int(headers["content-length"])
+            while left:
+                if not (piece := source.take(left)):
+                    raise Damaged("block does not end where its length says", cut=True)
+                block.add(piece)
+                left -= len(piece)
+            if not source.fill(4) or source.held[:4] != b"\r\n\r\n":
+                raise Damaged("block does not end where its length says")
+            source.held = source.held[4:]
+            records.append(block.record())
+            if source.reader is None:
+                return records, source.end
+    except Damaged as e:
+        raise Damaged(str(e), [r for r in records[:trusted] if "warc-block-digest" in r["headers"]] if source.reader else (), e.cut) from None
 
 
 def _unpack(view: memoryview, at: int) -> tuple[bytes, int]:
@@ -239,33 +361,55 @@ def salvage(content: bytes, final: bool = True) -> Iterator[tuple[int, int, dict
             yield start, end, part, reason
 
 
-def salvage_stream(read: Callable[[int], bytes], window: int = WINDOW, longest: int = LONGEST) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    """``salvage`` of a file that ``read`` gives piece by piece; what is held grows to ``longest`` bytes at most.
+def salvage_stream(read_at: Callable[[int, int], bytes], window: int = WINDOW, longest: int = LONGEST, payloads: bool = True) -> Iterator[tuple[int, int, dict | None, str | None]]:
+    """``salvage`` of a file that ``read_at(place, n)`` gives piece by piece; what is held grows to ``longest`` bytes at most.
 
-    Neighbouring gaps with one reason are one gap.
+    A record or member that is longer is read by ``long_records``, without its payload
+    unless ``payloads`` are asked for. Neighbouring gaps with one reason are one gap.
     """
     held, base, size, ended = b"", 0, window, False
     gap: tuple[int, int, None, str] | None = None
+
+    def put(start: int, end: int, found: dict | None, why: str | None) -> Iterator[tuple]:
+        nonlocal gap
+        if gap and (found or gap[1] != start or gap[3] != why):
+            yield gap
+            gap = None
+        if found:
+            yield start, end, found, None
+        else:
+            gap = (gap[0] if gap else start, end, None, why)
+
     while not (ended and not held):
         while len(held) < size and not ended:
-            piece = read(size - len(held))
+            piece = read_at(base + len(held), size - len(held))
             held, ended = held + piece, not piece
-        final, rest = ended or len(held) >= longest, 0
-        for start, end, found, why in salvage(held, final):
+        rest, more = 0, False
+        for start, end, found, why in salvage(held, ended):
             if why == MORE:
-                rest = start
+                rest, more = start, True
                 break
-            here = (base + start, base + end, found, why)
-            if gap and (found or gap[1] != here[0] or gap[3] != why):
-                yield gap
-                gap = None
-            if found:
-                yield here
-            else:
-                gap = (gap[0] if gap else here[0], here[1], None, why)
+            yield from put(base + start, base + end, found, why)
             rest = end
+        if more and not rest and len(held) >= longest:
+            try:
+                records, stop = long_records(read_at, base, payloads)
+                for found in records:
+                    yield from put(base, stop, found, None)
+                held, base, ended = b"", stop, False
+            except Damaged as e:
+                member_at = held.find(MEMBER, 1)
+                following = min(_next_line(held, 1), len(held) if member_at < 0 else member_at)
+                # a start can be cut by the end of what is held
+                following = following if following < len(held) or ended else max(1, len(held) - LINE)
+                for found in e.records:
+                    yield from put(base, base + following, found, None)
+                yield from put(base, base + following, None, str(e))
+                held, base = held[following:], base + following
+            size = max(window, len(held))
+            continue
         # a record that is not whole yet needs a longer window
-        size = min(longest, window + len(held) - rest if rest else 2 * max(len(held), window))
+        size = min(max(longest, window), window + len(held) - rest if rest else 2 * max(len(held), window))
         held, base = held[rest:], base + rest
     if gap:
         yield gap
@@ -374,8 +518,8 @@ def _read(folder: str, payloads: bool, longest: int):
         out = Rows(_RECORDS)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with files.open_input_stream(path, compression=None) as f:
-                    for start, end, found, why in salvage_stream(f.read, longest=longest):
+                with files.open_input_file(path) as f:
+                    for start, end, found, why in salvage_stream(lambda at, n: f.read_at(n, at), longest=longest, payloads=payloads):  # noqa: B023
                         if found is None:
                             full = out.add(0, path, start, end, "quarantine", None, None, None, None, None, None, why)
                         else:
@@ -398,7 +542,8 @@ def read_warc(spark: SparkSession, paths: DataFrame, folder: str, payloads: bool
     Gaps have record_type ``quarantine``, their byte range ``[start, end)`` and the
     failed check in ``damage``; whole records have null there. The records of one
     gzip member have its byte range, as do gaps inside it. An archive is read piece by
-    piece; a record or member of more than ``longest`` bytes is quarantined.
+    piece; of a record or member of more than ``longest`` bytes only its payload is held, if
+    ``payloads`` are asked for.
     """
     tasks = max(1, min(paths.count(), READ_TASKS))
     return paths.select("path").repartition(tasks).mapInArrow(released(_read(qualified(spark, folder), payloads, longest)), RECORDS)
@@ -416,6 +561,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = write_warc(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, revisit_bytes=0)
     records = materialize(spark, read_warc(spark, written, folder, payloads=False), "warc-records")
     log_quarantine(records, f"{folder}-quarantine")
+    wanted, found = written.agg(F.sum("n_records")).first()[0] or 0, records.where("damage is null").count()
+    if wanted != found:
+        raise ValueError(f"{wanted} records written, {found} read; gaps are in {folder}-quarantine")
     return records.where("damage is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
