@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import hot_join, materialize, plain_text, release, released
 
 #: Terms of a block and sources of a tile, on average.
-BLOCK_TERMS, TILE_SOURCES = 65_536, 32
+BLOCK_TERMS, TILE_SOURCES = 16_384, 32
 #: Pairs of trees that are walked at a time.
 WALK_PAIRS = 16
 #: A task's table of counts is handed on once it has so many places.
