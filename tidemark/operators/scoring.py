@@ -114,31 +114,6 @@ def walk_forward(ledger: DataFrame, by: Sequence[str], week: str = "week", win:
     )
 
 
-def overlaps(fires: DataFrame, factor: str = "factor", key: str = "cs", least: float = 0.0) -> DataFrame:
-    """``a, b, n_a, n_b, n_both, jaccard, containment_ab, containment_ba`` of factors that overlap, a < b.
-
-    ``fires`` has a row per factor and key that fires. Only pairs with a common key and a
-    jaccard of ``least`` or more are there; all others overlap by 0 or less than asked.
-    The common keys are counted by key, not by comparing factors. Two sets of sizes x < y
-    have a jaccard of at most x / y, so pairs of too different sizes are left out before
-    their keys are counted.
-    """
-    fires = fires.select(F.col(factor).alias("f"), F.col(key).alias("k")).where("f is not null and k is not null").distinct()
-    sizes = fires.groupBy("f").agg(F.count("*").alias("n"))
-    sized = fires.join(sizes, "f")
-    a, b = (sized.select(F.col("f").alias(x), F.col("n").alias(f"n_{x}"), "k") for x in "ab")
-    fit = F.least("n_a", "n_b") >= F.lit(float(least)) * F.greatest("n_a", "n_b")
-    found = a.join(b, "k").where((F.col("a") < F.col("b")) & fit).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("n_both"))
-    ratio = lambda x: F.coalesce(F.try_divide(F.col("n_both").cast("double"), x.cast("double")), F.lit(0.0))
-    found = found.select(
-        "*",
-        ratio(F.col("n_a") + F.col("n_b") - F.col("n_both")).alias("jaccard"),
-        ratio(F.col("n_a")).alias("containment_ab"),
-        ratio(F.col("n_b")).alias("containment_ba"),
-    )
-    return found.where(F.col("jaccard") >= least)
-
-
 def stream_corr(streams: DataFrame, a: str, b: str, by: Sequence[str] = (), drop: int = 0, ties: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of two columns over all rows; 0 if either is constant.
 
@@ -217,12 +192,3 @@ def leaders(cards: DataFrame, pairs: DataFrame, most: float = GATES["jaccard_max
         turn = F.when(settled & F.col("chosen").isNotNull(), F.col("chosen.better")).when(F.col("unknown").isNull(), F.col("f"))
         state = stored(spark, state.join(seen, "f", "left").select("f", F.coalesce("leader", turn).alias("leader")), "leaders")
     return state.select(F.col("f").alias(factor), "leader")
-
-
-def thresholds(features: DataFrame, columns: Sequence[str], cuts: Sequence[float]) -> DataFrame:
-    """``column, cut, threshold``: quantiles of each column, for enumerating one-predicate factors."""
-    long = features.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    # exact: equal values are counted together before they are shuffled
-    counts = long.where("v is not null").groupBy("column", "v").agg(F.count("*").alias("n"))
-    found = counts.groupBy("column").agg(F.percentile("v", list(cuts), F.col("n")).alias("q"))
-    return found.select("column", F.posexplode("q").alias("i", "threshold")).select("column", F.element_at(F.array(*[F.lit(float(c)) for c in cuts]), F.col("i") + 1).alias("cut"), "threshold")

@@ -59,8 +59,8 @@ def prints(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(cid.alias("cid"), F.col("event_type").alias("asset"), F.col("t").alias("ts"), F.col("value").alias("price"), F.lit("BUY").alias("side"), F.col("event_id").alias("ord"))
 
 
-def trades(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as settled bets: a price from the discount, an outcome from the order."""
+def trades(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """Line items as settled bets: a price from the discount, an outcome from the order, and ``more`` of their columns."""
     lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
@@ -72,6 +72,7 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("o_orderstatus") != "F").cast("int").alias("win"),
         "l_orderkey",
         "l_suppkey",
+        *more,
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import factors, parsing, pricing
 from tidemark.operators import ledger as book
-from tidemark.operators import scoring, upsert
+from tidemark.operators import candidates, scoring, upsert
 from tidemark.operators.bars import bar_features
 from tidemark.operators.rolling import STANDARD, Rolling, percentile_rank, rank_of, rolling_features, rolling_moments, transformable, zscore, zscore_of
 from tidemark.operators.timeline import ENTRY_OFFSETS, asof, dense_index, in_buckets, sample_entries
@@ -604,12 +604,12 @@ def _fires(spark, d) -> DataFrame:
 
 @query("jaccard", f"{_FIRES} SELECT a, b, n_both, round(n_both / CAST(n_a + n_b - n_both AS DOUBLE), 6) AS jaccard FROM p")
 def jaccard(spark, d):
-    return rounded(scoring.overlaps(_fires(spark, d)).select("a", "b", "n_both", "jaccard"))
+    return rounded(candidates.overlaps(_fires(spark, d)).select("a", "b", "n_both", "jaccard"))
 
 
 @query("containment", f"{_FIRES} SELECT a, b, round(n_both / CAST(n_a AS DOUBLE), 6) AS containment_ab, round(n_both / CAST(n_b AS DOUBLE), 6) AS containment_ba FROM p")
 def containment(spark, d):
-    return rounded(scoring.overlaps(_fires(spark, d)).select("a", "b", "containment_ab", "containment_ba"))
+    return rounded(candidates.overlaps(_fires(spark, d)).select("a", "b", "containment_ab", "containment_ba"))
 
 
 _STREAMS = f"WITH {a.TRADES_SQL}, s AS (SELECT week, coalesce(sum(CASE WHEN factor = 'AF' THEN {_PAY} END), 0) AS x, coalesce(sum(CASE WHEN factor = 'AO' THEN {_PAY} END), 0) AS y FROM trades GROUP BY week)"
@@ -661,7 +661,7 @@ _MOST = 0.4
 @query("leader_dedup", _LEADERS.format(most=_MOST))
 def leader_dedup(spark, d):
     t = a.trades(spark, d).withColumn("factor", F.concat_ws(":", "factor", (F.col("l_suppkey") % 40).cast("string")))
-    pairs = scoring.overlaps(t.select("factor", F.col("week").alias("cs")), least=_MOST)
+    pairs = candidates.overlaps(t.select("factor", F.col("week").alias("cs")), least=_MOST)
     return scoring.leaders(scoring.scorecard(t, ["factor", "direction"]), pairs, most=_MOST)
 
 
@@ -732,7 +732,43 @@ _CUTS = [i / 10 for i in range(1, 10)]
 
 @query("threshold_grid", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({q} AS DOUBLE) AS cut, round(quantile_cont({c}, {q}), 6) AS threshold FROM lineitem" for c in ("l_quantity", "l_extendedprice") for q in _CUTS))
 def threshold_grid(spark, d):
-    return rounded(scoring.thresholds(a.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], _CUTS), "cut")
+    return rounded(candidates.thresholds(a.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], _CUTS), "cut")
+
+
+_SCANNED = ("l_quantity", "l_extendedprice", "l_tax")
+
+
+@query(
+    "threshold_scan",
+    f"""WITH rows_ AS (SELECT l_quantity, l_extendedprice, l_tax, (CAST(epoch(l_shipdate) AS BIGINT) + 259200) // 604800 AS week, CAST(0.35 AS DOUBLE) + CAST(3.0 AS DOUBLE) * l_discount AS price, CAST(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END AS DOUBLE) AS win FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+long AS ({" UNION ALL ".join(f"SELECT '{c}' AS name, CAST({c} AS DOUBLE) AS v, week, price, win FROM rows_" for c in _SCANNED)}),
+cuts AS (SELECT name, unnest({_CUTS}::DOUBLE[]) AS cut, unnest(quantile_cont(v, {_CUTS})) AS threshold FROM long GROUP BY name),
+hits AS (SELECT name, cut, threshold, op, week, price, win FROM long JOIN cuts USING (name), (SELECT unnest(['<', '>']) AS op) WHERE (op = '<' AND v < threshold) OR (op = '>' AND v > threshold)),
+weeks AS (SELECT name, cut, op, count(*) FILTER (n >= 10 AND v > 0) / CAST(nullif(count(*) FILTER (n >= 10), 0) AS DOUBLE) AS sf, count(*) FILTER (n >= 10) AS nw FROM (SELECT name, cut, op, week, count(*) AS n, {_NEV} AS v FROM hits GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT name, cut, threshold, op, CAST(count(*) AS DOUBLE) AS n, avg(win) AS wr, avg(price) AS ep, {_NEV} AS nev, sum(CASE WHEN win = 1 THEN {_PAY} END) AS p1, sum(CASE WHEN win = 1 THEN ({_PAY}) * ({_PAY}) END) AS p2 FROM hits GROUP BY ALL)
+SELECT name AS "column", cut, round(threshold, 6) AS threshold, op, CAST(n AS BIGINT) AS n, round(wr, 6) AS wr, round(ep, 6) AS ep, round(nev, 6) AS nev, round(p1 * p1 / greatest(p2, 1e-12), 3) AS eff_n, round(wr / ep - 1 - 0.07 * (1 - ep - 0.015), 6) AS net_base, round({_WILSON} / ep - 1 - 0.07 * (1 - ep - 0.015), 6) AS net_base_wilson, round(sf, 6) AS wf_sign_frac, CAST(nw AS BIGINT) AS n_weeks,
+  nev > 0.10 AS ok_nev, n >= greatest(50, 0.02 * (SELECT count(*) FROM rows_)) AS ok_hits, wr / ep - 1 - 0.07 * (1 - ep - 0.015) > 0.08 AS ok_base, coalesce(nw >= 4 AND sf >= 0.65, FALSE) AS ok_weeks, ep BETWEEN 0.35 AND 0.65 AS ok_price
+FROM g JOIN weeks USING (name, cut, op)""",
+)
+def threshold_scan(spark, d):
+    """All one-threshold factors over three columns, scored and gated, from one pass."""
+    found = candidates.threshold_scan(a.trades(spark, d, *_SCANNED), _SCANNED, _CUTS).drop("n_ok")
+    return rounded(found.withColumn("eff_n", F.round("eff_n", 3)), "cut")
+
+
+_NAMED_STREAMS = f"""WITH {a.TRADES_SQL}, named AS (SELECT factor || ':' || CAST(l_suppkey % 40 AS VARCHAR) AS f, week, {_PAY} AS v FROM trades),
+w AS (SELECT DISTINCT week FROM named), fs AS (SELECT DISTINCT f FROM named), sums AS (SELECT f, week, sum(v) AS v FROM named GROUP BY ALL), s AS (SELECT f, week, coalesce(v, 0) AS v FROM fs CROSS JOIN w LEFT JOIN sums USING (f, week)),
+means AS (SELECT f, avg(v) AS m FROM s GROUP BY f),
+ranked AS (SELECT x.f AS a, y.f AS b, x.v AS x, y.v AS y, row_number() OVER (PARTITION BY x.f, y.f ORDER BY abs((x.v - p.m) * (y.v - q.m)) DESC, x.week) AS rk FROM s x JOIN s y ON x.week = y.week AND x.f < y.f JOIN means p ON p.f = x.f JOIN means q ON q.f = y.f)
+SELECT a, b, round(coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0), 6) AS corr, round(coalesce((covar_pop(x, y) FILTER (rk > 5)) / nullif((stddev_pop(x) FILTER (rk > 5)) * (stddev_pop(y) FILTER (rk > 5)), 0), 0), 6) AS corr_drop5 FROM ranked GROUP BY a, b"""
+
+
+@query("stream_corr_matrix", _NAMED_STREAMS)
+def stream_corr_matrix(spark, d):
+    """The weekly payoff streams of all pairs of some 160 factors, with all weeks and without each pair's five weightiest."""
+    t = a.trades(spark, d).select(F.concat_ws(":", "factor", (F.col("l_suppkey") % 40).cast("string")).alias("factor"), "week", scoring.pay(F.col("win"), F.col("price")).alias("value"))
+    found = candidates.correlations(t).join(candidates.correlations(t, drop=5).withColumnRenamed("corr", "corr_drop5"), ["a", "b"])
+    return rounded(found)
 
 
 @query("constraint_check", "SELECT 'price' AS \"check\", CAST(count(*) FILTER (NOT l_extendedprice > 5000) AS BIGINT) AS \"rows\" FROM lineitem UNION ALL SELECT 'flag', CAST(count(*) FILTER (NOT l_returnflag IN ('A', 'N')) AS BIGINT) FROM lineitem")
