@@ -11,11 +11,14 @@ Transforms are ``zs<window>`` and ``rank<window>`` (1h 2h 12h 24h 3d 7d), ``lag<
 from __future__ import annotations
 
 import re
-from collections.abc import Collection, Iterable
+from collections.abc import Collection, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Rows per hour of the event spine.
@@ -179,6 +182,67 @@ def hits(df: DataFrame, factors: Iterable[str], keys: Iterable[str], order: str
     return found.select(*keys, F.explode("f").alias("f")).select(*keys, "f.factor", "f.hit")
 
 
+def _masks(predicates: Sequence[Predicate], names: dict[Atom, int]):
+    """The hits of each predicate over a batch whose columns are the atoms' values, missing as NaN."""
+    compare = {"<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal, "==": np.equal}
+
+    def run(values: list[np.ndarray]) -> np.ndarray:
+        out = np.empty((len(predicates), len(values[0])), bool)
+        for i, p in enumerate(predicates):
+            left = values[names[p.left]]
+            right = p.right if isinstance(p.right, float) else values[names[p.right]]
+            # NaN is unequal to everything and never less, equal or greater
+            out[i] = left != right if p.comparator == "!=" else compare[p.comparator](left, right)
+        return out
+
+    return run
+
+
+def roster_hits(df: DataFrame, factors: Iterable[str], keys: Sequence[str], order: str | None = None, rows: int = 20_000, span: int = 86_400 * 30) -> DataFrame:
+    """``keys, factor`` where a factor hits, for rosters of thousands; ``hits`` with ``hit`` true.
+
+    The plan has a column for each distinct atom (a base column with its transforms). Per
+    Arrow batch each distinct predicate is evaluated once into a row of bits, and a factor is
+    the product of the rows that its predicate ids name, so factors cost neither expressions
+    nor rows where they miss. Equal spellings of a factor give it once.
+    """
+    parsed = list({f.text: f for f in (parse(f, df.columns) for f in factors)}.values())
+    back = reach(parsed)
+    if back:
+        from tidemark.operators.timeline import in_buckets
+
+        if order is None:
+            raise FactorError("transforms that look back need an order")
+        df = in_buckets(df, order, back, rows, span)
+    predicates = list(dict.fromkeys(p for f in parsed for p in f.predicates))
+    atoms = list(dict.fromkeys(x for p in predicates for x in (p.left, p.right) if isinstance(x, Atom)))
+    number = {p: i for i, p in enumerate(predicates)}
+    ids = [[number[p] for p in f.predicates] for f in parsed]
+    masks, texts = _masks(predicates, {x: i for i, x in enumerate(atoms)}), pa.array([f.text for f in parsed])
+    found = df.select(*keys, *(["_own"] if back else []), *[compile_atom(x, ["_idx"], ["_bucket"]).alias(f"_a{i}") for i, x in enumerate(atoms)])
+    found = found.where("_own").drop("_own") if back else found
+    count = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4_096):
+                batch = whole.slice(at, 4_096)
+                bits = masks([c.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for c in batch.columns[count:]])
+                which, where, held = [], [], 0
+                for i, of in enumerate(ids):
+                    hit = np.flatnonzero(bits[of].all(axis=0))
+                    which.append(np.full(len(hit), i))
+                    where.append(hit)
+                    held += len(hit)
+                    if held >= 1 << 18 or i == len(ids) - 1:
+                        rows_, names = pa.array(np.concatenate(where)), texts.take(pa.array(np.concatenate(which)))
+                        yield pa.record_batch([*[c.take(rows_) for c in batch.columns[:count]], names], names=[*keys, "factor"])
+                        which, where, held = [], [], 0
+
+    schema = StructType([*found.select(*keys).schema.fields, StructField("factor", StringType())])
+    return found.mapInArrow(run, schema)
+
+
 def needs_source(factor: Factor, prefixes: Iterable[str]) -> bool:
     """Whether the factor reads a column of a source, by its columns' prefixes."""
     return any(c.startswith(tuple(prefixes)) for c in factor.columns)

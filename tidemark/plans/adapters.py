@@ -5,12 +5,16 @@ An hour stands for a minute: bars are hourly and a candle lasts five of them.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import epoch_seconds
 from tidemark.functions.pricing import fee_ratio, gross_ratio
 from tidemark.operators.bars import BAR
+from tidemark.sources.folders import filesystem, qualified
 
 HOUR, CANDLE, UNIT = 3_600, 18_000, 60
 
@@ -102,6 +106,32 @@ def roster(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.concat(F.lit("f_"), F.col("factor")).alias("label"), F.col("factor").alias("expr"), "direction", status.alias("status"))
 
 
+def land_bars(spark: SparkSession, folder: str, path: str, page_rows: int = 50) -> None:
+    """The hourly bars of each event type as pages of a feed, a folder per type.
+
+    A page begins with the last two bars of the one before and ends with one that is still
+    forming, of half its volume.
+    """
+    order = F.struct("t", "event_id")
+    found = events(spark, folder).groupBy("event_type", (F.col("t") - F.col("t") % HOUR).alias("ts")).agg(
+        F.min_by("value", order).alias("open"), F.max_by("value", order).alias("close"), F.sum("value").alias("volume"), F.count("*").alias("n")
+    )
+    root = qualified(spark, path)
+
+    def write(part: pa.Table) -> pa.Table:
+        rows = part.sort_by("ts").to_pylist()
+        files, where = filesystem(f"{root}/{rows[0]['event_type']}")
+        files.create_dir(where, recursive=True)
+        for number, at in enumerate(range(0, len(rows), page_rows)):
+            page = [[r["ts"] * 1_000, r["open"], r["close"], r["volume"], r["n"]] for r in rows[max(0, at - 2) : at + page_rows]]
+            page[-1][3] /= 2
+            with files.open_output_stream(f"{where}/{number}.json") as f:
+                f.write(json.dumps(page).encode())
+        return pa.table({"pages": [number + 1]})
+
+    found.groupBy("event_type").applyInArrow(write, "pages long").agg(F.sum("pages")).collect()
+
+
 EVENTS_SQL = "ev AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, user_id, event_type, value, props FROM events)"
 BARS_SQL = f"""{EVENTS_SQL}, bars AS (
   SELECT t - t % 3600 AS ts, first(value ORDER BY t, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY t, event_id) AS close,

@@ -16,6 +16,8 @@ from tidemark.operators.rolling import STANDARD, Rolling, percentile_rank, rank_
 from tidemark.operators.timeline import ENTRY_OFFSETS, asof, dense_index, in_buckets, sample_entries
 from tidemark.plans import adapters as a
 from tidemark.plans.features import entry_panel, gauge_features, merge
+from tidemark.sources import pages
+from tidemark.sources.buckets import BucketedTable
 from tidemark.sources.folders import work_dir
 from tidemark.sources.tables import complete_columns, constraint_violations, schema
 from tidemark.streaming import live, stateful
@@ -522,6 +524,21 @@ def dsl_transforms(spark, d):
     return factors.hits(_hours(spark, d), ["x__zs2h > 0.5 & x > x__lag3"], ["ts"], "ts").select("ts", "hit")
 
 
+# every pair of a quantity and a tax threshold
+_MANY = [(f"q < {q} & tax >= {t / 100}", f"q < {q} AND tax >= {t / 100}") for q in range(2, 52) for t in range(9)]
+
+
+@query(
+    "dsl_large_roster",
+    f"WITH {_FRAME}, cuts AS (SELECT qs.range AS lim, ts.range / 100 AS t FROM range(2, 52) qs, range(9) ts) "
+    "SELECT 'q<' || CAST(lim AS VARCHAR) || ' & tax>=' || CAST(t AS VARCHAR) AS factor, count(*) AS n_hit FROM f JOIN cuts ON q < lim AND tax >= t GROUP BY ALL",
+)
+def dsl_large_roster(spark, d):
+    """450 factors over 59 distinct predicates, each of which is evaluated once a row."""
+    found = factors.roster_hits(_frame(spark, d), [t for t, _ in _MANY], ["cs"])
+    return found.groupBy("factor").agg(F.count("*").alias("n_hit"))
+
+
 # --- prices
 
 
@@ -735,6 +752,18 @@ def threshold_grid(spark, d):
     return rounded(candidates.thresholds(a.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], _CUTS), "cut")
 
 
+@query("point_lookup", "WITH asked AS (SELECT min(o_orderkey) AS asked FROM orders UNION ALL SELECT max(o_orderkey) FROM orders UNION ALL SELECT max(o_orderkey) + 1 FROM orders) SELECT asked, o_orderstatus, o_totalprice FROM asked LEFT JOIN orders ON o_orderkey = asked")
+def point_lookup(spark, d):
+    """Three keys of a stored table, the last of which is not there; each opens one bucket."""
+    orders = a.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    store = BucketedTable(spark, work_dir(spark, "orders"))
+    store.create(orders, ["o_orderkey"], buckets=32)
+    least, most = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    keys = [least, most, most + 1]
+    asked = spark.createDataFrame([(k,) for k in keys], "asked long")
+    return asked.join(store.lookup(*[(k,) for k in keys]), F.col("asked") == F.col("o_orderkey"), "left").drop("o_orderkey")
+
+
 _SCANNED = ("l_quantity", "l_extendedprice", "l_tax")
 
 
@@ -818,13 +847,28 @@ def stream_settle(spark, d):
     )
     kinds = schema("ledger")
     rows = complete_columns(rows, kinds.names, "string").select(*[F.col(f.name).cast(f.dataType) for f in kinds])
-    upsert.swap_write(spark, rows, f"{folder}/ledger")
+    ledger = BucketedTable(spark, f"{folder}/ledger")
+    ledger.create(rows, ["condition_id"], buckets=16)
     stream = _pieces(a.table(spark, d, "orders"), "o_orderkey").select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("condition_id"), F.when(F.col("o_orderkey") % 3 != 0, F.lit(1)).alias("up_won"))
-    live.settle_batches(stream, f"{folder}/ledger", 10_000, f"{folder}/checkpoint").start().awaitTermination()
-    done = spark.read.parquet(f"{folder}/ledger")
+    live.settle_batches(stream, ledger, 10_000, f"{folder}/checkpoint").start().awaitTermination()
+    done = ledger.read()
     return done.agg(F.count_if(F.col("status") == "settled").alias("n_settled"), F.count_if(F.col("status") == "open").alias("n_open"))
 
 
+@query(
+    "stream_bars",
+    f"""WITH {a.EVENTS_SQL}, b AS (SELECT event_type, t - t % 3600 AS ts, first(value ORDER BY t, event_id) AS open, last(value ORDER BY t, event_id) AS close, sum(value) AS volume, count(*) AS n_trades FROM ev GROUP BY 1, 2)
+SELECT event_type AS market, ts * 1000 AS open_ts_ms, open, close, round(volume, 6) AS volume, n_trades FROM b WHERE ts < (SELECT max(ts) FROM b x WHERE x.event_type = b.event_type)""",
+)
+def stream_bars(spark, d):
+    """Bars of a live paged feed, a folder per event type: each once and complete, the last one still forming."""
+    folder = work_dir(spark, "feed")
+    a.land_bars(spark, d, folder)
+    kind = "open_ts_ms long, open double, close double, volume double, n_trades long, market string"
+    stream = pages.follow_feed(spark, "bars", folder, columns=kind, name_column="market", batch_pages="8")
+    return rounded(drain(stream, name="bars", endless=True))
+
+
 # a factor per user; every fourth event announces a candle that has been over for one candle already
 _ANNOUNCED = f"WITH {a.EVENTS_SQL}, said AS (SELECT 'f' || CAST(user_id AS VARCHAR) AS expr, t AS now_s, 60 * (user_id % 200) AS off, t - t % 18000 - CASE WHEN event_id % 4 = 0 THEN 36000 ELSE 0 END AS cs FROM ev)"
 

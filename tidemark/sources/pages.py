@@ -6,6 +6,9 @@ one task per folder, in page order, under the feed's own rules: it stops at an e
 or a short page, retries reads that fail, skips a window that the feed refused, and logs
 folders that it gives up on.
 
+``spark.readStream.format("pages")`` follows folders to which pages are still added; see
+``PageStreamReader``.
+
 Options: ``path``; ``columns`` (DDL); ``stop`` = ``empty`` or ``short``; ``page_size``;
 ``pages`` (most pages of a folder, 0 for all); ``cursor`` (a column: pages must move it
 forward, else the folder ends there); ``after`` (skip rows up to this cursor value);
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tidemark.functions.parsing import CANDLE_SECONDS, slug_start
@@ -141,6 +144,113 @@ class PageReader(DataSourceReader):
         return found.get("data", [])
 
 
+class Range(InputPartition):
+    """Pages ``[start, end)`` of a folder."""
+
+    def __init__(self, path: str, name: str, start: int, end: int):
+        self.path, self.name, self.start, self.end = path, name, start, end
+
+
+class PageStreamReader(DataSourceStreamReader):
+    """Landed pages as a stream: a task per folder that has new ones, each row once.
+
+    Pages of a folder are numbered from 0 (``0.json``, ``1.json``, ...) and never change once
+    they are there. An offset is the number of pages read of each folder, so any planned
+    range can be read again; a batch takes at most ``batch_pages`` of each. The feed's own
+    cursor follows from them: rows up to the greatest cursor of the pages before are known
+    and left out, as pages overlap at their ends.
+
+    ``forming`` is the length of a row's bar in the cursor's unit. A bar is given out by the
+    first page that was fetched after its end (``fetched_at`` in the page, in that unit);
+    where a page does not say, its last row is still forming. Such a row is held back, does
+    not move the cursor, and comes with a later page. Refused pages give nothing. A page
+    that stays unreadable ends the query or, with ``failures``, is logged there and passed
+    over. The rules of when a folder ends do not apply, as it may go on. ``name_column`` names
+    a column that gets the folder's name.
+    """
+
+    def __init__(self, columns: StructType, options):
+        self.columns, self.path = columns, options["path"]
+        self.cursor, self.after = options.get("cursor"), options.get("after")
+        self.forming = float(options["forming"]) if "forming" in options else None
+        self.most = int(options.get("batch_pages", 4))
+        self.tries, self.failures = int(options.get("tries", 3)), options.get("failures")
+        self.name_column = options.get("name_column")
+        self.at: dict[str, int] | None = None
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        at, found = self.at or {}, {}
+        folders = [n for n, is_folder in PageReader._entries(self.path) if is_folder] or [""]
+        for name in sorted(folders):
+            known = at.get(name, 0)
+            there = {n for n, is_folder in PageReader._entries(f"{self.path}/{name}" if name else self.path) if not is_folder}
+            end = known
+            while end < known + self.most and f"{end}.json" in there:
+                end += 1
+            if end:
+                found[name] = end
+        self.at = {**at, **found}
+        return self.at
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        # a restarted query plans its last batch again before it asks for more
+        self.at = self.at or dict(end)
+        return [Range(f"{self.path}/{n}" if n else self.path, n, start.get(n, 0), stop) for n, stop in sorted(end.items()) if stop > start.get(n, 0)]
+
+    def _rows(self, partition: Range, page: int) -> tuple[list[list], float | None]:
+        """A page's rows that parse, and when it was fetched."""
+        files, where = filesystem(f"{partition.path}/{page}.json")
+
+        def load():
+            with files.open_input_stream(where) as f:
+                return json.loads(f.read())
+
+        try:
+            found = with_retry(load, self.tries)
+        except (OSError, ValueError) as e:
+            if not self.failures:
+                raise
+            PageReader._give_up(self, partition, f"{page}.json", e)
+            return [], None
+        fetched = found.get("fetched_at") if isinstance(found, dict) else None
+        rows = found if isinstance(found, list) else [] if found.get("status") == 400 else found.get("data", [])
+        fields = [f for f in self.columns if f.name != self.name_column]
+        parsed = [_convert(r if isinstance(r, list) else [r.get(f.name) for f in fields], [f.dataType.simpleString() for f in fields]) for r in rows]
+        if self.name_column:
+            at = self.columns.names.index(self.name_column)
+            parsed = [r and [*r[:at], partition.name, *r[at:]] for r in parsed]
+        return [r for r in parsed if r is not None], fetched
+
+    def _closed(self, partition: Range, page: int) -> list[list]:
+        """A page's rows but for those whose bar is still forming."""
+        rows, fetched = self._rows(partition, page)
+        if not self.cursor:
+            return rows
+        place = self.columns.names.index(self.cursor)
+        rows = [r for r in rows if r[place] is not None]
+        if self.forming is not None and rows:
+            last = max(r[place] for r in rows)
+            rows = [r for r in rows if (r[place] < last if fetched is None else r[place] + self.forming <= float(fetched))]
+        return rows
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        place = self.columns.names.index(self.cursor) if self.cursor else None
+        floor = float("-inf") if self.after is None else float(self.after)
+        if place is not None:  # the cursor as the pages before leave it; most often the last of them says
+            for page in range(partition.start - 1, -1, -1):
+                if known := self._closed(partition, page):
+                    floor = max(floor, max(r[place] for r in known))
+                    break
+        for page in range(partition.start, partition.end):
+            rows = self._closed(partition, page)
+            yield from (tuple(r) for r in rows if place is None or r[place] > floor)
+            if place is not None and rows:
+                floor = max(floor, max(r[place] for r in rows))
+
+
 def _convert(values: list, kinds: list[str]) -> list | None:
     if len(values) < len(kinds):
         return None
@@ -171,6 +281,9 @@ class Pages(DataSource):
     def reader(self, schema: StructType) -> PageReader:
         return PageReader(schema, self.options)
 
+    def streamReader(self, schema: StructType) -> PageStreamReader:
+        return PageStreamReader(schema, self.options)
+
 
 # the feeds' paging rules; columns as stored
 FEEDS = {
@@ -211,6 +324,19 @@ def read_feed(spark: SparkSession, feed: str, path: str, stored: str | None = No
     return spark.read.format("pages").options(path=qualified(spark, path), columns=SCHEMAS[feed], **rules).load()
 
 
+#: Length of a bar of the live feeds, in the unit of their cursors.
+FORMING = {"bars": "60000"}
+
+
+def follow_feed(spark: SparkSession, feed: str, path: str, **options: str) -> DataFrame:
+    """The pages that are being landed of a feed, as a stream of its stored columns, each row once and complete."""
+    from tidemark.sources.tables import SCHEMAS
+
+    rules = {"columns": SCHEMAS[feed]} | {k: v for k, v in FEEDS[feed].items() if k == "cursor"} | ({"forming": FORMING[feed]} if feed in FORMING else {}) | options
+    spark.dataSource.register(Pages)
+    return spark.readStream.format("pages").options(path=qualified(spark, path), **rules).load()
+
+
 def failures(spark: SparkSession, folder: str) -> DataFrame:
     """``folder, page, error_msg``: the markets and windows that a read gave up on."""
     kind = "folder string, page string, error_msg string"

@@ -16,7 +16,8 @@ from tidemark.functions.parsing import book_updates
 from tidemark.operators import ledger as book
 from tidemark.operators.bars import FEATURES, WINDOWS, bar_features
 from tidemark.operators.rolling import STANDARD, rank_of, zscore_of
-from tidemark.operators.upsert import exists, insert_replace, swap_write
+from tidemark.operators.upsert import insert_replace
+from tidemark.sources.buckets import BucketedTable
 
 
 def quotes(frames: DataFrame, frame: str = "frame", seq: str = "seq") -> DataFrame:
@@ -100,15 +101,15 @@ def snapshot(trigger: DataFrame, quote_log: DataFrame) -> DataFrame:
     return found
 
 
-def settle_batches(outcomes: DataFrame, ledger_path: str, now: int, checkpoint: str):
-    """A query that settles the stored ledger from a stream of outcomes; running it again changes nothing."""
-    spark = outcomes.sparkSession
+def settle_batches(outcomes: DataFrame, ledger: BucketedTable, now: int, checkpoint: str):
+    """A query that settles a stored ledger from a stream of outcomes; running it again changes nothing.
+
+    The ledger lies in buckets by condition_id. A batch reads and rewrites the buckets of
+    its decided outcomes and no others; readers have the version before it until it is done.
+    """
 
     def put(batch: DataFrame, _: int) -> None:
-        if not exists(spark, ledger_path):  # which puts back what a failed batch has left
-            raise FileNotFoundError(ledger_path)
-        old = spark.read.parquet(ledger_path)
-        swap_write(spark, book.settle(old, batch, now), ledger_path)
+        ledger.merge(batch.where("up_won is not null"), lambda old, new: book.settle(old, new, now))
 
     return outcomes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put)
 
