@@ -76,7 +76,7 @@ def filter_in_notnull(spark, d):
 
 @query("winners_filter", f"WITH {a.LEDGER_SQL} SELECT l.id, l.expr FROM ledger l JOIN roster r USING (expr) WHERE l.entry_price_live IS NOT NULL AND ((r.direction = 'UP' AND l.up_won = 1) OR (r.direction = 'DOWN' AND l.up_won = 0))")
 def winners_filter(spark, d):
-    rows = a.ledger(spark, d).join(F.broadcast(a.roster(spark, d).select("expr", "direction")), "expr")
+    rows = a.ledger(spark, d).join(a.roster(spark, d).select("expr", "direction"), "expr")
     rows = rows.withColumn("tx_hash_live", F.when(F.col("entry_price_live").isNotNull(), "tx")).withColumn("redeem_tx", F.lit(None).cast("string"))
     return book.winners(rows).select("id", "expr")
 
@@ -102,6 +102,19 @@ def row_guard(spark, d):
     return marked.agg(F.count_if(F.col("ok") == 1).alias("n_good"), F.count_if(F.col("ok") == 0).alias("n_dead"))
 
 
+@query(
+    "checked_write",
+    "WITH k AS (SELECT TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(floor(epoch(ts)) AS BIGINT) AS t, value FROM events) "
+    "SELECT count(*) AS rows_in, count(*) FILTER (k IS NOT NULL AND k % 2 = 0) AS rows_good, count(*) FILTER (k IS NULL OR k % 2 <> 0) AS rows_dead, min(t) FILTER (k % 2 = 0) AS first_s, max(t) FILTER (k % 2 = 0) AS last_s, "
+    "count(*) FILTER (k % 2 = 0 AND NOT value > 10) AS failed_value, count(*) FILTER (k % 2 = 0 AND NOT k < 90) AS failed_k FROM k",
+)
+def checked_write(spark, d):
+    """Rejected rows, times and violated constraints, counted in the pass that writes."""
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    found = upsert.write_checked(a.events(spark, d), work_dir(spark, "checked"), {"k": F.when(k % 2 == 0, k)}, {"value": "value > 10", "k": "k < 90"}, "t")
+    return spark.createDataFrame([found], ", ".join(f"{n} long" for n in found))
+
+
 # --- joins
 
 
@@ -119,7 +132,7 @@ def left_join_merge(spark, d):
 @query("inner_roster_ledger", f"WITH {a.LEDGER_SQL} SELECT label, count(*) AS n, CAST(sum(up_won) AS BIGINT) AS ups FROM ledger JOIN roster USING (expr) WHERE roster.status IN ('paper', 'live') GROUP BY label")
 def inner_roster_ledger(spark, d):
     armed = book.load_roster(a.roster(spark, d).withColumn("slippage_cap", F.lit(0.03)).withColumn("bankroll_frac", F.lit(0.05)))
-    joined = a.ledger(spark, d).join(F.broadcast(armed.select("expr", "label")), "expr")
+    joined = a.ledger(spark, d).join(armed.select("expr", "label"), "expr")
     return joined.groupBy("label").agg(F.count("*").alias("n"), F.sum("up_won").cast("long").alias("ups"))
 
 
@@ -305,13 +318,13 @@ def realtime_scores(spark, d):
     history = _hours(spark, d).select(F.lit("x").alias("feature_name"), F.col("ts").alias("cs"), F.col("x").alias("value"))
     now = history.agg(F.max("cs")).first()[0]
     past = live.history_arrays(history, now, 288)
-    current = history.where(F.col("cs") == now).join(past, "feature_name")
+    current = history.where(F.col("cs") == now).withColumn("past", past.select("past").scalar())
     return rounded(current.select(zscore_of(F.col("value"), F.col("past"), 50).alias("zs"), rank_of(F.col("value"), F.col("past"), 50).alias("rank")))
 
 
 @query("lag1", f"WITH {a.BARS_SQL} SELECT ts, lag(close) OVER (ORDER BY ts) AS x__lag1 FROM bars")
 def lag1(spark, d):
-    return rolling_features(_hours(spark, d), "ts", ["x"], [Rolling("lag1", "lag", 1, 1)]).select("ts", "x__lag1")
+    return in_buckets(_hours(spark, d), "ts", 1).withColumn("x__lag1", F.lag("x").over(_in_bucket())).where("_own").select("ts", "x__lag1")
 
 
 @query("dense_index", f"WITH {a.BARS_SQL} SELECT ts, CAST(row_number() OVER (ORDER BY ts) - 1 AS BIGINT) AS idx FROM bars")
@@ -548,10 +561,19 @@ def fee_friction(spark, d):
     return rounded(a.trades(spark, d).select("id", pricing.paper_friction(F.col("price")).alias("paper"), pricing.backtest_friction(F.col("price")).alias("backtest"), parts["drift_fee_delta"].alias("delta")))
 
 
-@query("category_fees", "SELECT c AS category, round(CAST(r AS DOUBLE) * (1 - CAST(0.4 AS DOUBLE)), 6) AS fee FROM (VALUES " + ", ".join(f"('{c}', {r})" for c, r in pricing.FEE_RATES.items()) + ") v(c, r)")
+_CATEGORIES = list(pricing.FEE_RATES)
+
+
+@query(
+    "category_fees",
+    f"WITH {a.TRADES_SQL}, rates AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', CAST({r} AS DOUBLE))" for i, (c, r) in enumerate(pricing.FEE_RATES.items())) + ") v(i, c, r)) "
+    f"SELECT id, c AS category, round(r * (1 - price), 6) AS fee FROM trades JOIN rates ON l_suppkey % {len(_CATEGORIES)} = i",
+)
 def category_fees(spark, d):
-    names = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in pricing.FEE_RATES])).alias("category"))
-    return rounded(names.select("category", pricing.fee_ratio(F.lit(0.4), pricing.category_rate(F.col("category"))).alias("fee")))
+    """The fee of each bet by its market's category, here dealt by supplier."""
+    named = F.element_at(F.array(*map(F.lit, _CATEGORIES)), (F.col("l_suppkey") % len(_CATEGORIES) + 1).cast("int"))
+    t = a.trades(spark, d).withColumn("category", named)
+    return rounded(t.select("id", "category", pricing.fee_ratio(F.col("price"), pricing.category_rate(F.col("category"))).alias("fee")))
 
 
 @query("pnl_ratio", f"WITH {a.TRADES_SQL} SELECT id, round(CASE WHEN win = 1 THEN (1 - price) / price ELSE -1 END, 6) AS gross, round(CASE WHEN win = 1 THEN (1 - price) / price ELSE -1 END - 0.07 * (1 - price), 6) AS net FROM trades")
@@ -656,8 +678,7 @@ def stream_corr_drop_k(spark, d):
 def gates_lenses(spark, d):
     t = a.trades(spark, d)
     cards = scoring.scorecard(t, ["factor"]).join(scoring.walk_forward(t, ["factor"]), "factor")
-    total = t.agg(F.count("*").alias("total"))
-    return scoring.lenses(cards.join(F.broadcast(total)), F.col("total")).select("factor", "ok_nev", "ok_hits", "ok_base", "ok_weeks", "ok_price")
+    return scoring.lenses(cards, t.agg(F.count("*")).scalar()).select("factor", "ok_nev", "ok_hits", "ok_base", "ok_weeks", "ok_price")
 
 
 # the choice one factor after the other, over factors by supplier and flag

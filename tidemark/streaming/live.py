@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -211,3 +211,17 @@ def sweep(items: DataFrame, act: Callable[[dict], str | None], key: str = "id")
             yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     return items.mapInArrow(run, f"{key} {kind}, done boolean, result string, error_msg string")
+
+
+def sweep_every(items: Callable[[], DataFrame], act: Callable[[dict], str | None], log: str, checkpoint: str, every: str = "30 minutes", key: str = "id"):
+    """A query that sweeps again and again: ``items()`` as they then are, through ``sweep``, into ``log``.
+
+    Each sweep's results lie under its own number, so a sweep that is repeated after a
+    failure is logged once. Start it with ``.start()``; a first sweep runs at once.
+    """
+
+    def run(_: DataFrame, number: int) -> None:
+        sweep(items(), act, key).write.mode("overwrite").parquet(f"{log}/sweep={number}")
+
+    clock = SparkSession.active().readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    return clock.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(run)
