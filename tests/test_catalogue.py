@@ -35,6 +35,8 @@ def _same(a, b):
 def test_query(spark, db, name):
     found = catalogue.QUERIES[name](spark, FOLDER)
     rows = [r.asDict() for r in found.collect()]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     if name not in catalogue.ORACLE_SQL:
         assert rows
         return

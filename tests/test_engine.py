@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import factors, parsing, pricing
-from tidemark.operators import ledger, rolling, scoring, upsert
+from tidemark.operators import candidates, ledger, rolling, scoring, upsert
 from tidemark.operators.bars import bar_features
 from tidemark.operators.timeline import ENTRY_OFFSETS, asof, dense_index, sample_entries
 from tidemark.plans.features import Build
@@ -234,7 +234,7 @@ def test_overlap_and_correlation(spark):
     fires = spark.createDataFrame([("a", i) for i in range(4)] + [("b", i) for i in range(2, 8)] + [("c", 99)], "factor string, cs long")
     found = {(r["a"], r["b"]): r for r in candidates.overlaps(fires).collect()}
     assert found["a", "b"]["jaccard"] == 0.25 and found["a", "b"]["containment_ab"] == 0.5 and set(found) == {("a", "b")}
-    assert candidates.overlaps(fires, least=0.3).count() == 0 and scoring.overlaps(fires, least=0.25).count() == 1
+    assert candidates.overlaps(fires, least=0.3).count() == 0 and candidates.overlaps(fires, least=0.25).count() == 1
     x = spark.createDataFrame([(i, float(i), float(i * i % 7), 1.0) for i in range(30)], "i long, a double, b double, k double")
     assert scoring.stream_corr(x, "a", "k").first()["corr"] == 0
     a, b = np.arange(30.0), np.array([i * i % 7 for i in range(30)], float)

@@ -887,7 +887,7 @@ def stream_bars(spark, d):
     a.land_bars(spark, d, folder)
     kind = "open_ts_ms long, open double, close double, volume double, n_trades long, market string"
     stream = pages.follow_feed(spark, "bars", folder, columns=kind, name_column="market", batch_pages="8")
-    return rounded(drain(stream, name="bars", endless=True))
+    return rounded(drain(stream, name="bars", growing=True))
 
 
 # a factor per user; every fourth event announces a candle that has been over for one candle already

@@ -46,12 +46,13 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), name: str = "stream", endless: bool = False, longest: float = 120.0) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), name: str = "stream", endless: bool = False, longest: float = 120.0, growing: bool = False) -> DataFrame:
     """Process all that is there, each batch written once under its number; returns the rows.
 
     In update mode a key's latest batch counts. ``endless`` is for plans on the clock,
     which go on with batches without input; they are stopped at the first of those,
-    or after ``longest`` seconds.
+    or after ``longest`` seconds. ``growing`` is for sources that give out a bounded part of
+    what is there at a time; they are stopped when all of it is done.
     """
     spark = stream.sparkSession
     folder = work_dir(spark, name)
@@ -72,6 +73,12 @@ def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), nam
         query.stop()
         if query.exception():
             raise query.exception()
+    elif growing:
+        query = writer.trigger(processingTime="0 seconds").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
     else:
         writer.trigger(availableNow=True).start().awaitTermination()
     try:
