@@ -387,11 +387,20 @@ def test_near_miss_licenses(spark):
         "Released under the MIT No Attribution License.": "",
         mit.format("who is obtaining a copy of this software"): "mit",
         mit.format("or organization obtaining a copy of the software"): "",
+        "This is not released under the MIT license": "",
+        "It was never, ever licensed under the Apache License, Version 2.0": "",
+        "Not so: it is released under the MIT license": "mit",
+        "license MIT the under released": "",
     }
-    rows = [(i, f"x y {text}{end}", "en", "s", 0) for i, text in enumerate(cases) for end in ("", " z and so on")]
-    for r in licenses.scan_licenses(spark, spark.createDataFrame(rows, DOCS)).collect():
-        text, wanted = list(cases.items())[r["doc_id"]]
+    rows = [(2 * i + k, f"{start}{text}{end}", "en", "s", 0) for i, text in enumerate(cases) for k, (start, end) in enumerate((("x y ", ""), ("", " z and so on")))]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = licenses.scan_licenses(spark, docs).collect()
+    for r in found:
+        text, wanted = list(cases.items())[r["doc_id"] // 2]
         assert r["labels"] == wanted and (r["score"] > 0) == bool(wanted), (text, r)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(map(tuple, found)) == sorted(con.execute(licenses.OP4_SQL).fetchall())
 
 
 def test_whole_licenses(spark):

@@ -34,8 +34,10 @@ NEIGHBOURS = {SHORT: 2, LONG: 8}
 #: Share of a template's k-grams that a span must cover, by k: a changed word costs k of them.
 COVER = {SHORT: 0.7, LONG: 0.5}
 
-#: Words kept with each hit, from its pair on: a version can stand behind the span.
-AHEAD = 6
+#: Words kept with each hit, from its pair on, as a version can stand behind the span, and before it, as a "not" can.
+AHEAD, BEHIND = 6, 2
+#: Words right before a notice that take it back.
+NEGATIONS = ("not", "never", "cannot")
 #: Words that a span must hold if its template does, with what may stand for them.
 DECIDING = {w: w for w in ("apache", "mozilla", "attribution", "nc", "free", "unencumbered", "or")} | {
     "mit": "mit (?:open source )?licen[cs]e",
@@ -114,21 +116,30 @@ def by_template(column: Column, values: Sequence) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), column + 1)
 
 
+def holds(patterns: Sequence[str]) -> str:
+    """A pattern that finds whole words, in words with single spaces between them."""
+    return rf"(?:^| )(?:{'|'.join(patterns)})(?: |$)"
+
+
+def deciding(words: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
+    """What a span of a notice must hold, what it must not, and the numbers of its version."""
+    own = " ".join(words)
+    # the library's license is an earlier name of the lesser one
+    other = [v for v in VARIANTS if not re.search(holds([v]), own) and not (v == "library general" and "lesser" in words)]
+    return [DECIDING[w] for w in dict.fromkeys(words) if w in DECIDING], other, [w for w in words if re.fullmatch("[0-9]+", w)]
+
+
 def verified(words: Sequence[str], inside: Column, ahead: Column) -> Column:
     """Whether a span's words ``inside``, and ``ahead`` with those behind it, hold what decides for the template.
 
     The first number must be the template's version, alone or with its minor 0.
     """
-    own = " ".join(words)
-    needs = [ahead.rlike(rf"(?:^| ){DECIDING[w]}(?: |$)") for w in dict.fromkeys(words) if w in DECIDING]
-    numbers = [w for w in words if re.fullmatch("[0-9]+", w)]
-    if numbers:
-        needs.append(ahead.rlike(rf"^(?:(?!(?:v|version)?[0-9]+(?: |$))[^ ]+ )*(?:v|version)?{numbers[0]}(?: {''.join(numbers[1:2]) or 0}(?: |$)|(?! [0-9](?: |$))(?: |$))"))
-    # the library's license is an earlier name of the lesser one
-    other = [v for v in VARIANTS if not re.search(rf"(?:^| ){v}(?: |$)", own) and not (v == "library general" and "lesser" in words)]
-    sound = ~inside.rlike(rf"(?:^| )(?:{'|'.join(other)})(?: |$)")
+    needs, other, numbers = deciding(words)
+    sound = ~inside.rlike(holds(other))
     for need in needs:
-        sound = sound & need
+        sound = sound & ahead.rlike(holds([need]))
+    if numbers:
+        sound = sound & ahead.rlike(rf"^(?:(?!(?:v|version)?[0-9]+(?: |$))[^ ]+ )*(?:v|version)?{numbers[0]}(?: {''.join(numbers[1:2]) or 0}(?: |$)|(?! [0-9](?: |$))(?: |$))")
     return sound
 
 
@@ -147,16 +158,17 @@ def license_spans(
     wanted = all_templates(base, templates, bodies)
     words = docs.select("doc_id", text_key("doc_id", "text"), F.regexp_extract_all(fold(F.col("text")), F.lit(FAST_WORD), F.lit(0)).alias("w0"))
     later = [F.slice("w0", i + 1, F.greatest(F.size("w0"), F.lit(1))).alias(f"w{i}") for i in range(1, AHEAD)]
-    runs = words.select("doc_id", "text_key", F.col("w0"), *later)
-    rows = runs.select("doc_id", "text_key", F.posexplode(F.arrays_zip(*[f"w{i}" for i in range(AHEAD)])).alias("at", "w"))
-    at = [F.col(f"w.w{i}") for i in range(AHEAD)]
-    grams = [gram(*at[:k]) for k in (SHORT, LONG)]
+    earlier = [F.slice(F.concat(F.array_repeat(F.lit(None).cast("string"), i), F.col("w0")), F.lit(1), F.size("w0")).alias(f"b{i}") for i in range(BEHIND, 0, -1)]
+    runs = words.select("doc_id", "text_key", *earlier, F.col("w0"), *later)
+    rows = runs.select("doc_id", "text_key", F.posexplode(F.arrays_zip(*runs.columns[2:])).alias("at", "w"))
+    at = [F.col(f"w.{n}") for n in runs.columns[2:]]
+    grams = [gram(*at[BEHIND : BEHIND + k]) for k in (SHORT, LONG)]
     keyed = rows.select("doc_id", "text_key", "at", "w", F.explode(F.array(*grams)).alias("gram"))
     hits = keyed.join(F.broadcast(template_grams(spark, wanted)), "gram")
     group = ["doc_id", "text_key", "template"]
     whole = by_template(F.col("template"), [t.base for t in wanted])
     # words behind their positions in ten digits, so that they sort by position
-    near = F.array_compact(F.array(*[F.concat(F.lpad((F.col("at") + i).cast("string"), 10, "0"), word) for i, word in enumerate(at)]))
+    near = F.array_compact(F.array(*[F.concat(F.lpad((F.col("at") + i).cast("string"), 10, "0"), word) for i, word in enumerate(at, -BEHIND)]))
     votes = hits.select(*group, (F.col("at") - F.col("place")).alias("diagonal"), "place", "at", F.when(~whole, near).alias("near")).distinct()
     diagonals = votes.groupBy(*group, "diagonal").agg(F.collect_set(F.struct("at", "place")).alias("places"), F.flatten(F.collect_list("near")).alias("near"))
     # a phrase has at most as many places as its template, however long the text
@@ -174,18 +186,23 @@ def license_spans(
     spans = spans.select(*group, "n", "near", first.alias("start"), (last + k).alias("stop"), (F.col("n") / size).alias("coverage"), by_template(F.col("template"), [t.base for t in wanted]).alias("base"))
     spans = spans.where(F.when(F.col("base"), F.col("n") == size).otherwise(F.col("coverage") >= by_template(F.col("template"), [float(COVER[t.k]) for t in wanted])))
     near = F.array_sort(F.array_distinct(F.flatten("near")))
-    spans = spans.withColumn("near", near).withColumn("inside", F.filter("near", lambda w: F.substring(w, 1, 10).cast("int") < F.col("stop")))
-    inside, ahead = (F.array_join(F.transform(c, lambda w: F.substr(w, F.lit(11))), " ") for c in ("inside", "near"))
-    spans = spans.withColumn("inside", inside).withColumn("ahead", ahead)
+    place = lambda w: F.substring(w, 1, 10).cast("int")
+    parts = {
+        "before": F.filter("near", lambda w: place(w) < F.col("start")),
+        "inside": F.filter("near", lambda w: (place(w) >= F.col("start")) & (place(w) < F.col("stop"))),
+        "ahead": F.filter("near", lambda w: place(w) >= F.col("start")),
+    }
+    spans = spans.withColumn("near", near)
+    spans = spans.withColumns({name: F.array_join(F.transform(c, lambda w: F.substr(w, F.lit(11))), " ") for name, c in parts.items()})
     sound = F.lit(True)
     for number, t in enumerate(wanted):
         if t.base:
             continue
-        own = verified(t.words, F.col("inside"), F.col("ahead")) if t.needs is None else F.lit(True)
+        own = verified(t.words, F.col("inside"), F.col("ahead")) & ~F.col("before").rlike(holds(NEGATIONS)) if t.needs is None else F.lit(True)
         for pattern in t.needs or ():
-            own = own & F.col("ahead").rlike(rf"(?:^| ){pattern}(?: |$)")
+            own = own & F.col("ahead").rlike(holds([pattern]))
         for pattern in t.forbids:
-            own = own & ~F.col("inside").rlike(rf"(?:^| ){pattern}(?: |$)")
+            own = own & ~F.col("inside").rlike(holds([pattern]))
         sound = F.when(F.col("template") == number, own).otherwise(sound)
     spans = spans.where(F.col("base") | sound)
     label = by_template(F.col("template"), [t.label for t in wanted]).alias("label")
@@ -251,11 +268,30 @@ def _values(k: int) -> str:
 
 
 def _votes(k: int) -> str:
-    return f"""SELECT doc_id, template, label, base, places, {NEIGHBOURS[k]} AS reach, {COVER[k]} AS cover, i - 1 - place AS diagonal, place, i - 1 AS pos
+    return f"""SELECT doc_id, template, label, base, places, {k} AS k, {NEIGHBOURS[k]} AS reach, {COVER[k]} AS cover, i - 1 - place AS diagonal, place, i - 1 AS pos
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - {k - 2})) AS i FROM docs WHERE len(words) >= {k})
   JOIN (VALUES {_values(k)}) t(template, label, base, places, place, gram) ON gram = array_to_string(words[i : i + {k - 1}], ' ')"""
 
 
+def _sound() -> str:
+    """The verification of each template as SQL, over ``before``, ``inside``, ``ahead`` and, word by word, ``near``."""
+    cases = []
+    for number, t in enumerate(all_templates(BASE, TEMPLATES, BODIES)):
+        if t.base:
+            continue
+        if t.needs is None:
+            needs, other, numbers = deciding(t.words)
+            tests = [f"NOT regexp_matches(before, '{holds(NEGATIONS)}')", f"NOT regexp_matches(inside, '{holds(other)}')"]
+            if numbers:
+                minor = "".join(numbers[1:2]) or "0"
+                tests.append(f"coalesce(regexp_replace(near[digits], '^(version|v)', '') = '{numbers[0]}' AND (near[digits + 1] IS NULL OR near[digits + 1] = '{minor}' OR NOT regexp_full_match(near[digits + 1], '[0-9]')), FALSE)")
+        else:
+            needs, tests = t.needs, [f"NOT regexp_matches(inside, '{holds([f])}')" for f in t.forbids]
+        tests += [f"regexp_matches(ahead, '{holds([n])}')" for n in needs]
+        cases.append(f"WHEN {number} THEN {' AND '.join(tests)}")
+    return f"CASE template {' '.join(cases)} END"
+
+
 OP4_SQL = f"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words
@@ -263,16 +299,29 @@ WITH docs AS (
 ), votes AS (
   {_votes(SHORT)} UNION ALL {_votes(LONG)}
 ), diagonals AS (
-  SELECT doc_id, template, label, base, places, reach, cover, diagonal, list(DISTINCT place) AS seen, min(pos) AS low FROM votes GROUP BY ALL
+  SELECT doc_id, template, label, base, places, k, reach, cover, diagonal, list(DISTINCT {{'p': pos, 'place': place}}) AS seen FROM votes GROUP BY ALL
 ), lagged AS (
   SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > reach, TRUE) THEN 1 ELSE 0 END AS apart
   FROM diagonals
 ), merged AS (
   SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM lagged
 ), spans AS (
-  SELECT doc_id, template, label, base, places, cover, span, len(list_distinct(flatten(list(seen)))) AS n, min(low) AS start FROM merged GROUP BY ALL
+  SELECT doc_id, template, label, base, places, k, cover, span, list_sort(flatten(list(seen))) AS seen FROM merged GROUP BY ALL
+), ordered AS (
+  SELECT *, seen[1].p AS start, seen[-1].p + k AS stop,
+    list_reduce(list_transform(seen, lambda x: {{'last': x.place, 'n': 1}}), lambda a, x: CASE WHEN x.last > a.last THEN {{'last': x.last, 'n': a.n + 1}} ELSE a END).n AS n
+  FROM spans
+), covering AS (
+  SELECT *, n / places AS coverage FROM ordered WHERE CASE WHEN base THEN n = places ELSE n / places >= cover END
+), placed AS (
+  SELECT c.*, words, list_sort(list_distinct(flatten(list_transform(seen, lambda x: range(x.p, least(x.p + {AHEAD}, len(words))))))) AS spots FROM covering c JOIN docs USING (doc_id)
+), worded AS (
+  SELECT *, array_to_string(list_transform(range(greatest(start - {BEHIND}, 0), start), lambda i: words[i + 1]), ' ') AS before, list_transform(spots, lambda i: words[i + 1]) AS near,
+    array_to_string(list_transform(list_filter(spots, lambda i: i < stop), lambda i: words[i + 1]), ' ') AS inside FROM placed
+), read_ AS (
+  SELECT *, array_to_string(near, ' ') AS ahead, list_filter(range(1, len(near) + 1), lambda i: regexp_full_match(near[i], '(v|version)?[0-9]+'))[1] AS digits FROM worded
 ), good AS (
-  SELECT *, n / places AS coverage FROM spans WHERE CASE WHEN base THEN n = places ELSE n / places >= cover END
+  SELECT * FROM read_ WHERE base OR {_sound()}
 ), found AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
