@@ -18,14 +18,27 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared one. A session of one machine without one gets its own; a cluster must name it."""
+    """A new folder below the cluster's shared one. A session of one machine without one gets its own; a cluster must name it.
+
+    All of an application's folders lie in one, which its driver deletes when it ends.
+    """
     root = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED)
     if not root:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError(f"{SHARED} must name a folder that all machines of the cluster share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set(SHARED, root)
-    return f"{qualified(spark, root).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = f"{qualified(spark, root).rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        where = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        _marked.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+_marked: set[str] = set()
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
