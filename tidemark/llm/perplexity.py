@@ -275,21 +275,24 @@ def word_bits(arrays: Arrays, order: int, words: dict[str, list[bytes]]) -> dict
     """
     slices = [(lang, at) for lang, listed in words.items() for at in range(0, len(listed), SLICE)]
 
-    def keys(lang: str, at: int):
+    def grams(lang: str, at: int):
         chars, starts = code_points([w.decode() for w in words[lang][at : at + SLICE]])
         ends, seen = positions(starts)
-        length = np.minimum(seen, order)
-        return chars, starts, ends, length, gram_keys(chars, lang_seed(lang) + np.uint64(GRAM), length, ends).view(np.int64)
+        return chars, starts, ends, np.minimum(seen, order)
 
-    wanted = np.empty(0, np.int64)
+    # of each slice its distinct n-grams, which of them each place has, and where words begin
+    held = []
     for lang, at in slices:
-        wanted = np.union1d(wanted, keys(lang, at)[-1])
+        chars, starts, ends, length = grams(lang, at)
+        distinct, place = np.unique(gram_keys(chars, lang_seed(lang) + np.uint64(GRAM), length, ends).view(np.int64), return_inverse=True)
+        held.append((distinct, place.astype(np.int32), starts))
+    wanted = np.unique(np.concatenate([h[0] for h in held])) if held else np.empty(0, np.int64)
     known = arrays.values(wanted)
     out = {lang: np.zeros(len(listed)) for lang, listed in words.items()}
-    for lang, at in slices:
-        chars, starts, ends, length, key = keys(lang, at)
-        bits = -known[np.searchsorted(wanted, key)].astype(np.float64)
+    for (lang, at), (distinct, place, starts) in zip(slices, held, strict=True):
+        bits = -known[np.searchsorted(wanted, distinct)].astype(np.float64)[place]
         if (lacking := np.flatnonzero(np.isnan(bits))).size:
+            chars, _, ends, length = grams(lang, at)
             bits[lacking] = _backed_off(arrays, lang, chars, ends[lacking], length[lacking])
         out[lang][at : at + SLICE] = np.add.reduceat(bits, starts[:-1] - np.arange(len(starts) - 1))
     return out
