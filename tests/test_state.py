@@ -239,6 +239,7 @@ def test_buckets_are_rewritten_where_keys_change(spark):
     assert store.read(1).count() == 200  # the version before is still there
     assert _rows(store.lookup((3,), (7,), (9_999,))) == [(3, "b"), (7, "a")]
     assert len(store.lookup((3,)).inputFiles()) == 1 and store.lookup().count() == 0
+    assert _rows(store.find(spark.createDataFrame([(3,), (9_999,), (3,)], "k long"))) == [(3, "b"), (3, "b"), (9_999, None)]
     assert store.merge(spark.createDataFrame([], "k long, v string"), lambda old, new: old) == []
     with pytest.raises(ValueError, match="other buckets"):
         store.merge(spark.createDataFrame([(3, "b")], "k long, v string"), lambda old, new: spark.range(50).select(F.col("id").alias("k"), F.lit("c").alias("v")))

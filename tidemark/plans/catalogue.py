@@ -489,6 +489,20 @@ def settle_from_json(spark, d):
     return a.table(spark, d, "events").select("event_id", m["condition_id"].alias("condition_id"), m["up_won"].alias("up_won"))
 
 
+@query(
+    "event_lookup",
+    "WITH found AS (SELECT 'x-' || CAST(event_id AS VARCHAR) AS slug, 'm' || CAST(event_id AS VARCHAR) AS condition_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END END AS up_won FROM events WHERE event_id % 5 <> 0), "
+    "asked AS (SELECT 'x-' || CAST(event_id AS VARCHAR) AS slug FROM events UNION ALL SELECT 'y-' || CAST(event_id AS VARCHAR) FROM events) SELECT slug, condition_id, up_won FROM asked LEFT JOIN found USING (slug)",
+)
+def event_lookup(spark, d):
+    """Events by slug from what has been landed of them; a slug that is not there gives none."""
+    raw = a.table(spark, d, "events").select(parsing.parse_event(_raw_event()).alias("m"), F.concat(F.lit("x-"), F.col("event_id").cast("string")).alias("slug"))
+    store = BucketedTable(spark, work_dir(spark, "events"))
+    store.create(raw.select("slug", "m.condition_id", "m.up_won").where("condition_id is not null"), ["slug"], buckets=16)
+    asked = a.table(spark, d, "events").select(F.explode(F.array(*[F.concat(F.lit(x), F.col("event_id").cast("string")) for x in ("x-", "y-")])).alias("slug"))
+    return store.find(asked)
+
+
 @query("fill_parse", "SELECT event_id, event_id % 3 <> 0 AND event_id % 4 <> 0 AS success, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 THEN round(CAST(5.0 AS DOUBLE) / (event_id % 4 * 2.5), 6) END AS fill_price FROM events")
 def fill_parse(spark, d):
     raw = F.concat(F.lit('{"success":'), F.when(F.col("event_id") % 3 != 0, "true").otherwise("false"), F.lit(',"makingAmount":"5.0","takingAmount":"'), (F.col("event_id") % 4 * 2.5).cast("string"), F.lit('"}'))
@@ -876,6 +890,18 @@ def stream_settle(spark, d):
     return done.agg(F.count_if(F.col("status") == "settled").alias("n_settled"), F.count_if(F.col("status") == "open").alias("n_open"))
 
 
+@query(
+    "stream_subscriptions",
+    f"WITH {a.SPINE_SQL}, rolls AS (SELECT DISTINCT t - t % 18000 AS start FROM ev) SELECT start, side || CAST(cs AS VARCHAR) AS asset_id FROM rolls JOIN spine ON cs IN (start, start + 18000), (SELECT unnest(['u', 'd']) AS side)",
+)
+def stream_subscriptions(spark, d):
+    """What a feed subscribes to when each candle begins: its tokens and the next one's."""
+    token = lambda x: F.concat(F.lit(x), F.col("cs").cast("string"))
+    spine = a.spine(spark, d).select("cs", token("u").alias("up_token"), token("d").alias("down_token"))
+    ticks = _pieces(a.events(spark, d).select(F.col("t").alias("now_s")), "now_s")
+    return drain(live.subscriptions(ticks, spine, a.CANDLE), name="rolls")
+
+
 @query(
     "stream_bars",
     f"""WITH {a.EVENTS_SQL}, b AS (SELECT event_type, t - t % 3600 AS ts, first(value ORDER BY t, event_id) AS open, last(value ORDER BY t, event_id) AS close, sum(value) AS volume, count(*) AS n_trades FROM ev GROUP BY 1, 2)

@@ -114,6 +114,15 @@ class BucketedTable:
             hit = hit | same
         return self._rows(content, sorted(set(asked))).where(hit)
 
+    def find(self, asked: DataFrame, version: int | None = None) -> DataFrame:
+        """``asked``, which has the key's columns, with the other columns of its rows; null where a key is not there.
+
+        Opens the buckets of the keys that are asked for; for a batch of a stream, say.
+        """
+        content = self.version(version)[1]
+        buckets = [r[0] for r in asked.select(self.bucket(content["buckets"], content["key"]).alias(BUCKET)).distinct().collect()]
+        return asked.join(self._rows(content, sorted(buckets)), content["key"], "left")
+
     def merge(self, changes: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
         """Replace the buckets of the keys of ``changes`` by ``apply(their rows, changes)``; the buckets touched.
 

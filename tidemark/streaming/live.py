@@ -191,6 +191,19 @@ def wanted_tokens(spine: DataFrame, now: int, candle: int = 300) -> DataFrame:
     return soon.select(F.explode(F.array("up_token", "down_token")).alias("asset_id")).where("asset_id is not null").distinct()
 
 
+def subscriptions(ticks: DataFrame, spine: DataFrame, candle: int = 300) -> DataFrame:
+    """``start, asset_id``: at each roll of the candle, what a feed subscribes to from then on.
+
+    ``ticks`` is a stream with ``now_s``, the clock's time; the first tick of a candle gives
+    the tokens of that candle and of the next one, as ``spine`` (cs, up_token, down_token)
+    has them. A candle's state goes two candles later.
+    """
+    start = (F.col("now_s") - F.col("now_s") % candle).alias("start")
+    rolls = ticks.select(start, F.timestamp_seconds("now_s").alias("at"))
+    rolls = once(rolls, ["start"], "at", f"{2 * candle} seconds").select("start", F.explode(F.array("start", F.col("start") + candle)).alias("cs"))
+    return rolls.join(spine, "cs").select("start", F.explode(F.array_distinct(F.array_compact(F.array("up_token", "down_token")))).alias("asset_id"))
+
+
 def sweep(items: DataFrame, act: Callable[[dict], str | None], key: str = "id") -> DataFrame:
     """``key, done, result, error_msg``: ``act`` on each row by itself, where the rows are.
 
