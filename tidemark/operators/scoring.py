@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -162,33 +163,66 @@ def graduation(board: DataFrame, weeks: str = "n_weeks") -> DataFrame:
     return board.withColumn("verdict", F.when(F.coalesce(passed, F.lit(False)), "graduate").when(F.coalesce(capped, F.lit(False)), "kill").otherwise("wait"))
 
 
-def leaders(cards: DataFrame, pairs: DataFrame, most: float = GATES["jaccard_max"], factor: str = "factor") -> DataFrame:
+#: Overlaps among factors that are not decided yet, of which one task decides the rest.
+FEW_OVERLAPS = 100_000
+
+
+def leaders(cards: DataFrame, pairs: DataFrame, most: float = GATES["jaccard_max"], factor: str = "factor", few: int = FEW_OVERLAPS) -> DataFrame:
     """``factor, leader`` by greedy choice: the best net base first, and each factor of the
     same direction that overlaps a chosen one by more than ``most`` folds into the best of them.
 
     The choice is sequential, but only along overlaps, so it goes in rounds over all
     factors at once: a factor leads once all better factors that it overlaps have
     folded, and folds once one of them leads. A round decides at least the best factor
-    of each group that is left; its state is written before the next one reads it.
+    of each group that is left; its state is written before the next one reads it. Once
+    ``few`` overlaps are left, one task goes through them by rank.
     """
     spark = cards.sparkSession
-    rank = F.struct(F.coalesce(-F.col("net_base_wilson"), F.lit(float("inf"))).alias("at"), F.col(factor).cast("string").alias("name"))
+    rank = F.struct(F.coalesce(F.nanvl(-F.col("net_base_wilson"), F.lit(float("inf"))), F.lit(float("inf"))).alias("at"), F.col(factor).cast("string").alias("name"))
     card = cards.select(F.col(factor).alias("f"), "direction", rank.alias("rank"))
     close = pairs.where(F.col("jaccard") > most).select("a", "b")
     close = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
     close = close.join(card.select(F.col("f").alias("a"), F.col("direction").alias("d"), F.col("rank").alias("r")), "a")
     close = close.join(card.select(F.col("f").alias("b"), F.col("direction").alias("better_d"), F.col("rank").alias("better_r")), "b")
     # for each factor the better ones that it could fold into
-    close = close.where("d = better_d and better_r < r").select(F.col("a").alias("f"), F.col("b").alias("better"), "better_r")
-    close, state = stored(spark, close, "close"), stored(spark, card.select("f", F.lit(None).cast(card.schema["f"].dataType).alias("leader")), "leaders")
-    while not state.where("leader is null").isEmpty():
+    close = close.where("d = better_d and better_r < r").select(F.col("a").alias("f"), "r", F.col("b").alias("better"), "better_r")
+    close = stored(spark, close, "close")
+    alone = card.select("f").join(close.select("f").distinct(), "f", "left_anti").select("f", F.col("f").alias("leader"))
+    waiting = close.select("f").distinct().select("f", F.lit(None).cast(card.schema["f"].dataType).alias("leader"))
+    state = stored(spark, alone.unionByName(waiting), "leaders")
+    while left := close.count():
         known = state.select(F.col("f").alias("better"), F.col("leader").alias("of"))
-        seen = close.join(state.where("leader is null").select("f"), "f", "left_semi").join(known, "better")
-        seen = seen.groupBy("f").agg(
-            F.min(F.when(F.col("of") == F.col("better"), F.struct("better_r", "better"))).alias("chosen"),
-            F.min(F.when(F.col("of").isNull(), F.col("better_r"))).alias("unknown"),
-        )
-        settled = F.col("unknown").isNull() | (F.col("chosen.better_r") < F.col("unknown"))
-        turn = F.when(settled & F.col("chosen").isNotNull(), F.col("chosen.better")).when(F.col("unknown").isNull(), F.col("f"))
-        state = stored(spark, state.join(seen, "f", "left").select("f", F.coalesce("leader", turn).alias("leader")), "leaders")
+        met = close.join(known, "better")
+        if left <= few:
+            kind = card.schema["f"].dataType.simpleString()
+            flat = met.select("f", "r.at", "r.name", "better", F.col("better_r.at").alias("better_at"), F.col("better_r.name").alias("better_name"), "of")
+            decided = flat.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(_decide, f"f {kind}, turn {kind}")
+        else:
+            seen = met.groupBy("f").agg(
+                F.min(F.when(F.col("of") == F.col("better"), F.struct("better_r", "better"))).alias("chosen"),
+                F.min(F.when(F.col("of").isNull(), F.col("better_r"))).alias("unknown"),
+            )
+            settled = F.col("unknown").isNull() | (F.col("chosen.better_r") < F.col("unknown"))
+            turn = F.when(settled & F.col("chosen").isNotNull(), F.col("chosen.better")).when(F.col("unknown").isNull(), F.col("f"))
+            decided = seen.select("f", turn.alias("turn"))
+        state = stored(spark, state.join(decided, "f", "left").select("f", F.coalesce("leader", "turn").alias("leader")), "leaders")
+        close = stored(spark, close.join(state.where("leader is null").select("f"), "f", "left_semi"), "close")
     return state.select(F.col("f").alias(factor), "leader")
+
+
+def _decide(part: pa.Table) -> pa.Table:
+    """The turn of each factor, by rank, from the overlaps that are left and the leaders known so far."""
+    over: dict[tuple, list[tuple]] = {}
+    leads = set()
+    for row in part.to_pylist():
+        over.setdefault((row["at"], row["name"], row["f"]), []).append((row["better_at"], row["better_name"], row["better"]))
+        if row["of"] == row["better"]:
+            leads.add(row["better"])
+    turns = []
+    for *_, f in sorted(over):
+        better = min((b for b in over[(*_, f)] if b[2] in leads), default=None)
+        turns.append((f, f if better is None else better[2]))
+        if better is None:
+            leads.add(f)
+    kind = part.schema.field("f").type
+    return pa.table({"f": pa.array([t[0] for t in turns], kind), "turn": pa.array([t[1] for t in turns], kind)})
