@@ -152,11 +152,12 @@ def _binned(names: Sequence[str], edges: list[np.ndarray]):
                 known = ~np.isnan(v)
                 # twice the place of an edge plus one if the value is that edge, else between
                 bins = np.searchsorted(edges[i], v, "left") + np.searchsorted(edges[i], v, "right")
+                cell = of_week[known] * widths[i] + bins[known]
+                found = [np.bincount(cell, weight[known], len(weeks) * widths[i]).reshape(-1, widths[i]) for weight in weights]
                 for w, name in enumerate(weeks.tolist()):
-                    rows = known & (of_week == w) if len(weeks) > 1 else known
                     sums = held.setdefault(name, np.zeros((len(SUMS), first[-1])))
-                    for s, weight in zip(sums, weights, strict=True):
-                        s[first[i] : first[i + 1]] += np.bincount(bins[rows], weight[rows], widths[i])
+                    for s, more in zip(sums, found, strict=True):
+                        s[first[i] : first[i + 1]] += more[w]
             if len(held) * first[-1] * len(SUMS) > 16 * HELD:
                 yield from close()
         yield from close()
@@ -174,6 +175,8 @@ def threshold_scan(rows: DataFrame, columns: Sequence[str], cuts: Sequence[float
     give all candidates. Null values hit nothing, rows without win or price do not count;
     a quantile that repeats gives one candidate per cut.
     """
+    # read once for the quantiles' passes and the scan
+    rows = stored(rows.sparkSession, rows.select(win, price, week, *[f"`{c}`" for c in columns]), "scanned")
     found = quantiles(rows, columns, cuts)
     edges = [np.unique([v for v in found[c] if v is not None]).astype(np.float64) for c in columns]
     known = rows.where(F.col(win).isNotNull() & F.col(price).isNotNull())
