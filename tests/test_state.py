@@ -329,6 +329,23 @@ def test_threshold_scan_is_one_filter_each(spark):
         assert r["ok_hits"] == (r["n"] >= 50) and r["ok_price"] == (0.35 <= r["ep"] <= 0.65)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_threshold_scan_rounds_mean_prices_the_same_in_any_order(spark, seed):
+    """Means of 32 prices in cents that end in a five at the seventh digit."""
+    rng = random.Random(seed)
+    rows, wanted = [], {}
+    for x in range(20):
+        cents = [rng.randrange(11) for _ in range(31)]
+        cents.append(2 * rng.randrange(5) + (sum(cents) + 1) % 2)  # an odd sum
+        wanted[x] = (35 * 32 + 3 * sum(cents)) * 10_000 / 32
+        rows += [(1, 0.35 + 3.0 * (c / 100), 0, *[0.0 if i == x else None for i in range(20)]) for c in cents]
+        rows += [(1, 0.5, 0, *[1.0 if i == x else None for i in range(20)])] * 40
+    rng.shuffle(rows)
+    t = spark.createDataFrame(rows, "win int, price double, week long, " + ", ".join(f"x{i} double" for i in range(20))).repartition(3)
+    found = candidates.threshold_scan(t, [f"x{i}" for i in range(20)], [1.0]).where("op = '<'").select("column", F.round("ep", 6).alias("ep")).collect()
+    assert {r["column"]: r["ep"] for r in found} == {f"x{x}": math.floor(v + 0.5) / 1e6 for x, v in wanted.items()}
+
+
 @pytest.mark.parametrize("options", [{}, {"tile": 3, "block_fires": 40}])
 def test_overlaps_against_sets(spark, options):
     rng = random.Random(4)

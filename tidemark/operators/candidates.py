@@ -121,8 +121,20 @@ def thresholds(df: DataFrame, columns: Sequence[str], cuts: Sequence[float]) ->
 
 # --- one-pass threshold scan
 
-#: What is added up over the rows that a candidate hits.
-SUMS = ("n", "wins", "pay", "price", "won_pay", "won_square")
+#: What is added up over the rows that a candidate hits; a price is its whole ticks and what is left of it.
+SUMS = ("n", "wins", "pay", "ticks", "rest", "won_pay", "won_square")
+#: Ticks of a price of 1, and the greatest error of a price that was worked out in doubles.
+TICKS, NOISE = 1e6, 1e-12
+
+
+def in_ticks(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole ticks, whose sums are exact in any order, and the rest, which is 0 for a price that has no more digits.
+
+    Means of such prices often end in a five; sums of doubles would round it as the order of the rows has it.
+    """
+    ticks = np.round(price * TICKS)
+    rest = price - ticks / TICKS
+    return ticks, np.where(np.abs(rest) < NOISE, 0.0, rest)
 
 
 def _binned(names: Sequence[str], edges: list[np.ndarray]):
@@ -145,7 +157,7 @@ def _binned(names: Sequence[str], edges: list[np.ndarray]):
             win, price, week = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
             pay = win / (price + DRIFT) - 1.0
             won = np.where(win > 0.5, 1.0 / (price + DRIFT) - 1.0, 0.0)
-            weights = [np.ones(len(win)), win, pay, price, won, won * won]
+            weights = [np.ones(len(win)), win, pay, *in_ticks(price), won, won * won]
             weeks, of_week = np.unique(week, return_inverse=True)
             for i, column in enumerate(batch.columns[3:]):
                 v = column.to_numpy(zero_copy_only=False).astype(np.float64)
@@ -202,11 +214,12 @@ def threshold_scan(rows: DataFrame, columns: Sequence[str], cuts: Sequence[float
 
     weekly = sums.groupBy("c").applyInArrow(scan, f"column string, cut double, threshold double, op string, week long, {kinds}")
     key = ["column", "cut", "threshold", "op"]
-    week_nev = F.try_divide("pay", "n") - backtest_friction(F.try_divide("price", "n"))
+    ep = F.try_divide("ticks", F.col("n") * TICKS) + F.try_divide("rest", "n")
+    week_nev = F.try_divide("pay", "n") - backtest_friction(ep)
     counted = F.col("n") >= GATES["week_hits"]
     by_week = [F.count_if(counted & (week_nev > 0)).alias("good"), F.count_if(counted).alias("n_weeks")]
     cards = weekly.groupBy(*key).agg(*[F.sum(s).alias(s) for s in SUMS], *by_week)
-    wr, ep, n = F.try_divide("wins", "n"), F.try_divide("price", "n"), F.col("n")
+    wr, n = F.try_divide("wins", "n"), F.col("n")
     cards = cards.select(
         *key, n.cast("long").alias("n"), wr.alias("wr"), ep.alias("ep"), (F.try_divide("pay", "n") - backtest_friction(ep)).alias("nev"),
         F.when(F.col("wins") > 0, F.col("won_pay") * F.col("won_pay") / F.greatest("won_square", F.lit(1e-12))).alias("eff_n"),
