@@ -123,6 +123,47 @@ def test_asof_of_streams_is_asof_of_tables(spark, seed):
     assert found == {r["probe"]: (r["quote_ts"], r["bid"]) for r in wanted.collect()}
 
 
+class _Held:
+    """A value or list state, a handle and a clock in one, for a processor without a stream."""
+
+    def __init__(self):
+        self.lists, self.rows = {}, None
+
+    def getValueState(self, name, kind):
+        return self.lists.setdefault(name, _Held())
+
+    getListState = getValueState
+
+    def exists(self):
+        return self.rows is not None
+
+    def get(self):
+        return self.rows
+
+    def put(self, rows):
+        self.rows = rows
+
+    update = put
+
+    def appendValue(self, row):
+        self.rows = [*(self.rows or []), row]
+
+    def registerTimer(self, at):
+        self.timer = at
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_factors_of_a_bucket_share_a_state():
+    held, processor = _Held(), stateful.TriggerTimer(CANDLE, True)
+    processor.init(held)
+    said = pd.DataFrame([("a", 0, "UP", 5, 10), ("b", 0, "DOWN", 5, 10), ("b", 0, "DOWN", 5, 12), ("c", 0, None, 50, 10)], columns=["expr", "cs", "direction", "entry_offset_s", "now_s"])
+    found = pd.concat(processor.handleInputRows((3,), iter([said[:2], said[2:]]), held))
+    assert sorted(found[["expr", "direction", "due_s"]].itertuples(index=False, name=None)) == [("a", "UP", 5), ("b", "DOWN", 5)]
+    assert held.timer == 50_000 and not list(processor.handleInputRows((3,), iter([said]), held))
+
+
 def test_rolling_scores_of_a_stream(spark):
     specs = [Rolling("zs9", "zs", 9, 4), Rolling("rank7", "rank", 7, 3), Rolling("lag1", "lag", 1, 1)]
     rng = random.Random(3)

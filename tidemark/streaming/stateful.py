@@ -6,11 +6,11 @@ query goes on where it was. They need the RocksDB state store.
 
 from __future__ import annotations
 
-import json
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -21,81 +21,106 @@ from tidemark.operators.rolling import STANDARD, Rolling, rolling_score
 
 #: Candles after which the state of a trigger goes.
 KEPT_CANDLES = 2
+#: Buckets of factors: a call of the processor and its reads of state take milliseconds each, so factors share them.
+TRIGGER_BUCKETS = 512
 
 
 class TriggerTimer(StatefulProcessor):
-    """Per factor its candles: waiting with the time when each is due, or done.
+    """Per bucket of factors their candles: waiting with the time when each is due, or done.
 
     A candle that is first announced when it is over is late and never fires; candles of the
     initial state have fired before. A candle is forgotten ``KEPT_CANDLES`` candles after its
-    end; what announces it after that is late in any case. A factor has one timer, for
-    whatever is next, so a batch reads and writes its state once.
+    end; what announces it after that is late in any case. A bucket has one state and one
+    timer, for whatever is next, so a batch reads and writes them once, however many
+    factors there are.
     """
 
+    held = pa.schema([("expr", pa.string()), ("cs", pa.int64()), ("due_s", pa.int64()), ("direction", pa.string()), ("done", pa.bool_())])
+
     def __init__(self, candle: int, event_time: bool):
         self.candle, self.event_time = candle, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("candles", "candles string, timer_ms long")
+        self.state = handle.getValueState("candles", "candles binary, timer_ms long")
 
-    def _load(self) -> tuple[dict[int, tuple[int, str | None] | None], int | None]:
-        """``{candle: (due, direction), or None once it is done}`` and the timer that is set."""
+    def _load(self) -> tuple[pd.DataFrame, int | None]:
+        """``expr, cs, due_s, direction, done`` of the candles and the timer that is set."""
         if not self.state.exists():
-            return {}, None
-        held, timer = self.state.get()
-        return {int(cs): v and tuple(v) for cs, v in json.loads(held).items()}, timer
+            return self.held.empty_table().to_pandas(), None
+        candles, timer = self.state.get()
+        return _unpacked(candles), timer
 
-    def _store(self, candles: dict, timer: int | None) -> None:
+    def _store(self, candles: pd.DataFrame, timer: int | None) -> None:
         """Put the state back, with a timer for the next candle that is due or to be forgotten."""
-        if not candles:
+        if candles.empty:
             self.state.clear()
             return
-        wanted = min(self._forget(cs) if v is None else v[0] * 1000 for cs, v in candles.items())
+        wanted = int((candles["due_s"] * 1000).where(~candles["done"].astype(bool), self._forget(candles["cs"])).min())
         if timer is None or wanted < timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(wanted)
             timer = wanted
-        self.state.update((json.dumps(candles), timer))
+        self.state.update((_packed(candles, self.held), timer))
 
-    def _forget(self, cs: int) -> int:
+    def _forget(self, cs: pd.Series) -> pd.Series:
         return (cs + self.candle * (1 + KEPT_CANDLES)) * 1000
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         candles, timer = self._load()
-        self._store(candles | {int(cs): None for cs in initialState["cs"]}, timer)
+        fired = initialState[["expr", "cs"]].assign(due_s=0, direction=None, done=True)
+        self._store(_joined(candles, fired), timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         candles, timer = self._load()
-        clock = None if self.event_time else int(timerValues.getCurrentProcessingTimeInMs()) // 1000
-        said = pd.concat(list(rows)).sort_values("now_s", kind="stable").drop_duplicates("cs")
-        fired = []
-        for cs, direction, offset, now in said[["cs", "direction", "entry_offset_s", "now_s"]].itertuples(index=False):
-            cs, due, now = int(cs), int(cs) + int(offset), int(now) if clock is None else clock
-            if cs in candles or now > cs + self.candle:
-                continue
-            if due <= now:
-                fired.append((key[0], cs, direction, due))
-            candles[cs] = None if due <= now else (due, direction)
-        self._store(candles, timer)
-        if fired:
-            yield pd.DataFrame(fired, columns=["expr", "cs", "direction", "due_s"])
+        said = pd.concat(list(rows)).sort_values("now_s", kind="stable").drop_duplicates(["expr", "cs"])
+        if not self.event_time:
+            said["now_s"] = int(timerValues.getCurrentProcessingTimeInMs()) // 1000
+        said = said[said["now_s"] <= said["cs"] + self.candle]
+        due = said["cs"] + said["entry_offset_s"]
+        said = said.assign(due_s=due, done=due <= said["now_s"])[self.held.names]
+        line = _joined(candles, said)
+        fresh = line.iloc[len(candles) :]
+        self._store(line, timer)
+        yield from self._fired(fresh[fresh["done"].astype(bool)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         candles, _ = self._load()
         now = int(timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs())
-        fired = [(key[0], cs, v[1], v[0]) for cs, v in sorted(candles.items()) if v and v[0] * 1000 <= now]
-        candles |= {cs: None for _, cs, _, _ in fired}
-        self._store({cs: v for cs, v in candles.items() if v or self._forget(cs) > now}, None)
-        if fired:
-            yield pd.DataFrame(fired, columns=["expr", "cs", "direction", "due_s"])
+        done = candles["done"].astype(bool)
+        fires = ~done & (candles["due_s"] * 1000 <= now)
+        left = candles.assign(done=done | fires)
+        self._store(left[~left["done"] | (self._forget(left["cs"]) > now)], None)
+        yield from self._fired(candles[fires].sort_values(["expr", "cs"]))
+
+    def _fired(self, candles: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if len(candles):
+            yield candles[["expr", "cs", "direction", "due_s"]]
 
     def close(self) -> None:
         pass
 
 
-def timed_triggers(announced: DataFrame, fired: DataFrame | None = None, candle: int = CANDLE_SECONDS, late: str | None = None) -> DataFrame:
+def _joined(candles: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+    """``candles`` and those of ``more`` that are not among them."""
+    line = pd.concat([x for x in (candles, more) if len(x)] or [candles], ignore_index=True)
+    return line.drop_duplicates(["expr", "cs"], ignore_index=True)
+
+
+def _packed(frame: pd.DataFrame, kind: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(frame, kind, preserve_index=False).replace_schema_metadata()
+    with pa.ipc.new_stream(sink, kind) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(content: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(content)).read_all().to_pandas()
+
+
+def timed_triggers(announced: DataFrame, fired: DataFrame | None = None, candle: int = CANDLE_SECONDS, late: str | None = None, buckets: int = TRIGGER_BUCKETS) -> DataFrame:
     """``expr, cs, direction, due_s``: each pair of factor and candle once, when it is due.
 
     ``announced`` is a stream of expr, cs, direction, entry_offset_s and ``now_s``, the
@@ -103,15 +128,17 @@ def timed_triggers(announced: DataFrame, fired: DataFrame | None = None, candle:
     With ``late`` (an interval) time is that of the rows: ``now_s`` has a watermark of that
     delay, and a pair fires when the watermark is past it. Without, it is the machine's.
     ``fired`` (expr, cs), such as a ledger's recent rows, starts a new query as if those had
-    fired; a restarted query knows its own. A factor is a key, its state a few candles.
+    fired; a restarted query knows its own. Factors are dealt to ``buckets`` keys by hash; a
+    key's state is a few candles of each of its factors.
     """
     schema = StructType.fromDDL("expr string, cs long, direction string, due_s long")
     rows = announced.where("expr is not null and cs is not null and entry_offset_s is not null and now_s is not null")
     rows = rows.select("expr", F.col("cs").cast("long").alias("cs"), "direction", F.col("entry_offset_s").cast("long").alias("entry_offset_s"), F.col("now_s").cast("long").alias("now_s"))
     if late is not None:
         rows = rows.withColumn("at", F.timestamp_seconds("now_s")).withWatermark("at", late)
-    seed = None if fired is None else fired.select("expr", F.col("cs").cast("long").alias("cs")).dropna().distinct().groupBy("expr")
-    return rows.groupBy("expr").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("expr"), F.lit(buckets)).cast("int")
+    seed = None if fired is None else fired.select("expr", F.col("cs").cast("long").alias("cs")).dropna().distinct().withColumn("bucket", bucket).groupBy("bucket")
+    return rows.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
         TriggerTimer(candle, late is not None), schema, "Append", "ProcessingTime" if late is None else "EventTime", initialState=seed
     )
 
