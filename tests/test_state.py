@@ -164,6 +164,16 @@ def test_factors_of_a_bucket_share_a_state():
     assert held.timer == 50_000 and not list(processor.handleInputRows((3,), iter([said]), held))
 
 
+def test_quotes_are_held_in_pieces():
+    held, processor = _Held(), stateful.AsOf(["bid"])
+    processor.init(held)
+    n = 100_000
+    quotes = pd.DataFrame({"ts": np.arange(n) // 2, "seq": np.arange(n), "bid": np.arange(n) / 4, "probe": None})
+    probe = pd.DataFrame({"ts": [7], "seq": [0], "bid": [None], "probe": ["p"]})
+    list(processor.handleInputRows(("k",), iter([quotes[: n // 2], quotes[n // 2 :], probe]), held))
+    assert len(held.lists["quotes"].rows) <= 2 and len(held.lists["probes"].rows) == 1
+
+
 def test_rolling_scores_of_a_stream(spark):
     specs = [Rolling("zs9", "zs", 9, 4), Rolling("rank7", "rank", 7, 3), Rolling("lag1", "lag", 1, 1)]
     rng = random.Random(3)

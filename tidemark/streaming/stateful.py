@@ -6,9 +6,9 @@ query goes on where it was. They need the RocksDB state store.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +23,8 @@ from tidemark.operators.rolling import STANDARD, Rolling, rolling_score
 KEPT_CANDLES = 2
 #: Buckets of factors: a call of the processor and its reads of state take milliseconds each, so factors share them.
 TRIGGER_BUCKETS = 512
+#: Quotes of a piece of state.
+PIECE = 1 << 16
 
 
 class TriggerTimer(StatefulProcessor):
@@ -144,39 +146,59 @@ def timed_triggers(announced: DataFrame, fired: DataFrame | None = None, candle:
 
 
 class AsOf(StatefulProcessor):
-    """Per key the quotes that a later probe can still ask for, and the probes that are not yet due."""
+    """Per key the quotes that a later probe can still ask for, and the probes that are not yet due.
+
+    Both are held packed, many to a piece of state; of quotes of one second only the one that counts.
+    """
+
+    asked = pa.schema([("ts", pa.int64()), ("probe", pa.string())])
 
     def __init__(self, values: Sequence[str]):
         self.values = list(values)
+        self.kind = [("ts", "<i8"), ("seq", "<i8"), *[(f"v{i}", "<f8") for i in range(len(self.values))]]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        held = ", ".join(f"{v} double" for v in self.values)
-        self.quotes = handle.getListState("quotes", f"ts long, seq long, {held}")
-        self.probes = handle.getListState("probes", "ts long, id string")
+        self.quotes = handle.getListState("quotes", "quotes binary")
+        self.probes = handle.getListState("probes", "first long, probes binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         quotes, probes = [], []
         for part in rows:
             asked = part["probe"].notna()
-            for ts, seq, *values in part.loc[~asked, ["ts", "seq", *self.values]].itertuples(index=False):
-                quotes.append((int(ts), int(seq), *[None if pd.isna(v) else float(v) for v in values]))
-            probes += [(int(ts), probe) for ts, probe in part.loc[asked, ["ts", "probe"]].itertuples(index=False)]
-        if probes:
-            first = self._first()
-            self.probes.appendList(probes)
-            self._wake(min(ts for ts, _ in probes), first)
-        if quotes:
-            known = sorted([*(self.quotes.get() if self.quotes.exists() else ()), *quotes], key=lambda q: q[:2])
+            said = part[~asked]
+            new = np.empty(len(said), self.kind)
+            for name, column in zip(new.dtype.names, ("ts", "seq", *self.values), strict=True):
+                new[name] = said[column].to_numpy(new.dtype[name])
+            quotes.append(self._line([new]))
+            probes.append(part.loc[asked, ["ts", "probe"]])
+        probes = pd.concat(probes)
+        first = self._first()
+        if len(probes):
+            earliest = int(probes["ts"].min())
+            self.probes.appendValue((earliest, _packed(probes, self.asked)))
+            self._wake(earliest, first)
+            first = earliest if first is None else min(first, earliest)
+        if any(map(len, quotes)):
+            known = self._line([*self._held(), *quotes])
             # all quotes up to the watermark are here: of them only the last before the first open probe can be asked for
             settled = timerValues.getCurrentWatermarkInMs() // 1000
-            first = self._first()
             settled = settled if first is None else min(settled, first)
-            self.quotes.put(known[max(0, bisect_right([q[0] for q in known], settled) - 1) :])
+            known = known[max(0, int(np.searchsorted(known["ts"], settled, "right")) - 1) :]
+            self.quotes.put([(known[at : at + PIECE].tobytes(),) for at in range(0, len(known), PIECE)])
         return iter(())
 
+    def _held(self) -> list[np.ndarray]:
+        return [np.frombuffer(bytes(piece), self.kind) for (piece,) in self.quotes.get()] if self.quotes.exists() else []
+
+    def _line(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """Quotes in order, the last of each second; of equal ones that which came last."""
+        line = np.concatenate([np.empty(0, self.kind), *pieces])
+        line = line[np.lexsort((line["seq"], line["ts"]))]
+        return line[np.append(line["ts"][1:] != line["ts"][:-1], np.ones(min(1, len(line)), bool))]
+
     def _first(self) -> int | None:
-        return min(ts for ts, _ in self.probes.get()) if self.probes.exists() else None
+        return min(first for first, _ in self.probes.get()) if self.probes.exists() else None
 
     def _wake(self, ts: int, before: int | None) -> None:
         """The key's one timer is for its earliest open probe."""
@@ -187,19 +209,23 @@ class AsOf(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() // 1000
-        waiting = list(self.probes.get()) if self.probes.exists() else []
-        due, later = sorted(p for p in waiting if p[0] <= now), [p for p in waiting if p[0] > now]
-        known = sorted(self.quotes.get(), key=lambda q: q[:2]) if self.quotes.exists() else []
-        at = [bisect_right([q[0] for q in known], ts) - 1 for ts, _ in due]
-        if later:
-            self.probes.put(later)
-            self.handle.registerTimer(min(ts for ts, _ in later) * 1000)
+        pieces = [_unpacked(probes) for _, probes in self.probes.get()] if self.probes.exists() else []
+        waiting = pd.concat([self.asked.empty_table().to_pandas(), *pieces], ignore_index=True)
+        due, later = waiting[waiting["ts"] <= now].sort_values(["ts", "probe"]), waiting[waiting["ts"] > now]
+        if len(later):
+            first = int(later["ts"].min())
+            self.probes.put([(first, _packed(later, self.asked))])
+            self.handle.registerTimer(first * 1000)
         else:
             self.probes.clear()
-        if due:
-            none = (None,) * (2 + len(self.values))
-            rows = [(key[0], ts, probe, *(q := known[i] if i >= 0 else none)[:1], *q[2:]) for (ts, probe), i in zip(due, at, strict=True)]
-            yield pd.DataFrame(rows, columns=["key", "ts", "probe", "quote_ts", *self.values]).astype({"quote_ts": "Int64"} | dict.fromkeys(self.values, "float64"))
+        if len(due):
+            known = self._line(self._held())
+            at = np.searchsorted(known["ts"], due["ts"].to_numpy("int64"), "right") - 1
+            # a probe before all quotes finds an empty one
+            known = np.append(known, np.array([(0, 0, *[np.nan] * len(self.values))], self.kind))
+            found = due.assign(key=key[0], quote_ts=pd.array(known["ts"][at], "Int64"), **{v: known[f"v{i}"][at] for i, v in enumerate(self.values)})
+            found.loc[at < 0, "quote_ts"] = pd.NA
+            yield found[["key", "ts", "probe", "quote_ts", *self.values]]
 
     def close(self) -> None:
         pass
