@@ -7,9 +7,11 @@ import os
 import random
 import shutil
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,6 +415,22 @@ def test_overlaps_against_sets(spark, options):
     assert candidates.overlaps(spark.createDataFrame([], "factor string, cs long")).collect() == []
 
 
+def test_pairs_of_a_block_are_listed_in_parts():
+    """A block of 2,000,000 fires, of ten factors to a key: the memory of all its pairs at once would be many times its own."""
+    n = 1 << 21
+    k, place = np.arange(n) // 10, np.arange(n) % 10
+    zero = np.zeros(n, np.int32)
+    part = pa.table({"block": zero, "tile_a": zero, "tile_b": zero, "side": zero, "place": place.astype(np.int32), "k": k})
+    tracemalloc.start()
+    found = candidates._products(part)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = np.array([np.frombuffer(c, np.int64) for c in found["counts"].to_pylist()])
+    both = np.bincount(place)
+    np.testing.assert_array_equal(counts, np.minimum(*np.meshgrid(both, both)))
+    assert most < 300 << 20, most
+
+
 @pytest.mark.parametrize("drop, tile", [(0, 256), (3, 256), (3, 4)])
 def test_correlations_of_all_pairs(spark, drop, tile):
     rng = np.random.default_rng(drop)

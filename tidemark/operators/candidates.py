@@ -232,9 +232,9 @@ def threshold_scan(rows: DataFrame, columns: Sequence[str], cuts: Sequence[float
 # --- overlaps of factors as products of bit blocks
 
 #: Factors of a tile and fires of a block of keys, on average; keys at which more factors of a tile fire are multiplied as bits.
-TILE, BLOCK_FIRES, DENSE = 1_024, 1 << 21, 24
-#: Keys of a product.
-KEYS_AT_ONCE = 4_096
+TILE, BLOCK_FIRES, DENSE = 1_024, 1 << 19, 24
+#: Keys of a product, and fires whose pairs are listed at once.
+KEYS_AT_ONCE, FIRES_AT_ONCE = 4_096, 1 << 16
 
 
 def _products(part: pa.Table) -> pa.Table:
@@ -247,10 +247,13 @@ def _products(part: pa.Table) -> pa.Table:
     dense = np.max([np.bincount(key[x], minlength=int(key.max()) + 1) for x in sides], axis=0) > DENSE
     # few factors at a key: its pairs one by one
     left, right = (_by_key(key, place, x & ~dense[key]) for x in sides)
-    start = np.searchsorted(right[0], left[0])
-    times = np.searchsorted(right[0], left[0], "right") - start
-    within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    np.add.at(counts, (np.repeat(left[1], times), right[1][np.repeat(start, times) + within]), 1)
+    for at in range(0, len(left[0]), FIRES_AT_ONCE):
+        keys, places = (x[at : at + FIRES_AT_ONCE] for x in left)
+        start = np.searchsorted(right[0], keys)
+        times = np.searchsorted(right[0], keys, "right") - start
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        pairs = np.repeat(places.astype(np.int64) * width, times) + right[1][np.repeat(start, times) + within]
+        counts += np.bincount(pairs, minlength=width * width).reshape(width, width)
     # many: rows of bits, multiplied some keys at a time
     number = np.cumsum(dense) - 1
     for at in range(0, int(dense.sum()), KEYS_AT_ONCE):
