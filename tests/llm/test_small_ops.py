@@ -316,3 +316,18 @@ def test_table_plan_reaches_the_miss_rate():
         bits, tables = embedding_dedup.table_plan(rows, 0.98)
         p = (1 - math.acos(0.98) / math.pi) ** bits
         assert (1 - p) ** tables <= embedding_dedup.MISS
+
+
+def test_words_of_latin_texts_by_their_own_pattern():
+    """As the pattern of the vocabulary file finds them, with contractions before words of letters."""
+    import random
+    import re
+
+    from tidemark.llm import vocabulary as v
+
+    plain = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{v.LETTERS}]+|[{v.NUMBERS}]|[^{v.SPACES}{v.LETTERS}{v.NUMBERS}]+").findall
+    rng = random.Random(1)
+    for top in (0x80, 0x100, 0x250):
+        for _ in range(300):
+            text = "".join(rng.choice(["'", "s", "re", "LL", " ", "7", chr(rng.randrange(top))]) for _ in range(200))
+            assert v.split_words(text) == v._latin_words(text.lower()) == plain(text.lower()) if top <= 0x100 else v.split_words(text) == plain(text.lower())

@@ -18,21 +18,39 @@ from functools import lru_cache
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯⱥⱦ"
 NUMBERS = "0-9²³¹¼½¾"
 SPACES = "\t-\r \u0085 "
-PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+"
 
+
+def _pattern(letters: str, numbers: str, spaces: str) -> str:
+    """Words of letters first, as most are; no word that may come before them begins with one."""
+    return f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{spaces}{letters}{numbers}]+"
+
+
+PATTERN = _pattern(LETTERS, NUMBERS, SPACES)
 _words = re.compile(PATTERN).findall
+# for texts of Latin-1, which lower case does not leave: classes below U+0100 are looked up in one table
+_latin_words = re.compile(_pattern(*("".join(re.escape(c) for c in map(chr, range(256)) if re.match(f"[{x}]", c)) for x in (LETTERS, NUMBERS, SPACES)))).findall
 _foreign = re.compile("[^\u0000-ɏ]").search
 _chunks = re.compile("[^\t-\r ]+").findall
 #: How the special tokens of the public vocabulary files begin.
 SPECIAL = "<|"
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _simple(text: str) -> bool:
     return SPECIAL not in text and (text.isascii() or not _foreign(text))
 
 
 def split_words(text: str) -> list[str]:
     """The words of ``text`` in order; words that start with a space are raw stretches."""
+    if SPECIAL not in text and _latin(text):
+        return _latin_words(text.lower())
     if _simple(text):
         return _words(text.lower())
     found: list[str] = []
