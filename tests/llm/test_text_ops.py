@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, catalogue, license_texts, licenses, ngram_join, quality, token_files, vocabulary, warc
+from tidemark.llm import bpe, catalogue, common, license_texts, licenses, ngram_join, quality, token_files, vocabulary, warc
 from tidemark.llm.common import shared_dir
 
 from .test_small_ops import DOCS, HARD, _reach, clashing, hard  # noqa: F401
@@ -588,6 +588,23 @@ def test_jaccard_against_brute_force(spark, monkeypatch, options):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (len(s), label[i]) for i, s in sets.items()}
 
 
+def _broadcasts(spark, since=0):
+    """Plans that broadcast a table, of those that ran as number ``since`` and later; how many there are now."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = {e.executionId(): e.physicalPlanDescription() for e in (ran.apply(i) for i in range(ran.size()))}
+    return [p for i, p in plans.items() if i >= since and "BroadcastExchange" in p], max(plans, default=-1) + 1
+
+
+def test_salted_copies_are_not_broadcast(spark):
+    rows = spark.range(300).selectExpr("id", "id % 60 AS k")
+    table = common.materialize(spark, spark.range(50).selectExpr("id AS k", "1 AS part"), "test-table")
+    _, since = _broadcasts(spark)
+    found = common.hot_join(spark, rows, table, ["k"], ["id"], broadcast_rows=40).collect()
+    assert not _broadcasts(spark, since)[0]
+    assert sorted(map(tuple, found)) == [(k, i, 1 if k < 50 else None) for k, i in sorted((i % 60, i) for i in range(300))]
+
+
 def test_jaccard_hard_rows(spark, hard, clashing):  # noqa: F811
     for docs in (hard, clashing):
         found = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark, docs).collect()), key=str)

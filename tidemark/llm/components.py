@@ -6,10 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, materialize
+from tidemark.llm.common import discard, materialize, shuffled
 
+#: Joins of more links than these are shuffled, whatever the size of their files.
+BROADCAST_LINKS = 100_000
 
-def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+
+def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60, broadcast_links: int = BROADCAST_LINKS) -> DataFrame:
     """``node, component`` for every end of ``edges`` (columns ``a``, ``b``, long).
 
     ``component`` is the smallest node reachable. Alternating large-star and
@@ -17,18 +20,21 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     them, until nothing changes; a round's edges are written before the next reads
     them. Minima are aggregated before they are shuffled, and a node with very many
     neighbours meets them in a join whose large partitions can be split, so no task
-    holds a whole neighbourhood. Self-links and repeated links do no harm.
+    holds a whole neighbourhood; with more than ``broadcast_links`` links no table of
+    them is broadcast. Self-links and repeated links do no harm.
     """
     nodes = materialize(spark, edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "cc-edges")
     state, before, last = nodes.where("v <> u"), None, None
+    count = nodes.count()
+    apart = lambda table: shuffled(table, count, broadcast_links)
     for _ in range(most_rounds):
         # large star: every larger neighbour of a node moves to the smallest of its neighbourhood
         both = state.select(F.col("u").alias("n"), F.col("v").alias("o")).unionByName(state.select(F.col("v").alias("n"), F.col("u").alias("o")))
         least = both.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("m", "n").alias("m"))
-        large = both.where("o > n").join(least, "n").select(F.col("o").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        large = both.where("o > n").join(apart(least), "n").select(F.col("o").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
         # small star: every smaller neighbour, and the node itself, moves to the smallest
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
+        small = large.join(apart(least), "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
         state = materialize(spark, small.where("v <> u").distinct(), "cc-round")
         if last is not None:
             discard(spark, last)
@@ -41,7 +47,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     ends = nodes.select(F.col("v").alias("node")).unionByName(nodes.select(F.col("u").alias("node"))).distinct()
-    return ends.join(state.select(F.col("v").alias("node"), F.col("u").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
+    return ends.join(apart(state.select(F.col("v").alias("node"), F.col("u").alias("m"))), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
 
 
 def local_components(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, free_name, hot_join, materialize, released
+from tidemark.llm.common import discard, free_name, hot_join, materialize, released, shuffled
 from tidemark.llm.components import connected_components, local_components
 
 #: N-grams of a batch of documents that are dealt to column blocks at a time.
@@ -449,9 +449,9 @@ def zero_part(name: str) -> Column:
     return F.lit(0).alias(name)
 
 
-def _meet(kept: DataFrame, placed: DataFrame, threshold: int) -> DataFrame:
+def _meet(kept: DataFrame, placed: DataFrame, threshold: int, broadcast_rows: int) -> DataFrame:
     """Links ``a, b`` of the rows that ``placed`` (unit, part_a, part_b, part, row, label) brings together."""
-    blocked = placed.join(kept.select("row", "size", "grams"), "row").select(*PAIR, "part", "row", "label", "size", "grams")
+    blocked = shuffled(placed, kept.count(), broadcast_rows).join(kept.select("row", "size", "grams"), "row").select(*PAIR, "part", "row", "label", "size", "grams")
     return blocked.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(released(_product(threshold)), "a long, b long")
 
 
@@ -461,7 +461,7 @@ def _stars(spark: SparkSession, kept: DataFrame, pairs: DataFrame, threshold: in
     centres = counts.select(F.col("b").alias("unit"), zero_part("part_a"), F.explode(F.sequence(F.lit(1), "parts")).alias("part_b"), zero_part("part"), F.col("b").alias("row"))
     part = (F.pmod(F.xxhash64("a"), F.col("parts")) + 1).cast("int")
     others = hot_join(spark, pairs, counts, ["b"], ["a"], broadcast_rows).select(F.col("b").alias("unit"), zero_part("part_a"), part.alias("part_b"), part.alias("part"), F.col("a").alias("row"))
-    return materialize(spark, _meet(kept, centres.unionByName(others).withColumn("label", F.col("row")), threshold), "jaccard-star-links")
+    return materialize(spark, _meet(kept, centres.unionByName(others).withColumn("label", F.col("row")), threshold, broadcast_rows), "jaccard-star-links")
 
 
 def _large_links(spark: SparkSession, kept: DataFrame, rows: DataFrame, stars: DataFrame, threshold: int, block_rows: int, broadcast_rows: int) -> DataFrame:
@@ -476,7 +476,8 @@ def _large_links(spark: SparkSession, kept: DataFrame, rows: DataFrame, stars: D
     as much as it has links, and a large group as much as it has rows.
     """
     # tables of a row per row of these components
-    small = F.broadcast if rows.count() <= broadcast_rows else lambda table: table
+    n_rows = rows.count()
+    small = lambda table: F.broadcast(table) if n_rows <= broadcast_rows else shuffled(table, n_rows, broadcast_rows)
     kept = materialize(spark, kept.join(small(rows.select("row")), "row", "left_semi"), "jaccard-large-rows")
     sized = kept.select("row", "size", (F.length("grams") / 8).alias("held"))
     side = lambda n: small(sized.select(F.col("row").alias(n), F.col("size").alias(f"size_{n}"), F.col("held").alias(f"held_{n}")))
@@ -488,7 +489,7 @@ def _large_links(spark: SparkSession, kept: DataFrame, rows: DataFrame, stars: D
     labels = rows.select("row", F.col("row").alias("label"))
     of = lambda name: small(labels.select(F.col("row").alias(name), F.col("label").alias(f"label_{name}")))
     for _ in range(2):
-        open_pairs = first if tried is None else first.join(tried, ["a", "b"], "left_anti")
+        open_pairs = first if tried is None else first.join(small(tried), ["a", "b"], "left_anti")
         open_pairs = open_pairs.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b")
         tried = materialize(spark, open_pairs.groupBy("a").agg(F.min("b").alias("b")), "jaccard-tried")
         new = _stars(spark, kept, tried, threshold, broadcast_rows)
@@ -501,10 +502,10 @@ def _large_links(spark: SparkSession, kept: DataFrame, rows: DataFrame, stars: D
     postings = kept.select("row", "size", "grams").mapInArrow(released(_postings(threshold)), "gram long, row long")
     postings = materialize(spark, postings.join(small(labels), "row"), "jaccard-postings")
     several = postings.groupBy("gram").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram", "rows")
-    mixed = materialize(spark, postings.join(several, "gram"), "jaccard-mixed")
+    mixed = materialize(spark, postings.join(shuffled(several, postings.count(), broadcast_rows), "gram"), "jaccard-mixed")
     few, many = mixed.where(F.col("rows") <= FEW_ROWS), mixed.where(F.col("rows") > FEW_ROWS)
     a, b = (few.select("gram", F.col("row").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
-    pairs = a.join(b, "gram").where("a > b and la <> lb").select("a", "b").distinct()
+    pairs = a.join(shuffled(b, mixed.count(), broadcast_rows), "gram").where("a > b and la <> lb").select("a", "b").distinct()
     pairs = materialize(spark, pairs.join(side("a"), "a").join(side("b"), "b").where(fit).select("a", "b"), "jaccard-few-pairs")
     links = links.unionByName(_stars(spark, kept, pairs, threshold, broadcast_rows))
 
@@ -521,11 +522,11 @@ def _large_links(spark: SparkSession, kept: DataFrame, rows: DataFrame, stars: D
     held = materialize(spark, many.select("gram", "row").join(small(placed.select("row", "block", "pure")), "row").select("gram", "block", "pure").distinct(), "jaccard-held")
     x, y = (held.select("gram", F.col("block").alias(f"part_{n}"), F.col("pure").alias(f"pure_{n}")) for n in "ab")
     same = F.coalesce(F.col("pure_a") == F.col("pure_b"), F.lit(False))
-    met = x.join(y, "gram").where((F.col("part_a") <= F.col("part_b")) & ~same).select("part_a", "part_b").distinct()
+    met = x.join(shuffled(y, held.count(), broadcast_rows), "gram").where((F.col("part_a") <= F.col("part_b")) & ~same).select("part_a", "part_b").distinct()
     met = materialize(spark, met, "jaccard-block-pairs")
     sides = met.select("part_a", "part_b", F.explode(F.array_distinct(F.array("part_a", "part_b"))).alias("block"))
     blocked = sides.join(small(placed.select("row", "label", "block")), "block").select(F.lit(0).cast("long").alias("unit"), "part_a", "part_b", F.col("block").alias("part"), "row", "label")
-    last = materialize(spark, _meet(kept, blocked, threshold), "jaccard-rest")
+    last = materialize(spark, _meet(kept, blocked, threshold, broadcast_rows), "jaccard-rest")
     discard(spark, kept, first, postings, mixed, held)
     return links.unionByName(last)
 
@@ -568,33 +569,35 @@ def jaccard_components(
     found = materialize(spark, found, "jaccard-docs")
     # one row for each set
     first = live.groupBy("key_a", "key_b").agg(F.min("row").alias("row")).select("row")
-    kept = materialize(spark, live.join(first, "row", "left_semi"), "jaccard-rows")
+    kept = materialize(spark, live.join(shuffled(first, live.count(), broadcast_rows), "row", "left_semi"), "jaccard-rows")
     discard(spark, columns, live)
 
     prefixes = materialize(spark, kept.select("row", "size", "grams").mapInArrow(released(_prefixes(threshold)), "gram long, a long, b long"), "jaccard-prefixes")
     met = prefixes.where("gram is not null").select("gram", "a")
     centre = met.groupBy("gram").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = met.join(centre, "gram").where("a <> b").select("a", "b").unionByName(prefixes.where("gram is null").select("a", "b")).distinct()
+    stars = met.join(shuffled(centre, prefixes.count(), broadcast_rows), "gram").where("a <> b").select("a", "b").unionByName(prefixes.where("gram is null").select("a", "b")).distinct()
     stars = materialize(spark, stars, "jaccard-neighbours")
     discard(spark, prefixes)
-    candidates = connected_components(spark, stars).withColumnRenamed("component", "unit")
+    candidates = connected_components(spark, stars, broadcast_links=broadcast_rows).withColumnRenamed("component", "unit")
     held = (F.length("grams") / 8).alias("n")
-    placed = materialize(spark, kept.select("row", held).join(candidates.withColumnRenamed("node", "row"), "row"), "jaccard-candidates")
+    n_kept = kept.count()
+    sized = shuffled(kept.select("row", held), n_kept, broadcast_rows)
+    placed = materialize(spark, sized.join(candidates.withColumnRenamed("node", "row"), "row"), "jaccard-candidates")
     weights = placed.groupBy("unit").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     large = materialize(spark, weights.where((F.col("rows") > block_rows) | ((F.col("n") > block_grams) & (F.col("rows") > 2))).select("unit", F.lit(True).alias("large")), "jaccard-large")
     placed = hot_join(spark, placed, large, ["unit"], ["row"], broadcast_rows)
     one = placed.where("large is null").select("unit", zero_part("part_a"), zero_part("part_b"), zero_part("part"), "row", F.col("row").alias("label"))
-    links = materialize(spark, _meet(kept, one, threshold), "jaccard-links")
+    links = materialize(spark, _meet(kept, one, threshold, broadcast_rows), "jaccard-links")
     if not large.isEmpty():
         links = links.unionByName(_large_links(spark, kept, placed.where("large").select("row", "unit"), stars, threshold, block_rows, broadcast_rows))
-    joined = connected_components(spark, links)
+    joined = connected_components(spark, links, broadcast_links=broadcast_rows)
 
     sets = found.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    keys = kept.select(F.col("row").alias("node"), "key_a", "key_b")
+    keys = shuffled(kept.select(F.col("row").alias("node"), "key_a", "key_b"), n_kept, broadcast_rows)
     linked = joined.join(keys, "node").select("component", "key_a", "key_b")
-    sets = sets.join(linked, ["key_a", "key_b"], "left")
+    sets = sets.join(shuffled(linked, n_kept, broadcast_rows), ["key_a", "key_b"], "left")
     least = sets.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
-    known = sets.join(least, "component", "left").where("component is not null or n > 1")
+    known = sets.join(shuffled(least, n_kept, broadcast_rows), "component", "left").where("component is not null or n > 1")
     known = materialize(spark, known.select("key_a", "key_b", F.coalesce("component_id", "least").alias("component_id")), "jaccard-sets")
     discard(spark, kept, stars)
     out = hot_join(spark, found, known, ["key_a", "key_b"], ["doc_id"], broadcast_rows)
