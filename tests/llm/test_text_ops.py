@@ -605,6 +605,23 @@ def test_salted_copies_are_not_broadcast(spark):
     assert sorted(map(tuple, found)) == [(k, i, 1 if k < 50 else None) for k, i in sorted((i % 60, i) for i in range(300))]
 
 
+def test_jaccard_broadcasts_nothing_large(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(80)}" for _ in range(40)] for _ in range(12)]
+    rows = []
+    for i in range(120):
+        text = list(rng.choice(base))
+        text[rng.randrange(40)] = f"w{rng.randrange(80)}"
+        rows.append((i, " ".join(text), "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    _, since = _broadcasts(spark)
+    options = {"batch_grams": 300, "block_rows": 4, "block_grams": 500, "broadcast_rows": -1}  # even empty tables count as large
+    kept = ngram_join.keep_one(spark, docs, broadcast_ids=-1, **options).collect()
+    assert not _broadcasts(spark, since)[0]
+    whole = ngram_join.keep_one(spark, docs).collect()
+    assert _broadcasts(spark, since)[0] and sorted(kept) == sorted(whole) and 0 < len(kept) < 120
+
+
 def test_jaccard_hard_rows(spark, hard, clashing):  # noqa: F811
     for docs in (hard, clashing):
         found = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark, docs).collect()), key=str)

@@ -618,14 +618,16 @@ def keep_one(spark: SparkSession, docs: DataFrame, broadcast_ids: int = 1_000_00
     named = marked.select(F.col(tag).alias("doc_id"), "text")
     found = jaccard_components(spark, named, **options).where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
     found = materialize(spark, found.withColumnRenamed("doc_id", "tag"), "jaccard-found")
+    n_found = found.count()
+    apart = lambda table: shuffled(table, n_found, broadcast_ids)
     several = found.where("tag <> component_id").select("component_id").distinct()
-    members = found.join(several, "component_id", "left_semi")
-    ids = marked.select(F.col(tag).alias("tag"), F.col("doc_id").cast("long").alias("id")).join(members.select("tag"), "tag", "left_semi")
-    ranked = members.join(ids.groupBy("tag").agg(F.min("id").alias("id")), "tag")
+    members = found.join(apart(several), "component_id", "left_semi")
+    ids = marked.select(F.col(tag).alias("tag"), F.col("doc_id").cast("long").alias("id")).join(apart(members.select("tag")), "tag", "left_semi")
+    ranked = members.join(apart(ids.groupBy("tag").agg(F.min("id").alias("id"))), "tag")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag"))["tag"].alias("tag")
-    gone = materialize(spark, members.join(ranked.groupBy("component_id").agg(best), "tag", "left_anti").select(F.col("tag").alias(tag)), "jaccard-gone")
-    repeated = materialize(spark, found.where("n > 1").join(gone, F.col("tag") == F.col(tag), "left_anti").select(F.col("tag").alias(tag)), "jaccard-repeated")
-    small = lambda table: F.broadcast(table) if table.count() <= broadcast_ids else table  # noqa: E731 -- some 30 MB
+    gone = materialize(spark, members.join(apart(ranked.groupBy("component_id").agg(best)), "tag", "left_anti").select(F.col("tag").alias(tag)), "jaccard-gone")
+    repeated = materialize(spark, found.where("n > 1").join(apart(gone), F.col("tag") == F.col(tag), "left_anti").select(F.col("tag").alias(tag)), "jaccard-repeated")
+    small = lambda table: F.broadcast(table) if (n := table.count()) <= broadcast_ids else shuffled(table, n, broadcast_ids)  # noqa: E731 -- some 30 MB
     stay = marked.join(small(gone), tag, "left_anti")
     if not repeated.isEmpty():
         stay = stay.join(small(repeated), tag, "left_anti").unionByName(stay.join(small(repeated), tag, "left_semi").dropDuplicates([tag]))
